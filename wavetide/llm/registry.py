@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_codec
+from .chat import op3_chat_format
+from .sharding import op8_sharding
 
 
 def queries():
-    return {"op4_bpe_codec": op4_bpe_codec}
+    return {f.__name__: f for f in (op3_chat_format, op4_bpe_codec, op8_sharding)}
 
 
 def oracle_sql():
