@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_codec
 from .chat import op3_chat_format
+from .embedding_join import op2_embedding_dedup
 from .ngram_join import op10_ngram_jaccard
 from .packing import op1_best_fit_packing
 from .sharding import op8_sharding
@@ -11,7 +12,7 @@ from .substring_dedup import op5_substring_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_chat_format, op4_bpe_codec, op5_substring_dedup, op8_sharding, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_chat_format, op4_bpe_codec, op5_substring_dedup, op8_sharding, op10_ngram_jaccard)}
 
 
 def oracle_sql():
