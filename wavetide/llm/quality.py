@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Labelled rows in the fit at most.
-SAMPLE = 20_000
-TREES, DEPTH, RULES = 60, 3, 64
+SAMPLE = 12_000
+#: Trees, their depth, distinct rules offered to the lasso, and rules with a weight at most.
+TREES, DEPTH, OFFERED, RULES = 60, 3, 200, 64
 _LONG = "double"
 
 STATISTICS = (
@@ -136,24 +137,22 @@ def boosted_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int =
     return list(rules)
 
 
-def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 250) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated proximal gradient."""
-    n, k = z.shape
-    w, b = np.zeros(k + 1), 0.0
-    power = np.ones(k + 1)
-    full = np.concatenate([z, np.ones((n, 1))], axis=1)
-    for _ in range(20):
+def lasso_logistic(full: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray, steps: int = 120) -> np.ndarray:
+    """Weights, the last one of a column of ones without penalty, by accelerated proximal gradient."""
+    n, k = full.shape[0], full.shape[1] - 1
+    power = np.ones(k + 1, dtype=full.dtype)
+    for _ in range(10):
         power = full.T @ (full @ power)
         power /= np.linalg.norm(power)
     rate = 4 * n / float(np.linalg.norm(full @ power) ** 2)
-    at, t = w.copy(), 1.0
+    w, at, t = start, start, 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(full @ at, -30, 30)))
         new = at - rate * (full.T @ (p - y)) / n
         new[:k] = np.sign(new[:k]) * np.maximum(0, np.abs(new[:k]) - rate * penalty)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at, w, t = new + (t - 1) / nt * (new - w), new, nt
-    return w[:k], float(w[k])
+        at, w, t = (new + (t - 1) / nt * (new - w)).astype(full.dtype), new.astype(full.dtype), nt
+    return w
 
 
 class RuleEnsemble:
@@ -168,14 +167,19 @@ class RuleEnsemble:
             share = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
             return cls([], np.empty(0), float(np.log(share / (1 - share))))
         rules = boosted_rules(x, y)
-        z = np.stack([holds(r, x) for r in rules], axis=1).astype(np.float64)
-        penalty = 2e-4
+        z = np.stack([holds(r, x) for r in rules], axis=1)
+        _, first = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows are one
+        centred = np.abs((z[:, first].T @ (y - y.mean())) / np.sqrt(np.maximum(1, z[:, first].sum(axis=0))))
+        first = np.sort(first[np.argsort(-centred, kind="stable")[:OFFERED]])
+        full = np.concatenate([z[:, first], np.ones((len(x), 1))], axis=1).astype(np.float32)
+        y = y.astype(np.float32)
+        penalty, w = 2e-4, np.zeros(full.shape[1], dtype=np.float32)
         while True:  # a larger penalty until few enough rules keep a weight
-            w, b = lasso_logistic(z, y, penalty)
-            used = np.flatnonzero(np.abs(w) > 1e-6)
+            w = lasso_logistic(full, y, penalty, w)
+            used = np.flatnonzero(np.abs(w[:-1]) > 1e-6)
             if len(used) <= most:
-                return cls([rules[k] for k in used], w[used], b)
-            penalty *= 1.5
+                return cls([rules[first[k]] for k in used], w[used].astype(np.float64), float(w[-1]))
+            penalty *= 2
 
     def score(self) -> Column:
         total = F.lit(self.intercept)
