@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe_codec
 from .chat import op3_chat_format
 from .embedding_join import op2_embedding_dedup
+from .langid import op7_language_crf
 from .ngram_join import op10_ngram_jaccard
 from .packing import op1_best_fit_packing
 from .quality import op6_quality_rules
@@ -14,7 +15,7 @@ from .va_file import op9_topk_search
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_chat_format, op4_bpe_codec, op5_substring_dedup, op6_quality_rules, op8_sharding, op9_topk_search, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_chat_format, op4_bpe_codec, op5_substring_dedup, op6_quality_rules, op7_language_crf, op8_sharding, op9_topk_search, op10_ngram_jaccard)}
 
 
 def oracle_sql():
