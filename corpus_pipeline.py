@@ -1,8 +1,71 @@
-"""Corpus pipeline: stages over the documents table, each written and read again."""
+"""Corpus pipeline: quality, language, near copies, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of docs. Null texts count as empty; an empty table passes through; extra columns are carried along.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavetide.llm.common import materialize, small_batches, table
+from wavetide.llm.langid import fit_language, keep_language
+from wavetide.llm.ngram_join import jaccard_components
+from wavetide.llm.packing import best_fit_pack
+from wavetide.llm.quality import fit_quality, keep_quality
+from wavetide.llm.substring_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted on the labels of docs, gives a score of at least 0.5."""
+    small_batches(spark)
+    return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), F.lit(True)))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language the random field finds with a score of at least 0.35."""
+    small_batches(spark)
+    return keep_language(docs, fit_language(docs, F.lit(True)))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    small_batches(spark)
+    groups = jaccard_components(docs, k=5, num=80, den=100)
+    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(copies, docs["doc_id"].cast("long") == copies["doc_id"], "left_anti")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that a smaller id has, too; characters cut in half go as well."""
+    small_batches(spark)
+
+    def text(batches):
+        for b in batches:
+            kept = pa.array([x.decode("utf-8", errors="ignore") for x in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), kept], ["row", "kept"])
+
+    cut = remove_repeats(docs, carry=True).select("row", "kept")
+    cut = cut.mapInArrow(text, cut.select("row").schema.add("kept", "string"))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    small_batches(spark)
+    return best_fit_pack(docs)
+
+
+STAGES = [("quality", quality), ("language", language), ("near_copies", near_copies), ("repeats", repeats), ("packing", packing)]
+#: SQL can't say these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -230,6 +230,17 @@ def fit_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
 
 def predict_language(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
+    return _predicted(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
+
+
+def keep_language(docs: DataFrame, model: Crf, text_col: str = "text", least: float = 0.35) -> DataFrame:
+    """The rows of docs, with all their columns, that have letters and a language whose score reaches least."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    return _predicted(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+
+
+def _predicted(docs: DataFrame, model: Crf) -> DataFrame:
+    """docs: a key and a text. The key, lang_pred, score."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # one table of ROWS x languages
 
     def run(batches):
@@ -243,10 +254,11 @@ def predict_language(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_c
                     size += len(texts[hi] or "")
                     hi += 1
                 got = crf.predict(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [key, "lang_pred", "score"])
                 lo = hi
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    key = docs.columns[0]
+    return docs.mapInArrow(run, docs.select(key).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

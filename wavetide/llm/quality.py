@@ -208,6 +208,12 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id",
     return _with_statistics(rows, ["doc_id"]).select("doc_id", model.score().alias("score"))
 
 
+def keep_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches least."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    return _with_statistics(rows, ["row"]).where(model.score() >= least).select("row.*")
+
+
 def held_out(divisor: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor)) == remainder
 

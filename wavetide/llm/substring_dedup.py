@@ -33,6 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, shuffle_partitions, table
 from .shingles import mix
@@ -276,12 +277,15 @@ def _with_homes(rows: DataFrame, packed: DataFrame, homes: int, raw: bool = True
         for b in batches:
             ids = b.column(0)
             known = np.asarray(ids.fill_null(0))
-            yield pa.RecordBatch.from_arrays([pa.array(_home(known, homes), pa.int64()), ids, pa.array([z.compress(x.encode()) for x in b.column(1).to_pylist()], pa.binary())], ["home", "doc_id", "text"])
+            raw = pa.array([z.compress(x.encode()) for x in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(_home(known, homes), pa.int64()), ids, raw, *b.columns[2:]], ["home", "doc_id", "text", *rest])
 
-    texts = rows.mapInArrow(squeeze, "home long, doc_id long, text binary")
+    rest = rows.columns[2:]
+    shape = T.StructType([T.StructField("home", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), *(rows.schema[c] for c in rest)])
+    texts = rows.mapInArrow(squeeze, shape)
     none = lambda kind: F.lit(None).cast(kind)
-    texts = texts.select("home", F.lit(1).alias("is_text"), none("long").alias("n"), none("long").alias("trigger"), none("binary").alias("places"), none("binary").alias("keys"), "doc_id", "text")
-    packed = packed.select("home", F.lit(0).alias("is_text"), "n", "trigger", "places", "keys", none("long").alias("doc_id"), none("binary").alias("text"))
+    texts = texts.select("home", F.lit(1).alias("is_text"), none("long").alias("n"), none("long").alias("trigger"), none("binary").alias("places"), none("binary").alias("keys"), "doc_id", "text", *rest)
+    packed = packed.select("home", F.lit(0).alias("is_text"), "n", "trigger", "places", "keys", none("long").alias("doc_id"), none("binary").alias("text"), *(none(rows.schema[c].dataType).alias(c) for c in rest))
     return texts.unionByName(packed).repartition(homes, "home").sortWithinPartitions("home", "is_text")
 
 
@@ -313,15 +317,19 @@ class _Places:
 
 
 def _homes(batches, keyed: bool):
-    """(places of the home, documents' ids, texts) for batches that _with_homes dealt."""
+    """(places of the home, documents' ids, texts, their other columns) for batches that _with_homes dealt."""
     home, places, closed, z = None, _Places(), None, zstandard.ZstdDecompressor()
     for b in batches:
-        ids, texts = [], []
-        for h, is_text, n, trigger, blob, keys, doc, text in zip(*(c.to_pylist() for c in b.columns)):
+        ids, texts, at = [], [], []
+
+        def rest():
+            return [c.take(pa.array(at, pa.int64())) for c in b.columns[8:]]  # noqa: B023
+
+        for row, (h, is_text, n, trigger, blob, keys, doc, text) in enumerate(zip(*(c.to_pylist() for c in b.columns[:8]))):
             if h != home:
                 if ids:
-                    yield closed or places.close(keyed), ids, texts
-                    ids, texts = [], []
+                    yield closed or places.close(keyed), ids, texts, rest()
+                    ids, texts, at = [], [], []
                 home, places, closed = h, _Places(), None
             if not is_text:
                 places.add(n, blob, trigger, keys)
@@ -329,15 +337,16 @@ def _homes(batches, keyed: bool):
             closed = closed or places.close(keyed)
             ids.append(doc)
             texts.append(z.decompress(text))
+            at.append(row)
         if ids:
-            yield closed, ids, texts
+            yield closed, ids, texts, rest()
 
 
 def _owned_bytes(texts: DataFrame, length: int) -> DataFrame:
     """Phrases' bytes by trigger: bucket, n, places (doc, place, windows), keys, bytes (compressed)."""
 
     def run(batches):
-        for places, ids, raws in _homes(batches, keyed=True):
+        for places, ids, raws, _ in _homes(batches, keyed=True):
             found, starts, base, at = [], [], 0, []
             high = _place(raws)
             for i, raw, up in zip(ids, raws, high):
@@ -404,11 +413,13 @@ def _window_repeats(owned: DataFrame, length: int, buckets: int, homes: int) ->
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, spans, kept."""
+    """doc_id, n_bytes, spans, kept, and the other columns of texts."""
+    others = texts.columns[8:]
+    shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), *(texts.schema[c] for c in others)])
     span = pa.list_(pa.list_(pa.int64()))
 
     def run(batches):
-        for places, ids, raws in _homes(batches, keyed=False):
+        for places, ids, raws, rest in _homes(batches, keyed=False):
             spans_of, kept = [], []
             for i, raw, up in zip(ids, raws, _place(raws)):
                 spans = []
@@ -426,19 +437,20 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                 parts.append(raw[at:])
                 spans_of.append(spans)
                 kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array(spans_of, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array(spans_of, span), pa.array(kept, pa.binary()), *rest], ["doc_id", "n_bytes", "spans", "kept", *others])
 
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    return texts.mapInArrow(run, shape)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs as [start, end)), kept (the other bytes), for every row."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans (removed runs as [start, end)), kept (the other bytes), for every row; with carry also
+    row, a struct of all columns but the text."""
     seed = max(1, min(SEED_BYTES, length // 2))
     buckets = max(32, 2 * shuffle_partitions(df.sparkSession))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    entries = _entries(rows.where("doc_id is not null"), length, seed, buckets, buckets)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")] if carry else []))
+    entries = _entries(rows.where("doc_id is not null").select("doc_id", "text"), length, seed, buckets, buckets)
     known = materialize(_dictionary(entries, buckets, buckets))
-    owned = _owned_bytes(_with_homes(rows, known.where(F.col("kind") == OPEN), buckets), length)
+    owned = _owned_bytes(_with_homes(rows.select("doc_id", "text"), known.where(F.col("kind") == OPEN), buckets), length)
     more = _window_repeats(owned, length, buckets, buckets)
     removed = known.where(F.col("kind") == REMOVED).unionByName(more)
     return _cut(_with_homes(rows, removed, buckets), length)
