@@ -446,7 +446,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, spans (removed runs as [start, end)), kept (the other bytes), for every row; with carry also
     row, a struct of all columns but the text."""
     seed = max(1, min(SEED_BYTES, length // 2))
-    buckets = max(32, 2 * shuffle_partitions(df.sparkSession))
+    buckets = max(32, shuffle_partitions(df.sparkSession))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")] if carry else []))
     entries = _entries(rows.where("doc_id is not null").select("doc_id", "text"), length, seed, buckets, buckets)
     known = materialize(_dictionary(entries, buckets, buckets))
