@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .queries import conversions, kernels, spectral, streams, timedomain  # noqa: F401
+from .queries.base import QUERIES, SQL
 
-def oracle_sql():
-    return {}
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Mel levels of every user's events."""
+    return QUERIES["mel_db"](spark, folder)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
