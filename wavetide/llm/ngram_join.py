@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from .common import materialize, released, shuffle_partitions, table
 from .graph import components
 from .shingles import mix, shingle_sets
 
-GROUPS = 64
+GROUPS = 256
 #: Bytes of text that a chunk of the shingle pass holds.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Members of a cell's block in an R-tree join, and rows of a hub's part when verifying.
 BLOCK = 2048
 NODE = 16
@@ -91,7 +91,18 @@ class Threshold:
 
 
 def count_vector(u: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((u >> np.uint64(3)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
+    return np.bincount((u >> np.uint64(3)).astype(np.int64) % groups, minlength=groups)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """One byte for each group, or four where a count needs them."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpack_counts(packed: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    if all(len(x) == groups for x in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), groups).astype(np.int16)
+    return np.array([np.frombuffer(x, np.uint8 if len(x) == groups else "<u4") for x in packed], dtype=np.int64)
 
 
 # R-tree over count vectors
@@ -158,12 +169,13 @@ def _chunks(batches, size: int = CHUNK) -> Iterator[tuple[list[int], list[bytes]
 def _features(rows: DataFrame, k: int) -> DataFrame:
     """doc_id, n, set1 and set2 (a 128-bit name of the set), counts (its point)."""
 
+    @released
     def run(batches):
         for ids, texts in _chunks(batches):
             sets = shingle_sets(texts, k)
             names = [(int(s.sum().astype(np.int64)), int(mix(s ^ np.uint64(77)).sum().astype(np.int64))) if len(s) else (0, 0) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([count_vector(s).astype("<i4").tobytes() for s in sets], pa.binary())],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([pack_counts(count_vector(s)) for s in sets], pa.binary())],
                 ["doc_id", "n", "set1", "set2", "counts"],
             )
 
@@ -173,6 +185,7 @@ def _features(rows: DataFrame, k: int) -> DataFrame:
 def _shared_cells(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFrame:
     """kind, a, b. Kind 0: a star pair (smallest member, member). Kind 1: cell a of more than two texts has member b."""
 
+    @released
     def name(batches):
         for number, (ids, texts) in enumerate(_chunks(batches)):
             known, keys, docs = {}, [], []
@@ -212,6 +225,7 @@ def _shared_cells(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFr
         both = np.unique(np.stack([a, b], axis=1), axis=0)
         return both[:, 0], both[:, 1]
 
+    @released
     def gather(batches):
         held, bucket = [], None
 
@@ -258,11 +272,12 @@ def _within_bound(pairs: DataFrame, features: DataFrame, t: Threshold) -> DataFr
     joined = joined.where("na is not null").join(side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
     joined = joined.where(f"{t.num} * na <= {t.den} * nb and {t.num} * nb <= {t.den} * na").select("a", "b", "na", "nb", "ca", "cb")
 
+    @released
     def bound(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<i4").reshape(b.num_rows, -1) for c in (4, 5))
+            x, y = (unpack_counts(b.column(c).to_pylist()) for c in (4, 5))
             total = np.asarray(b.column(2)) + np.asarray(b.column(3))
             yield b.filter(pa.array(np.minimum(x, y).sum(axis=1) >= t.overlap_of(total))).select([0, 1, 2, 3])
 
@@ -270,13 +285,15 @@ def _within_bound(pairs: DataFrame, features: DataFrame, t: Threshold) -> DataFr
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Those of pairs (a, b, na, nb) that are linked: each a (hub) meets the sets of its b, split into parts of bounded size."""
+    """Those of pairs (a, b) that are linked: each a (hub) meets the sets of its b, split into parts of bounded size."""
     load = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("long").alias("parts"))
     spread = pairs.join(load, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
     asked = spread.select(F.col("b").alias("doc_id"), "a", "part").unionByName(load.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "part")).alias("asked"))
-    texts = rows.where("doc_id is not null").join(asked, "doc_id").select("doc_id", "text", "asked")
+    # texts move once, whatever their number: no switch to a broadcast of a list that grows with the corpus
+    texts = rows.where("doc_id is not null").join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked")
 
+    @released
     def sets(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -298,6 +315,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFr
         x[:, 3:] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
         return x.reshape(-1).view(np.uint64)
 
+    @released
     def verify(batches):
         hub, base = None, None
         for b in batches:
@@ -325,22 +343,39 @@ def _cell_pairs(members: DataFrame, t: Threshold) -> DataFrame:
     m = members.join(load, "cell").withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)"))
     m = m.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     m = m.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "counts")
+    m = m.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+    @released
+    def join(batches):
+        key, held = None, []
+
+        def pairs():
+            block, ids, comp = (np.array(x, dtype=np.int64) for x in list(zip(*held))[:3])
+            points = unpack_counts([h[3] for h in held])
+            left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+            if len(left) and len(right):
+                tree = RTree(points[left])
+                for k, found in tree.pairs(tree if key[1] == key[2] else RTree(points[right]), t):
+                    r, ls = right[k], left[found]
+                    for x in ids[ls[comp[ls] != comp[r]]].tolist():
+                        yield min(x, int(ids[r])), max(x, int(ids[r]))
+
+        def batch(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def join(key, group):
-        i, j = key[1].as_py(), key[2].as_py()
-        block, ids, comp = (np.asarray(group.column(c).combine_chunks()) for c in ("block", "doc_id", "component"))
-        points = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<i4").reshape(len(ids), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        if len(left) and len(right):
-            for k, found in RTree(points[left]).pairs(RTree(points[right]), t):
-                r, ls = right[k], left[found]
-                ls = ls[comp[ls] != comp[r]]
-                a += np.minimum(ids[ls], ids[r]).tolist()
-                b += np.maximum(ids[ls], ids[r]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for b in batches:
+            out: set = set()
+            for cell, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (cell, i, j) != key:
+                    if len(held) > 1:
+                        out.update(pairs())
+                    key, held = (cell, i, j), []
+                held.append(row)
+            yield batch(list(out))
+        if len(held) > 1:
+            yield batch(list(set(pairs())))
 
-    return m.groupBy("cell", "i", "j").applyInArrow(join, "a long, b long").distinct()
+    return m.mapInArrow(join, "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -362,12 +397,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     members = shared.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("doc_id")).distinct()
     members = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = members.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cell")
+    # cells with the same members are one: named by their number and two sums of hashes
+    sums = [F.sum(F.expr(f"cast(xxhash64(doc_id, {x}) as decimal(20, 0))")).alias(f"sum{x}") for x in (1, 2)]
+    open_ = members.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), *sums)
+    open_ = open_.where("lo != hi").groupBy("size", "sum1", "sum2").agg(F.min("cell").alias("cell")).select("cell")
     members = members.join(open_, "cell").join(single.select("doc_id", "counts"), "doc_id")
     more = materialize(_cell_pairs(members, t))
     if not more.isEmpty():
-        near = materialize(_within_bound(more, single, t))
-        links = links.unionByName(_verified(near, rows, k, t))
+        links = links.unionByName(_verified(more, rows, k, t))
         found = materialize(components(links))
     return features.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -45,8 +45,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         return []
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     starts_of = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    size = 1 << max(20, int(len(buf)).bit_length())
-    power, inverse = (p[: len(buf)] for p in _powers(size))
+    power, inverse = (p[: len(buf)] for p in _powers((len(buf) >> 19) + 1 << 19))
     sums = np.cumsum(_TABLE[buf] * power)
     space = _SPACE[buf]
     edge = np.flatnonzero(np.diff(space, prepend=True))
