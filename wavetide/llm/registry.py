@@ -10,13 +10,13 @@ from .ngram_join import op10_ngram_jaccard
 from .packing import op1_best_fit_packing
 from .quality import op6_quality_rules
 from .sharding import op8_sharding
+from .sql import oracle_sql
 from .substring_dedup import op5_substring_dedup
 from .va_file import op9_topk_search
 
-
-def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_chat_format, op4_bpe_codec, op5_substring_dedup, op6_quality_rules, op7_language_crf, op8_sharding, op9_topk_search, op10_ngram_jaccard)}
+__all__ = ["oracle_sql", "queries"]
 
 
-def oracle_sql():
-    return {}
+def queries():
+    every = (op1_best_fit_packing, op2_embedding_dedup, op3_chat_format, op4_bpe_codec, op5_substring_dedup, op6_quality_rules, op7_language_crf, op8_sharding, op9_topk_search, op10_ngram_jaccard)
+    return {f.__name__: f for f in every}
