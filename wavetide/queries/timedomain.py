@@ -142,6 +142,13 @@ for _name, _norm, _sql in (("normalize_inf", float("inf"), "max(abs(v))"), ("nor
     )
 
 
+@query("normalize", f"WITH {LONG} SELECT signal_id, n, round(v / sqrt(sum(v * v) OVER (PARTITION BY signal_id)) * 1.0, 6) + 0.0 AS v FROM l")
+def normalize(spark, folder):
+    """On long rows: a window instead of the array form."""
+    size = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("signal_id")))
+    return long(spark, folder).select("signal_id", "n", r(F.col("v") / size).alias("v"))
+
+
 @query("valid_audio", f"WITH {WIDE} SELECT signal_id, len(y) > 0 AS valid FROM s")
 def valid_audio(spark, folder):
     return wide(spark, folder).select("signal_id", S.valid_audio("y").alias("valid"))
