@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import conversions, kernels, spectral, streams, timedomain  # noqa: F401
+from .queries import compositions, conversions, kernels, spectral, streams, timedomain  # noqa: F401
 from .queries.base import QUERIES, SQL
 
 
