@@ -46,27 +46,53 @@ def get_window(window: str | np.ndarray, n: int, fftbins: bool = True) -> np.nda
     return sum((-1) ** k * c * np.cos(2 * np.pi * k * i / max(1, period)) for k, c in enumerate(COSINES[name]))
 
 
-#: Equivalent noise bandwidths of windows, in bins.
+#: Equivalent noise bandwidths of windows by name, in bins.
 BANDWIDTHS = {
-    "bartlett": 1.3334961334912805, "barthann": 1.4560255965133932, "blackmanharris": 2.0045975283585014,
-    "blackman": 1.7269681554262326, "bohman": 1.7859588613860062, "boxcar": 1.0, "cosine": 1.2337005350199792,
-    "flattop": 2.7762255046484143, "hamming": 1.3629455320350348, "hann": 1.50018310546875,
-    "nuttall": 1.9763500280946082, "parzen": 1.9174603174603191, "triang": 1.3331706523555851,
-}
-#: Other names of the same windows.
-BANDWIDTH_NAMES = {
-    "bart": "bartlett", "brt": "bartlett", "brthan": "barthann", "bth": "barthann", "bkh": "blackmanharris",
-    "blackharr": "blackmanharris", "black": "blackman", "blk": "blackman", "bman": "bohman", "bmn": "bohman",
-    "box": "boxcar", "ones": "boxcar", "rect": "boxcar", "rectangular": "boxcar", "halfcosine": "cosine",
-    "flat": "flattop", "flt": "flattop", "ham": "hamming", "hamm": "hamming", "han": "hann", "nut": "nuttall",
-    "nutl": "nuttall", "par": "parzen", "parz": "parzen", "tri": "triang", "triangle": "triang",
-}
+    "bart": 1.3334961334912805,
+    "barthann": 1.4560255965133932,
+    "bartlett": 1.3334961334912805,
+    "bkh": 2.0045975283585014,
+    "black": 1.7269681554262326,
+    "blackharr": 2.0045975283585014,
+    "blackman": 1.7269681554262326,
+    "blackmanharris": 2.0045975283585014,
+    "blk": 1.7269681554262326,
+    "bman": 1.7859588613860062,
+    "bmn": 1.7859588613860062,
+    "bohman": 1.7859588613860062,
+    "box": 1.0,
+    "boxcar": 1.0,
+    "brt": 1.3334961334912805,
+    "brthan": 1.4560255965133932,
+    "bth": 1.4560255965133932,
+    "cosine": 1.2337005350199792,
+    "flat": 2.7762255046484143,
+    "flattop": 2.7762255046484143,
+    "flt": 2.7762255046484143,
+    "halfcosine": 1.2337005350199792,
+    "ham": 1.3629455320350348,
+    "hamm": 1.3629455320350348,
+    "hamming": 1.3629455320350348,
+    "han": 1.50018310546875,
+    "hann": 1.50018310546875,
+    "nut": 1.9763500280946082,
+    "nutl": 1.9763500280946082,
+    "nuttall": 1.9763500280946082,
+    "ones": 1.0,
+    "par": 1.9174603174603191,
+    "parz": 1.9174603174603191,
+    "parzen": 1.9174603174603191,
+    "rect": 1.0,
+    "rectangular": 1.0,
+    "tri": 1.3331706523555851,
+    "triang": 1.3331706523555851,
+    "triangle": 1.3331706523555851,
+}
 
 
 def window_bandwidth(window: str, n: int = 1000) -> float:
-    name = BANDWIDTH_NAMES.get(window, window)
-    if name in BANDWIDTHS:
-        return BANDWIDTHS[name]
+    if window in BANDWIDTHS:
+        return BANDWIDTHS[window]
     w = get_window(window, n)
     return float(n * np.sum(w**2) / np.sum(np.abs(w)) ** 2)
 
