@@ -181,3 +181,12 @@ def test_banks():
     assert np.abs(dsp.stft(dsp.tone(440, length=22050))).mean(axis=0).dot(c.T).argmax() == 9
     t = banks.transition_local(5, 3, wrap=True)
     assert np.allclose(t.sum(axis=1), 1)
+
+
+def test_rqa_follows_a_diagonal_with_a_gap():
+    sim = np.zeros((6, 6))
+    for i in (0, 1, 2, 4, 5):
+        sim[i, i] = 1.0
+    score, path = sequence.rqa(sim, gap_onset=0.5, gap_extend=0.5)
+    assert score[5, 5] == score.max() == 4.5 and path[0] == (0, 0) and path[-1] == (5, 5)
+    assert sequence.rqa(np.zeros((3, 3)))[1] == []

@@ -319,7 +319,7 @@ def sosfilt_zi(sos) -> np.ndarray:
 
 def sosfiltfilt(sos, x) -> np.ndarray:
     x = np.asarray(x, float)
-    n = min(3 * (2 * len(sos) + 1 - min(sum(s[2] == 0 for s in sos), sum(s[5] == 0 for s in sos))), len(x) - 1)
+    n = min(3 * (2 * len(sos) - 1), len(x) - 1)
     ext = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]])
     zi = sosfilt_zi(sos)
     y = sosfilt(sos, ext, zi * ext[0])[0][::-1]

@@ -268,7 +268,7 @@ def spectral_contrast(s: np.ndarray, freq: np.ndarray, fmin: float = 200.0, n_ba
         if k == n_bands:
             band[at[-1] + 1 :] = True
         part = s[:, band]
-        if k < n_bands:
+        if k < n_bands and part.shape[1] > 1:
             part = part[:, :-1]
         part = np.sort(part, axis=1)
         n = max(1, round(quantile * int(band.sum())))
@@ -366,7 +366,7 @@ def pitch_tuning(frequencies, resolution: float = 0.01, bins_per_octave: int = 1
     rest = np.fmod(bins_per_octave * banks.hz_to_octs(f), 1.0)
     rest[rest >= 0.5] -= 1.0
     n = math.ceil(1.0 / resolution)
-    at = np.floor((rest + 0.5) / resolution + 1e-12).astype(int)
+    at = np.floor((rest + 0.5) / resolution).astype(int)
     return float(-0.5 + resolution * np.argmax(np.bincount(np.clip(at, 0, n - 1), minlength=n)))
 
 
