@@ -150,7 +150,8 @@ def test_onsets_tempo_and_beats_of_clicks():
 
 
 def test_events_and_intervals():
-    assert rhythm.match_events([1, 6, 9], [0, 5, 10]).tolist() == [0, 1, 2]
+    assert rhythm.match_events([1, 6, 9], [0, 5, 10]).tolist() == [0, 1, 2] and rhythm.match_events([2], [1, 3]).tolist() == [1]
+    assert rhythm.match_intervals(np.array([[3.0, 4.0]]), np.array([[5.0, 6.0], [0.0, 2.0]]), strict=False).tolist() == [1]
     assert rhythm.match_intervals(np.array([[3, 5], [1, 4], [4, 5]]), np.array([[0, 2], [1, 3], [4, 5], [6, 7]])).tolist() == [2, 1, 2]
     with pytest.raises(ValueError):
         rhythm.match_intervals(np.array([[10, 11]]), np.array([[0, 2]]))

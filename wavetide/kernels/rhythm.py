@@ -102,34 +102,36 @@ def onset_backtrack(events, energy) -> np.ndarray:
 
 
 def match_events(source, target, left: bool = True, right: bool = True) -> np.ndarray:
-    """Number of the nearest target for each source, below or above only where one side is barred; ties go below."""
+    """Number of the nearest target for each source; of two as near, the one not below. Without left or right, targets
+    below or above don't count; where none is left, the smallest target is taken."""
     s, t = np.asarray(source, float), np.asarray(target, float)
-    if not len(s) or not len(t) or not (left or right):
-        raise ValueError("events are needed on both sides, and a direction")
+    if not len(s) or not len(t):
+        raise ValueError("events are needed on both sides")
     order = np.argsort(t, kind="stable")
     u = t[order]
-    below = np.searchsorted(u, s, side="right") - 1
     above = np.searchsorted(u, s, side="left")
-    if not left and (above >= len(u)).any() or not right and (below < 0).any():
-        raise ValueError("an event has no partner on the allowed side")
+    below = above - 1
+    up = np.where(above < len(u), u[np.minimum(above, len(u) - 1)] - s, np.inf)
+    up = up if right else np.where(up == 0, up, np.inf)
     down = np.where(below >= 0, s - u[np.maximum(below, 0)], np.inf) if left else np.full(len(s), np.inf)
-    up = np.where(above < len(u), u[np.minimum(above, len(u) - 1)] - s, np.inf) if right else np.full(len(s), np.inf)
-    return order[np.where(down <= up, below, above)]
+    best = np.where(down < up, below, np.where(np.isinf(up), 0, above))
+    return order[best]
 
 
 def match_intervals(source: np.ndarray, target: np.ndarray, strict: bool = True) -> np.ndarray:
-    """Number of the target with the largest overlap share; without strict, else the nearest one."""
+    """Number of the target with the largest overlap share; without strict, else the nearest one, the one before first."""
+    if not len(source) or not len(target):
+        raise ValueError("intervals are needed on both sides")
     out = []
     for a, b in np.asarray(source, float):
         both = np.minimum(b, target[:, 1]) - np.maximum(a, target[:, 0])
         if (both >= 0).any():
             union = np.maximum(b, target[:, 1]) - np.minimum(a, target[:, 0])
-            score = np.where(both >= 0, np.where(union > 0, both / np.where(union > 0, union, 1.0), 0.0), -1.0)
-            out.append(int(np.argmax(score)))
+            out.append(int(np.argmax(np.where(both >= 0, both / np.where(union > 0, union, 1.0), -1.0))))
         elif strict:
             raise ValueError("an interval overlaps none of the targets")
         else:
-            out.append(int(np.argmax(both)))
+            out.append(int(np.lexsort((target[:, 0] > b, -both))[0]))
     return np.array(out, int)
 
 

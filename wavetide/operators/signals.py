@@ -264,13 +264,13 @@ def onset_backtrack(events: DataFrame, energy: DataFrame) -> DataFrame:
 
 
 def match_events(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Nearest target (signal_id, n) of each source, the lower one of two; a union and two windows, no theta join."""
+    """Nearest target (signal_id, n) of each source, of two as near the upper one; a union and two windows, no theta join."""
     rows = source.select(KEY, "n", F.lit(None).cast("int").alias("m")).unionByName(target.select(KEY, "n", F.col("n").cast("int").alias("m")))
     order = Window.partitionBy(KEY).orderBy("n", F.col("m").isNull())
     back = order.rowsBetween(Window.unboundedPreceding, 0)
     ahead = order.rowsBetween(0, Window.unboundedFollowing)
     rows = rows.withColumn("below", F.last("m", ignorenulls=True).over(back)).withColumn("above", F.first("m", ignorenulls=True).over(ahead)).where("m is null")
-    nearest = F.when(F.col("above").isNull() | (F.col("n") - F.col("below") <= F.col("above") - F.col("n")), F.col("below")).otherwise(F.col("above"))
+    nearest = F.when(F.col("above").isNull() | (F.col("n") - F.col("below") < F.col("above") - F.col("n")), F.col("below")).otherwise(F.col("above"))
     return rows.select(KEY, "n", nearest.alias("nearest"))
 
 

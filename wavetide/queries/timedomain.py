@@ -109,7 +109,7 @@ def onset_backtrack(spark, folder):
     return S.onset_backtrack(x.where("n % 7 = 3").select("signal_id", "n"), x)
 
 
-@query("match_events", f"WITH {LONG}, {_EV}, g AS (SELECT signal_id, n AS m FROM l WHERE n % 11 = 5), x AS (SELECT e.signal_id, e.n, arg_min(m, abs(m - e.n) * 1000 + m) AS nearest FROM e JOIN g ON g.signal_id = e.signal_id GROUP BY 1, 2) SELECT * FROM x")
+@query("match_events", f"WITH {LONG}, {_EV}, g AS (SELECT signal_id, n AS m FROM l WHERE n % 11 = 5), x AS (SELECT e.signal_id, e.n, arg_min(m, abs(m - e.n) * 1000 - m) AS nearest FROM e JOIN g ON g.signal_id = e.signal_id GROUP BY 1, 2) SELECT * FROM x")
 def match_events(spark, folder):
     x = long(spark, folder)
     return S.match_events(x.where("n % 7 = 3").select("signal_id", "n"), x.where("n % 11 = 5").select("signal_id", "n"))
