@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetide.llm.common import materialize, small_batches, table
+from wavetide.llm.common import materialize, released, small_batches, table
 from wavetide.llm.langid import fit_language, keep_language
 from wavetide.llm.ngram_join import jaccard_components
 from wavetide.llm.packing import best_fit_pack
@@ -42,6 +42,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 50-byte strings that a smaller id has, too; characters cut in half go as well."""
     small_batches(spark)
 
+    @released
     def text(batches):
         for b in batches:
             kept = pa.array([x.decode("utf-8", errors="ignore") for x in b.column(1).to_pylist()], pa.string())

@@ -19,14 +19,14 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import released, table
 
 #: Fixed value: the pre-tokeniser's pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,11 +59,8 @@ class Codec:
     def __init__(self, path: str):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -78,6 +75,15 @@ class Codec:
         self.mark = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
+    @cached_property
+    def lib(self):
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(self.path)
+        lib.no_truncation()
+        lib.no_padding()
+        return lib
+
     def encode(self, text: str) -> np.ndarray:
         if _RARE.search(text) or self.mark and self.mark.search(text):
             return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -175,11 +181,13 @@ def encode_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = path or default_path()
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @released
     def short(batches):
         c = codec(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "ids"])
 
+    @released
     def split(batches):
         from pyspark import TaskContext
 
@@ -191,6 +199,7 @@ def encode_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n = len(parts)
                 yield pa.RecordBatch.from_pydict({"key": [key] * n, "id": pa.array([i] * n, pa.int64()), "no": list(range(n)), "kind": [k for k, _ in parts], "raw": pa.array([r for _, r in parts], pa.binary())})
 
+    @released
     def leaf(batches):
         c = codec(path)
         for b in batches:
@@ -198,6 +207,7 @@ def encode_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = [np.array(c.encode_leaf(k, r), dtype="<u4").tobytes() for k, r in zip(kinds, raws)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.binary())], ["key", "id", "no", "kind", "raw"])
 
+    @released
     def merge(batches):
         c, key, ident, parts = codec(path), None, None, []
 
@@ -225,6 +235,7 @@ def decode_tokens(df: DataFrame, path: str | None = None) -> DataFrame:
     """(id, ids binary) to (id, ids, decoded string)."""
     path = path or default_path()
 
+    @released
     def decode(batches):
         c = codec(path)
         for b in batches:

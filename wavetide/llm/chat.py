@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_path
-from .common import table
+from .common import released, table
 
 #: The template's control strings.
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]", "[/TURN]", "[NOROLE]", "<|endoftext|>")
@@ -131,6 +131,7 @@ def format_conversations(df: DataFrame, path: str | None = None) -> DataFrame:
         if turns:
             yield key, turns
 
+    @released
     def run(batches):
         lib, group, size = encoder(path), [], 0
 
@@ -161,6 +162,7 @@ def format_conversations(df: DataFrame, path: str | None = None) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all from the formatted text and mask."""
 
+    @released
     def digest(batches):
         for b in batches:
             out = []

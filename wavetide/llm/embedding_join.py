@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, released, table
 from .graph import components
 
 COSINE = 0.9
@@ -40,6 +40,7 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 def _classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
     """All rows (vec_id, class: a name or null), and the classes (class, dim, unit, rep, size)."""
 
+    @released
     def run(batches):
         for b in batches:
             vecs, out = b.column(1), []
@@ -66,6 +67,7 @@ def _classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataF
 def _axes(classes: DataFrame, dim: int) -> np.ndarray:
     """Principal axes of the classes' unit vectors, from moments summed over all of them."""
 
+    @released
     def moments(batches):
         total = np.zeros((dim + 1, dim))
         for b in batches:
@@ -78,6 +80,7 @@ def _axes(classes: DataFrame, dim: int) -> np.ndarray:
     total, n = np.zeros((dim + 1, dim)), classes.count()
     parts = classes.select("unit").mapInArrow(moments, "m binary").coalesce(8)
 
+    @released
     def add(batches):
         out = np.zeros((dim + 1, dim))
         for b in batches:
@@ -162,6 +165,7 @@ def _joined(classes: DataFrame, dim: int, cosine: float, axes_used: int, block:
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     axes = _axes(classes, dim)
 
+    @released
     def place(batches):
         for b in batches:
             if not b.num_rows:
@@ -175,6 +179,7 @@ def _joined(classes: DataFrame, dim: int, cosine: float, axes_used: int, block:
     n = classes.count()
     placed = placed.repartitionByRange(max(1, -(-n // (4 * block))), "cell", "rep").sortWithinPartitions("cell", "rep")
 
+    @released
     def blocks(batches):
         from pyspark import TaskContext
 
@@ -205,6 +210,7 @@ def _joined(classes: DataFrame, dim: int, cosine: float, axes_used: int, block:
     asked = asked.repartition(max(1, min(4096, len(pairs) // 4)))
     both = asked.join(side("1"), "block1").join(side("2"), "block2").select("block1", "block2", "reps1", "sizes1", "units1", "reps2", "sizes2", "units2")
 
+    @released
     def compare(batches):
         for b in batches:
             for k in range(b.num_rows):

@@ -23,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import released, table
 from .quality import held_out
 from .shingles import mix
 
 #: Documents of a language in the fit at most; segments of a document and their words.
 SAMPLE, SEGMENTS, SEGMENT = 800, 6, 12
+#: Parts of a language that are cut to SAMPLE on their own first.
+SALTS = 16
 #: Rows of the weight table, words of a chain at inference, and words of a chain in the fit.
 ROWS, CHAIN, FIT_CHAIN = 1 << 16, 64, 24
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Words whose features are made at once, and words whose scores are kept.
+SLICE, KEPT = 8192, 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 GRAMS = (2, 3, 4)
@@ -87,15 +91,15 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each word's labels; scores of words seen before are kept, up to a number."""
-        if len(self.known) > 200_000:
+        if len(self.known) > KEPT:
             self.known, self.scores = {}, self.scores[:0]
         new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if new:
-            rows, begin = word_features(new)
-            made = np.add.reduceat(self.weights[rows], begin, axis=0)
-            for k, w in enumerate(new, len(self.scores)):
-                self.known[w] = k
-            self.scores = np.concatenate([self.scores, made])
+        made = [self.scores]
+        for lo in range(0, len(new), SLICE):
+            rows, begin = word_features(new[lo : lo + SLICE])
+            made.append(np.add.reduceat(self.weights[rows], begin, axis=0))
+        self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
+        self.scores = np.concatenate(made)
         return self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def posteriors(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -206,10 +210,14 @@ def fit_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     """train: a condition on doc_id for the rows whose languages may be used."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where("doc_id is not null and lang is not null and text is not null").where(train)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("doc_id", "lang")
+    # first within salted parts of a language, so that no task gathers a frequent one; the order is the same in both steps
+    order = [F.col("by"), F.col("doc_id")]
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(6)).alias("by"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).alias("salt"))
+    first = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("nth") <= SAMPLE)
+    chosen = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= SAMPLE).select("doc_id", "lang")
     sampled = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")  # SAMPLE ids a language
 
+    @released
     def segments(batches):
         for b in batches:
             ids, langs, out = [], [], []
@@ -243,6 +251,7 @@ def _predicted(docs: DataFrame, model: Crf) -> DataFrame:
     """docs: a key and a text. The key, lang_pred, score."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # one table of ROWS x languages
 
+    @released
     def run(batches):
         crf = held.value
         for b in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_path
-from .common import materialize, table
+from .common import materialize, released, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -164,6 +164,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path = path or default_path()
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @released
     def run(batches):
         c = codec(path)
         for b in batches:
@@ -194,6 +195,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     heads = first.select("part", F.lit(0).alias("is_first"), "firsts", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns))
     dealt = grouped.unionByName(heads).repartition("part").sortWithinPartitions("part", "is_first", "length", "doc_id", "piece", "ids_crc32")
 
+    @released
     def number(batches):
         at: dict[int, int] = {}
         known = plan.value

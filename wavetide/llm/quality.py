@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import released, table
 
 #: Labelled rows in the fit at most.
 SAMPLE = 12_000
@@ -71,6 +71,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 def _with_statistics(rows: DataFrame, keep: list[str]) -> DataFrame:
     """rows (text last) with a column for each statistic instead of the text."""
 
+    @released
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 512):

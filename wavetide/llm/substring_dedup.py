@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shuffle_partitions, table
+from .common import materialize, released, shuffle_partitions, table
 from .shingles import mix
 
 LENGTH = 50
 #: Bytes under a trigger's hash, of the default length.
 SEED_BYTES = 24
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Windows of a phrase at most; a longer one (periodic text) is cut.
 LONGEST = 1024
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -89,7 +89,7 @@ def parse(texts: list[bytes], length: int = LENGTH, seed: int = SEED_BYTES) -> t
     if len(buf) < length:
         return none
     ends = np.cumsum(sizes)
-    power, inverse = (p[: len(buf) + 1] for p in _powers(1 << max(20, (len(buf) + 1).bit_length())))
+    power, inverse = (p[: len(buf) + 1] for p in _powers((len(buf) >> 19) + 1 << 19))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[buf] * power[:-1])])
     h = mix((sums[seed:] - sums[:-seed]) * inverse[: len(buf) - seed + 1])
     width, low, reach = length - seed + 1, h, 1
@@ -199,6 +199,7 @@ def _home(doc: np.ndarray, homes: int) -> np.ndarray:
 def _entries(rows: DataFrame, length: int, seed: int, buckets: int, homes: int) -> DataFrame:
     """Phrases by trigger (kind 1, places and keys packed), and removed ranges found within a chunk (kind 0)."""
 
+    @released
     def run(batches):
         for ids, texts in _chunks(batches, 0, 1):
             text, start, count, trigger, name = parse(texts, length, seed)
@@ -225,6 +226,7 @@ def _entries(rows: DataFrame, length: int, seed: int, buckets: int, homes: int)
 def _dictionary(entries: DataFrame, buckets: int, homes: int) -> DataFrame:
     """Removed ranges (kind 0) and, for phrases whose trigger has other phrases, owners' places (kind 1), by home."""
 
+    @released
     def run(batches):
         held, bucket = [], None
 
@@ -272,6 +274,7 @@ def _dictionary(entries: DataFrame, buckets: int, homes: int) -> DataFrame:
 def _with_homes(rows: DataFrame, packed: DataFrame, homes: int, raw: bool = True) -> DataFrame:
     """Texts (compressed) behind the packed places of their home: home, is_text, n, trigger, places, keys, doc_id, text."""
 
+    @released
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -345,6 +348,7 @@ def _homes(batches, keyed: bool):
 def _owned_bytes(texts: DataFrame, length: int) -> DataFrame:
     """Phrases' bytes by trigger: bucket, n, places (doc, place, windows), keys, bytes (compressed)."""
 
+    @released
     def run(batches):
         for places, ids, raws, _ in _homes(batches, keyed=True):
             found, starts, base, at = [], [], 0, []
@@ -373,6 +377,7 @@ def _owned_bytes(texts: DataFrame, length: int) -> DataFrame:
 def _window_repeats(owned: DataFrame, length: int, buckets: int, homes: int) -> DataFrame:
     """Removed ranges, by the suffix array of each trigger bucket's dictionary."""
 
+    @released
     def run(batches):
         held, bucket = [], None
 
@@ -418,6 +423,7 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
     shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), *(texts.schema[c] for c in others)])
     span = pa.list_(pa.list_(pa.int64()))
 
+    @released
     def run(batches):
         for places, ids, raws, rest in _homes(batches, keyed=False):
             spans_of, kept = [], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, released, table
 
 SCALE = 256
 CELLS = 256
@@ -34,6 +34,7 @@ BLOCK, QUERY_BLOCK = 8192, 1024
 def _integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """vec_id, dim, x (int64 components, packed) of the rows that take part."""
 
+    @released
     def run(batches):
         for b in batches:
             ids, dims, out = [], [], []
@@ -53,6 +54,7 @@ def _integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame
 def _packed(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
     """block, n and each column packed, for blocks of at most size rows of a task."""
 
+    @released
     def run(batches):
         from pyspark import TaskContext
 
@@ -82,6 +84,7 @@ def _packed(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
 def _grid(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Least component and cell width of each dimension, over all rows."""
 
+    @released
     def run(batches):
         low, high = None, None
         for b in batches:
@@ -101,6 +104,7 @@ def _search(queries: DataFrame, classes: DataFrame, dim: int, k: int) -> DataFra
     """query_id, class, score for the classes that may hold one of a query's k best."""
     low, width = _grid(classes, dim)
 
+    @released
     def approximate(batches):
         for b in batches:
             if b.num_rows:
@@ -114,6 +118,7 @@ def _search(queries: DataFrame, classes: DataFrame, dim: int, k: int) -> DataFra
     asked = materialize(_packed(queries, ["vec_id", "x"], QUERY_BLOCK).withColumnRenamed("block", "queries"))
     both = _pairs(asked, file).join(asked, "queries").join(file, "vectors").select("n", "vec_id", "x", "m", "class", "cells", "room")
 
+    @released
     def scan(batches):
         for b in batches:
             for r in range(b.num_rows):
@@ -148,6 +153,7 @@ def _search(queries: DataFrame, classes: DataFrame, dim: int, k: int) -> DataFra
     live = live.join(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
     live = live.join(classes.select("class", "x", "ids"), "class").select("query_id", "upper", "q", "x", "ids")
 
+    @released
     def exact(batches):
         query, best, kth = None, [], -np.inf
         for b in batches:
