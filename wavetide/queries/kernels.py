@@ -9,8 +9,8 @@ from wavetide.kernels import dsp
 from wavetide.operators import kernels as K
 from wavetide.plans import banks
 
-from .base import HOP, N, SR, query, r, table, wide
-from .spectral import magnitudes, mel_bank, power, spectrum
+from .base import COUNTED, HOP, LONG, N, SPECTRUM, SR, query, r, table, wide
+from .spectral import DB, magnitudes, mel_bank, power, spectrum
 
 TRANS = banks.transition_loop(3, 0.8)
 
@@ -52,8 +52,8 @@ def _rounded(df):
     return df.select(*out)
 
 
-def _add(name, source, op, **params):
-    query(name)(lambda spark, folder: _rounded(op(source(spark, folder), **params)))
+def _add(name, source, op, sql=None, **params):
+    query(name, sql)(lambda spark, folder: _rounded(op(source(spark, folder), **params)))
 
 
 def paired(spark, folder):
@@ -100,9 +100,9 @@ _add("hybrid_cqt", daily, K.hybrid_cqt, **CQT)
 _add("icqt", lambda s, d: complex_matrices(s, d, lambda a, b: K.cqt(daily(a, b), **CQT)), K.icqt, sr=SR, hop_length=8, fmin=4.0, bins_per_octave=6)
 _add("griffinlim_cqt", lambda s, d: K.to_matrix(K.cqt_magnitude(daily(s, d), **CQT)), K.griffinlim_cqt, n_iter=2, sr=SR, hop_length=8, fmin=4.0, bins_per_octave=6, init_phase="zeros")
 _add("resample", wide, K.resample, orig_sr=64, target_sr=48)
-_add("resample_linear", wide, K.resample, orig_sr=64, target_sr=48, res_type="linear")
+_add("resample_linear", wide, K.resample, f"WITH {COUNTED}, o AS (SELECT signal_id, size, unnest(range(CAST(ceil(size * 0.75) AS BIGINT))) AS i FROM c), p AS (SELECT signal_id, i, CAST(floor(i / 0.75) AS BIGINT) AS a, i / 0.75 - floor(i / 0.75) AS part, size FROM o), x AS (SELECT p.signal_id, p.i, a.v + part * (coalesce(b.v, a.v) - a.v) AS v FROM p JOIN l a ON a.signal_id = p.signal_id AND a.n = p.a LEFT JOIN l b ON b.signal_id = p.signal_id AND b.n = p.a + 1) SELECT signal_id, list(round(v, 5) + 0.0 ORDER BY i) AS y FROM x GROUP BY 1", orig_sr=64, target_sr=48, res_type="linear")
 _add("resample_fft", wide, K.resample, orig_sr=64, target_sr=48, res_type="fft")
-_add("autocorrelate_fft", wide, K.autocorrelate, max_size=8)
+_add("autocorrelate_fft", wide, K.autocorrelate, f"WITH {LONG}, a AS (SELECT a.signal_id, k, round(sum(a.v * b.v), 5) + 0.0 AS r FROM l a, range(8) q(k), l b WHERE b.signal_id = a.signal_id AND b.n = a.n + k GROUP BY 1, 2) SELECT signal_id, list(r ORDER BY k) AS y FROM a GROUP BY 1", max_size=8)
 _add("lpc", wide, K.lpc, order=4)
 _add("clicks_frames", lambda s, d: marks(s, d).withColumnRenamed("source", "frames"), K.clicks_frames, sr=64.0, hop_length=4, click_freq=10.0)
 _add("semitone_filterbank", lambda s, d: daily(s, d).limit(1), lambda df: df.sparkSession.createDataFrame([(k, int(i), *map(float, row)) for k, sos in enumerate(dsp.semitone_filterbank()[0]) for i, row in enumerate(sos)], "note int, section int, b0 double, b1 double, b2 double, a0 double, a1 double, a2 double"))
@@ -169,13 +169,13 @@ _add("rqa_backtrack", squares, K.rqa_backtrack)
 _add("dtw", paired, K.dtw)
 _add("dtw_backtrack", paired, K.dtw_backtrack)
 _add("dtw_backtracking", lambda s, d: wide(s, d).select("signal_id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.when(i == 0, 1.0).when(j == 0, 2.0).otherwise(0.0))).alias("steps")), K.dtw_backtracking)
-_add("match_events_kernel", marks, K.match_events)
+_add("match_events_kernel", marks, K.match_events, f"WITH {LONG}, e AS (SELECT signal_id, n FROM l WHERE n % 7 = 3), g AS (SELECT signal_id, n AS m FROM l WHERE n % 11 = 5), x AS (SELECT e.signal_id, e.n, arg_min(m, abs(m - e.n) * 1000 - m) AS nearest FROM e JOIN g ON g.signal_id = e.signal_id GROUP BY 1, 2) SELECT signal_id, CAST(n // 7 AS BIGINT) AS event_no, CAST(nearest // 11 AS BIGINT) AS frame FROM x")
 _add("match_intervals_kernel", lambda s, d: marks(s, d).select("signal_id", F.col("intervals").alias("source"), F.col("other").alias("target")), K.match_intervals, strict=False)
-_add("normalize_matrix", matrices, K.normalize)
-_add("sync", lambda s, d: matrices(s, d).withColumn("idx", F.array(F.lit(0.0), F.lit(4.0), F.lit(8.0))), K.sync, aggregate="median")
+_add("normalize_matrix", matrices, K.normalize, f"WITH {SPECTRUM}, x AS (SELECT signal_id, t, k, sqrt(p) / max(sqrt(p)) OVER (PARTITION BY signal_id, t) AS v FROM p) SELECT signal_id, t, list(round(v, 5) + 0.0 ORDER BY k) AS f FROM x GROUP BY 1, 2")
+_add("sync", lambda s, d: matrices(s, d).withColumn("idx", F.array(F.lit(0.0), F.lit(4.0), F.lit(8.0))), K.sync, f"WITH {SPECTRUM}, g AS (SELECT signal_id, CAST(least(2, t // 4) AS BIGINT) AS t, k, round(list_extract(list(sqrt(p) ORDER BY p), CAST(count(*) // 2 AS BIGINT) + 1), 5) + 0.0 AS v FROM p GROUP BY 1, 2, 3) SELECT signal_id, t, list(v ORDER BY k) AS f FROM g GROUP BY 1, 2", aggregate="median")
 _add("axis_sort_with_index", matrices, K.axis_sort_with_index)
 _add("spectral_contrast_kernel", matrices, K.spectral_contrast, freq=FREQ, fmin=4.0, n_bands=2)
-_add("onset_strength_kernel", mel_matrices, K.onset_strength)
+_add("onset_strength_kernel", mel_matrices, K.onset_strength, f"WITH {DB}, o AS (SELECT signal_id, t, m, d - lag(d) OVER (PARTITION BY signal_id, m ORDER BY t) AS rise FROM mtop) SELECT signal_id, t, round(avg(greatest(0, coalesce(rise, 0))), 5) + 0.0 AS v FROM o GROUP BY 1, 2")
 
 
 @query("buf_to_float")

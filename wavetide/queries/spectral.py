@@ -325,12 +325,12 @@ _matrix("transition_cycle", lambda: banks.transition_cycle(6, 0.8), "SELECT i AS
 _matrix("transition_local", lambda: banks.transition_local(6, 3))
 _matrix("mel", lambda: banks.mel(22050.0, 512, 20))
 _matrix("chroma", lambda: banks.chroma(22050.0, 512))
-_matrix("cq_to_chroma", lambda: banks.cq_to_chroma(84, 36))
+_matrix("cq_to_chroma", lambda: banks.cq_to_chroma(84, 36), "SELECT (k + 1) % 36 // 3 AS m, k, 1.0::DOUBLE AS w FROM range(84) q(k)")
 _matrix("diagonal_filter", lambda: banks.diagonal_filter("hann", 9, 1.5))
-query("window_sumsquare")(lambda spark, folder: banks.grid_table(spark, banks.window_sumsquare("hann", 10, 16, 64)).select("k", r("f").alias("f")))
+query("window_sumsquare", "SELECT CAST(t * 16 + i AS INTEGER) AS k, round(sum(pow(0.5 - 0.5 * cos(2 * pi() * i / 64), 2)), 6) + 0.0 AS f FROM range(10) a(t), range(64) b(i) GROUP BY 1")(lambda spark, folder: banks.grid_table(spark, banks.window_sumsquare("hann", 10, 16, 64)).select("k", r("f").alias("f")))
 query("window_bandwidth")(lambda spark, folder: spark.createDataFrame(sorted((n, banks.window_bandwidth(n)) for n in ("hann", "hamming", "bartlett", "boxcar")), "name string, bandwidth double"))
-query("pythagorean_intervals")(lambda spark, folder: banks.grid_table(spark, banks.pythagorean_intervals()).select("k", r("f").alias("f")))
+query("pythagorean_intervals", "WITH x AS (SELECT i * log2(3) - floor(i * log2(3)) AS p FROM range(12) q(i)) SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS k, round(pow(2, p), 6) + 0.0 AS f FROM x")(lambda spark, folder: banks.grid_table(spark, banks.pythagorean_intervals()).select("k", r("f").alias("f")))
 query("plimit_intervals")(lambda spark, folder: banks.grid_table(spark, banks.plimit_intervals([3, 5])).select("k", r("f").alias("f")))
-query("relative_bandwidth")(lambda spark, folder: banks.grid_table(spark, banks.relative_bandwidth(banks.cqt_frequencies(24, 55.0))).select("k", r("f").alias("f")))
-query("wavelet_lengths")(lambda spark, folder: banks.grid_table(spark, banks.wavelet_lengths(banks.cqt_frequencies(24, 55.0))[0]).select("k", r("f", 4).alias("f")))
+query("relative_bandwidth", "SELECT CAST(k AS INTEGER) AS k, round((pow(2, 2 / 12.0) - 1) / (pow(2, 2 / 12.0) + 1), 6) + 0.0 AS f FROM range(24) q(k)")(lambda spark, folder: banks.grid_table(spark, banks.relative_bandwidth(banks.cqt_frequencies(24, 55.0))).select("k", r("f").alias("f")))
+query("wavelet_lengths", "SELECT CAST(k AS INTEGER) AS k, round((pow(2, 2 / 12.0) + 1) / (pow(2, 2 / 12.0) - 1) * 22050 / (55 * pow(2, k / 12.0)), 4) + 0.0 AS f FROM range(24) q(k)")(lambda spark, folder: banks.grid_table(spark, banks.wavelet_lengths(banks.cqt_frequencies(24, 55.0))[0]).select("k", r("f", 4).alias("f")))
 query("wavelet")(lambda spark, folder: banks.bank_table(spark, np.abs(banks.wavelet(banks.cqt_frequencies(12, 440.0))[0])).select("m", "k", r("w").alias("w")))
