@@ -81,17 +81,26 @@ def norm_of(y: Column, norm: float) -> Column:
     return F.pow(F.aggregate(size, F.lit(0.0), lambda a, x: a + F.pow(x, F.lit(float(norm)))), F.lit(1.0 / norm))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside the lambdas of array functions a column is else computed for each
+    element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(y, norm: float | None = float("inf"), threshold: float | None = None, fill: bool | None = None) -> Column:
     y = F.col(y) if isinstance(y, str) else y
     if norm is None:
         return y
-    size = norm_of(y, norm)
-    small = size < (banks.TINY if threshold is None else threshold)
-    scaled = F.transform(y, lambda x: x / size)
-    if fill is None:
-        return F.when(small, y).otherwise(scaled)
-    even = F.lit(1.0) if abs(norm) == float("inf") else F.pow(F.size(y), F.lit(-1.0 / norm)) if norm else F.lit(0.0)
-    return F.when(small, F.transform(y, lambda _: even if fill else F.lit(0.0))).otherwise(scaled)
+    limit = banks.TINY if threshold is None else threshold
+
+    def scaled(p: Column) -> Column:
+        small, out = p["size"] < limit, F.transform(p["y"], lambda x: x / p["size"])
+        if fill is None:
+            return F.when(small, p["y"]).otherwise(out)
+        even = F.lit(1.0) if abs(norm) == float("inf") else F.pow(F.size(p["y"]), F.lit(-1.0 / norm)) if norm else F.lit(0.0)
+        return F.when(small, F.transform(p["y"], lambda _: even if fill else F.lit(0.0))).otherwise(out)
+
+    return let(y, lambda v: let(F.struct(v.alias("y"), norm_of(v, norm).alias("size")), scaled))
 
 
 def valid_audio(y) -> Column:
@@ -301,13 +310,16 @@ def spectral_centroid(frames: DataFrame, freq: list[float]) -> DataFrame:
 
 
 def spectral_bandwidth(frames: DataFrame, freq: list[float], p: float = 2.0, norm: bool = True) -> DataFrame:
+    grid = F.array(*map(F.lit, map(float, freq)))
     total = _total("f")
     centre = F.when(total <= banks.TINY, 0.0).otherwise(_weighted("f", freq) / total)
-    x = frames.select(KEY, "t", "f", total.alias("total"), centre.alias("centre"))
-    away = F.transform(F.array(*map(F.lit, map(float, freq))), lambda f: F.pow(F.abs(f - F.col("centre")), F.lit(float(p))))
-    spread = F.aggregate(F.zip_with("f", away, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    spread = F.when(F.col("total") <= banks.TINY, spread).otherwise(spread / F.col("total")) if norm else spread
-    return x.select(KEY, "t", F.pow(spread, F.lit(1.0 / p)).alias("bandwidth"))
+
+    def spread(q: Column) -> Column:
+        away = F.zip_with("f", grid, lambda a, f: a * F.pow(F.abs(f - q["centre"]), F.lit(float(p))))
+        s = _total(away)
+        return F.when(q["total"] <= banks.TINY, s).otherwise(s / q["total"]) if norm else s
+
+    return frames.select(KEY, "t", F.pow(let(F.struct(total.alias("total"), centre.alias("centre")), spread), F.lit(1.0 / p)).alias("bandwidth"))
 
 
 def spectral_rolloff(frames: DataFrame, freq: list[float], roll_percent: float = 0.85) -> DataFrame:
@@ -316,9 +328,11 @@ def spectral_rolloff(frames: DataFrame, freq: list[float], roll_percent: float =
         raise ValueError("roll_percent lies between 0 and 1")
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
     pairs = F.zip_with("f", F.array(*map(F.lit, map(float, freq))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    x = frames.select(KEY, "t", pairs.alias("pairs"), (_total("f") * roll_percent).alias("goal"))
-    fold = F.aggregate("pairs", start, lambda acc, q: F.struct((acc["sum"] + q["a"]).alias("sum"), F.coalesce(acc["at"], F.when(acc["sum"] + q["a"] >= F.col("goal"), q["b"])).alias("at")))
-    return x.select(KEY, "t", fold["at"].alias("rolloff"))
+
+    def fold(goal: Column) -> Column:
+        return F.aggregate(pairs, start, lambda acc, q: F.struct((acc["sum"] + q["a"]).alias("sum"), F.coalesce(acc["at"], F.when(acc["sum"] + q["a"] >= goal, q["b"])).alias("at")))["at"]
+
+    return frames.select(KEY, "t", let(_total("f") * roll_percent, fold).alias("rolloff"))
 
 
 def spectral_flatness(frames: DataFrame, amin: float = 1e-10, power: float = 2.0) -> DataFrame:
@@ -329,14 +343,17 @@ def spectral_flatness(frames: DataFrame, amin: float = 1e-10, power: float = 2.0
 
 def project(frames: DataFrame, bank) -> DataFrame:
     """Frames times a filter bank (rows of weights), each row's non-zero weights only."""
-    rows = []
-    for row in bank:
-        used = [(k, float(w)) for k, w in enumerate(row) if w]
-        total = F.lit(0.0)
-        for k, w in used:
-            total = total + F.col("f")[k] * w
-        rows.append(total)
-    return frames.select(KEY, "t", F.array(*rows).alias("f"))
+
+    def rows(f: Column) -> Column:
+        out = []
+        for row in bank:
+            total = F.lit(0.0)
+            for k in (k for k, w in enumerate(row) if w):
+                total = total + f[k] * float(row[k])
+            out.append(total)
+        return F.array(*out)
+
+    return frames.select(KEY, "t", let(F.col("f"), rows).alias("f"))
 
 
 def to_db(frames: DataFrame, ref: float = 1.0, amin: float = 1e-10, top_db: float | None = 80.0) -> DataFrame:
