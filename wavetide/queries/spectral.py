@@ -237,7 +237,7 @@ _DIST = "sqrt(list_sum([pow(x[1] - x[2], 2) FOR x IN list_zip(a.v, b.v)]))"
 
 
 def _vectors(spark, folder):
-    return table(spark, folder, "embeddings").where("label < 3").select(F.col("label").alias("signal_id"), F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))
+    return table(spark, folder, "embeddings").select(F.col("label").alias("signal_id"), F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def _sides(spark, folder):
