@@ -194,7 +194,7 @@ def load(spark, folder):
     from wavetide.sources.wav import scratch as scratch_folder
 
     path = scratch_folder(spark)
-    write_wav(wide(spark, folder).where("signal_id < 8").select("signal_id", F.transform("y", lambda v: v / 128.0).alias("y")), path, sr=64)
+    write_wav(wide(spark, folder).select("signal_id", F.transform("y", lambda v: v / 128.0).alias("y")), path, sr=64)
     return _rounded(read_wav(spark, path).select("name", "sr", "channels", "y"))
 
 
@@ -204,7 +204,7 @@ def get_audio_info(spark, folder):
     from wavetide.sources.wav import scratch as scratch_folder
 
     path = scratch_folder(spark)
-    write_wav(wide(spark, folder).where("signal_id < 8").select("signal_id", F.transform("y", lambda v: v / 128.0).alias("y")), path, sr=64)
+    write_wav(wide(spark, folder).select("signal_id", F.transform("y", lambda v: v / 128.0).alias("y")), path, sr=64)
     return read_wav(spark, path, samples=False).select("name", "sr", "channels", "n", "duration")
 
 

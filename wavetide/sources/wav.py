@@ -9,6 +9,7 @@ import wave
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,22 +72,48 @@ def read_wav(spark: SparkSession, path: str, samples: bool = True, **options) ->
     return out if samples else out.drop("y")
 
 
+def _known(uri: str) -> bool:
+    """Whether pyarrow knows the store that uri names."""
+    try:
+        FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def write_wav(wide: DataFrame, path: str, sr: int, key: str = "signal_id") -> None:
-    """One 16-bit file for each row, named by the key. Written through Spark's own files: tasks give each file's bytes
-    to the file system that path names."""
+    """One 16-bit file for each row, named by the key. Tasks write the files themselves; only for stores that pyarrow
+    doesn't know do the bytes pass through the driver, one file at a time, to Spark's own file system."""
     spark = wide.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    uri = folder.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri()
+    # Hadoop writes file:/x, pyarrow wants file:///x
+    uri = f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getRawPath()}"
 
     def pack(batches):
         for b in batches:
             raws = [encode(np.array(y or [], float), sr) for y in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(raws, pa.binary())], ["name", "raw"])
 
-    rows = wide.select(F.col(key).cast("string").alias(key), "y").mapInArrow(pack, "name string, raw binary")
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    fs.mkdirs(folder)
-    for r in rows.toLocalIterator(prefetchPartitions=False):  # one file at a time through the driver
+    def write(batches):
+        store, base = FileSystem.from_uri(uri)
+        for b in batches:
+            names = b.column(0).to_pylist()
+            for name, y in zip(names, b.column(1).to_pylist()):
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"  # a task that fails or runs twice leaves no half file
+                with store.open_output_stream(part) as out:
+                    out.write(encode(np.array(y or [], float), sr))
+                store.move(part, f"{base}/{name}.wav")
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["files"])
+
+    rows = wide.select(F.col(key).cast("string").alias(key), "y")
+    if _known(uri):
+        rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+        return
+    for r in rows.mapInArrow(pack, "name string, raw binary").toLocalIterator(prefetchPartitions=False):
         out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{r['name']}.wav"), True)
         out.write(r["raw"])
         out.close()
