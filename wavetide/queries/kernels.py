@@ -57,8 +57,8 @@ def _add(name, source, op, sql=None, **params):
 
 
 def paired(spark, folder):
-    """Two matrices of each signal: its frames, and the frames half as long ago."""
-    return matrices(spark, folder).select("signal_id", F.slice("S", 1, 6).alias("S"), F.slice("S", 4, 6).alias("R"))
+    """Two matrices of each signal: all its frames, and all of them again from the fourth one on, the first three last."""
+    return matrices(spark, folder).select("signal_id", "S", F.concat(F.slice("S", F.lit(4), F.size("S")), F.slice("S", 1, 3)).alias("R"))
 
 
 def states(spark, folder):
