@@ -215,8 +215,12 @@ def fill_off_diagonal(spark, folder):
 
 @query("stack", f"WITH {LONG} SELECT n, list(v ORDER BY signal_id) AS v FROM l WHERE n < 40 GROUP BY n")
 def stack(spark, folder):
-    """Signals as columns of one matrix, row by row."""
-    x = long(spark, folder).where("n < 40").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("signal_id", "v"))).alias("x"))
+    """Signals as columns of one matrix, row by row; a signal that has ended is null."""
+    signals = wide(spark, folder)
+    last = signals.agg((F.max(F.size("y")) - 1).alias("last"))
+    y = F.transform(F.sequence(F.lit(0), "last"), lambda n: F.get("y", n))
+    x = signals.crossJoin(F.broadcast(last)).select("signal_id", F.posexplode(y).alias("n", "v"))
+    x = x.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("signal_id", "v"))).alias("x"))
     return x.select("n", F.transform("x", lambda p: p["v"]).alias("v"))
 
 
