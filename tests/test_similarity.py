@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from wavetide import registry
+from wavetide.kernels import sequence
 
 DIM, K = 64, 4
 
@@ -74,3 +75,16 @@ def test_means_of_neighbours_of_every_label(spark, folder, labels):
     got = {(r["signal_id"], r["i"]): (r["first"], r["last"]) for r in rows(spark, folder, "nn_filter")}
     want = {(g, int(ids[i])): v[near].mean(axis=0)[[0, -1]] for g, (ids, v) in labels.items() for i, near in enumerate(neighbours(v)[1])}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1.1e-5) for k in want)
+
+
+def test_lags_equal_the_kernel_and_lead_back(spark, folder, labels):
+    want = set()
+    for g, (ids, v) in labels.items():
+        rec = np.zeros((len(v), len(v)))
+        for i, near in enumerate(neighbours(v)[1]):
+            rec[near, i] = 1.0
+        want |= {(g, int(ids[i]), int(lag)) for lag, i in zip(*np.nonzero(sequence.recurrence_to_lag(rec)))}
+    got = [(r["signal_id"], r["i"], r["lag"]) for r in rows(spark, folder, "recurrence_to_lag")]
+    assert set(got) == want and len(got) == len(want)
+    back = [(r["signal_id"], r["i"], r["j"]) for r in rows(spark, folder, "lag_to_recurrence")]
+    assert set(back) == set(edges(labels)) and len(back) == len(got)

@@ -271,16 +271,32 @@ def recurrence_affinity(spark, folder):
     return e.join(far, "signal_id").select("signal_id", "i", "j", r(F.exp(-F.col("d") / F.col("bw")), 5).alias("w"))
 
 
+def _numbered(spark, folder):
+    """(signal_id, i, frame, size): each label's vectors numbered from 0, and how many there are."""
+    own = Window.partitionBy("signal_id")
+    frame = (F.row_number().over(own.orderBy("i")) - 1).cast("long")
+    return _vectors(spark, folder).select("signal_id", "i", frame.alias("frame"), F.count(F.lit(1)).over(own).alias("size"))
+
+
+def _lags(spark, folder):
+    """(signal_id, i, frame, size, lag) of each link to a neighbour."""
+    at = _numbered(spark, folder)
+    to = at.select("signal_id", F.col("i").alias("j"), F.col("frame").alias("other"))
+    e = S.knn(*_sides(spark, folder), 4, width=1).join(at, ["signal_id", "i"]).join(to, ["signal_id", "j"])
+    return e.select("signal_id", "i", "frame", "size", F.pmod(F.col("other") - F.col("frame"), 2 * F.col("size")).alias("lag"))
+
+
 @query("recurrence_to_lag", _RANKED.format(_DIST) + " SELECT signal_id, i, ((j - i) % 5000 + 5000) % 5000 AS lag FROM x WHERE rank <= 4")
 def recurrence_to_lag(spark, folder):
-    e = S.knn(*_sides(spark, folder), 4, width=1)
-    return e.select("signal_id", "i", F.pmod(F.col("j") - F.col("i"), F.lit(5000)).alias("lag"))
+    """Lags in frames of the label, of a plot padded to twice its frames."""
+    return _lags(spark, folder).select("signal_id", "i", "lag")
 
 
 @query("lag_to_recurrence", _RANKED.format(_DIST) + " SELECT signal_id, i, j FROM x WHERE rank <= 4")
 def lag_to_recurrence(spark, folder):
-    lag = recurrence_to_lag(spark, folder)
-    return lag.select("signal_id", "i", F.pmod(F.col("i") + F.col("lag"), F.lit(5000)).alias("j"))
+    j = F.pmod(F.col("frame") + F.col("lag"), 2 * F.col("size")).alias("frame")
+    back = _numbered(spark, folder).select("signal_id", "frame", F.col("i").alias("j"))
+    return _lags(spark, folder).select("signal_id", "i", j).join(back, ["signal_id", "frame"]).select("signal_id", "i", "j")
 
 
 @query("nn_filter", _RANKED.format(_DIST) + ", e AS (SELECT * FROM x WHERE rank <= 4) SELECT e.signal_id, e.i, round(avg(b.v[1]), 5) + 0.0 AS first, round(avg(b.v[64]), 5) + 0.0 AS last FROM e JOIN v b ON b.signal_id = e.signal_id AND b.i = e.j GROUP BY 1, 2")
