@@ -366,6 +366,12 @@ def to_db(frames: DataFrame, ref: float = 1.0, amin: float = 1e-10, top_db: floa
     return x.withColumn("ceiling", ceiling).select(KEY, "t", F.transform("f", lambda v: F.greatest(v, F.col("ceiling") - float(top_db))).alias("f"))
 
 
+def perceptual_weighting(frames: DataFrame, freq: list[float], kind: str = "A", ref: float = 1.0, amin: float = 1e-10, top_db: float | None = 80.0) -> DataFrame:
+    """Levels of power frames, as by to_db, plus the weighting curve's value at each bin's frequency in Hz."""
+    weights = F.array(*(convert.frequency_weighting(F.lit(float(f)), kind) for f in freq))
+    return to_db(frames, ref, amin, top_db).select(KEY, "t", F.zip_with("f", weights, lambda a, b: a + b).alias("f"))
+
+
 def onset_strength(frames_db: DataFrame, lag: int = 1, shift: int = 0) -> DataFrame:
     """Mean rise of level since lag frames before; zero where there is no frame yet."""
     w = Window.partitionBy(KEY).orderBy("t")

@@ -84,9 +84,8 @@ def amplitude_to_db(spark, folder):
 
 @query("perceptual_weighting", f"WITH {SPECTRUM}, {values('wt', 'k, w', [(k, 0.5 * k) for k in range(N // 2 + 1)])} SELECT signal_id, t, k, round(10 * log10(greatest(1e-10, p)) + w, 4) + 0.0 AS v FROM p JOIN wt USING (k)")
 def perceptual_weighting(spark, folder):
-    """Levels plus a weight for each frequency, here half a decibel a bin."""
-    weights = F.array(*(F.lit(0.5 * k) for k in range(N // 2 + 1)))
-    return _long(S.to_db(power(spark, folder), top_db=None).select("signal_id", "t", F.zip_with("f", weights, lambda a, b: a + b).alias("f")))
+    """Levels plus the A curve."""
+    return _long(S.perceptual_weighting(power(spark, folder), FREQ))
 
 
 @query("melspectrogram", f"WITH {MEL} SELECT signal_id, t, m AS k, round(v, 4) + 0.0 AS v FROM mel")
