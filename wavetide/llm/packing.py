@@ -5,8 +5,8 @@ first piece. Packing depends on piece lengths only, of which there are at most `
 (counts over all rows, at most ``capacity`` numbers) goes to the driver, where bins of equal content form a class with
 a multiplicity. Best-fit decreasing makes the first classes. A local search then works on the underfull ones: it moves
 a piece, exchanges one for one, or two for one, whenever that increases the summed squared fill, for as many copies as
-both classes have, until the emptiest bins are empty and no exchange helps. The number of classes follows the number
-of lengths, not the number of rows, so one global packing serves any number of documents.
+both classes have, until no sequence can be spared or a sweep over all pairs of classes finds no exchange. The number of
+classes follows the number of lengths, not the number of rows, so one global packing serves any number of documents.
 
 Back on the executors, the rows of a length are numbered over all partitions (counts per partition and length, then
 running sums), and the number says which bin and offset a row gets. A length with a third of all rows is dealt like
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,6 @@ from .common import materialize, released, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Passes of the local search over the underfull classes.
-PASSES = 40
-#: Pairs of classes that a pass looks at, emptiest bins first.
-PAIRS = 200_000
 
 
 # packing a histogram
@@ -75,7 +72,7 @@ def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     room = capacity - fill_b
     best, gain = None, 0
     ones = sorted(set(a), reverse=True)
-    pairs = sorted({(a[i], a[j]) for i in range(len(a)) for j in range(i + 1, len(a))}, key=sum, reverse=True)[:400]
+    pairs = sorted([*combinations(ones, 2), *((x, x) for x, n in Counter(a).items() if n > 1)], key=sum, reverse=True)
     gives = [((x,), x) for x in ones] + [(p, p[0] + p[1]) for p in pairs]
     takes = [((), 0)] + [((y,), y) for y in sorted(set(b))]
     for give, g in gives:
@@ -97,37 +94,36 @@ def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     return tuple(sorted(new_a.elements(), reverse=True)), tuple(sorted(new_b.elements(), reverse=True))
 
 
-def local_search(classes: Counter, capacity: int, passes: int = PASSES, pairs: int = PAIRS) -> Counter:
-    """Exchange pieces between underfull bins until the search finds nothing or its passes end."""
+def local_search(classes: Counter, capacity: int) -> Counter:
+    """Exchange pieces between underfull bins until no bin can be spared or a sweep over all their pairs finds nothing.
+
+    Each exchange increases the summed squared fill, so the search ends."""
     classes = Counter(classes)
     total = sum(sum(b) * n for b, n in classes.items())
-    for _ in range(passes):
-        if sum(classes.values()) <= -(-total // capacity):
-            break
+    barren: set = set()  # pairs without an exchange, which depends on their pieces only
+    while sum(classes.values()) > -(-total // capacity):
         under = sorted((b for b in classes if sum(b) < capacity), key=sum)
-        looked, changed = 0, False
+        changed = False
         for i, a in enumerate(under):
             for b in reversed(under[i:]):
-                if looked >= pairs:
-                    break
                 n = min(classes[a], classes[b]) if a != b else classes[a] // 2
-                if not n:
+                if not n or (a, b) in barren:
                     continue
-                looked += 1
-                if found := _exchange(a, b, capacity):
-                    for old in (a, b):
-                        classes[old] -= n
-                    for new in found:
-                        if new:
-                            classes[new] += n
-                    changed = True
-                    if not classes[a]:
-                        break
-            if looked >= pairs:
-                break
+                if not (found := _exchange(a, b, capacity)):
+                    barren.add((a, b))
+                    continue
+                for old in (a, b):
+                    classes[old] -= n
+                for new in found:
+                    if new:
+                        classes[new] += n
+                changed = True
+                if not classes[a]:
+                    break
         classes = +classes
         if not changed:
             break
+        barren = {pair for pair in barren if pair[0] in classes and pair[1] in classes}
     return classes
 
 
