@@ -17,6 +17,9 @@ from wavetide.llm.packing import best_fit_pack
 from wavetide.llm.quality import fit_quality, keep_quality
 from wavetide.llm.substring_dedup import remove_repeats
 
+#: Column that numbers the rows while near copies are looked for.
+ROW = "near_copies_row"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on the labels of docs, gives a score of at least 0.5."""
@@ -31,15 +34,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    Rows are linked and dropped by a number of their own: of copies with one id a single row stays, and a null id is
+    larger than any other."""
     small_batches(spark)
-    groups = jaccard_components(docs, k=5, num=80, den=100)
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, docs["doc_id"].cast("long") == copies["doc_id"], "left_anti")
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    groups = materialize(jaccard_components(rows.select(ROW, "text"), id_col=ROW, k=5, num=80, den=100).where("component_id <> doc_id"))
+    members = groups.select("component_id", F.col("doc_id").alias(ROW))
+    members = members.unionByName(groups.select("component_id", F.col("component_id").alias(ROW)).distinct())
+    ids = rows.select(ROW, F.col("doc_id").cast("long").alias("id"))
+    first = members.join(ids, ROW).groupBy("component_id").agg(F.min(F.struct(F.isnull("id"), "id", ROW)).alias("first"))
+    copies = members.select(ROW).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti")
+    return rows.join(copies, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 50-byte strings that a smaller id has, too; characters cut in half go as well."""
+    """Documents without the bytes of 50-byte strings that a smaller id has, too; characters cut in half go as well.
+
+    Rows of one id don't remove each other's bytes, and rows without an id keep theirs."""
     small_batches(spark)
 
     @released
