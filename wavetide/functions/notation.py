@@ -167,16 +167,16 @@ def _ratio(interval: float) -> dict[int, int] | None:
     """Prime powers of an interval within an octave, of the table that FJS names are made for.
 
     The table holds just intervals of small height: Pythagorean ones up to 76 fifths, and products of few primes up to
-    23. It is searched by rule: candidates p/q of primes above 3 times a power of 3, equal to six decimals.
+    23. It is searched by rule: candidates p/q of primes above 3 times a power of 3, within a millionth.
     """
-    target = math.log2(interval) % 1.0
+    target = 2.0 ** (math.log2(interval) % 1.0)
     best = None
     for primes in _OTHERS:
         rest = sum(e * math.log2(p) for p, e in primes.items())
         reach = 80 if not primes else 12
         for k in sorted(range(-reach, reach + 1), key=abs):
             folded = 2.0 ** ((k * math.log2(3.0) + rest) % 1.0)
-            if abs(round(folded, 6) - round(2.0**target, 6)) < 5e-7:
+            if abs(folded - target) <= 1e-6:
                 cost = abs(k) * math.log2(3.0) + sum(abs(e) * math.log2(p) for p, e in primes.items())
                 if best is None or cost < best[0]:
                     best = (cost, {**primes})
@@ -188,7 +188,7 @@ def _others() -> list[dict[int, int]]:
     out: list[dict[int, int]] = [{}]
     for p, e in ((5, 3), (7, 2), (11, 1), (13, 1), (17, 1), (19, 1), (23, 1)):
         out += [{**o, p: k} for o in list(out) for k in range(-e, e + 1) if k and sum(map(abs, o.values())) + abs(k) <= 3]
-    return out
+    return [*out, {5: 4}, {5: -4}]
 
 
 _OTHERS = _others()

@@ -100,15 +100,22 @@ def griffinlim(s: np.ndarray, n_iter: int = 32, hop_length: int | None = None, w
         raise ValueError("momentum must not be negative")
     n_fft = n_fft or 2 * (s.shape[1] - 1)
     turn = np.random.default_rng(random_state).random(s.shape) if init_phase == "random" else np.zeros(s.shape)
-    angles, before = np.exp(2j * np.pi * turn), np.zeros(s.shape, complex)
+    now = before = s * np.exp(2j * np.pi * turn)
     args = dict(hop_length=hop_length, win_length=win_length, window=window, center=center)
-    for _ in range(n_iter):
-        again = stft(istft(s * angles, n_fft=n_fft, length=length, **args), n_fft=n_fft, pad_mode=pad_mode, **args)
+
+    def unit(z: np.ndarray, other) -> np.ndarray:
+        size = np.abs(z)
+        return np.where(size > TINY, z / np.where(size > TINY, size, 1.0), other)
+
+    for k in range(n_iter):
+        again = stft(istft(now, n_fft=n_fft, length=length, **args), n_fft=n_fft, pad_mode=pad_mode, **args)
         again = again[: len(s)] if len(again) >= len(s) else np.pad(again, ((0, len(s) - len(again)), (0, 0)))
-        angles = again - momentum / (1 + momentum) * before
-        angles = angles / (np.abs(angles) + TINY)
-        before = again
-    return istft(s * angles, n_fft=n_fft, length=length, **args)
+        turn = unit(again, 1.0)
+        if momentum > 0 and k:
+            turn = turn - momentum * unit(before, 1.0)
+            turn = unit(turn, turn)
+        before, now = now, s * turn
+    return istft(now, n_fft=n_fft, length=length, **args)
 
 
 def pcen(s: np.ndarray, sr: float = SR, hop_length: int = 512, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, time_constant: float = 0.4, eps: float = 1e-6) -> np.ndarray:

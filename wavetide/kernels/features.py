@@ -46,15 +46,13 @@ def normalize(s: np.ndarray, norm: float | None = np.inf, axis: int = -1, thresh
 
 
 def sparsify_complex(x: np.ndarray, quantile: float = 0.01) -> np.ndarray:
-    """Drop each row's smallest entries that hold at most the given share of its magnitude."""
-    out = x.copy()
-    for row in out:
-        size = np.abs(row)
-        order = np.argsort(size)
-        total = size.sum()
-        if total > 0:
-            row[order[np.cumsum(size[order]) / total < quantile]] = 0
-    return out
+    """Drop each row's entries below the one at which the smallest ones together reach the given share of its magnitude."""
+    size = np.abs(x)
+    ascending = np.sort(size, axis=1)
+    total = ascending.sum(axis=1, keepdims=True)
+    reached = np.cumsum(ascending, axis=1) >= quantile * total
+    least = np.take_along_axis(ascending, np.argmax(reached, axis=1)[:, None], axis=1)
+    return np.where((size >= least) & (total > 0), x, 0.0)
 
 
 def sparsify_rows(x: np.ndarray, quantile: float = 0.01) -> np.ndarray:
@@ -66,27 +64,44 @@ def sparsify_rows(x: np.ndarray, quantile: float = 0.01) -> np.ndarray:
     return np.where(x < at, 0.0, x)
 
 
+def _relative(freqs: np.ndarray, bins_per_octave: int) -> np.ndarray:
+    """Relative bandwidths; a single filter has that of equal steps."""
+    step = 2 ** (2 / bins_per_octave)
+    return banks.relative_bandwidth(freqs) if len(freqs) > 1 else np.array([(step - 1) / (step + 1)])
+
+
+def _filters(freqs, sr, window, filter_scale, norm, sparsity, gamma, alpha, hop_length: int | None = None) -> tuple[np.ndarray, int, np.ndarray]:
+    """Half spectra of the wavelets, the size of their transform (at least twice the hop, where one is given) and the
+    wavelets' lengths; a wavelet weighs its length over that size."""
+    basis, lengths = banks.wavelet(freqs, sr, window, filter_scale, True, norm, gamma, alpha)
+    n_fft = basis.shape[1] if hop_length is None else max(basis.shape[1], 2 ** (1 + math.ceil(math.log2(hop_length))))
+    spectrum = np.fft.fft(basis * (lengths / n_fft)[:, None], n_fft, axis=1)[:, : n_fft // 2 + 1]
+    return (sparsify_complex(spectrum, sparsity) if sparsity > 0 else spectrum), n_fft, lengths
+
+
 def vqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, gamma: float | None = None, bins_per_octave: int = 12, tuning: float = 0.0, filter_scale: float = 1.0, norm: float | None = 1.0, sparsity: float = 0.01, window: str = "hann", scale: bool = True) -> np.ndarray:
-    """(frames, n_bins) complex; octaves from the top, halving the rate where the hop allows."""
+    """(frames, n_bins) complex; octaves from the top, halving the rate where the hop allows, and before the first one
+    where no filter needs the high frequencies."""
     y = np.asarray(y, float)
     fmin = (C1 if fmin is None else fmin) * 2.0 ** (tuning / bins_per_octave)
     freqs = banks.cqt_frequencies(n_bins, fmin, bins_per_octave)
-    alpha = banks.relative_bandwidth(freqs) if n_bins > 1 else np.array([(2 ** (2 / bins_per_octave) - 1) / (2 ** (2 / bins_per_octave) + 1)])
+    alpha = _relative(freqs, bins_per_octave)
     lengths, cutoff = banks.wavelet_lengths(freqs, sr, window, filter_scale, gamma, alpha)
     if cutoff > sr / 2:
         raise ValueError("the highest filter passes the Nyquist frequency")
     octaves, per = math.ceil(n_bins / bins_per_octave), min(bins_per_octave, n_bins)
+    twos = (hop_length & -hop_length).bit_length() - 1
+    early = min(max(0, math.ceil(math.log2(sr / 2 / cutoff)) - 2), max(0, twos - octaves + 1))
+    if early:
+        if len(y) < 1 << early:
+            raise ValueError("the signal is too short for so many octaves")
+        y = dsp.resample(y, 1 << early, 1, "kaiser_hq", scale=True) * (1.0 if scale else math.sqrt(1 << early))
+        sr, hop_length = sr / (1 << early), hop_length >> early
+        lengths, _ = banks.wavelet_lengths(freqs, sr, window, filter_scale, gamma, alpha)
     out, now, rate, hop = [], y, sr, hop_length
     for i in range(octaves):
         part = slice(n_bins - per * (i + 1) if n_bins - per * (i + 1) > 0 else 0, n_bins - per * i)
-        basis, _ = banks.wavelet(freqs[part], rate, window, filter_scale, True, norm, gamma, alpha[part])
-        size = lengths[part] * rate / sr
-        n_fft = basis.shape[1]
-        if hop_length and n_fft < 2.0 ** (1 + math.ceil(math.log2(max(2, hop)))):
-            n_fft = int(2.0 ** (1 + math.ceil(math.log2(max(2, hop)))))
-        spectrum = np.fft.fft(np.array([b * n / basis.shape[1] for b, n in zip(basis, size)]), n_fft, axis=1)[:, : n_fft // 2 + 1]
-        if sparsity:
-            spectrum = sparsify_complex(spectrum, sparsity)
+        spectrum, n_fft, _ = _filters(freqs[part], rate, window, filter_scale, norm, sparsity, gamma, alpha[part])
         d = dsp.stft(now, n_fft, hop, window="rectangular")
         out.append((part, d @ spectrum.T * math.sqrt(sr / rate)))
         if hop % 2 == 0 and i + 1 < octaves:
@@ -105,17 +120,15 @@ def cqt(y, **params) -> np.ndarray:
 def pseudo_cqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, bins_per_octave: int = 12, tuning: float = 0.0, filter_scale: float = 1.0, norm: float | None = 1.0, sparsity: float = 0.01, window: str = "hann", scale: bool = True) -> np.ndarray:
     fmin = (C1 if fmin is None else fmin) * 2.0 ** (tuning / bins_per_octave)
     freqs = banks.cqt_frequencies(n_bins, fmin, bins_per_octave)
-    basis, lengths = banks.wavelet(freqs, sr, window, filter_scale, True, norm)
-    n_fft = max(basis.shape[1], int(2 ** (1 + math.ceil(math.log2(max(2, hop_length))))))
-    spectrum = np.abs(np.fft.fft(basis * (lengths / basis.shape[1])[:, None], n_fft, axis=1)[:, : n_fft // 2 + 1])
-    c = np.abs(dsp.stft(y, n_fft, hop_length)) @ (sparsify_complex(spectrum, sparsity) if sparsity else spectrum).T
+    spectrum, n_fft, lengths = _filters(freqs, sr, window, filter_scale, norm, sparsity, 0.0, _relative(freqs, bins_per_octave), hop_length)
+    c = np.abs(dsp.stft(y, n_fft, hop_length)) @ np.abs(spectrum).T
     return c / math.sqrt(n_fft) if scale else c * np.sqrt(lengths / n_fft)
 
 
 def hybrid_cqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, bins_per_octave: int = 12, **params) -> np.ndarray:
     fmin = C1 if fmin is None else fmin
     freqs = banks.cqt_frequencies(n_bins, fmin, bins_per_octave)
-    lengths, _ = banks.wavelet_lengths(freqs, sr)
+    lengths, _ = banks.wavelet_lengths(freqs, sr, alpha=_relative(freqs, bins_per_octave))
     pseudo = 2.0 ** np.ceil(np.log2(lengths)) < 2 * hop_length
     full = int((~pseudo).sum())
     parts = []
@@ -127,30 +140,32 @@ def hybrid_cqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = No
     return np.concatenate([p[:n] for p in parts], axis=1)
 
 
-def icqt(c: np.ndarray, sr: float = SR, hop_length: int = 512, fmin: float | None = None, bins_per_octave: int = 12, tuning: float = 0.0, filter_scale: float = 1.0, norm: float | None = 1.0, window: str = "hann", scale: bool = True, length: int | None = None) -> np.ndarray:
+def icqt(c: np.ndarray, sr: float = SR, hop_length: int = 512, fmin: float | None = None, bins_per_octave: int = 12, tuning: float = 0.0, filter_scale: float = 1.0, norm: float | None = 1.0, sparsity: float = 0.01, window: str = "hann", scale: bool = True, length: int | None = None) -> np.ndarray:
     """Each octave's bins through the conjugate basis, overlap-added and brought back to the signal's rate."""
     n_bins = c.shape[1]
     freqs = banks.cqt_frequencies(n_bins, (C1 if fmin is None else fmin) * 2.0 ** (tuning / bins_per_octave), bins_per_octave)
-    alpha = banks.relative_bandwidth(freqs)
+    alpha = _relative(freqs, bins_per_octave)
     lengths, _ = banks.wavelet_lengths(freqs, sr, window, filter_scale, 0.0, alpha)
-    octaves, per = math.ceil(n_bins / bins_per_octave), min(bins_per_octave, n_bins)
-    total, rate, hop = np.zeros(0), sr, hop_length
-    for i in range(octaves):
-        part = slice(max(0, n_bins - per * (i + 1)), n_bins - per * i)
-        basis, _ = banks.wavelet(freqs[part], rate, window, filter_scale, True, norm, 0.0, alpha[part])
-        size = lengths[part] * rate / sr
-        n_fft = max(basis.shape[1], int(2.0 ** (1 + math.ceil(math.log2(max(2, hop))))))
-        spectrum = np.fft.fft(basis * (size / basis.shape[1])[:, None], n_fft, axis=1)[:, : n_fft // 2 + 1]
+    if length is not None:
+        c = c[: math.ceil((length + lengths.max()) / hop_length)]
+    octaves = math.ceil(n_bins / bins_per_octave)
+    rates = [(sr, hop_length)]  # from the top octave down
+    for _ in range(octaves - 1):
+        rate, hop = rates[-1]
+        rates.append((rate / 2, hop // 2) if hop % 2 == 0 else (rate, hop))
+    total = np.zeros(0)
+    for i in range(octaves):  # octaves are counted from the lowest bin
+        part = slice(bins_per_octave * i, min(n_bins, bins_per_octave * (i + 1)))
+        rate, hop = rates[octaves - 1 - i]
+        spectrum, n_fft, _ = _filters(freqs[part], rate, window, filter_scale, norm, sparsity, 0.0, alpha[part])
         power = (np.abs(spectrum) ** 2).sum(axis=1)
-        gain = n_fft / lengths[part] / np.maximum(power, TINY)
+        gain = np.where(power > 0, n_fft / lengths[part] / np.where(power > 0, power, 1.0), 0.0)
         x = c[:, part] * (np.sqrt(lengths[part]) if scale else 1.0)
         d = x * gain @ spectrum.conj()
         y = dsp.istft(d, hop, n_fft=n_fft, window="rectangular")
         y = dsp.resample(y, rate, sr, "kaiser_hq", scale=False) if rate != sr else y
         n = max(len(total), len(y))
         total = dsp.fix_length(total, n) + dsp.fix_length(y, n)
-        if hop % 2 == 0:
-            hop, rate = hop // 2, rate / 2
     return total if length is None else dsp.fix_length(total, length)
 
 
@@ -164,7 +179,8 @@ def griffinlim_cqt(c: np.ndarray, n_iter: int = 32, sr: float = SR, hop_length:
         again = cqt(icqt(c * angles, length=length, **args), n_bins=c.shape[1], **args)
         again = again[: len(c)] if len(again) >= len(c) else np.pad(again, ((0, len(c) - len(again)), (0, 0)))
         angles = again - momentum / (1 + momentum) * before
-        angles = angles / (np.abs(angles) + TINY)
+        size = np.abs(angles)
+        angles = np.where(size > TINY, angles / np.where(size > TINY, size, 1.0), 1.0)
         before = again
     return icqt(c * angles, length=length, **args)
 
@@ -188,11 +204,13 @@ def f0_harmonics(x: np.ndarray, f0: np.ndarray, freqs: np.ndarray, harmonics, fi
 def salience(s: np.ndarray, freqs: np.ndarray, harmonics, weights=None, filter_peaks: bool = True, fill_value: float = 0.0) -> np.ndarray:
     w = np.ones(len(harmonics)) if weights is None else np.asarray(weights, float)
     h = interp_harmonics(s, freqs, harmonics, fill_value).reshape(len(s), len(harmonics), -1)
-    out = np.tensordot(w / w.sum(), h, axes=(0, 1))
+    out = np.tensordot(w / (w.sum() if w.sum() > 0 else 1.0), h, axes=(0, 1))
     if filter_peaks:
-        peak = np.zeros(s.shape, bool)
-        peak[:, 1:-1] = (s[:, 1:-1] > s[:, :-2]) & (s[:, 1:-1] > s[:, 2:])
-        out = np.where(peak, out, fill_value)
+        peak = np.zeros(out.shape, bool)
+        peak[:, 1:-1] = (out[:, 1:-1] > out[:, :-2]) & (out[:, 1:-1] >= out[:, 2:])
+        if out.shape[1] > 1:
+            peak[:, -1] = out[:, -1] > out[:, -2]
+        out = np.where(peak, out, 0.0)
     return out
 
 
@@ -271,7 +289,7 @@ def spectral_contrast(s: np.ndarray, freq: np.ndarray, fmin: float = 200.0, n_ba
         if k < n_bands and part.shape[1] > 1:
             part = part[:, :-1]
         part = np.sort(part, axis=1)
-        n = max(1, round(quantile * int(band.sum())))
+        n = max(1, math.floor(quantile * int(band.sum()) + 0.5))
         valley[:, k], peak[:, k] = part[:, :n].mean(axis=1), part[:, -n:].mean(axis=1)
     return peak - valley if linear else dsp.power_to_db(peak) - dsp.power_to_db(valley)
 
@@ -381,14 +399,16 @@ def estimate_tuning(s: np.ndarray, sr: float = SR, n_fft: int = 2048, resolution
 
 def _cmnd(y, sr, frame_length, hop, fmin, fmax, center):
     y = dsp.pad_signal(np.asarray(y, float), frame_length // 2, frame_length // 2) if center else np.asarray(y, float)
-    low, high = math.floor(sr / fmax), min(math.ceil(sr / fmin), frame_length - frame_length // 2 - 1)
+    if not 0 < fmin < fmax <= sr / 2 or sr / fmin >= frame_length - 1:
+        raise ValueError("fmin and fmax must be positive, ascending, at most sr / 2, and a frame longer than the longest period")
+    low, high = math.floor(sr / fmax), min(math.ceil(sr / fmin), frame_length - 1)
     x = dsp.frame(y, frame_length, hop)
-    w = frame_length // 2
-    d = np.stack([((x[:, :w] - x[:, k : k + w]) ** 2).sum(axis=1) for k in range(high + 1)], axis=1)
-    mean = np.cumsum(d[:, 1:], axis=1) / np.arange(1, high + 1)
-    out = d[:, 1:] / (mean + TINY)
-    low = max(1, low)
-    return out[:, low - 1 :], low
+    size = 1 << (2 * frame_length - 1).bit_length()
+    auto = np.fft.irfft(np.abs(np.fft.rfft(x, size, axis=1)) ** 2, size, axis=1)[:, : high + 1]
+    energy = np.cumsum(x**2, axis=1)[:, :high]
+    d = 2 * (auto[:, :1] - auto[:, 1:]) - energy
+    mean = np.cumsum(d, axis=1) / np.arange(1, high + 1)
+    return (d / (mean + TINY))[:, low - 1 :], low
 
 
 def yin(y, fmin: float, fmax: float, sr: float = SR, frame_length: int = 2048, hop_length: int | None = None, trough_threshold: float = 0.1, center: bool = True) -> np.ndarray:
@@ -426,7 +446,7 @@ def pyin(y, fmin: float, fmax: float, sr: float = SR, frame_length: int = 2048,
     for t, row in enumerate(x):
         trough = np.zeros(len(row), bool)
         trough[1:-1] = (row[1:-1] < row[:-2]) & (row[1:-1] <= row[2:])
-        trough[0] = row[0] < row[1]
+        trough[0], trough[-1] = row[0] < row[1], row[-1] < row[-2]
         at = np.flatnonzero(trough)
         if not len(at):
             continue
@@ -437,15 +457,16 @@ def pyin(y, fmin: float, fmax: float, sr: float = SR, frame_length: int = 2048,
         p = (weight * prior).sum(axis=1)
         p[int(np.argmin(row[at]))] += no_trough_prob * prior[~below.any(axis=0)].sum()
         f = sr / (low + at + shift[t, at])
-        k = np.clip(np.round(12 * per_semitone * np.log2(f / fmin)).astype(int), 0, bins - 1)
+        bin_ = 12 * per_semitone * np.log2(f / fmin)
+        k = np.clip((np.sign(bin_) * np.floor(np.abs(bin_) + 0.5)).astype(int), 0, bins - 1)
         np.add.at(observed[t], k, p)
         voiced_prob[t] = min(1.0, observed[t, :bins].sum())
     observed[:, bins:] = ((1 - voiced_prob) / bins)[:, None]
-    width = round(max_transition_rate * 12 * hop / sr) * per_semitone + 1
+    width = math.floor(max_transition_rate * 12 * hop / sr + 0.5) * per_semitone + 1
     width = max(1, min(width, bins))
     move = banks.transition_local(bins, width) if bins > 1 else np.ones((1, 1))
     trans = np.kron(banks.transition_loop(2, 1 - switch_prob), move)
-    start = np.concatenate([np.zeros(bins), np.full(bins, 1.0 / bins)])
+    start = np.full(2 * bins, 0.5 / bins)
     path, _ = viterbi(observed.T, trans, start)
     voiced = path < bins
     f0 = fmin * 2.0 ** ((path % bins) / (12.0 * per_semitone))

@@ -144,7 +144,9 @@ def tempogram(env, win_length: int = 384, center: bool = True, window: str = "ha
     if win_length < 1:
         raise ValueError("win_length must be positive")
     n = len(env)
-    x = np.pad(env, win_length // 2, mode="linear_ramp") if center else env
+    half = win_length // 2
+    ramp = np.arange(half) / max(1, half)  # from zero up to the edge, and from the edge's value down
+    x = np.concatenate([env[0] * ramp, env, env[-1] * (1 - ramp)]) if center else env
     frames = dsp.frame(x, win_length, 1)[: n if center else None] * banks.get_window(window, win_length)
     size = 1 << (2 * win_length - 1).bit_length()
     auto = np.fft.irfft(np.abs(np.fft.rfft(frames, size, axis=1)) ** 2, size, axis=1)[:, :win_length]
@@ -159,7 +161,7 @@ def _scores(tg: np.ndarray, sr: float, hop_length: int, start_bpm: float, std_bp
         prior = -0.5 * ((np.log2(bpm) - math.log2(start_bpm)) / std_bpm) ** 2
     prior[0] = -np.inf
     if max_tempo is not None:
-        prior[bpm >= max_tempo] = -np.inf
+        prior[bpm > max_tempo] = -np.inf
     return bpm, np.log1p(1e6 * tg) + prior
 
 
@@ -194,11 +196,11 @@ def beat_track(env, sr: float = SR, hop_length: int = 512, start_bpm: float = 12
     env = np.asarray(env, float)
     if tightness <= 0:
         raise ValueError("tightness must be positive")
-    if not env.any():
+    if not len(env) or env.max() == 0:
         return 0.0, np.empty(0, int)
     bpm = tempo(env, sr, hop_length, start_bpm) if bpm is None else bpm
-    if bpm <= 0 or not np.isfinite(bpm):
-        raise ValueError("the tempo must be positive")
+    if not bpm > 0 or not np.isfinite(bpm):
+        return 0.0, np.empty(0, int)
     period = max(1, int(np.rint(60.0 * sr / hop_length / bpm)))
     x = env / ((env.std(ddof=1) if len(env) > 1 else 0.0) + TINY)
     t = np.arange(-period, period + 1)
@@ -223,9 +225,9 @@ def beat_track(env, sr: float = SR, hop_length: int = 512, start_bpm: float = 12
     while back[beats[-1]] >= 0:
         beats.append(int(back[beats[-1]]))
     beats = np.array(beats[::-1])
-    if trim and len(beats):
+    if len(beats):
         smooth = np.convolve(local[beats], [0.0, 0.5, 1.0, 0.5, 0.0])[2 : n + 2]
-        loud = np.flatnonzero(local > 0.5 * math.sqrt(float((smooth**2).mean())))
+        loud = np.flatnonzero(local > (0.5 * math.sqrt(float((smooth**2).mean())) if trim else 0.0))
         beats = beats[(beats >= loud[0]) & (beats <= loud[-1])] if len(loud) else beats[:0]
     return float(bpm), beats
 
@@ -241,8 +243,8 @@ def plp(env, sr: float = SR, hop_length: int = 512, win_length: int = 384, tempo
     if tempo_max is not None:
         barred |= bpm > tempo_max
     ft = np.where(barred, 0.0, ft)
-    size = np.abs(ft)
-    ft = np.where(size >= size.max(axis=1, keepdims=True), ft, 0.0)
+    peak = np.argmax(np.log1p(1e6 * np.abs(ft)), axis=1)  # the first of equal ones
+    ft = np.where(np.arange(ft.shape[1]) == peak[:, None], ft, 0.0)
     unit = ft / (TINY**0.5 + np.abs(ft).max(axis=1, keepdims=True))
     pulse = np.maximum(0.0, dsp.istft(unit, 1, n_fft=win_length, length=len(env)))
     return features.normalize(pulse, np.inf)
