@@ -13,9 +13,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def canonical(df):
     def text(x):
-        if isinstance(x, (list, np.ndarray)):
+        if isinstance(x, (list, np.ndarray)) and x is not np.ma.masked:
             return "[" + ",".join(text(y) for y in x) + "]"
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if x is None or x is np.ma.masked or isinstance(x, float) and math.isnan(x):
             return "null"
         if isinstance(x, (bool, np.bool_)):
             return str(bool(x))

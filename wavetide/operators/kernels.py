@@ -37,6 +37,7 @@ SHAPES = {
     "pitch": [("t", _L, T.LongType()), ("f0", _F, T.DoubleType()), ("voiced", pa.bool_(), T.BooleanType()), ("voiced_prob", _F, T.DoubleType())],
     "two_frames": [("t", _L, T.LongType()), ("a", _FS, _FT), ("b", _FS, _FT)],
     "three_frames": [("t", _L, T.LongType()), ("a", _FS, _FT), ("b", _FS, _FT), ("c", _FS, _FT)],
+    "two_complex": [("t", _L, T.LongType()), ("a_re", _FS, _FT), ("a_im", _FS, _FT), ("b_re", _FS, _FT), ("b_im", _FS, _FT)],
     "beats": [("bpm", _F, T.DoubleType()), ("event_no", _L, T.LongType()), ("frame", _L, T.LongType())],
 }
 
@@ -49,6 +50,8 @@ def _rows(shape: str, result) -> list[list]:
         return [list(range(len(result))), result.tolist()]
     if shape == "complex":
         return [list(range(len(result))), result.real.tolist(), result.imag.tolist()]
+    if shape == "two_complex":
+        return [list(range(len(result[0]))), *(p.tolist() for x in result for p in (x.real, x.imag))]
     if shape in ("series", "flags", "events"):
         return [list(range(len(result))), np.asarray(result).tolist()]
     if shape in ("intervals", "path"):
@@ -127,6 +130,7 @@ fmt = _operator(lambda y, **p: dsp.fmt(y, **p)[None, :], "complex", "y")
 cqt = _operator(features.cqt, "complex", "y")
 cqt_magnitude = _operator(lambda y, **p: np.abs(features.cqt(y, **p)), "frames", "y")
 vqt = _operator(features.vqt, "complex", "y")
+vqt_magnitude = _operator(lambda y, **p: np.abs(features.vqt(y, **p)), "frames", "y")
 pseudo_cqt = _operator(features.pseudo_cqt, "frames", "y")
 hybrid_cqt = _operator(features.hybrid_cqt, "frames", "y")
 icqt = _operator(lambda re, im, **p: features.icqt(re + 1j * im, **p), "signal", "re", "im")
@@ -217,9 +221,8 @@ plp_audio = _from_audio(lambda env, sr, hop, p: rhythm.plp(env, sr, hop, **p), "
 # decomposition
 median_filter_2d = _operator(sequence.median_filter_2d, "frames", "S")
 hpss = _operator(sequence.hpss, "two_frames", "S")
-hpss_complex = _operator(lambda re, im, **p: np.abs(sequence.hpss(re + 1j * im, **p)), "two_frames", "re", "im")
-decompose_nmf = _operator(lambda s, **p: sequence.nmf(s, **p)[0], "frames", "S")
-decompose_nmf_activations = _operator(lambda s, **p: sequence.nmf(s, **p)[1], "frames", "S")
+hpss_complex = _operator(lambda re, im, **p: sequence.hpss(re + 1j * im, **p), "two_complex", "re", "im")
+decompose_nmf = _operator(lambda s, **p: (lambda w, h: (w.T, h))(*sequence.nmf(s, **p)), "two_frames", "S")
 nn_filter = _operator(sequence.nn_filter, "frames", "S", "rec")
 nnls = _operator(features.nnls, "frames", "A", "B")
 # similarity and segmentation

@@ -383,27 +383,6 @@ def onset_strength(frames_db: DataFrame, lag: int = 1, shift: int = 0) -> DataFr
     return x
 
 
-def hpss(long_frames: DataFrame, kernel_size: int = 31) -> DataFrame:
-    """(signal_id, t, k, harmonic, percussive): medians along time and frequency, and soft masks of power 2.
-
-    Edges are mirrored by extra rows, so the median is a framed percentile.
-    """
-    half = kernel_size // 2
-    last = F.max("t").over(Window.partitionBy(KEY, "k"))
-    top = F.max("k").over(Window.partitionBy(KEY, "t"))
-
-    def median(axis: str, other: str, most: Column, name: str) -> DataFrame:
-        x = long_frames.withColumn("most", most)
-        below = x.where((F.col(axis) > 0) & (F.col(axis) <= half)).withColumn(axis, -F.col(axis))
-        above = x.where((F.col(axis) < F.col("most")) & (F.col(axis) >= F.col("most") - half)).withColumn(axis, 2 * F.col("most") - F.col(axis))
-        w = Window.partitionBy(KEY, other).orderBy(axis).rowsBetween(-half, half)
-        m = x.unionByName(below).unionByName(above).withColumn(name, F.percentile("v", F.lit(0.5)).over(w))
-        return m.where((F.col(axis) >= 0) & (F.col(axis) <= F.col("most"))).select(KEY, "t", "k", name)
-
-    both = median("t", "k", last, "h").join(median("k", "t", top, "p"), [KEY, "t", "k"])
-    return both.select(KEY, "t", "k", "h", "p", convert.softmask("h", "p", 2.0, True).alias("harmonic"), convert.softmask("p", "h", 2.0, True).alias("percussive"))
-
-
 # edges of matrices
 
 

@@ -9,8 +9,9 @@ from wavetide.kernels import dsp
 from wavetide.operators import kernels as K
 from wavetide.plans import banks
 
-from .base import COUNTED, HOP, LONG, N, SPECTRUM, SR, query, r, table, wide
-from .spectral import DB, magnitudes, mel_bank, power, spectrum
+from .base import COUNTED, HOP, LONG, N, SPECTRUM, SQL, SR, query, r, table, wide
+from .kernel_sql import SQL as KERNEL_SQL
+from .spectral import DB, MIRROR, magnitudes, mel_bank, power, spectrum
 
 TRANS = banks.transition_loop(3, 0.8)
 
@@ -121,7 +122,7 @@ _add("mel_to_audio", lambda s, d: K.to_matrix(K.melspectrogram(matrices(s, d, po
 _add("mfcc_to_audio", lambda s, d: K.to_matrix(K.mfcc(mel_matrices(s, d), n_mfcc=4)), K.mfcc_to_audio, n_mels=6, sr=SR, n_fft=N, hop_length=HOP, n_iter=2, init_phase="zeros")
 _add("chroma_cqt", lambda s, d: K.to_matrix(K.cqt_magnitude(daily(s, d), **CQT)), K.chroma_cqt, fmin=4.0, n_chroma=6, bins_per_octave=6)
 _add("chroma_cens", lambda s, d: K.to_matrix(K.chroma_cqt(K.to_matrix(K.cqt_magnitude(daily(s, d), **CQT)), fmin=4.0, n_chroma=6, bins_per_octave=6)), K.chroma_cens, win_len_smooth=9)
-_add("chroma_vqt", lambda s, d: K.to_matrix(K.cqt_magnitude(daily(s, d), **CQT)), K.chroma_vqt, fmin=4.0, bins_per_octave=6)
+_add("chroma_vqt", lambda s, d: K.to_matrix(K.vqt_magnitude(daily(s, d), **CQT)), K.chroma_vqt, fmin=4.0, bins_per_octave=6)
 _add("delta_interp", matrices, K.delta, width=5)
 FREQ = banks.fft_frequencies(SR, N)
 _add("interp_harmonics", matrices, K.interp_harmonics, freqs=FREQ, harmonics=[1, 2])
@@ -209,3 +210,4 @@ def get_audio_info(spark, folder):
 
 
 query("get_samplerate")(lambda s, d: get_audio_info(s, d).select("name", "sr"))
+SQL.update({name: sql.replace("{mirror}", MIRROR) for name, sql in KERNEL_SQL.items()})

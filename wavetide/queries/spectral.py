@@ -82,7 +82,11 @@ def amplitude_to_db(spark, folder):
     return _long(S.to_db(squares, top_db=30.0))
 
 
-@query("perceptual_weighting", f"WITH {SPECTRUM}, {values('wt', 'k, w', [(k, 0.5 * k) for k in range(N // 2 + 1)])} SELECT signal_id, t, k, round(10 * log10(greatest(1e-10, p)) + w, 4) + 0.0 AS v FROM p JOIN wt USING (k)")
+#: The A curve over f2, the square of the frequency.
+_A_CURVE = "CASE WHEN f2 = 0 THEN -80 ELSE 2 + 20 * (2 * log10(12194.217) + 2 * log10(greatest(f2, 1e-9)) - log10(f2 + pow(12194.217, 2)) - log10(f2 + pow(20.598997, 2)) - 0.5 * log10(f2 + pow(107.65265, 2)) - 0.5 * log10(f2 + pow(737.86223, 2))) END"
+
+
+@query("perceptual_weighting", f"WITH {SPECTRUM}, d AS (SELECT signal_id, t, k, f * f AS f2, 10 * log10(greatest(1e-10, p)) AS d FROM p), x AS (SELECT *, greatest(d, max(d) OVER (PARTITION BY signal_id) - 80) AS level FROM d) SELECT signal_id, t, k, round(level + greatest(-80, {_A_CURVE}), 4) + 0.0 AS v FROM x")
 def perceptual_weighting(spark, folder):
     """Levels plus the A curve."""
     return _long(S.perceptual_weighting(power(spark, folder), FREQ))
@@ -194,17 +198,21 @@ def pcen(spark, folder):
     return z.select("signal_id", F.col("e.t").alias("t"), "k", r(2.0**0.5 * (F.sqrt(1 + F.col("e.v") * level / 2) - 1)).alias("v"))
 
 
-_MIRROR = """m AS (SELECT signal_id, t, k, sqrt(p) AS v, max(t) OVER (PARTITION BY signal_id) AS tt FROM p),
- ha AS (SELECT signal_id, t, k, v, tt FROM m UNION ALL SELECT signal_id, -t, k, v, tt FROM m WHERE t BETWEEN 1 AND 2 UNION ALL SELECT signal_id, 2 * tt - t, k, v, tt FROM m WHERE t BETWEEN tt - 2 AND tt - 1),
- pa AS (SELECT signal_id, t, k, v FROM m UNION ALL SELECT signal_id, t, -k, v FROM m WHERE k BETWEEN 1 AND 2 UNION ALL SELECT signal_id, t, 16 - k, v FROM m WHERE k BETWEEN 6 AND 7),
+#: Edges are mirrored without the edge itself, and stay at the other end where the mirror passes it.
+MIRROR = """m AS (SELECT signal_id, t, k, sqrt(p) AS v, max(t) OVER (PARTITION BY signal_id) AS tt FROM p),
+ g AS (SELECT DISTINCT signal_id, tt FROM m),
+ ha AS (SELECT g.signal_id, x AS t, k, v, g.tt FROM g, range(-2, g.tt + 3) q(x), m WHERE m.signal_id = g.signal_id
+  AND m.t = CASE WHEN x < 0 THEN least(-x, g.tt) WHEN x > g.tt THEN greatest(0, 2 * g.tt - x) ELSE x END),
+ pa AS (SELECT signal_id, t, x AS k, v FROM m, range(-2, 11) q(x) WHERE k = CASE WHEN x < 0 THEN -x WHEN x > 8 THEN 16 - x ELSE x END),
  h AS (SELECT signal_id, t, k, tt, median(v) OVER (PARTITION BY signal_id, k ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM ha),
  q AS (SELECT signal_id, t, k, median(v) OVER (PARTITION BY signal_id, t ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS q FROM pa)"""
 
 
-@query("hpss", f"WITH {SPECTRUM}, {_MIRROR} SELECT signal_id, t, k, round(h * h / (h * h + q * q), 4) + 0.0 AS harmonic, round(q * q / (h * h + q * q), 4) + 0.0 AS percussive FROM h JOIN q USING (signal_id, t, k) WHERE t BETWEEN 0 AND tt")
+@query("hpss", f"WITH {SPECTRUM}, {MIRROR} SELECT signal_id, t, k, round(h * h / (h * h + q * q), 4) + 0.0 AS harmonic, round(q * q / (h * h + q * q), 4) + 0.0 AS percussive FROM h JOIN q USING (signal_id, t, k) WHERE t BETWEEN 0 AND tt")
 def hpss(spark, folder):
-    x = magnitudes(spark, folder).select("signal_id", "t", F.posexplode("f").alias("k", "v")).withColumn("k", F.col("k").cast("long"))
-    return S.hpss(x, 5).select("signal_id", "t", "k", r("harmonic", 4).alias("harmonic"), r("percussive", 4).alias("percussive"))
+    masks = K.hpss(K.to_matrix(magnitudes(spark, folder)), kernel_size=5, mask=True)
+    x = masks.select("signal_id", "t", F.posexplode(F.arrays_zip("a", "b")).alias("k", "z"))
+    return x.select("signal_id", "t", F.col("k").cast("long").alias("k"), r("z.a", 4).alias("harmonic"), r("z.b", 4).alias("percussive"))
 
 
 @query("piptrack", f"WITH {SPECTRUM}, m AS (SELECT signal_id, t, k, sqrt(p) AS v FROM p), x AS (SELECT signal_id, t, k, v, lag(v) OVER w AS a, lead(v) OVER w AS b, max(v) OVER (PARTITION BY signal_id, t) AS top FROM m WINDOW w AS (PARTITION BY signal_id, t ORDER BY k)), y AS (SELECT *, (b - a) / 2 AS g, b + a - 2 * v AS c FROM x), zz AS (SELECT *, CASE WHEN abs(g) >= abs(c) THEN 0 ELSE -g / c END AS shift FROM y) SELECT signal_id, t, k, round((k + shift) * {SR / N}, 4) + 0.0 AS pitch, round(v + 0.5 * g * shift, 4) + 0.0 AS mag FROM zz WHERE v > a AND v >= b AND v > 0.1 * top AND k * {SR / N} >= 8 AND k * {SR / N} < 30")
@@ -231,7 +239,7 @@ def pitch_tuning(spark, folder):
 
 # similarity over the embeddings of each label, in order of their id
 
-_EMB = "v AS (SELECT label AS signal_id, vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label < 3)"
+_EMB = "v AS (SELECT label AS signal_id, vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _DIST = "sqrt(list_sum([pow(x[1] - x[2], 2) FOR x IN list_zip(a.v, b.v)]))"
 
 
@@ -285,7 +293,7 @@ def _lags(spark, folder):
     return e.select("signal_id", "i", "frame", "size", F.pmod(F.col("other") - F.col("frame"), 2 * F.col("size")).alias("lag"))
 
 
-@query("recurrence_to_lag", _RANKED.format(_DIST) + " SELECT signal_id, i, ((j - i) % 5000 + 5000) % 5000 AS lag FROM x WHERE rank <= 4")
+@query("recurrence_to_lag", _RANKED.format(_DIST) + ", n AS (SELECT signal_id, i, row_number() OVER (PARTITION BY signal_id ORDER BY i) AS frame, count(*) OVER (PARTITION BY signal_id) AS size FROM v) SELECT x.signal_id, x.i, (b.frame - a.frame + 2 * a.size) % (2 * a.size) AS lag FROM x JOIN n a ON a.signal_id = x.signal_id AND a.i = x.i JOIN n b ON b.signal_id = x.signal_id AND b.i = x.j WHERE rank <= 4")
 def recurrence_to_lag(spark, folder):
     """Lags in frames of the label, of a plot padded to twice its frames."""
     return _lags(spark, folder).select("signal_id", "i", "lag")

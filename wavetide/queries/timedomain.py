@@ -213,7 +213,7 @@ def fill_off_diagonal(spark, folder):
     return x.select("i", "j", F.when(F.col("i") == F.col("j"), (F.col("i") * 20 + F.col("j")).cast("double")).otherwise(F.lit(-1.0)).alias("v"))
 
 
-@query("stack", f"WITH {LONG} SELECT n, list(v ORDER BY signal_id) AS v FROM l WHERE n < 40 GROUP BY n")
+@query("stack", f"WITH {LONG}, g AS (SELECT signal_id, CAST(n AS INTEGER) AS n FROM (SELECT DISTINCT signal_id FROM l), range((SELECT max(n) + 1 FROM l)) q(n)) SELECT n, list(v ORDER BY signal_id) AS v FROM g LEFT JOIN l USING (signal_id, n) GROUP BY n")
 def stack(spark, folder):
     """Signals as columns of one matrix, row by row; a signal that has ended is null."""
     signals = wide(spark, folder)
