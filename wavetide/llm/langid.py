@@ -5,9 +5,11 @@ into one table of weights; labels of neighbouring words share learned transition
 keeps its label and code-switched text changes it where the words do. Forward-backward gives each word's posterior, and
 a text's language is the one with the largest mean posterior over all its words.
 
-The fit uses at most ``SAMPLE`` documents of each language, chosen by a hash of the id (a documented bound), and learns
-from segments of their words, spliced into code-switched chains. Prediction reads every word of every text; a chain is
-a run of at most ``CHAIN`` words.
+The fit uses at most ``SAMPLE`` documents of each language, chosen by a hash of the id, and learns from ``SEGMENTS`` runs
+of at most ``SEGMENT`` words of each, spliced into ``CHAINS`` code-switched chains (documented bounds of the fit alone).
+Prediction reads every word of every text, and a text is one chain: its parts of ``PART`` words are multiplied out side
+by side, their products carry the forward and backward vectors from part to part, and so each word's posterior is that
+of the whole chain. A word is a run of letters.
 
 Defined results: null text and text without letters give ``und`` and score 0; without any labelled text so does every
 row; a null or repeated id is a row like any other when predicting; an empty table gives no rows; other columns are
@@ -31,8 +33,8 @@ from .shingles import mix
 SAMPLE, SEGMENTS, SEGMENT = 800, 6, 12
 #: Parts of a language that are cut to SAMPLE on their own first.
 SALTS = 16
-#: Rows of the weight table, words of a chain at inference, and words of a chain in the fit.
-ROWS, CHAIN, FIT_CHAIN = 1 << 16, 64, 24
+#: Rows of the weight table, words of a chain's part at inference, words of a chain in the fit, and chains of the fit.
+ROWS, PART, FIT_CHAIN, CHAINS = 1 << 16, 64, 24, 4000
 CHUNK = 1 << 18
 #: Words whose features are made at once, and words whose scores are kept.
 SLICE, KEPT = 8192, 100_000
@@ -42,6 +44,14 @@ GRAMS = (2, 3, 4)
 AFFIXES = (1, 2, 3, 4)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]  # digits like ² aren't letters
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the weight table for each word's features, and where each word's begin."""
     raw = [b"\x02" + w.encode() + b"\x03" for w in words]
@@ -102,15 +112,30 @@ class Crf:
         self.scores = np.concatenate(made)
         return self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
-    def posteriors(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Forward-backward over padded chains: emissions (chains, words, labels)."""
+    def posteriors(self, emissions: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Forward-backward over padded parts of chains: emissions (parts, words, labels); number: a part's place in its
+        chain, whose parts follow one another."""
         e = np.exp(emissions - emissions.max(axis=2, keepdims=True))
-        return forward_backward(e, lengths, np.exp(self.transitions), np.exp(self.first))[0]
+        trans, first = np.exp(self.transitions), np.exp(self.first)
+        start, end = np.broadcast_to(first, (len(e), len(first))).copy(), np.ones((len(e), len(first)))
+        size = np.diff(np.append(np.flatnonzero(number == 0), len(number)))
+        if size.max(initial=0) > 1:
+            product = products(e, lengths, trans)
+            last = number + 1 == np.repeat(size, size)
+            for k in range(1, int(size.max())):
+                at = np.flatnonzero(number == k)
+                r = np.einsum("nk,nkj->nj", start[at - 1], product[at - 1]) @ trans
+                start[at] = r / r.sum(axis=1, keepdims=True)
+            for k in range(int(size.max()) - 2, -1, -1):
+                at = np.flatnonzero((number == k) & ~last)
+                b = np.einsum("nkj,nj->nk", product[at + 1], end[at + 1]) @ trans.T
+                end[at] = b / b.sum(axis=1, keepdims=True)
+        return forward_backward(e, lengths, trans, start, end)[0]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         words, counts = [], []
         for t in texts:
-            own = _WORD.findall(t.lower()) if t else []
+            own = words_of(t) if t else []
             words += own
             counts.append(len(own))
         out = [("und", 0.0)] * len(texts)
@@ -118,16 +143,16 @@ class Crf:
             return out
         e = self.emissions(words)
         n = np.array(counts)
-        chains = -(-n // CHAIN)
+        chains = -(-n // PART)
         text_of = np.repeat(np.arange(len(n)), chains)
         number = np.arange(len(text_of)) - np.repeat(np.cumsum(chains) - chains, chains)
-        begin = (np.cumsum(n) - n)[text_of] + number * CHAIN
-        length = np.minimum(CHAIN, n[text_of] - number * CHAIN)
-        padded = np.zeros((len(begin), CHAIN, e.shape[1]))
-        inside = np.arange(CHAIN) < length[:, None]
+        begin = (np.cumsum(n) - n)[text_of] + number * PART
+        length = np.minimum(PART, n[text_of] - number * PART)
+        padded = np.zeros((len(begin), PART, e.shape[1]))
+        inside = np.arange(PART) < length[:, None]
         padded[inside] = e
         total = np.zeros((len(n), e.shape[1]))
-        np.add.at(total, text_of, (self.posteriors(padded, length) * inside[:, :, None]).sum(axis=1))
+        np.add.at(total, text_of, (self.posteriors(padded, length, number) * inside[:, :, None]).sum(axis=1))
         for k in np.flatnonzero(n):
             mean = total[k] / n[k]
             best = int(np.argmax(mean))
@@ -135,10 +160,23 @@ class Crf:
         return out
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray):
-    """Posteriors of labels (chains, words, labels), and expected transitions summed over chains."""
+def products(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """For each part the product over its words, up to a factor: what comes in front of its first word's scores, times
+    this, is the forward vector at its last word."""
+    out = np.eye(e.shape[2]) * e[:, :1]
+    for i in range(1, e.shape[1]):
+        on = lengths > i
+        step = (out[on] @ trans) * e[on, i][:, None, :]
+        out[on] = step / step.max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray | float = 1.0):
+    """Posteriors of labels (chains, words, labels), and expected transitions summed over chains. first, last: weights of
+    labels before the first and behind the last word, of each chain or of all."""
     n, t, k = e.shape
     alpha, beta = np.zeros_like(e), np.ones_like(e)
+    beta[:, -1] = last
     a = e[:, 0] * first
     alpha[:, 0] = a / a.sum(axis=1, keepdims=True)
     for i in range(1, t):
@@ -148,7 +186,7 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, firs
     for i in range(t - 2, -1, -1):
         on = (lengths > i + 1)[:, None]
         b = (e[:, i + 1] * beta[:, i + 1]) @ trans.T
-        beta[:, i] = np.where(on, b / b.sum(axis=1, keepdims=True), 1.0)
+        beta[:, i] = np.where(on, b / b.sum(axis=1, keepdims=True), last)
         both = alpha[:, i, :, None] * trans * (e[:, i + 1] * beta[:, i + 1])[:, None, :]
         both /= both.sum(axis=(1, 2), keepdims=True)
         pairs += (both * on[:, :, None]).sum(axis=0)
@@ -156,7 +194,7 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, firs
     return gamma / gamma.sum(axis=2, keepdims=True), pairs
 
 
-def fit_crf(segments: list[tuple[str, list[str]]], epochs: int = 6, chains: int = 4000, seed: int = 9) -> Crf:
+def fit_crf(segments: list[tuple[str, list[str]]], epochs: int = 6, chains: int = CHAINS, seed: int = 9) -> Crf:
     """segments: (label, words). Chains splice segments of random documents, so labels change inside them."""
     labels = sorted({x for x, w in segments if w})
     k = len(labels)
@@ -222,7 +260,7 @@ def fit_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
         for b in batches:
             ids, langs, out = [], [], []
             for i, lang, text in zip(*(c.to_pylist() for c in b.columns)):
-                words = _WORD.findall(text.lower())
+                words = words_of(text)
                 if not words:
                     continue
                 rng = np.random.default_rng(abs(i))
