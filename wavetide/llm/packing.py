@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -66,26 +67,52 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> Counter:
     return out
 
 
+class _Offer:
+    """What a bin can give: sums of one and of two of its pieces, as sets and as bits of an integer, upwards and (from
+    capacity) downwards."""
+
+    def __init__(self, bin_: tuple, capacity: int):
+        self.ones = sorted(set(bin_))
+        self.twos = {x + y: (x, y) for x, y in [*combinations(self.ones, 2), *((x, x) for x, n in Counter(bin_).items() if n > 1)]}
+        self.up_one, self.up_two = sum(1 << x for x in self.ones), sum(1 << x for x in self.twos)
+        self.down_one, self.down_two = sum(1 << capacity - x for x in self.ones), sum(1 << capacity - x for x in self.twos)
+
+
+_offer = lru_cache(maxsize=8192)(_Offer)
+
+
+def _pieces(a: _Offer, b: _Offer, moved: int) -> tuple[tuple, tuple]:
+    """Pieces of a and of b whose exchange brings so much more to b: a move, one for one, or two for one, either way."""
+    if moved in a.ones:
+        return (moved,), ()
+    if -moved in b.ones:
+        return (), (-moved,)
+    for x in b.ones:
+        if moved + x in a.ones:
+            return (moved + x,), (x,)
+        if moved + x in a.twos:
+            return a.twos[moved + x], (x,)
+    return next(((x,), b.twos[x - moved]) for x in a.ones if x - moved in b.twos)
+
+
 def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     """The exchange between an emptier bin a and a fuller bin b that increases squared fill most, if any."""
-    fill_a, fill_b = sum(a), sum(b)
-    room = capacity - fill_b
-    best, gain = None, 0
-    ones = sorted(set(a), reverse=True)
-    pairs = sorted([*combinations(ones, 2), *((x, x) for x, n in Counter(a).items() if n > 1)], key=sum, reverse=True)
-    gives = [((x,), x) for x in ones] + [(p, p[0] + p[1]) for p in pairs]
-    takes = [((), 0)] + [((y,), y) for y in sorted(set(b))]
-    for give, g in gives:
-        for take, t in takes:
-            if len(give) == 2 and not take:
-                continue
-            moved = g - t
-            if 0 < moved <= room:
-                won = (fill_b + moved) ** 2 + (fill_a - moved) ** 2 - fill_a**2 - fill_b**2
-                if won > gain:
-                    best, gain = (give, take), won
-    if best is None:
+    gap = sum(b) - sum(a)
+    room_a, room_b = capacity - sum(a), capacity - sum(b)
+    x, y = _offer(a, capacity), _offer(b, capacity)
+    # bit capacity + m: some exchange brings m more to b
+    reach, up = x.up_one << capacity | y.down_one, (x.up_one | x.up_two) << capacity
+    for piece in y.ones:
+        reach |= up >> piece
+    for piece in x.ones:
+        reach |= y.down_two << piece
+    most = (reach >> capacity + 1 & (1 << room_b) - 1).bit_length()
+    back = reach >> capacity - room_a & (1 << room_a) - 1
+    least = (back & -back).bit_length() - 1 - room_a if back else 0  # more than the gap leaves b: the bins change places
+    best = max(most, least, key=lambda m: m * (m + gap))
+    if best * (best + gap) <= 0:
         return None
+    best = _pieces(x, y, best)
     new_a, new_b = Counter(a), Counter(b)
     new_a.subtract(best[0])
     new_a.update(best[1])
