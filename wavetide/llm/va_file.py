@@ -3,8 +3,9 @@
 Components are integers floor(scale * x). The file keeps for each vector one byte per dimension: the number of its cell
 in a grid over that dimension's range. A cell's middle and width bound a score from both sides: with q's components and
 the cells' half widths, q . middle - sum |q| half <= score <= q . middle + sum |q| half. One scan of the cells gives
-each query its bounds; the k-th largest lower bound over all vectors drops those whose upper bound is less. The exact
-vectors of the others are read in descending order of upper bound until the k-th exact score is above the next bound.
+each query its bounds; the k-th largest lower bound over all vectors drops those whose upper bound is less. Of the others
+the exact vectors of the ``FIRST`` largest upper bounds of each query are read, then only those whose upper bound reaches
+the k-th exact score so far, in descending order of upper bound until none can reach it.
 
 Queries and vectors are packed in blocks and each block of queries meets each block of vectors once, so nothing grows
 with a group. Equal vectors are one class with its k + 1 smallest ids (no query needs more, its own left out), so copies
@@ -12,8 +13,9 @@ tie without costing more than one.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, as query or as
 candidate; vectors of different lengths don't meet; scores must fit 53 bits (components up to 2**23 with up to 128
-dimensions do); a query never finds rows of its own id, and a repeated query id asks once; fewer candidates than k give fewer rows; ties go to the smaller
-id; null ids take no part; empty tables give no rows; other columns are ignored.
+dimensions do); a query never finds rows of its own id, and a repeated query id asks once; equal rows of one id are one
+candidate; fewer candidates than k give fewer rows; ties go to the smaller id; null ids take no part; empty tables give
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SCALE = 256
 CELLS = 256
 #: Vectors and queries in a block.
 BLOCK, QUERY_BLOCK = 8192, 1024
+#: Exact vectors that each query reads before any others, for each of the k results.
+FIRST = 4
 
 
 def _integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -37,18 +41,14 @@ def _integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame
     @released
     def run(batches):
         for b in batches:
-            ids, dims, out = [], [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is None or not v or any(y is None for y in v):
-                    continue
-                x = np.array(v, dtype=np.float64)
-                if np.isfinite(x).all():
-                    ids.append(i)
-                    dims.append(len(x))
-                    out.append(np.floor(scale * x).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "dim", "x"])
+            ends = b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
+            x = np.floor(scale * b.column(1).flatten().to_numpy()).astype("<i8")
+            out = [x[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(out, pa.binary())], ["vec_id", "dim", "x"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(run, "vec_id long, dim long, x binary")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    finite = F.forall("v", lambda y: y.isNotNull() & (F.abs(y) < float("inf")))  # a NaN is larger than any number
+    return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite).mapInArrow(run, "vec_id long, dim long, x binary")
 
 
 def _packed(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
@@ -149,9 +149,8 @@ def _search(queries: DataFrame, classes: DataFrame, dim: int, k: int) -> DataFra
     bounds = materialize(both.mapInArrow(scan, "query_id long, class binary, upper double, floor double"))
     # a floor holds for all blocks: k candidates of one block reach it
     floors = bounds.groupBy("query_id").agg(F.max("floor").alias("floor"))
-    live = bounds.drop("floor").join(floors, "query_id").where("upper >= floor").select("query_id", "class", "upper")
-    live = live.join(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
-    live = live.join(classes.select("class", "x", "ids"), "class").select("query_id", "upper", "q", "x", "ids")
+    live = materialize(bounds.drop("floor").join(floors, "query_id").where("upper >= floor").select("query_id", "class", "upper"))
+    asks = queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
 
     @released
     def exact(batches):
@@ -174,17 +173,30 @@ def _search(queries: DataFrame, classes: DataFrame, dim: int, k: int) -> DataFra
                 kth = best[0] if len(best) == k else -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["query_id", "vec_id", "score"])
 
-    ordered = live.repartition("query_id").sortWithinPartitions("query_id", F.col("upper").desc())
-    found = ordered.mapInArrow(exact, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def read(some: DataFrame) -> DataFrame:
+        rows = some.join(asks, "query_id").join(classes.select("class", "x", "ids"), "class").select("query_id", "upper", "q", "x", "ids")
+        return rows.repartition("query_id").sortWithinPartitions("query_id", F.col("upper").desc()).mapInArrow(exact, "query_id long, vec_id long, score long")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("upper").desc(), F.col("class").desc()))
+    first = materialize(live.withColumn("nth", nth).where(F.col("nth") <= FIRST * k).drop("nth"))
+    top = materialize(read(first))
+    least = best(top).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("kth"))
+    behind = first.groupBy("query_id").agg(F.min(F.struct("upper", "class")).alias("last"))
+    rest = live.join(behind, "query_id").where(F.struct("upper", "class") < F.col("last")).join(least, "query_id", "left")
+    rest = rest.where(F.coalesce((F.col("found") < k) | (F.col("upper") >= F.col("kth")), F.lit(True))).select("query_id", "class", "upper")
+    return best(top.unionByName(read(rest))).select("query_id", "rank", "vec_id", "score")
 
 
 def _pairs(asked: DataFrame, file: DataFrame) -> DataFrame:
     """Each block of queries with each block of vectors: numbers of blocks only."""
-    vectors = sorted(r["vectors"] for r in file.select("vectors").collect())
-    every = asked.select("queries").withColumn("vectors", F.explode(F.array(*[F.lit(v).cast("long") for v in vectors])))
-    return every.repartition("queries", "vectors")
+    numbered = asked.select("queries", F.row_number().over(Window.orderBy("queries")).cast("long").alias("q"))
+    blocks = asked.count()
+    every = file.select("vectors").where(F.lit(blocks > 0)).withColumn("q", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(blocks).cast("long"))))
+    return every.join(numbered, "q").select("queries", "vectors").repartition("queries", "vectors")
 
 
 def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = SCALE) -> DataFrame:
