@@ -55,15 +55,22 @@ def test_cosine_components_equal_brute_force(spark):
     assert embedding_join.cosine_components(table(spark, [])).count() == 0
 
 
-def test_intervals_skip_only_distant_blocks():
+def test_interval_join_finds_all_near_boxes(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "FAN", 2)
     rng = np.random.default_rng(1)
     low = np.sort(rng.random((20, 3)) * 5, axis=0)
     high = low + rng.random((20, 3)) * 0.3
-    pairs = set(embedding_join.interval_pairs(low, high, 0.5))
+    ids = [(k // 3 << 32) + k % 3 + 1 for k in range(20)]
+    rows = [(i, bytearray(a.tobytes()), bytearray(b.tobytes())) for i, a, b in zip(ids, low, high)]
+    blocks = spark.createDataFrame(rows, "block long, low binary, high binary")
+    got = embedding_join._interval_pairs(blocks, 7, 0.5).collect()
+    pairs = {(ids.index(r["i"]), ids.index(r["j"])) for r in got}
+    assert len(pairs) == len(got)
     for i in range(20):
-        for j in range(i, 20):
+        for j in range(20):
             gap = np.maximum(0, np.maximum(low[i] - high[j], low[j] - high[i]))
-            assert ((i, j) in pairs) == (gap @ gap <= 0.25)
+            assert ((i, j) in pairs) == (i <= j and gap @ gap <= 0.25)
+    assert embedding_join._interval_pairs(blocks.limit(0), 1, 0.5).count() == 0
 
 
 @pytest.mark.parametrize("k", [1, 5, 200])

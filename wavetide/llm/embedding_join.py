@@ -3,13 +3,13 @@
 Vectors of unit length are at a cosine of at least c exactly when their distance is at most eps = sqrt(2 - 2c). They
 are turned to the principal axes of all vectors (a rotation, so distances stay; the moments are summed over all rows),
 given cells of side eps on the leading axes, and sorted by cell. Intervals of that sequence become blocks with bounding
-boxes over all axes. The join of the sequence with itself halves both intervals again and again and skips two intervals
-whose boxes are more than eps apart; what is left are pairs of blocks, compared by a matrix product in double precision.
+boxes over all axes. The join of the sequence with itself divides both intervals again and again (as joins of tables of
+intervals) and skips two intervals whose boxes are more than eps apart; what is left are pairs of blocks, compared by a
+matrix product in double precision.
 
 Equal vectors are one class from the start, with its smallest id and its size, so any number of copies costs one
 comparison. A pair of blocks returns the number of links of each class and a spanning forest of them, not the links, so
-a group of near copies doesn't grow with its square. Only block boxes (one line for ``BLOCK`` classes) and the moments
-come to the driver.
+a group of near copies doesn't grow with its square. Only the moments come to the driver.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components link with nothing and are
 their own component; vectors of different lengths don't link; repeated ids count as rows of their own, and a component
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, released, table
@@ -31,6 +31,8 @@ COSINE = 0.9
 BLOCK = 4096
 TILE = 512
 AXES = 6
+#: Intervals of the sequence that make the next longer one.
+FAN = 32
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -43,22 +45,21 @@ def _classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataF
     @released
     def run(batches):
         for b in batches:
-            vecs, out = b.column(1), []
-            for v in vecs.to_pylist():
-                x = np.array(v if v is not None else [], dtype=object)
-                if not len(x) or any(y is None for y in x):
+            ends = b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
+            flat, out = b.column(1).flatten().to_numpy(), []
+            for lo, hi in zip(ends, ends[1:]):
+                x = flat[lo:hi]
+                top = np.abs(x).max(initial=0.0)
+                if top:
+                    x = x / top  # so that squares neither overflow nor vanish
+                    out.append((x / np.sqrt(x @ x) + 0.0).astype("<f8").tobytes())
+                else:
                     out.append(None)
-                    continue
-                x = x.astype(np.float64)
-                top = np.abs(x).max()
-                if not np.isfinite(top) or top == 0:
-                    out.append(None)
-                    continue
-                x = x / top  # so that squares neither overflow nor vanish
-                out.append((x / np.sqrt(x @ x) + 0.0).astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "unit"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, unit binary")
+    finite = F.forall("v", lambda y: y.isNotNull() & (F.abs(y) < float("inf")))  # a NaN is larger than any number
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = rows.select("vec_id", F.when(finite, F.col("v")).otherwise(F.array().cast("array<double>")).alias("v")).mapInArrow(run, "vec_id long, unit binary")
     rows = materialize(rows.withColumn("class", F.when(F.col("vec_id").isNotNull() & F.col("unit").isNotNull(), F.sha2("unit", 256))))
     classes = rows.where("class is not null").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("unit").alias("unit"))
     return rows.select("vec_id", "class"), classes.withColumn("dim", F.expr("octet_length(unit) div 8"))
@@ -95,28 +96,70 @@ def _axes(classes: DataFrame, dim: int) -> np.ndarray:
     return axes[:, ::-1]
 
 
-def interval_pairs(low: np.ndarray, high: np.ndarray, eps: float) -> list[tuple[int, int]]:
-    """Pairs of blocks (i <= j) whose boxes are within eps, by joining halves of intervals of the sequence."""
-    boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+def near_boxes(low1: np.ndarray, high1: np.ndarray, low2: np.ndarray, high2: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the boxes (rows) of both sides that are within eps of one another."""
+    out = []
+    for i in range(len(low1)):
+        gap = np.maximum(0, np.maximum(low1[i] - high2, low2 - high1[i]))
+        js = np.flatnonzero((gap * gap).sum(axis=1) <= eps * eps)
+        out.append((np.full(len(js), i), js))
+    return tuple(np.concatenate([o[c] for o in out]) for c in (0, 1))
+
+
+def _intervals(nodes: DataFrame, parent: Column) -> DataFrame:
+    """Nodes (node, low, high) by their parent interval: parent, nodes, lows and highs (packed), and the parent's box."""
 
-    def box(a: int, b: int):
-        if (a, b) not in boxes:
-            boxes[a, b] = (low[a:b].min(axis=0), high[a:b].max(axis=0))
-        return boxes[a, b]
+    @released
+    def run(batches):
+        at, held = None, []
 
-    out, todo = [], [((0, len(low)), (0, len(low)))] if len(low) else []
-    while todo:
-        s, t = todo.pop()
-        (lo1, hi1), (lo2, hi2) = box(*s), box(*t)
-        gap = np.maximum(0, np.maximum(lo1 - hi2, lo2 - hi1))
-        if gap @ gap > eps * eps:
-            continue
-        if s[1] - s[0] == 1 and t[1] - t[0] == 1:
-            out.append((s[0], t[0]))
-            continue
-        halves = [[(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > 1 else [(a, b)] for a, b in (s, t)]
-        todo += [(x, y) for x in halves[0] for y in halves[1] if x <= y]
-    return out
+        def done():
+            lows, highs = (np.array([np.frombuffer(h[k]) for h in held]) for k in (1, 2))
+            raws = [np.array([h[0] for h in held], "<i8"), lows, highs, lows.min(axis=0), highs.max(axis=0)]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in raws)], ["parent", "nodes", "lows", "highs", "low", "high"])
+
+        for b in batches:
+            for up, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if up != at:
+                    if held:
+                        yield done()
+                    at, held = up, []
+                held.append(row)
+        if held:
+            yield done()
+
+    rows = nodes.select(parent.alias("parent"), "node", "low", "high").repartition("parent").sortWithinPartitions("parent", "node")
+    return materialize(rows.mapInArrow(run, "parent long, nodes binary, lows binary, highs binary, low binary, high binary"))
+
+
+def _interval_pairs(blocks: DataFrame, partitions: int, eps: float) -> DataFrame:
+    """Pairs (i <= j) of blocks whose boxes are within eps. Blocks of a partition are an interval of the sequence, FAN
+    intervals in a row are a longer one; from the whole sequence downwards each pair of intervals is joined part by part,
+    unless their boxes are too far apart."""
+    levels = [_intervals(blocks.select(F.col("block").alias("node"), "low", "high"), F.shiftright("node", 32))]
+    while partitions > 1:
+        up = levels[-1].select(F.col("parent").alias("node"), "low", "high")
+        levels.append(_intervals(up, F.expr(f"node div {FAN}")))
+        partitions = -(-partitions // FAN)
+
+    @released
+    def expand(batches):
+        for b in batches:
+            for i, j, n1, l1, h1, n2, l2, h2 in zip(*(c.to_pylist() for c in b.columns)):
+                n1, n2 = np.frombuffer(n1, "<i8"), np.frombuffer(n2, "<i8")
+                boxes = [np.frombuffer(x).reshape(len(n), -1) for x, n in ((l1, n1), (h1, n1), (l2, n2), (h2, n2))]
+                x, y = near_boxes(*boxes, eps)
+                x, y = n1[x], n2[y]
+                keep = (x <= y) | (i != j)
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()), pa.array(y[keep], pa.int64())], ["i", "j"])
+
+    side = lambda level, name, n: level.select(F.col("parent").alias(name), *(F.col(c).alias(c + n) for c in ("nodes", "lows", "highs")))
+    pairs = blocks.sparkSession.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    for level in reversed(levels):
+        both = pairs.join(side(level, "i", "1"), "i").join(side(level, "j", "2"), "j")
+        both = both.select("i", "j", "nodes1", "lows1", "highs1", "nodes2", "lows2", "highs2")
+        pairs = materialize(both.mapInArrow(expand, "i long, j long"))
+    return pairs
 
 
 def _forest(labels: np.ndarray, i: int, js: np.ndarray) -> list[int]:
@@ -161,7 +204,6 @@ def _compare(r1, s1, x, r2, s2, y, same: bool, axes: np.ndarray, cosine: float,
 
 def _joined(classes: DataFrame, dim: int, cosine: float, axes_used: int, block: int) -> DataFrame:
     """kind, a, b: kind 0: class rep a has b links to vectors of other classes; kind 1: a link between reps a and b."""
-    spark = classes.sparkSession
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     axes = _axes(classes, dim)
 
@@ -177,7 +219,8 @@ def _joined(classes: DataFrame, dim: int, cosine: float, axes_used: int, block:
 
     placed = classes.select("rep", "size", "unit").mapInArrow(place, "rep long, size long, unit binary, turned binary, cell binary")
     n = classes.count()
-    placed = placed.repartitionByRange(max(1, -(-n // (4 * block))), "cell", "rep").sortWithinPartitions("cell", "rep")
+    partitions = max(1, -(-n // (4 * block)))
+    placed = placed.repartitionByRange(partitions, "cell", "rep").sortWithinPartitions("cell", "rep")
 
     @released
     def blocks(batches):
@@ -202,12 +245,9 @@ def _joined(classes: DataFrame, dim: int, cosine: float, axes_used: int, block:
             yield done()
 
     made = materialize(placed.mapInArrow(blocks, "block long, reps binary, sizes binary, units binary, low binary, high binary"))
-    boxes = made.select("block", "low", "high").orderBy("block").collect()
-    low, high = (np.array([np.frombuffer(r[k]) for r in boxes]) for k in ("low", "high"))
-    pairs = [(boxes[i]["block"], boxes[j]["block"]) for i, j in interval_pairs(low, high, eps)]
+    pairs = _interval_pairs(made, partitions, eps).select(F.col("i").alias("block1"), F.col("j").alias("block2"))
     side = lambda s: made.select(*(F.col(c).alias(c + s) for c in ("block", "reps", "sizes", "units")))
-    asked = spark.createDataFrame(pairs or [(-1, -1)], "block1 long, block2 long")
-    asked = asked.repartition(max(1, min(4096, len(pairs) // 4)))
+    asked = pairs.repartition(max(1, pairs.count() // 4), "block1", "block2")
     both = asked.join(side("1"), "block1").join(side("2"), "block2").select("block1", "block2", "reps1", "sizes1", "units1", "reps2", "sizes2", "units2")
 
     @released
