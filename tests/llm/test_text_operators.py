@@ -170,13 +170,28 @@ def test_similar_sets_share_a_cell_and_pass_the_bound(k, num):
     sets = [s for s in shingles.shingle_sets([(x or "").encode() for x in texts], k) if len(s)]
     cells = [set(t.cells(s).tolist()) for s in sets]
     points = np.array([ngram_join.count_vector(s) for s in sets])
-    tree = ngram_join.RTree(points, node=4)
-    near = {i: set(found.tolist()) for i, found in tree.pairs(tree, t)}
+    labels = np.arange(len(sets)) // 3
+    half, other = (ngram_join.RTree(points[p], labels[p], node=4) for p in (slice(0, None, 2), slice(1, None, 2)))
+    tree, overlaps = ngram_join.RTree(points, labels, node=4), ngram_join.Overlaps(sets)
+    within = {frozenset(p) for a, b in ngram_join.tree_pairs(tree, tree, t) for p in zip(a.tolist(), b.tolist())}
+    across = {(2 * x, 2 * y + 1) for a, b in ngram_join.tree_pairs(half, other, t) for x, y in zip(a.tolist(), b.tolist())}
+    assert not any(labels[x] == labels[y] for x, y in [*map(sorted, within), *across])
     for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= num * (len(a) + len(b) - both):
-                assert cells[i] & cells[j] and j in near[i]
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            linked = 100 * both >= num * (len(a) + len(sets[j]) - both)
+            assert overlaps.linked(np.array([i]), np.array([j]), t)[0] == linked
+            if linked:
+                assert cells[i] & cells[j] and (labels[i] == labels[j] or {i, j} in within)
+                x, y = (i, j) if i % 2 == 0 else (j, i)
+                assert i % 2 == j % 2 or labels[i] == labels[j] or (x, y) in across
+
+
+def test_groups_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    texts = copies(9, n_groups=3, size=20)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == components(word_sets(texts, 4), 85, 100)
 
 
 @pytest.mark.parametrize("seed,k,num", [(6, 4, 85), (7, 5, 80), (8, 4, 85)])

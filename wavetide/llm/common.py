@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset and Spark runs on this
+    machine alone (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='wavetide-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -53,6 +57,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_PER_TASK = []
+
+
+def per_task(function):
+    """The function with its last results kept until the task ends."""
+    held = lru_cache(maxsize=2)(function)
+    _PER_TASK.append(held)
+    return held
+
+
 def released(kernel):
     """The Arrow kernel, giving its worker's free memory back to the system when a task ends: workers stay for later tasks."""
 
@@ -60,6 +74,8 @@ def released(kernel):
         try:
             yield from kernel(batches)
         finally:
+            for held in _PER_TASK:
+                held.cache_clear()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # not every C library has it
                 ctypes.CDLL(None).malloc_trim(0)

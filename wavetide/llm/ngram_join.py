@@ -12,14 +12,18 @@ both; a range's cell is named by a hash of its shingles. (A set with few non-emp
 Size classes grow so that similar sets lie in the same class or in neighbouring ones; a set names cells for its own
 class and for the one below.
 
-1. Cells are gathered by hash; each member is paired with the cell's smallest member (a star, not all pairs). Chunks of
-   a task combine first, so that a cell shared by any number of texts brings one entry a chunk.
+1. Cells are gathered by hash; each member is paired with the cell's smallest member, its hub (a star, not all pairs).
+   Chunks of a task combine first, so that a cell shared by any number of texts brings one entry a chunk.
 2. Star pairs within the bound are verified, and links joined into components.
-3. In cells whose members aren't all in one component, an R-tree join over their count vectors finds the other pairs of
-   different components (blocks of members against blocks, so a cell of any size is split); these are verified, too.
+3. Two sets that share a cell lie in the group of one hub. In groups whose members aren't all in one component, an R-tree
+   join over the count vectors marks the members that may be linked with a member of another component. Only their sets
+   are exchanged; the same join then verifies its pairs where they are found and returns a spanning forest of the links.
+   Both joins run on blocks of members, so a group of any size is split; blocks of a group's main component don't meet
+   each other.
 
-Step 3 leaves out only pairs that are connected already, so the components are those of all links. Sets are compared
-by 64-bit hashes of shingles (40 bits of them when verifying); bytes of texts aren't compared again.
+Step 3 leaves out only pairs that are connected already, so the components are those of all links. What a task returns
+grows with its members, not with their pairs. Sets are compared by 64-bit hashes of shingles; bytes of texts aren't
+compared again.
 
 Defined results: null text is empty; empty sets link with nothing and are their own component; equal sets link; a null
 id is kept, as a row of its own without links; repeated ids are one node; empty tables give no rows; other columns are
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +47,15 @@ from .shingles import mix, shingle_sets
 GROUPS = 256
 #: Bytes of text that a chunk of the shingle pass holds.
 CHUNK = 1 << 20
-#: Members of a cell's block in an R-tree join, and rows of a hub's part when verifying.
+#: Members of a block in an R-tree join, and rows of a hub's part when verifying.
 BLOCK = 2048
+#: Shingles of a block, about.
+WEIGHT = 1 << 20
+#: Shingles that one bucket of cells is made for.
+BUCKET = 1 << 21
 NODE = 16
+#: Pairs of nodes or points that are bounded at once.
+FRONTIER = 1 << 14
 
 
 class Threshold:
@@ -109,43 +120,89 @@ def unpack_counts(packed: list[bytes], groups: int = GROUPS) -> np.ndarray:
 
 
 class RTree:
-    """Packed R-tree: points sorted by size, then by their largest groups; nodes hold largest coordinates and sizes."""
+    """Packed R-tree of points that have a label (at least 0) each: sorted by label, size and largest groups; a node holds
+    its points' largest coordinates, their least and largest size, and their label where they have the same one (else -1)."""
 
-    def __init__(self, points: np.ndarray, node: int = NODE):
+    def __init__(self, points: np.ndarray, labels: np.ndarray, node: int = NODE):
         sizes = points.sum(axis=1)
-        self.order = np.lexsort((points[:, 1 % points.shape[1]], points[:, 0], sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels = []  # from the leaves' nodes upwards: first point, end, largest coordinates, least and largest size
-        first = np.arange(0, len(points), node)
-        while len(first):
-            end = np.append(first[1:], len(points))
-            self.levels.append((first, end, np.maximum.reduceat(self.points, first), self.sizes[first], self.sizes[end - 1]))
-            if len(first) == 1:
-                break
-            first = first[::node]
-
-    def pairs(self, other: RTree, t: Threshold) -> Iterator[tuple[int, np.ndarray]]:
-        """For each point of the other tree, the points (original numbers) that may be linked with it."""
-        for k in range(len(other.points)):
-            p, n = other.points[k], int(other.sizes[k])
-            live = np.array([0])
-            for level in range(len(self.levels) - 1, -1, -1):
-                first, end, top, low, high = self.levels[level]
-                ok = (t.num * low[live] <= t.den * n) & (t.den * high[live] >= t.num * n)
-                ok &= np.minimum(top[live], p).sum(axis=1) >= t.overlap_of(n + low[live])
-                live = live[ok]
-                if level:
-                    below = self.levels[level - 1][0]
-                    a, b = np.searchsorted(below, first[live]), np.searchsorted(below, end[live])
-                else:
-                    a, b = first[live], end[live]
-                live = np.concatenate([np.arange(x, y) for x, y in zip(a, b)]) if len(a) else np.empty(0, np.int64)
-                if not len(live):
-                    break
-            if len(live):
-                ok = np.minimum(self.points[live], p).sum(axis=1) >= t.overlap_of(n + self.sizes[live])
-                if ok.any():
-                    yield int(other.order[k]), self.order[live[ok]]
+        self.order = np.lexsort((points[:, 1 % points.shape[1]], points[:, 0], sizes, labels))
+        self.points, self.sizes, labels = points[self.order], sizes[self.order], labels[self.order]
+        self.levels = [(np.arange(len(points) + 1), self.points, self.sizes, self.sizes, labels)]
+        while len(self.levels[-1][1]) > 1:
+            _, top, low, high, label = self.levels[-1]
+            first = np.arange(0, len(top), node)
+            same = np.maximum.reduceat(label, first) == np.minimum.reduceat(label, first)
+            self.levels.append((np.append(first, len(top)), np.maximum.reduceat(top, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.where(same, label[first], -1)))
+
+
+def tree_pairs(left: RTree, right: RTree, t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points (original numbers) of different labels that may be linked, both trees descended side by side."""
+    depth = max(len(left.levels), len(right.levels))
+    stack = [(depth - 1, np.array([0]), np.array([0]))] if len(left.points) and len(right.points) else []
+    while stack:
+        level, a, b = stack.pop()
+        if len(a) > FRONTIER:
+            stack += [(level, a[k : k + FRONTIER], b[k : k + FRONTIER]) for k in range(0, len(a), FRONTIER)]
+            continue
+        la, lb = min(level, len(left.levels) - 1), min(level, len(right.levels) - 1)
+        _, top_a, low_a, high_a, label_a = left.levels[la]
+        _, top_b, low_b, high_b, label_b = right.levels[lb]
+        ok = (label_a[a] != label_b[b]) | (label_a[a] < 0)
+        ok &= (t.num * low_a[a] <= t.den * high_b[b]) & (t.num * low_b[b] <= t.den * high_a[a])
+        a, b = a[ok], b[ok]
+        ok = np.minimum(top_a[a], top_b[b]).sum(axis=1) >= t.overlap_of(low_a[a] + low_b[b])
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        if level == 0:
+            yield left.order[a], right.order[b]
+            continue
+        if la == level:
+            child = left.levels[level][0]
+            n = child[a + 1] - child[a]
+            b, a = np.repeat(b, n), _ranges(child[a], n)
+        if lb == level:
+            child = right.levels[level][0]
+            n = child[b + 1] - child[b]
+            a, b = np.repeat(a, n), _ranges(child[b], n)
+        if left is right:
+            ok = a <= b if level > 1 else a < b
+            a, b = a[ok], b[ok]
+        stack.append((level - 1, a, b))
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one range after another."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+
+
+class Overlaps:
+    """Sizes of intersections of sorted sets, by bit rows over the shingles that more than one set has."""
+
+    COLUMNS = 1 << 16
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        every, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        keep = count[index] > 1
+        self.rows, owner, column = [], owner[keep], column[index[keep]]
+        for lo in range(0, int(column.max(initial=-1)) + 1, self.COLUMNS):
+            part = (column >= lo) & (column < lo + self.COLUMNS)
+            width = min(self.COLUMNS, int(column.max()) + 1 - lo)
+            bits = np.zeros((len(sets), -(-width // 64)), dtype=np.uint64)
+            at = column[part] - lo
+            np.bitwise_or.at(bits.reshape(-1), owner[part] * bits.shape[1] + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+            self.rows.append(bits)
+
+    def linked(self, a: np.ndarray, b: np.ndarray, t: Threshold) -> np.ndarray:
+        both = np.zeros(len(a), dtype=np.int64)
+        for bits in self.rows:
+            step = max(1, (4 << 20) // (8 * bits.shape[1]))
+            for k in range(0, len(a), step):
+                both[k : k + step] += np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(axis=1, dtype=np.int64)
+        return t.den * both >= t.num * (self.sizes[a] + self.sizes[b] - both)
 
 
 # passes over the texts
@@ -182,11 +239,13 @@ def _features(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, set1 long, set2 long, counts binary")
 
 
-def _shared_cells(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFrame:
-    """kind, a, b. Kind 0: a star pair (smallest member, member). Kind 1: cell a of more than two texts has member b."""
+def _stars(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFrame:
+    """kind, a, b, docs. Kind 0: the members docs (packed) of cells whose smallest member in chunk b is a. Kind 1: a cell's
+    smallest member a, and b, the smallest one in a chunk."""
 
     @released
     def name(batches):
+        task = TaskContext.get().partitionId()
         for number, (ids, texts) in enumerate(_chunks(batches)):
             known, keys, docs = {}, [], []
             for i, s in sorted((x for x in zip(ids, shingle_sets(texts, k)) if x[0] is not None), key=lambda x: x[0]):
@@ -202,28 +261,20 @@ def _shared_cells(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFr
             head = np.concatenate([[True], key[1:] != key[:-1]])
             low = doc[np.flatnonzero(head)[np.cumsum(head) - 1]]
             tail = ~head & (doc != low)
-            out = [(0, -1, key[tail], doc[tail], low[tail])] if tail.any() else []
-            several = np.zeros(len(key), dtype=bool)  # heads of cells with other members in this chunk
-            several[:-1] = head[:-1] & ~head[1:]
-            key, doc, several = key[head], doc[head], several[head]
+            out = [(0, (task << 32) + number, *_unique(low[tail], doc[tail]))] if tail.any() else []
+            key, doc = key[head], doc[head]
             to = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                out.append((1, int(to[part[0]]), key[part], doc[part], several[part].astype(np.int64)))
-            # members beyond the first of a chunk go to any task: they only pass through
+                out.append((1, int(to[part[0]]), key[part], doc[part]))
+            # a chunk's own pairs go to any task: they only pass through
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] if x[0] else int(key[0] % np.uint64(buckets)) for x in out], pa.int64()), *(pa.array([np.ascontiguousarray(x[c]).tobytes() for x in out], pa.binary()) for c in (2, 3, 4))],
-                ["kind", "bucket", "keys", "docs", "extra"],
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *(pa.array([np.ascontiguousarray(x[c]).tobytes() for x in out], pa.binary()) for c in (2, 3))],
+                ["kind", "bucket", "keys", "docs"],
             )
 
-    def rows_of(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int64()), pa.array(a.astype(np.int64), pa.int64()), pa.array(b.astype(np.int64), pa.int64())], ["kind", "a", "b"])
-
-    def unique(a, b):
-        if not len(a):
-            return a, b
-        both = np.unique(np.stack([a, b], axis=1), axis=0)
-        return both[:, 0], both[:, 1]
+    def rows_of(kind, a, b, docs):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(docs, pa.binary())], ["kind", "a", "b", "docs"])
 
     @released
     def gather(batches):
@@ -232,37 +283,64 @@ def _shared_cells(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFr
         def done():
             key = np.concatenate([np.frombuffer(x[0], np.uint64) for x in held])
             doc = np.concatenate([np.frombuffer(x[1], np.int64) for x in held])
-            several = np.concatenate([np.frombuffer(x[2], np.int64) for x in held])
             order = np.lexsort((doc, key))
-            key, doc, several = key[order], doc[order], several[order]
+            key, doc = key[order], doc[order]
             head = np.concatenate([[True], key[1:] != key[:-1]])
-            group = np.cumsum(head) - 1
-            start = np.flatnonzero(head)
-            low = doc[start[group]]
-            yield rows_of(0, *unique(low[doc != low], doc[doc != low]))
-            many = (np.bincount(group) + np.add.reduceat(several, start)) > 2
-            many |= (np.bincount(group) > 1) & (np.add.reduceat(several, start) > 0)
-            many = many[group]
-            yield rows_of(1, key[many].view(np.int64), doc[many])
+            low = doc[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            a, b = _unique(low[doc != low], doc[doc != low])
+            return rows_of(1, a, b, [None] * len(a))
 
         for b in batches:
-            for kind, to, keys, docs, extra in zip(*(c.to_pylist() for c in b.columns)):
-                if kind == 0:
-                    key, doc, low = np.frombuffer(keys, np.int64), np.frombuffer(docs, np.int64), np.frombuffer(extra, np.int64)
-                    yield rows_of(0, *unique(low, doc))
-                    yield rows_of(1, np.concatenate([key, key]), np.concatenate([doc, low]))
+            for kind, to, keys, docs in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == 0:  # to is the chunk
+                    low, doc = np.frombuffer(keys, np.int64), np.frombuffer(docs, np.int64)
+                    start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+                    yield rows_of(0, low[start], np.full(len(start), to), [d.tobytes() for d in np.split(doc, start[1:])])
                     continue
                 if to != bucket and held:
-                    yield from done()
+                    yield done()
                     held = []
                 bucket = to
-                held.append((keys, docs, extra))
+                held.append((keys, docs))
         if held:
-            yield from done()
+            yield done()
 
-    packed = rows.mapInArrow(name, "kind long, bucket long, keys binary, docs binary, extra binary")
+    packed = rows.mapInArrow(name, "kind long, bucket long, keys binary, docs binary")
     packed = packed.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket")
-    return packed.mapInArrow(gather, "kind long, a long, b long")
+    return packed.mapInArrow(gather, "kind long, a long, b long, docs binary")
+
+
+def _members(packed: DataFrame) -> DataFrame:
+    """Distinct pairs (hub, doc_id) of sorted rows (hub, chunk, docs), for each chunk."""
+
+    @released
+    def unpack(batches):
+        key, held = None, []
+
+        def pairs():
+            docs = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), key[0]), pa.int64()), pa.array(docs, pa.int64())], ["hub", "doc_id"])
+
+        for b in batches:
+            for hub, chunk, docs in zip(*(c.to_pylist() for c in b.columns)):
+                if (hub, chunk) != key:
+                    if held:
+                        yield pairs()
+                    key, held = (hub, chunk), []
+                held.append(np.frombuffer(docs, np.int64))
+        if held:
+            yield pairs()
+
+    return packed.mapInArrow(unpack, "hub long, doc_id long")
+
+
+def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def _within_bound(pairs: DataFrame, features: DataFrame, t: Threshold) -> DataFrame:
@@ -284,36 +362,37 @@ def _within_bound(pairs: DataFrame, features: DataFrame, t: Threshold) -> DataFr
     return joined.mapInArrow(bound, "a long, b long, na long, nb long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Those of pairs (a, b) that are linked: each a (hub) meets the sets of its b, split into parts of bounded size."""
-    load = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("long").alias("parts"))
-    spread = pairs.join(load, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
-    asked = spread.select(F.col("b").alias("doc_id"), "a", "part").unionByName(load.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "part")).alias("asked"))
-    # texts move once, whatever their number: no switch to a broadcast of a list that grows with the corpus
+def _dealt(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The sets of texts at the places that ask for them. asked: doc_id, place (a struct of longs; no two are equal).
+
+    Result: the fields of place, doc_id, raw. Texts move once, whatever the number of places."""
+    asked = asked.groupBy("doc_id").agg(F.collect_list("place").alias("asked"))
+    fields = asked.schema["asked"].dataType.elementType.names
+    # no switch to a broadcast of a list that grows with the corpus
     texts = rows.where("doc_id is not null").join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked")
 
     @released
     def sets(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
                 made = shingle_sets([(x or "").encode() for x in part.column(1).to_pylist()], k)
-                hubs, parts, ids, own, raws = [], [], [], [], []
-                for i, s, asked in zip(part.column(0).to_pylist(), made, part.column(2).to_pylist()):
-                    raw = np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-                    for x in asked:
-                        hubs.append(x["a"])
-                        parts.append(x["part"])
-                        ids.append(i)
-                        own.append(int(x["a"] != i))
-                        raws.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hubs, parts, own, ids)] + [pa.array(raws, pa.binary())], ["hub", "part", "own", "doc_id", "raw"])
-
-    def unpack(raw: bytes) -> np.ndarray:
-        x = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-        x[:, 3:] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        return x.reshape(-1).view(np.uint64)
+                where = part.column(2)
+                count = np.diff(where.offsets.to_numpy())
+                flat = where.flatten()
+                raws = pa.array([s.tobytes() for s in made], pa.binary()).take(pa.array(np.repeat(np.arange(len(made)), count)))
+                yield pa.RecordBatch.from_arrays([*flat.flatten(), part.column(0).take(pa.array(np.repeat(np.arange(len(made)), count))), raws], [*fields, "doc_id", "raw"])
+
+    return texts.mapInArrow(sets, ", ".join(f"{c} long" for c in [*fields, "doc_id"]) + ", raw binary")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """Those of pairs (a, b) that are linked: each a (hub) meets the sets of its b, split into parts of bounded size."""
+    load = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("long").alias("parts"))
+    spread = pairs.join(load, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
+    place = lambda own, part: F.struct(F.col("a").alias("hub"), part.alias("part"), F.lit(own).cast("long").alias("own")).alias("place")
+    hubs = load.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    asked = spread.select(F.col("b").alias("doc_id"), place(1, F.col("part"))).unionByName(hubs.select("doc_id", place(0, F.col("part"))))
 
     @released
     def verify(batches):
@@ -321,10 +400,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFr
         for b in batches:
             a, c = [], []
             for h, p, own, i, raw in zip(*(x.to_pylist() for x in b.columns)):
+                s = np.frombuffer(raw, np.uint64)
                 if own == 0:
-                    hub, base = (h, p), unpack(raw)
+                    hub, base = (h, p), s
                     continue
-                s = unpack(raw)
                 at = np.searchsorted(base, s)
                 both = int(np.count_nonzero(base[np.minimum(at, len(base) - 1)] == s)) if len(base) else 0
                 if (h, p) == hub and t.den * both >= t.num * (len(base) + len(s) - both):
@@ -332,50 +411,126 @@ def _verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFr
                     c.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    dealt = texts.mapInArrow(sets, "hub long, part long, own long, doc_id long, raw binary")
-    dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "own")
+    dealt = _dealt(asked, rows, k).repartition("hub", "part").sortWithinPartitions("hub", "part", "own")
     return dealt.mapInArrow(verify, "a long, b long")
 
 
-def _cell_pairs(members: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of different components that the R-trees of cells can't rule out. members: cell, doc_id, component, counts."""
-    load = members.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("long").alias("blocks"))
-    m = members.join(load, "cell").withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)"))
-    m = m.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    m = m.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "counts")
-    m = m.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+def _pairs(stars: DataFrame) -> DataFrame:
+    """The star pairs (a, b) of both kinds."""
+    own = _members(stars.where("kind = 0").select(F.col("a").alias("hub"), F.col("b").alias("chunk"), "docs"))
+    return stars.where("kind = 1").select("a", "b").unionByName(own.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
+
+
+_SPOT = ["hub", "i", "j", "only"]
+
+
+def _blocks(stars: DataFrame, found: DataFrame, single: DataFrame) -> DataFrame:
+    """Members of the hubs' groups at the block pairs where they meet others: hub, i, j, only, side, doc_id, component, counts.
+
+    A group's most frequent component has blocks i, its other members have blocks j; a block i meets each j, and blocks j
+    meet one another (only: without a block i; else one block j is with itself, too, where i is 0)."""
+    top = stars.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("a"))
+    chunk = stars.where("kind = 0").select("a", F.col("b").alias("chunk"), "docs")
+    # a chunk's member belongs to the hubs of its chunk's smallest member, too
+    through = _members(top.join(chunk, "a").select("hub", "chunk", "docs").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk"))
+    both = _pairs(stars).select(F.col("a").alias("hub"), F.col("b").alias("doc_id"))
+    member = both.unionByName(through).unionByName(both.select("hub", F.col("hub").alias("doc_id"))).distinct()
+    member = member.join(single.select("doc_id", "n", "counts"), "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    member = materialize(member.withColumn("component", F.coalesce("component", "doc_id")))
+    unit = member.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    group = unit.groupBy("hub").agg(F.max(F.struct("size", "component", "weight")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    group = group.where("size > main.size").select(
+        "hub",
+        F.col("main.component").alias("main"),
+        F.expr(f"div(main.size, {BLOCK}) + div(main.weight, {WEIGHT}) + 1").alias("wide"),
+        F.expr(f"div(size - main.size, {BLOCK}) + div(weight - main.weight, {WEIGHT}) + 1").alias("high"),
+    )
+    m = member.join(group, "hub").withColumn("side", (F.col("component") != F.col("main")).cast("long"))
+    m = m.withColumn("block", F.expr("pmod(xxhash64(doc_id), if(side = 0, wide, high))"))
+    meets = F.expr("""if(side = 0, transform(sequence(0L, high - 1), x -> struct(block as i, x as j, 0L as only)),
+        concat(transform(sequence(0L, wide - 1), x -> struct(x as i, block as j, 0L as only)),
+         transform(filter(sequence(0L, high - 1), x -> x != block), x -> struct(least(x, block) as i, greatest(x, block) as j, 1L as only))))""")
+    return m.withColumn("at", F.explode(meets)).select("hub", "at.i", "at.j", "at.only", "side", "block", "doc_id", "component", "counts")
+
+
+class _Meeting:
+    """The members of one block pair, and the pairs of different components that their R-trees can't rule out."""
+
+    def __init__(self, spot, rows):
+        self.spot = spot
+        self.side, self.block, self.doc, self.component = (np.array(x, dtype=np.int64) for x in list(zip(*rows))[:4])
+        self.label = np.unique(self.component, return_inverse=True)[1]
+        self.points = unpack_counts([r[4] for r in rows])
+
+    def pairs(self, t: Threshold):
+        _, i, j, only = self.spot
+        parts = [np.flatnonzero(self.block == x) for x in (i, j)] if only else [np.flatnonzero(self.side == x) for x in (0, 1)]
+        trees = [RTree(self.points[p], self.label[p]) if len(p) else None for p in parts]
+        meets = [(0, 1)] if only or i else [(0, 1), (1, 1)]
+        for x, y in meets:
+            if trees[x] and trees[y]:
+                for a, b in tree_pairs(trees[x], trees[y], t):
+                    yield parts[x][a], parts[y][b]
+
+
+def _meetings(batches, width: int):
+    """(spot, rows) of sorted batches."""
+    spot, rows = None, []
+    for b in batches:
+        for *at, row in zip(*(c.to_pylist() for c in b.columns[:4]), zip(*(c.to_pylist() for c in b.columns[4 : 4 + width]))):
+            if at != spot:
+                if len(rows) > 1:
+                    yield spot, rows
+                spot, rows = at, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield spot, rows
+
+
+def _near_others(blocks: DataFrame, t: Threshold) -> DataFrame:
+    """Members that the count vectors let be linked with a member of another component: doc_id, place."""
 
     @released
-    def join(batches):
-        key, held = None, []
+    def bound(batches):
+        for spot, rows in _meetings(batches, 5):
+            meeting = _Meeting(spot, rows)
+            near = np.zeros(len(rows), dtype=bool)
+            for a, b in meeting.pairs(t):
+                near[a] = near[b] = True
+            at = np.flatnonzero(near)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x), pa.int64()) for x in spot] + [pa.array(x[at], pa.int64()) for x in (meeting.side, meeting.block, meeting.component, meeting.doc)], [*_SPOT, "side", "block", "component", "doc_id"])
 
-        def pairs():
-            block, ids, comp = (np.array(x, dtype=np.int64) for x in list(zip(*held))[:3])
-            points = unpack_counts([h[3] for h in held])
-            left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-            if len(left) and len(right):
-                tree = RTree(points[left])
-                for k, found in tree.pairs(tree if key[1] == key[2] else RTree(points[right]), t):
-                    r, ls = right[k], left[found]
-                    for x in ids[ls[comp[ls] != comp[r]]].tolist():
-                        yield min(x, int(ids[r])), max(x, int(ids[r]))
-
-        def batch(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    dealt = blocks.select(*_SPOT, "side", "block", "doc_id", "component", "counts").repartition(*_SPOT).sortWithinPartitions(*_SPOT)
+    near = dealt.mapInArrow(bound, ", ".join(f"{c} long" for c in [*_SPOT, "side", "block", "component", "doc_id"]))
+    return near.select("doc_id", F.struct(*_SPOT, "side", "block", "component").alias("place"))
 
-        for b in batches:
-            out: set = set()
-            for cell, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if (cell, i, j) != key:
-                    if len(held) > 1:
-                        out.update(pairs())
-                    key, held = (cell, i, j), []
-                held.append(row)
-            yield batch(list(out))
-        if len(held) > 1:
-            yield batch(list(set(pairs())))
 
-    return m.mapInArrow(join, "a long, b long").distinct()
+def _forest(near: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """Links (a, b) that join the components of each block pair."""
+
+    @released
+    def join(batches):
+        for spot, held in _meetings(batches, 5):
+            sets = [np.frombuffer(h[4], np.uint64) for h in held]
+            meeting = _Meeting(spot, [(side, block, doc, component, pack_counts(count_vector(s))) for (side, block, component, doc, _), s in zip(held, sets)])
+            overlaps = Overlaps(sets)
+            root = np.arange(meeting.label.max() + 1)
+            links = []
+            for a, b in meeting.pairs(t):
+                open_ = root[meeting.label[a]] != root[meeting.label[b]]
+                a, b = a[open_], b[open_]
+                ok = overlaps.linked(a, b, t)
+                for x, y in zip(a[ok].tolist(), b[ok].tolist()):
+                    cx, cy = root[meeting.label[[x, y]]]
+                    if cx != cy:
+                        root[root == cy] = cx
+                        links.append((int(meeting.doc[x]), int(meeting.doc[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    dealt = _dealt(near, rows, k).repartition(*_SPOT).sortWithinPartitions(*_SPOT)
+    return dealt.select(*_SPOT, "side", "block", "component", "doc_id", "raw").mapInArrow(join, "a long, b long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -383,29 +538,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark, t = df.sparkSession, Threshold(num, den)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = materialize(_features(rows, k))
-    shared = materialize(_shared_cells(rows, k, t, max(32, 2 * shuffle_partitions(spark))))
+    shingles = features.agg(F.sum("n")).first()[0] or 0
+    stars = materialize(_stars(rows, k, t, max(32, 2 * shuffle_partitions(spark), shingles // BUCKET)))
 
     named = features.where("n > 0 and doc_id is not null")
     first = named.groupBy("set1", "set2").agg(F.min("doc_id").alias("a"))
     equal = named.join(first, ["set1", "set2"]).where("doc_id != a").select("a", F.col("doc_id").alias("b"))
     single = named.dropDuplicates(["doc_id"])
 
-    stars = shared.where("kind = 0 and a != b").select("a", "b").distinct()
-    near = materialize(_within_bound(stars, single, t))
+    near = materialize(_within_bound(_pairs(stars).distinct(), single, t))
     links = materialize(_verified(near, rows, k, t).unionByName(equal))
     found = materialize(components(links))
 
-    members = shared.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("doc_id")).distinct()
-    members = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    # cells with the same members are one: named by their number and two sums of hashes
-    sums = [F.sum(F.expr(f"cast(xxhash64(doc_id, {x}) as decimal(20, 0))")).alias(f"sum{x}") for x in (1, 2)]
-    open_ = members.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), *sums)
-    open_ = open_.where("lo != hi").groupBy("size", "sum1", "sum2").agg(F.min("cell").alias("cell")).select("cell")
-    members = members.join(open_, "cell").join(single.select("doc_id", "counts"), "doc_id")
-    more = materialize(_cell_pairs(members, t))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, rows, k, t))
-        found = materialize(components(links))
+    others = materialize(_near_others(_blocks(stars, found, single), t))
+    if not others.isEmpty():
+        found = materialize(components(links.unionByName(materialize(_forest(others, rows, k, t)))))
     return features.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
 
 import numpy as np
 
+from .common import per_task
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -25,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+@per_task
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_ODD, _INVERSE):
@@ -39,8 +41,44 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """For each text (UTF-8), its distinct k-word shingles, sorted; fewer words make one shingle, none an empty set.
 
     Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return, with A-Z in
-    lower case.
+    lower case. Texts are read PIECE bytes at a time, long ones in parts that share k - 1 words.
     """
+    out, part, held = [], [], 0
+    for t in texts:
+        if part and held + len(t) > PIECE:
+            out += _sets(part, k)
+            part, held = [], 0
+        if len(t) > PIECE:
+            out.append(_long_set(t, k))
+        else:
+            part.append(t)
+            held += len(t)
+    return out + _sets(part, k)
+
+
+#: Bytes that are hashed at once, and the whitespace between words.
+PIECE = 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0d]+")
+
+
+def _long_set(text: bytes, k: int) -> np.ndarray:
+    """The set of one text, by parts that end between words."""
+    sets, at, size = [], 0, PIECE
+    while True:
+        gap = _GAP.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        words = text[at:end].rsplit(None, k - 1)  # all but the last k - 1 words, and these
+        if end == len(text) or len(words) == k:
+            if len(words) == k or not sets:
+                sets += _sets([text[at:end]], k)
+            if end == len(text):
+                return np.unique(np.concatenate(sets))
+            at, size = at + len(words[0]), PIECE
+        else:
+            size *= 2
+
+
+def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     if not texts:
         return []
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
