@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, released, shuffle_partitions, table
+from .common import materialize, per_task, released, shuffle_partitions, table
 from .shingles import mix
 
 LENGTH = 50
 #: Bytes under a trigger's hash, of the default length.
 SEED_BYTES = 24
-CHUNK = 2 << 20
+#: Bytes of text whose phrases are grouped together, and that are parsed at once.
+CHUNK, PIECE = 2 << 20, 1 << 18
+#: Bytes of text that one bucket is made for, and parts of a bucket's triggers, of which a task holds one at a time.
+BUCKET, PARTS = 8 << 20, 8
 #: Windows of a phrase at most; a longer one (periodic text) is cut.
 LONGEST = 1024
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -49,7 +51,7 @@ _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _TABLE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=2)
+@per_task
 def _powers(n: int):
     out = []
     for base in (_ODD, _INVERSE):
@@ -82,7 +84,31 @@ def _from_low_bytes(raw: bytes, n: int) -> np.ndarray:
 
 
 def parse(texts: list[bytes], length: int = LENGTH, seed: int = SEED_BYTES) -> tuple[np.ndarray, ...]:
-    """Phrases of all texts: text number, first byte, windows, trigger, name of the content."""
+    """Phrases of all texts: text number, first byte, windows, trigger, name of the content.
+
+    PIECE bytes are parsed at a time, long texts in parts that share length - 1 bytes, so that no window is in two."""
+    found, part, held = [], [], 0
+
+    def flush():
+        text, start, *rest = _parse([t for _, _, t in part], length, seed)
+        number, first = (np.array([p[c] for p in part], dtype=np.int64) for c in (0, 1))
+        found.append((number[text], first[text] + start, *rest))
+        part.clear()
+
+    for k, t in enumerate(texts):
+        for lo in range(0, max(1, len(t) - length + 1), PIECE):
+            piece = t[lo : lo + PIECE + length - 1]
+            if part and held + len(piece) > PIECE + length:
+                flush()
+                held = 0
+            part.append((k, lo, piece))
+            held += len(piece)
+    if part:
+        flush()
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(5)) if found else _parse([], length, seed)
+
+
+def _parse(texts: list[bytes], length: int, seed: int) -> tuple[np.ndarray, ...]:
     buf = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     none = tuple(np.empty(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
@@ -417,10 +443,10 @@ def _window_repeats(owned: DataFrame, length: int, buckets: int, homes: int) ->
     return owned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PACKED_TYPES)
 
 
-def _cut(texts: DataFrame, length: int) -> DataFrame:
+def _cut(texts: DataFrame, length: int, as_text: bool) -> DataFrame:
     """doc_id, n_bytes, spans, kept, and the other columns of texts."""
     others = texts.columns[8:]
-    shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), *(texts.schema[c] for c in others)])
+    shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(texts.schema[c] for c in others)])
     span = pa.list_(pa.list_(pa.int64()))
 
     @released
@@ -442,24 +468,25 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                     at = hi
                 parts.append(raw[at:])
                 spans_of.append(spans)
-                kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array(spans_of, span), pa.array(kept, pa.binary()), *rest], ["doc_id", "n_bytes", "spans", "kept", *others])
+                kept.append(b"".join(parts).decode("utf-8", errors="ignore") if as_text else b"".join(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array(spans_of, span), pa.array(kept, pa.string() if as_text else pa.binary()), *rest], ["doc_id", "n_bytes", "spans", "kept", *others])
 
     return texts.mapInArrow(run, shape)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: bool = False) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs as [start, end)), kept (the other bytes), for every row; with carry also
-    row, a struct of all columns but the text."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: bool = False, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans (removed runs as [start, end)), kept (the other bytes; as_text: a string of them, without
+    characters that are cut in half), for every row; with carry also row, a struct of all columns but the text."""
     seed = max(1, min(SEED_BYTES, length // 2))
-    buckets = max(32, shuffle_partitions(df.sparkSession))
+    size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(32, shuffle_partitions(df.sparkSession), size // BUCKET)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")] if carry else []))
-    entries = _entries(rows.where("doc_id is not null").select("doc_id", "text"), length, seed, buckets, buckets)
+    entries = _entries(rows.where("doc_id is not null").select("doc_id", "text"), length, seed, PARTS * buckets, buckets)
     known = materialize(_dictionary(entries, buckets, buckets))
     owned = _owned_bytes(_with_homes(rows.select("doc_id", "text"), known.where(F.col("kind") == OPEN), buckets), length)
     more = _window_repeats(owned, length, buckets, buckets)
     removed = known.where(F.col("kind") == REMOVED).unionByName(more)
-    return _cut(_with_homes(rows, removed, buckets), length)
+    return _cut(_with_homes(rows, removed, buckets), length, as_text)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
