@@ -6,11 +6,10 @@ columns of docs. Null texts count as empty; an empty table passes through; extra
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetide.llm.common import materialize, released, small_batches, table
+from wavetide.llm.common import materialize, small_batches, table
 from wavetide.llm.langid import fit_language, keep_language
 from wavetide.llm.ngram_join import jaccard_components
 from wavetide.llm.packing import best_fit_pack
@@ -54,15 +53,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id don't remove each other's bytes, and rows without an id keep theirs."""
     small_batches(spark)
-
-    @released
-    def text(batches):
-        for b in batches:
-            kept = pa.array([x.decode("utf-8", errors="ignore") for x in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), kept], ["row", "kept"])
-
-    cut = remove_repeats(docs, carry=True).select("row", "kept")
-    cut = cut.mapInArrow(text, cut.select("row").schema.add("kept", "string"))
+    cut = remove_repeats(docs, carry=True, as_text=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
