@@ -17,9 +17,12 @@ from wavetide.kernels.dsp import buf_to_float, resample
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder that spark.checkpoint.dir names, else a local one."""
+    """A new folder below the shared folder that spark.checkpoint.dir names; below a local one only where that is unset and
+    Spark runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='wavetide-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/wav-{uuid.uuid4().hex}"
