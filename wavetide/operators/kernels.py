@@ -42,27 +42,61 @@ SHAPES = {
 }
 
 
-def _rows(shape: str, result) -> list[list]:
+def _lists(x) -> pa.Array:
+    """Rows of a matrix as lists of doubles."""
+    x = np.ascontiguousarray(x, float)
+    x = x.reshape(len(x), -1) if len(x) else np.empty((0, 0))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _rows(shape: str, result) -> list[pa.Array]:
     """Columns of a kernel's result."""
-    if shape in ("signal", "value", "text"):
-        return [[result.tolist() if shape == "signal" else result]]
+    count = lambda x: pa.array(np.arange(len(x)), _L)
+    if shape == "signal":
+        return [_lists(np.asarray(result, float)[None])]
+    if shape in ("value", "text"):
+        return [pa.array([result], SHAPES[shape][0][1])]
     if shape == "frames":
-        return [list(range(len(result))), result.tolist()]
+        return [count(result), _lists(result)]
     if shape == "complex":
-        return [list(range(len(result))), result.real.tolist(), result.imag.tolist()]
+        return [count(result), _lists(result.real), _lists(result.imag)]
     if shape == "two_complex":
-        return [list(range(len(result[0]))), *(p.tolist() for x in result for p in (x.real, x.imag))]
+        return [count(result[0]), *(_lists(p) for x in result for p in (x.real, x.imag))]
     if shape in ("series", "flags", "events"):
-        return [list(range(len(result))), np.asarray(result).tolist()]
+        return [count(result), pa.array(np.asarray(result, {"series": float, "flags": bool, "events": np.int64}[shape]))]
     if shape in ("intervals", "path"):
-        return [list(range(len(result))), [int(a) for a, _ in result], [int(b) for _, b in result]]
+        x = np.array(result, np.int64).reshape(-1, 2)
+        return [count(x), pa.array(x[:, 0]), pa.array(x[:, 1])]
     if shape == "edges":
         i, j = np.nonzero(result)
-        return [i.tolist(), j.tolist(), result[i, j].tolist()]
+        return [pa.array(i, _L), pa.array(j, _L), pa.array(result[i, j], _F)]
     if shape == "beats":
         bpm, beats = result
-        return [[float(bpm)] * len(beats), list(range(len(beats))), beats.tolist()]
-    return [list(range(len(result[0]))), *(np.asarray(x).tolist() for x in result)]
+        return [pa.array(np.full(len(beats), bpm), _F), count(beats), pa.array(beats, _L)]
+    if shape == "pitch":
+        return [count(result[0]), *(pa.array(x) for x in result)]
+    return [count(result[0]), *map(_lists, result)]
+
+
+def _inputs(column: pa.Array):
+    """Each row's number, vector or matrix; None for a null."""
+    if not pa.types.is_list(column.type):
+        yield from column.to_pylist()
+        return
+    known, at, inner = column.is_valid().to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.values
+    matrix = pa.types.is_list(inner.type)
+    places = inner.offsets.to_numpy() if matrix else None
+    flat = (inner.values if matrix else inner).to_numpy(zero_copy_only=False)
+    for ok, a, b in zip(known, at, at[1:]):
+        if not ok:
+            yield None
+        elif not matrix:
+            yield flat[a:b].astype(float)
+        else:
+            widths = np.diff(places[a : b + 1])
+            if len(widths) and (widths != widths[0]).any():
+                raise ValueError("frames of one signal must have one length")
+            yield flat[places[a] : places[b]].astype(float).reshape(b - a, -1) if len(widths) and widths[0] else np.empty((b - a, 0) if b > a else 0)
 
 
 def apply(df: DataFrame, kernel: Callable, inputs: tuple[str, ...], shape: str, skip: bool = False, key: str = "signal_id") -> DataFrame:
@@ -72,19 +106,21 @@ def apply(df: DataFrame, kernel: Callable, inputs: tuple[str, ...], shape: str,
     def run(batches):
         for b in batches:
             keys, out = [], [[] for _ in columns]
-            for k, *args in zip(*(c.to_pylist() for c in b.columns)):
+            kind = b.schema.field(0).type
+            for k, *args in zip(b.column(0), *map(_inputs, b.columns[1:])):
                 if any(a is None for a in args):
                     continue
                 try:
-                    made = _rows(shape, kernel(*(np.array(a, float) if isinstance(a, list) else a for a in args)))
+                    made = _rows(shape, kernel(*args))
                 except ValueError:
                     if not skip:
                         raise
                     continue
-                keys += [k] * len(made[0])
-                for o, m in zip(out, made):
-                    o += m
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *(pa.array(o, t) for o, (_, t, _) in zip(out, columns))], [key, *(n for n, _, _ in columns)])
+                keys.append(pa.repeat(k, len(made[0])))
+                for o, m, (_, t, _) in zip(out, made, columns):
+                    o.append(m if m.type == t else m.cast(t))
+            join = lambda parts, t: pa.concat_arrays(parts) if parts else pa.array([], t)
+            yield pa.RecordBatch.from_arrays([join(keys, kind), *(join(o, t) for o, (_, t, _) in zip(out, columns))], [key, *(n for n, _, _ in columns)])
 
     schema = T.StructType([df.schema[key], *(T.StructField(name, kind) for name, _, kind in columns)])
     return df.select(key, *inputs).mapInArrow(run, schema)

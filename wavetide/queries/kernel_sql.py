@@ -183,3 +183,52 @@ SQL["transition_local"] = "SELECT i AS m, j AS k, CASE WHEN i = 5 THEN 1.0 ELSE
 SQL["mel"] = """WITH e AS (SELECT i, i * (15 + ln(11.025) * 27 / ln(6.4)) / 21 AS mel FROM range(22) q(i)), h AS (SELECT i, CASE WHEN mel < 15 THEN 200 * mel / 3 ELSE 1000 * exp(ln(6.4) / 27 * (mel - 15)) END AS hz FROM e),
  b AS (SELECT x.i AS m, x.hz AS lo, y.hz AS mid, z.hz AS hi FROM h x JOIN h y ON y.i = x.i + 1 JOIN h z ON z.i = x.i + 2),
  w AS (SELECT m, k, greatest(0, least((f - lo) / (mid - lo), (hi - f) / (hi - mid))) * 2 / (hi - lo) AS w FROM b, (SELECT k, k * 22050.0 / 512 AS f FROM range(257) q(k))) SELECT m, k, round(w, 6) + 0.0 AS w FROM w WHERE w > 0"""
+
+SQL["lpc"] = f"""WITH RECURSIVE {LONG}, s AS (SELECT signal_id, list(v ORDER BY n) AS y FROM l GROUP BY 1),
+ r(signal_id, i, a, f, b, den) AS (SELECT signal_id, 0, [1.0::DOUBLE], y[2:len(y)], y[1:len(y) - 1], list_dot_product(y[2:len(y)], y[2:len(y)]) + list_dot_product(y[1:len(y) - 1], y[1:len(y) - 1]) FROM s
+  UNION ALL SELECT signal_id, i + 1, list_transform(range(1, len(a) + 2), lambda j: coalesce(a[j], 0) + k * coalesce(a[len(a) + 2 - j], 0)), f2[2:len(f2)], b2[1:len(b2) - 1], (1 - k * k) * den - pow(b2[len(b2)], 2) - pow(f2[1], 2)
+  FROM (SELECT *, list_transform(range(1, len(f) + 1), lambda j: f[j] + k * b[j]) AS f2, list_transform(range(1, len(f) + 1), lambda j: b[j] + k * f[j]) AS b2
+   FROM (SELECT *, -2 * list_dot_product(b, f) / (den + {_TINY}) AS k FROM r WHERE i < 4)))
+ SELECT signal_id, list_transform(a, lambda x: round(x, 5) + 0.0) AS y FROM r WHERE i = 4"""
+
+SQL["onset_detect_envelope"] = f"""WITH RECURSIVE {LONG}, e AS (SELECT signal_id, n, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + {_TINY}) AS v FROM l WINDOW w AS (PARTITION BY signal_id)),
+ p AS (SELECT signal_id, n, v, max(v) OVER (PARTITION BY signal_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS top, avg(v) OVER (PARTITION BY signal_id ORDER BY n ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS mean FROM e),
+ c AS (SELECT signal_id, list(n ORDER BY n) AS c FROM p WHERE v = top AND v >= mean + 0.07 GROUP BY 1),
+ g(signal_id, c, event_no, frame) AS (SELECT signal_id, c, 0, c[1] FROM c UNION ALL SELECT signal_id, c, event_no + 1, list_filter(c, lambda x: x > frame + 1)[1] FROM g WHERE len(list_filter(c, lambda x: x > frame + 1)) > 0)
+ SELECT signal_id, CAST(event_no AS BIGINT) AS event_no, CAST(frame AS BIGINT) AS frame FROM g"""
+
+_RATIOS = [4, 8 / 3, 3, 2, 4 / 3, 3 / 2, 1, 2 / 3, 3 / 4, 1 / 2, 1 / 3, 3 / 8, 1 / 4]
+_BEAT = 60 * SR / HOP
+SQL["tempogram_ratio"] = f"""WITH {tempogram(32)}, {scores('tg')}, {values("q", "k, ratio", [(k, float(x)) for k, x in enumerate(_RATIOS)])},
+ x AS (SELECT signal_id, t, q.k, bpm * ratio AS hz, {_BEAT} / (bpm * ratio) AS lag FROM top, q),
+ o AS (SELECT x.signal_id, x.t, x.k, CASE WHEN lag < 1 - 1e-9 OR lag > 31 + 1e-9 THEN 0 WHEN a.k = b.k THEN a.v ELSE a.v + (hz - {_BEAT} / a.k) / ({_BEAT} / b.k - {_BEAT} / a.k) * (b.v - a.v) END AS v
+  FROM x JOIN tg a ON a.signal_id = x.signal_id AND a.t = x.t AND a.k = greatest(1, least(31, ceil(lag - 1e-9))) JOIN tg b ON b.signal_id = x.signal_id AND b.t = x.t AND b.k = greatest(1, least(31, floor(lag + 1e-9)))) {frames("o")}"""
+
+SQL["match_intervals_kernel"] = f"""WITH {COUNTED}, s AS (SELECT signal_id, k, 12 * k AS a, 12 * k + 10 AS b FROM c, range(1000) q(k) WHERE 12 * k <= size - 12), g AS (SELECT signal_id, k, 12 * k + 2 AS a, 12 * k + 11 AS b FROM c, range(1000) q(k) WHERE 12 * k + 2 <= size - 12),
+ x AS (SELECT s.signal_id, s.k AS event_no, g.k AS frame, least(s.b, g.b) - greatest(s.a, g.a) AS both_, greatest(s.b, g.b) - least(s.a, g.a) AS span, g.a > s.b AS behind FROM s JOIN g USING (signal_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, event_no ORDER BY both_ >= 0 DESC, CASE WHEN both_ >= 0 THEN both_ / CAST(span AS DOUBLE) END DESC, both_ DESC, behind, frame) AS rank FROM x)
+ SELECT signal_id, event_no, frame FROM r WHERE rank = 1"""
+
+SQL["resample_fft"] = f"""WITH {COUNTED}, z AS (SELECT l.signal_id, k, CAST(ceil(size * 0.75) AS BIGINT) AS m, size, sum(v * cos(2 * pi() * k * n / size)) AS re, -sum(v * sin(2 * pi() * k * n / size)) AS im FROM l JOIN c USING (signal_id), range(1000) q(k) WHERE k <= ceil(size * 0.75) // 2 GROUP BY ALL),
+ o AS (SELECT signal_id, i AS n, sum(CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * i / m) - im * sin(2 * pi() * k * i / m))) / any_value(size) AS v FROM z, range(1000) q(i) WHERE i < m GROUP BY 1, 2) {signal("o")}"""
+
+SQL["reassigned_spectrogram"] = f"""WITH {COUNTED}, fr AS (SELECT l.signal_id, CAST((n - i) / {HOP} AS BIGINT) AS t, i, v FROM l JOIN c USING (signal_id), range({N}) q(i) WHERE n >= i AND (n - i) % {HOP} = 0 AND n - i + {N} <= size),
+ w AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / {N}) AS w, (0.5 - 0.5 * cos(2 * pi() * (i + 1) / {N}) - 0.5 + 0.5 * cos(2 * pi() * (i - 1) / {N})) / 2 AS s FROM range({N}) q(i)),
+ z AS (SELECT signal_id, t, k, sum(v * w * cos(a)) AS re, -sum(v * w * sin(a)) AS im, sum(v * s * cos(a)) AS sr, -sum(v * s * sin(a)) AS si, sum(v * w * (i - {N // 2}) * cos(a)) AS tr, -sum(v * w * (i - {N // 2}) * sin(a)) AS ti
+  FROM (SELECT *, 2 * pi() * k * i / {N} AS a FROM fr JOIN w USING (i), range({N // 2 + 1}) q(k)) GROUP BY 1, 2, 3),
+ x AS (SELECT z.signal_id, t, k, size, sqrt(re * re + im * im) AS m, k * {SR / N} AS f0, (t * {HOP} + {N // 2}) / {SR} AS t0, (si * re - sr * im) / (re * re + im * im) AS df, (tr * re + ti * im) / (re * re + im * im) AS dt FROM z JOIN c USING (signal_id)),
+ o AS (SELECT signal_id, t, k, m, greatest(0, least({SR / 2}, CASE WHEN m < 1e-3 THEN f0 ELSE f0 - df * {SR} / (2 * pi()) END)) AS f, greatest(0, least(size / {SR}, CASE WHEN m < 1e-3 THEN t0 ELSE t0 + dt / {SR} END)) AS s FROM x)
+ SELECT signal_id, t, {", ".join(f"list({ROUND.format(c)} ORDER BY k) AS {name}" for c, name in (("f", "a"), ("s", "b"), ("m", "c")))} FROM o GROUP BY 1, 2"""
+
+SQL["mfcc_to_mel"] = "WITH {db}, w AS (SELECT q, m, cos(pi() * q * (2 * m + 1) / 12) * CASE WHEN q = 0 THEN sqrt(1 / 6.0) ELSE sqrt(2 / 6.0) END AS w FROM range(4) a(q), range(6) b(m)), cp AS (SELECT signal_id, t, q, sum(d * w) AS c FROM mtop JOIN w USING (m) GROUP BY 1, 2, 3), o AS (SELECT signal_id, t, m AS k, pow(10, sum(c * w) / 10) AS v FROM cp JOIN w USING (q) GROUP BY 1, 2, 3) " + frames("o")
+
+SQL["thaat_to_degrees"] = "SELECT thaat, [CAST(x AS INTEGER) FOR x IN degrees] AS degrees FROM (VALUES " + ", ".join(
+    f"('{name}', {degrees})"
+    for name, degrees in (
+        ("bilaval", [0, 2, 4, 5, 7, 9, 11]), ("khamaj", [0, 2, 4, 5, 7, 9, 10]), ("kafi", [0, 2, 3, 5, 7, 9, 10]), ("asavari", [0, 2, 3, 5, 7, 8, 10]), ("bhairavi", [0, 1, 3, 5, 7, 8, 10]),
+        ("kalyan", [0, 2, 4, 6, 7, 9, 11]), ("marva", [0, 1, 4, 6, 7, 9, 11]), ("poorvi", [0, 1, 4, 6, 7, 8, 11]), ("todi", [0, 1, 3, 6, 7, 8, 11]), ("bhairav", [0, 1, 4, 5, 7, 8, 11]),
+    )
+) + ") q(thaat, degrees)"
+SQL["key_to_degrees"] = """SELECT tonic || ':' || mode AS key, [CAST((x + semitone) % 12 AS INTEGER) FOR x IN steps] AS degrees FROM (VALUES ('C', 0), ('G', 7), ('F', 5), ('Eb', 3), ('F#', 6)) a(tonic, semitone),
+ (VALUES ('maj', [0, 2, 4, 5, 7, 9, 11]), ('min', [0, 2, 3, 5, 7, 8, 10]), ('dor', [0, 2, 3, 5, 7, 9, 10])) b(mode, steps)"""
+SQL["plimit_intervals"] = "SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS k, round(f, 6) + 0.0 AS f FROM (VALUES (1.0::DOUBLE), (16 / 15.0), (9 / 8.0), (6 / 5.0), (5 / 4.0), (4 / 3.0), (45 / 32.0), (3 / 2.0), (8 / 5.0), (5 / 3.0), (9 / 5.0), (15 / 8.0)) q(f)"

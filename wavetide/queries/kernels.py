@@ -210,4 +210,4 @@ def get_audio_info(spark, folder):
 
 
 query("get_samplerate")(lambda s, d: get_audio_info(s, d).select("name", "sr"))
-SQL.update({name: sql.replace("{mirror}", MIRROR) for name, sql in KERNEL_SQL.items()})
+SQL.update({name: sql.replace("{mirror}", MIRROR).replace("{db}", DB) for name, sql in KERNEL_SQL.items()})
