@@ -65,7 +65,7 @@ def _framed(a, f):
 
 
 def _pitch(a):
-    return lambda y: features.pyin(y, 65.4, 2093.0, a.sr, a.n_fft, a.hop_length)
+    return lambda y: features.pyin(y, 65.4, min(2093.0, a.sr / 2), a.sr, a.n_fft, a.hop_length)
 
 
 def _chroma(a):

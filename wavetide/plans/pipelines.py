@@ -85,7 +85,9 @@ def segmentation(signals: DataFrame, sr: float, n_fft: int, hop_length: int, bpm
         env = rhythm.onset_strength(dsp.power_to_db(features.melspectrogram(power, sr, n_fft, n_mels=12)), aggregate="median")
         beats = rhythm.beat_track(env, sr, hop_length, bpm=bpm, trim=False)[1]
         c = features.chroma_stft(power, sr, n_fft, tuning=0.0)
-        beats = sequence.fix_frames(beats, 0, len(c) - 1) if len(beats) >= 4 else np.arange(0, len(c), max(1, len(c) // 16))
+        beats = sequence.fix_frames(beats, 0, len(c) - 1) if len(beats) >= 4 else beats
+        if len(beats) < 5:  # too few for a recurrence plot: even steps
+            beats = np.arange(0, len(c), max(1, len(c) // 16))
         synced = rhythm.sync(c, beats, "median")
         rec = sequence.recurrence_matrix(synced, mode="affinity", sym=True)
         paths = sequence.path_enhance(rec, 5, n_filters=3)
