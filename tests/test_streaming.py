@@ -1,9 +1,11 @@
 """Streams give what the batch operators give."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wavetide.kernels import dsp
 from wavetide.operators import signals as S
 from wavetide.queries.base import long, table, wide
 from wavetide.streaming import frames as st
@@ -36,6 +38,45 @@ def test_stream_filters(spark, data, source):
     assert len(got) == len(want) and abs(got - want).max() < 1e-9
 
 
+def _batches(spark, rows, path, parts):
+    for part in parts:
+        spark.createDataFrame([rows[k] for k in part], "signal_id long, n long, v double").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("signal_id long, n long, v double").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_filters_wait_for_late_samples(spark, tmp_path):
+    y = [float((k * 37) % 11) for k in range(30)]
+    rows = [(1, k, v) for k, v in enumerate(y)]
+    parts = [range(0, 5), range(8, 12), [5, 7], [6, *range(12, 20)], range(20, 30)]
+    got = _run(st.stream_deemphasis(_batches(spark, rows, str(tmp_path / "in"), parts), ahead=10), "late_out", spark).sort_values("n")
+    assert got["n"].tolist() == list(range(30)) and np.allclose(got["v"], dsp.deemphasis(np.array(y)))
+    got = _run(st.stream_preemphasis(_batches(spark, rows, str(tmp_path / "gap"), [range(0, 5), range(8, 30), [6, 7]])), "gap_out", spark).sort_values("n")
+    assert got["n"].tolist() == [*range(5), *range(8, 30)]  # without waiting the gap is given up, and what comes later is late
+
+
+def test_stream_pcen(spark, tmp_path):
+    s = np.random.default_rng(3).random((20, 4))
+    rows = [(7, t, f.tolist()) for t, f in enumerate(s)]
+    kind = "signal_id long, t long, f array<double>"
+    for lo, hi in ((0, 6), (6, 7), (7, 20)):
+        spark.createDataFrame(rows[lo:hi], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = _run(st.stream_pcen(stream, sr=64.0, hop_length=4), "pcen_out", spark).sort_values("t")
+    assert np.allclose(np.array(got["f"].tolist()), dsp.pcen(s, sr=64.0, hop_length=4))
+
+
+def test_functions_in_sql(spark):
+    from wavetide.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, [1.0, 2.0, 4.0, 8.0, 16.0]), (2, [3.0]), (3, None)], "signal_id long, y array<double>").createOrReplaceTempView("wt_signals")
+    got = spark.sql("SELECT signal_id, t, f FROM wt_signals, LATERAL wt_frames(y, 3, 2) ORDER BY t").collect()
+    assert [(r["signal_id"], r["t"], r["f"]) for r in got] == [(1, 0, [1.0, 2.0, 4.0]), (1, 1, [4.0, 8.0, 16.0])]
+    got = {r["signal_id"]: r for r in spark.sql("SELECT signal_id, wt_rms(y) AS rms, wt_preemphasis(y) AS p, wt_deemphasis(wt_preemphasis(y)) AS d FROM wt_signals").collect()}
+    assert got[1]["rms"] == pytest.approx((341 / 5) ** 0.5) and got[1]["p"] == pytest.approx([1.0, 1.03, 2.06, 4.12, 8.24])
+    assert got[1]["d"] == pytest.approx([1.0, 2.0, 4.0, 8.0, 16.0]) and got[3]["rms"] is None and got[3]["p"] is None
+
+
 def test_windows_close_behind_the_watermark(spark, data, tmp_path):
     x = table(spark, data, "events")
     x.coalesce(1).write.parquet(str(tmp_path / "in"))

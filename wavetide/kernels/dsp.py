@@ -118,20 +118,25 @@ def griffinlim(s: np.ndarray, n_iter: int = 32, hop_length: int | None = None, w
     return istft(now, n_fft=n_fft, length=length, **args)
 
 
-def pcen(s: np.ndarray, sr: float = SR, hop_length: int = 512, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, time_constant: float = 0.4, eps: float = 1e-6) -> np.ndarray:
+def pcen(s: np.ndarray, **params) -> np.ndarray:
     """The smoother starts at one."""
+    return pcen_steps(s, **params)[0]
+
+
+def pcen_steps(s: np.ndarray, state: np.ndarray | None = None, sr: float = SR, hop_length: int = 512, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, time_constant: float = 0.4, eps: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Per-channel energy normalization of the next frames, and the smoother behind them."""
     t = time_constant * sr / hop_length
     b = (math.sqrt(1 + 4 * t * t) - 1) / (2 * t * t)
-    smooth, state = np.empty_like(s, dtype=float), np.ones(s.shape[1])
+    smooth, state = np.empty_like(s, dtype=float), np.ones(s.shape[1]) if state is None else state
     for k, x in enumerate(s):
         state = b * x + (1 - b) * state
         smooth[k] = state
     level = np.exp(-gain * (math.log(eps) + np.log1p(smooth / eps)))
     if power == 0:
-        return np.log1p(s * level)
+        return np.log1p(s * level), state
     if bias == 0:
-        return np.exp(power * (np.log(np.maximum(s, TINY)) + np.log(level)))
-    return bias**power * np.expm1(power * np.log1p(s * level / bias))
+        return np.exp(power * (np.log(np.maximum(s, TINY)) + np.log(level))), state
+    return bias**power * np.expm1(power * np.log1p(s * level / bias)), state
 
 
 def reassigned(y, sr: float = SR, n_fft: int = 2048, hop_length: int | None = None, win_length: int | None = None, window="hann", center: bool = True, reassign_frequencies: bool = True, reassign_times: bool = True, ref_power: float = 1e-6, fill_nan: bool = False, clip: bool = True, pad_mode: str = "constant") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
