@@ -186,3 +186,16 @@ INTERVALS = {1.0: "C", 1.5: "G", 1.25: "E^5", 1.2: "Eb_5", 1.75: "Bb^7", 1.22070
 @pytest.mark.parametrize("ratio", INTERVALS)
 def test_interval_names(ratio):
     assert notation.interval_to_fjs(ratio, unicode=False) == INTERVALS[ratio]
+
+
+def test_features_of_signals_equal_those_of_their_spectra():
+    y = sine(452.0, 1.0) + 0.5 * sine(678.0, 1.0)
+    s = np.abs(dsp.stft(y, 2048))
+    tuning = features.estimate_tuning_audio(y)
+    assert tuning == features.estimate_tuning(s) and 0.3 < tuning < 0.6
+    c = np.abs(features.cqt(y, n_bins=84, tuning=tuning))
+    assert np.allclose(c, np.abs(features.cqt(y, n_bins=84, tuning=None)))
+    assert np.allclose(features.chroma_audio(y, bins_per_octave=12), features.chroma_cqt(c, bins_per_octave=12))
+    assert np.allclose(features.chroma_cens_audio(y, bins_per_octave=12, win_len_smooth=5), features.chroma_cens(features.chroma_cqt(c, norm=None, bins_per_octave=12), win_len_smooth=5))
+    assert np.allclose(features.spectral_contrast_audio(y), features.spectral_contrast(np.abs(dsp.stft(y, 2048, 512)), banks.fft_frequencies(SR, 2048)))
+    assert np.allclose(features.hybrid_cqt(y, tuning=None), features.hybrid_cqt(y, tuning=tuning))

@@ -64,6 +64,12 @@ def sparsify_rows(x: np.ndarray, quantile: float = 0.01) -> np.ndarray:
     return np.where(x < at, 0.0, x)
 
 
+def _lowest(y, sr: float, fmin: float | None, tuning: float | None, bins_per_octave: int) -> float:
+    """The lowest filter's frequency; without a tuning, the signal's own is estimated."""
+    tuning = estimate_tuning_audio(y, sr, bins_per_octave=bins_per_octave) if tuning is None else tuning
+    return (C1 if fmin is None else fmin) * 2.0 ** (tuning / bins_per_octave)
+
+
 def _relative(freqs: np.ndarray, bins_per_octave: int) -> np.ndarray:
     """Relative bandwidths; a single filter has that of equal steps."""
     step = 2 ** (2 / bins_per_octave)
@@ -79,11 +85,11 @@ def _filters(freqs, sr, window, filter_scale, norm, sparsity, gamma, alpha, hop_
     return (sparsify_complex(spectrum, sparsity) if sparsity > 0 else spectrum), n_fft, lengths
 
 
-def vqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, gamma: float | None = None, bins_per_octave: int = 12, tuning: float = 0.0, filter_scale: float = 1.0, norm: float | None = 1.0, sparsity: float = 0.01, window: str = "hann", scale: bool = True) -> np.ndarray:
+def vqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, gamma: float | None = None, bins_per_octave: int = 12, tuning: float | None = 0.0, filter_scale: float = 1.0, norm: float | None = 1.0, sparsity: float = 0.01, window: str = "hann", scale: bool = True) -> np.ndarray:
     """(frames, n_bins) complex; octaves from the top, halving the rate where the hop allows, and before the first one
     where no filter needs the high frequencies."""
     y = np.asarray(y, float)
-    fmin = (C1 if fmin is None else fmin) * 2.0 ** (tuning / bins_per_octave)
+    fmin = _lowest(y, sr, fmin, tuning, bins_per_octave)
     freqs = banks.cqt_frequencies(n_bins, fmin, bins_per_octave)
     alpha = _relative(freqs, bins_per_octave)
     lengths, cutoff = banks.wavelet_lengths(freqs, sr, window, filter_scale, gamma, alpha)
@@ -117,16 +123,16 @@ def cqt(y, **params) -> np.ndarray:
     return vqt(y, gamma=0.0, **params)
 
 
-def pseudo_cqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, bins_per_octave: int = 12, tuning: float = 0.0, filter_scale: float = 1.0, norm: float | None = 1.0, sparsity: float = 0.01, window: str = "hann", scale: bool = True) -> np.ndarray:
-    fmin = (C1 if fmin is None else fmin) * 2.0 ** (tuning / bins_per_octave)
+def pseudo_cqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, bins_per_octave: int = 12, tuning: float | None = 0.0, filter_scale: float = 1.0, norm: float | None = 1.0, sparsity: float = 0.01, window: str = "hann", scale: bool = True) -> np.ndarray:
+    fmin = _lowest(y, sr, fmin, tuning, bins_per_octave)
     freqs = banks.cqt_frequencies(n_bins, fmin, bins_per_octave)
     spectrum, n_fft, lengths = _filters(freqs, sr, window, filter_scale, norm, sparsity, 0.0, _relative(freqs, bins_per_octave), hop_length)
     c = np.abs(dsp.stft(y, n_fft, hop_length)) @ np.abs(spectrum).T
     return c / math.sqrt(n_fft) if scale else c * np.sqrt(lengths / n_fft)
 
 
-def hybrid_cqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, bins_per_octave: int = 12, **params) -> np.ndarray:
-    fmin = C1 if fmin is None else fmin
+def hybrid_cqt(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, n_bins: int = 84, bins_per_octave: int = 12, tuning: float | None = 0.0, **params) -> np.ndarray:
+    fmin = _lowest(y, sr, fmin, tuning, bins_per_octave)
     freqs = banks.cqt_frequencies(n_bins, fmin, bins_per_octave)
     lengths, _ = banks.wavelet_lengths(freqs, sr, alpha=_relative(freqs, bins_per_octave))
     pseudo = 2.0 ** np.ceil(np.log2(lengths)) < 2 * hop_length
@@ -250,6 +256,16 @@ def chroma_cqt(c: np.ndarray, fmin: float | None = None, norm: float | None = np
     return normalize(np.where(x < threshold, 0.0, x), norm)
 
 
+def chroma_audio(y, sr: float = SR, hop_length: int = 512, fmin: float | None = None, tuning: float | None = None, n_chroma: int = 12, n_octaves: int = 7, bins_per_octave: int = 36, norm: float | None = np.inf, threshold: float = 0.0, gamma: float | None = 0.0) -> np.ndarray:
+    """Chroma of a signal's constant-Q magnitudes; of variable-Q ones with another gamma."""
+    c = np.abs(vqt(y, sr, hop_length, fmin, n_octaves * bins_per_octave, gamma, bins_per_octave, tuning))
+    return chroma_cqt(c, fmin, norm, threshold, n_chroma, bins_per_octave)
+
+
+def chroma_cens_audio(y, norm: float | None = 2.0, win_len_smooth: int | None = 41, **params) -> np.ndarray:
+    return chroma_cens(chroma_audio(y, norm=None, **params), norm, win_len_smooth)
+
+
 def chroma_cens(chroma: np.ndarray, norm: float | None = 2.0, win_len_smooth: int | None = 41) -> np.ndarray:
     x = normalize(chroma, 1.0)
     q = sum(0.25 * (x > step) for step in (0.4, 0.2, 0.1, 0.05))
@@ -294,6 +310,10 @@ def spectral_contrast(s: np.ndarray, freq: np.ndarray, fmin: float = 200.0, n_ba
     return peak - valley if linear else dsp.power_to_db(peak) - dsp.power_to_db(valley)
 
 
+def spectral_contrast_audio(y, sr: float = SR, n_fft: int = 2048, hop_length: int = 512, center: bool = True, **params) -> np.ndarray:
+    return spectral_contrast(np.abs(dsp.stft(y, n_fft, hop_length, center=center)), banks.fft_frequencies(sr, n_fft), **params)
+
+
 def delta(data: np.ndarray, width: int = 9, order: int = 1, mode: str = "interp") -> np.ndarray:
     """Savitzky-Golay derivative along time, of data (frames, features)."""
     if width < 3 or width % 2 == 0 or mode == "interp" and width > len(data):
@@ -397,6 +417,10 @@ def estimate_tuning(s: np.ndarray, sr: float = SR, n_fft: int = 2048, resolution
     return pitch_tuning(pitch[on & (mag >= at)], resolution, bins_per_octave)
 
 
+def estimate_tuning_audio(y, sr: float = SR, n_fft: int = 2048, **params) -> float:
+    return estimate_tuning(np.abs(dsp.stft(y, n_fft)), sr, n_fft, **params)
+
+
 def _cmnd(y, sr, frame_length, hop, fmin, fmax, center):
     y = dsp.pad_signal(np.asarray(y, float), frame_length // 2, frame_length // 2) if center else np.asarray(y, float)
     if not 0 < fmin < fmax <= sr / 2 or sr / fmin >= frame_length - 1:

@@ -206,7 +206,11 @@ chroma_stft = _operator(features.chroma_stft, "frames", "S")
 chroma_cqt = _operator(features.chroma_cqt, "frames", "S")
 chroma_cens = _operator(features.chroma_cens, "frames", "S")
 chroma_vqt = _operator(lambda s, bins_per_octave=12, **p: features.chroma_cqt(s, n_chroma=bins_per_octave, bins_per_octave=bins_per_octave, **p), "frames", "S")
+chroma_cqt_audio = _operator(features.chroma_audio, "frames", "y")
+chroma_vqt_audio = _operator(lambda y, gamma=None, **p: features.chroma_audio(y, gamma=gamma, **p), "frames", "y")
+chroma_cens_audio = _operator(features.chroma_cens_audio, "frames", "y")
 spectral_contrast = _operator(features.spectral_contrast, "frames", "S")
+spectral_contrast_audio = _operator(features.spectral_contrast_audio, "frames", "y")
 poly_features = _operator(features.poly_features, "frames", "S")
 tonnetz = _operator(features.tonnetz, "frames", "S")
 delta = _operator(features.delta, "frames", "S")
@@ -221,6 +225,7 @@ pyin = _operator(features.pyin, "pitch", "y")
 piptrack = _operator(features.piptrack, "two_frames", "S")
 pitch_tuning = _operator(features.pitch_tuning, "value", "y")
 estimate_tuning = _operator(features.estimate_tuning, "value", "S")
+estimate_tuning_audio = _operator(features.estimate_tuning_audio, "value", "y")
 # rhythm
 onset_strength = _operator(rhythm.onset_strength, "series", "S")
 onset_strength_multi = _operator(rhythm.onset_strength_multi, "frames", "S")
