@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from wavetide.kernels import dsp
+from wavetide.plans import banks
 
 from .base import COUNTED, HOP, LONG, N, SPECTRUM, SR, values
 
@@ -232,3 +233,70 @@ SQL["thaat_to_degrees"] = "SELECT thaat, [CAST(x AS INTEGER) FOR x IN degrees] A
 SQL["key_to_degrees"] = """SELECT tonic || ':' || mode AS key, [CAST((x + semitone) % 12 AS INTEGER) FOR x IN steps] AS degrees FROM (VALUES ('C', 0), ('G', 7), ('F', 5), ('Eb', 3), ('F#', 6)) a(tonic, semitone),
  (VALUES ('maj', [0, 2, 4, 5, 7, 9, 11]), ('min', [0, 2, 3, 5, 7, 8, 10]), ('dor', [0, 2, 3, 5, 7, 9, 10])) b(mode, steps)"""
 SQL["plimit_intervals"] = "SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS k, round(f, 6) + 0.0 AS f FROM (VALUES (1.0::DOUBLE), (16 / 15.0), (9 / 8.0), (6 / 5.0), (5 / 4.0), (4 / 3.0), (45 / 32.0), (3 / 2.0), (8 / 5.0), (5 / 3.0), (9 / 5.0), (15 / 8.0)) q(f)"
+
+#: The orders' daily prices as one signal: n, v, and the number of days.
+DAILY = """dl AS (SELECT row_number() OVER (ORDER BY day) - 1 AS n, v / 1e6 AS v FROM (SELECT CAST(o_orderdate AS DATE) AS day, sum(CAST(o_totalprice AS DOUBLE)) AS v FROM orders GROUP BY 1)), dz AS (SELECT count(*) AS size FROM dl)"""
+SQL["yin"] = f"""WITH {DAILY}, fx AS (SELECT t, i, coalesce(dl.v, 0) AS x FROM dz JOIN range(10000) q(t) ON t <= size // 32, range(128) u(i) LEFT JOIN dl ON dl.n = t * 32 + i - 64),
+ ac AS (SELECT a.t, b.i - a.i AS k, sum(a.x * b.x) AS r FROM fx a JOIN fx b ON a.t = b.t AND b.i - a.i BETWEEN 0 AND 32 GROUP BY 1, 2),
+ en AS (SELECT t, i + 1 AS k, sum(x * x) OVER (PARTITION BY t ORDER BY i) AS e FROM fx WHERE i < 32),
+ d AS (SELECT a.t, a.k, 2 * (z.r - a.r) - e AS d FROM ac a JOIN ac z ON z.t = a.t AND z.k = 0 JOIN en ON en.t = a.t AND en.k = a.k WHERE a.k > 0),
+ c AS (SELECT t, k, d / (avg(d) OVER (PARTITION BY t ORDER BY k) + {_TINY}) AS x FROM d), w AS (SELECT * FROM c WHERE k >= 4),
+ n AS (SELECT *, lag(x) OVER p AS a, lead(x) OVER p AS b FROM w WINDOW p AS (PARTITION BY t ORDER BY k)),
+ s AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL OR abs((b - a) / 2) >= abs(b + a - 2 * x) THEN 0 ELSE -(b - a) / 2 / (b + a - 2 * x) END AS shift, b IS NOT NULL AND x < 0.1 AND (a IS NULL AND x < b OR x < a AND x <= b) AS low FROM n),
+ o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY low DESC, CASE WHEN low THEN k ELSE 0 END, x, k) AS rank FROM s)
+ SELECT 0::BIGINT AS signal_id, t, {ROUND.format("64 / (k + shift)")} AS v FROM o WHERE rank = 1"""
+
+SQL["plp"] = f"""WITH {COUNTED}, f AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS x FROM c JOIN range(10000) q(t) ON t <= size, range(16) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t + i - 8),
+ z AS (SELECT signal_id, t, k, sum(x * cos(2 * pi() * k * i / 16)) AS re, -sum(x * sin(2 * pi() * k * i / 16)) AS im FROM f, range(1, 7) q(k) GROUP BY 1, 2, 3),
+ p AS (SELECT *, sqrt(re * re + im * im) AS m, row_number() OVER (PARTITION BY signal_id, t ORDER BY ln(1 + 1e6 * sqrt(re * re + im * im)) DESC, k) AS rank FROM z),
+ x AS (SELECT signal_id, t + i - 8 AS n, 0.5 - 0.5 * cos(2 * pi() * i / 16) AS w, 2 / 16.0 * (re * cos(2 * pi() * k * i / 16) - im * sin(2 * pi() * k * i / 16)) / (sqrt({_TINY}) + m) AS v FROM p, range(16) q(i) WHERE rank = 1),
+ y AS (SELECT x.signal_id, n, greatest(0, sum(w * v) / sum(w * w)) AS v FROM x JOIN c USING (signal_id) WHERE n BETWEEN 0 AND size - 1 GROUP BY 1, 2)
+ SELECT signal_id, n AS t, {ROUND.format("v / CASE WHEN max(v) OVER (PARTITION BY signal_id) < 1e-300 THEN 1 ELSE max(v) OVER (PARTITION BY signal_id) END")} AS v FROM y"""
+
+#: A frame's lags back to the beat before, and their costs, at 120 beats a minute (8 frames a beat).
+_BACK = "list_transform(range(4, least(16, i) + 1), lambda g: value[i - g + 1] - 100 * pow(ln(g) - ln(8), 2))"
+SQL["beat_track"] = f"""WITH RECURSIVE {LONG}, x AS (SELECT signal_id, n, v / (stddev_samp(v) OVER (PARTITION BY signal_id) + {_TINY}) AS v FROM l),
+ lo AS (SELECT a.signal_id, a.n, sum(b.v * exp(-0.5 * pow((a.n - b.n) * 32 / 8.0, 2))) AS v FROM x a JOIN x b ON a.signal_id = b.signal_id AND abs(a.n - b.n) <= 8 GROUP BY 1, 2),
+ s AS (SELECT signal_id, list(v ORDER BY n) AS local FROM lo GROUP BY 1),
+ d(signal_id, local, i, value, back, begun) AS (SELECT signal_id, local, 0, CAST([] AS DOUBLE[]), CAST([] AS BIGINT[]), false FROM s
+  UNION ALL SELECT signal_id, local, i + 1, list_append(value, local[i + 1] + coalesce(list_max(w), 0)), list_append(back, CASE WHEN now AND len(w) > 0 THEN i - (list_position(w, list_max(w)) + 3) ELSE -1 END), now
+  FROM (SELECT *, {_BACK} AS w, begun OR local[i + 1] >= 0.01 * list_max(local) AS now FROM d WHERE i < len(local))),
+ e AS (SELECT signal_id, local, value, back FROM d WHERE i = len(local)),
+ p AS (SELECT *, list_filter(range(1, len(value)), lambda j: value[j + 1] > value[j] AND (j = len(value) - 1 OR value[j + 1] >= value[j + 2])) AS peaks FROM e),
+ h AS (SELECT *, list_filter(peaks, lambda j: value[j + 1] >= 0.5 * list_median(list_transform(peaks, lambda q: value[q + 1]))) AS high FROM p),
+ t(signal_id, local, back, beats) AS (SELECT signal_id, local, back, [coalesce(high[len(high)], len(value) - 1)] FROM h
+  UNION ALL SELECT signal_id, local, back, list_prepend(back[beats[1] + 1], beats) FROM t WHERE back[beats[1] + 1] >= 0),
+ b AS (SELECT signal_id, local, arg_max(beats, len(beats)) AS beats FROM t GROUP BY 1, 2),
+ m AS (SELECT *, list_concat(list_transform(range(1, len(beats) + 1), lambda j: local[beats[j] + 1] + 0.5 * coalesce(CASE WHEN j > 1 THEN local[beats[j - 1] + 1] END, 0) + 0.5 * coalesce(CASE WHEN j < len(beats) THEN local[beats[j + 1] + 1] END, 0)), [0.5 * local[beats[len(beats)] + 1], 0]) AS smooth FROM b),
+ g AS (SELECT *, list_filter(range(0, len(local)), lambda j: local[j + 1] > 0.5 * sqrt(list_avg(list_transform(smooth, lambda q: q * q)))) AS loud FROM m),
+ r AS (SELECT signal_id, list_filter(beats, lambda j: j BETWEEN loud[1] AND loud[len(loud)]) AS beats FROM g)
+ SELECT signal_id, 120.0::DOUBLE AS bpm, u.k AS event_no, CAST(beats[u.k + 1] AS BIGINT) AS frame FROM r JOIN range(1000) u(k) ON u.k < len(beats)"""
+
+SQL["remix"] = f"""WITH {COUNTED}, y AS (SELECT signal_id, list(CASE WHEN abs(v) <= 1e-10 THEN 0 ELSE v END ORDER BY n) AS z, list(v ORDER BY n) AS y FROM l GROUP BY 1),
+ s AS (SELECT *, list_append(list_filter(range(0, len(y)), lambda j: j = 0 OR (z[j + 1] < 0) <> (z[j] < 0)), len(y)) AS zeros FROM y),
+ i AS (SELECT s.signal_id, k, y, list_transform([12 * k, 12 * k + 10], lambda p: zeros[list_position(list_transform(zeros, lambda z: abs(z - p)), list_min(list_transform(zeros, lambda z: abs(z - p))))]) AS cut FROM s JOIN range(1000) q(k) ON 12 * k <= len(y) - 12),
+ p AS (SELECT signal_id, k, CASE WHEN cut[2] > cut[1] THEN y[cut[1] + 1 : cut[2]] ELSE CAST([] AS DOUBLE[]) END AS part FROM i)
+ SELECT signal_id, list_transform(flatten(list(part ORDER BY k)), lambda x: round(x, 5) + 0.0) AS y FROM p GROUP BY 1"""
+
+
+def onset(aggregate: str) -> str:
+    """l: the onset envelope of the daily signal as a signal of its own, with centred frames and six mel bands."""
+    bank = banks.mel(SR, N, 6)
+    weights = values("e0", "m, k, w", [(m, k, float(bank[m, k])) for m in range(6) for k in range(N // 2 + 1) if bank[m, k]])
+    return f"""{DAILY}, {weights}, e1 AS (SELECT t, i, coalesce(dl.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / {N})) AS x FROM dz JOIN range(100000) q(t) ON t <= size // {HOP}, range({N}) u(i) LEFT JOIN dl ON dl.n = t * {HOP} + i - {N // 2}),
+ e2 AS (SELECT t, k, pow(sum(x * cos(2 * pi() * k * i / {N})), 2) + pow(sum(x * sin(2 * pi() * k * i / {N})), 2) AS p FROM e1, range({N // 2 + 1}) q(k) GROUP BY 1, 2),
+ e3 AS (SELECT t, m, 10 * log10(greatest(1e-10, sum(p * w))) AS d FROM e2 JOIN e0 USING (k) GROUP BY 1, 2), e4 AS (SELECT t, m, greatest(d, max(d) OVER () - 80) AS d FROM e3),
+ e5 AS (SELECT t + {N // (2 * HOP)} AS t, greatest(0, d - lag(d) OVER (PARTITION BY m ORDER BY t)) AS rise FROM e4), e6 AS (SELECT t, {aggregate}(rise) AS v FROM e5 WHERE rise IS NOT NULL GROUP BY 1),
+ l AS (SELECT 0::BIGINT AS signal_id, CAST(g.t AS INTEGER) AS n, coalesce(e6.v, 0) AS v FROM (SELECT DISTINCT t FROM e4) g LEFT JOIN e6 USING (t))"""
+
+
+_MEAN = f"{onset('avg')}, c AS (SELECT signal_id, count(*) AS size FROM l GROUP BY 1)"
+SQL["tempogram_audio"] = SQL["tempogram"].replace(COUNTED, _MEAN)
+SQL["fourier_tempogram_audio"] = SQL["fourier_tempogram"].replace(COUNTED, _MEAN)
+SQL["plp_audio"] = SQL["plp"].replace(COUNTED, _MEAN)
+SQL["tempo_audio"] = f"WITH {tempogram(64)}, m AS (SELECT signal_id, 0 AS t, k, avg(v) AS v FROM tg GROUP BY 1, 3), {scores('m')} SELECT signal_id, {ROUND.format('bpm')} AS value FROM top".replace(COUNTED, _MEAN)
+SQL["beat_track_audio"] = SQL["beat_track"].replace(LONG, onset("median"))
+SQL["beat_track_times"] = f"SELECT signal_id, event_no, round(frame * {HOP / SR}, 6) + 0.0 AS time FROM ({SQL['beat_track_audio']})"
+SQL["onset_detect"] = f"""WITH {onset("avg")}, x AS (SELECT signal_id, n, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER () + {_TINY}) AS v FROM l),
+ m AS (SELECT *, avg(v) OVER (ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mean FROM x) SELECT signal_id, row_number() OVER (ORDER BY n) - 1 AS event_no, CAST(n AS BIGINT) AS frame FROM m WHERE v >= mean + 0.07"""
+SQL["onset_detect_times"] = f"SELECT signal_id, event_no, round(frame * {HOP / SR}, 6) + 0.0 AS time FROM ({SQL['onset_detect']})"
