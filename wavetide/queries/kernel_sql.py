@@ -300,3 +300,47 @@ SQL["beat_track_times"] = f"SELECT signal_id, event_no, round(frame * {HOP / SR}
 SQL["onset_detect"] = f"""WITH {onset("avg")}, x AS (SELECT signal_id, n, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER () + {_TINY}) AS v FROM l),
  m AS (SELECT *, avg(v) OVER (ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mean FROM x) SELECT signal_id, row_number() OVER (ORDER BY n) - 1 AS event_no, CAST(n AS BIGINT) AS frame FROM m WHERE v >= mean + 0.07"""
 SQL["onset_detect_times"] = f"SELECT signal_id, event_no, round(frame * {HOP / SR}, 6) + 0.0 AS time FROM ({SQL['onset_detect']})"
+
+SQL["chroma"] = """WITH b AS (SELECT k, 12 * log2(greatest(k, 1) * 22050 / 512.0 / 27.5) - CASE WHEN k = 0 THEN 18 ELSE 0 END AS b FROM range(512) q(k)),
+ w AS (SELECT k, b, greatest(1, coalesce(lead(b) OVER (ORDER BY k) - b, 1)) AS width FROM b), g AS (SELECT m, k, b, exp(-0.5 * pow(2 * ((b - m + 126) % 12 - 6) / width, 2)) AS w FROM w, range(12) q(m)),
+ n AS (SELECT m, k, w / sqrt(sum(w * w) OVER (PARTITION BY k)) * exp(-0.5 * pow((b / 12 - 5) / 2, 2)) AS w FROM g) SELECT (m + 9) % 12 AS m, k, round(w, 6) + 0.0 AS w FROM n WHERE k <= 256"""
+
+
+def _rest() -> list[float]:
+    """Memories of both sections in which a constant one stays constant."""
+    out, gain = [], 1.0
+    for b0, b1, b2, a0, a1, a2 in _SOS:
+        dc = (b0 + b1 + b2) / (a0 + a1 + a2)
+        second = (b2 - a2 * dc) / a0
+        out += [gain * ((b1 - a1 * dc) / a0 + second), gain * second]
+        gain *= dc
+    return out
+
+
+def _run(name: str, source: str) -> str:
+    """name: source (signal_id, n, v) through both sections, from rest at its first value."""
+    step = _section(_section(f"SELECT s.signal_id, l.n, l.v AS x, p0, q0, p1, q1 FROM {name} s JOIN {source} l ON l.signal_id = s.signal_id AND l.n = s.n + 1", "x", 0), "o0", 1)
+    start = ", ".join(f"{z!r} * v" for z in _rest())
+    return f"{name}(signal_id, n, v, {_STATE}) AS (SELECT signal_id, CAST(-1 AS BIGINT), 0.0::DOUBLE, {start} FROM {source} WHERE n = 0 UNION ALL SELECT signal_id, CAST(n AS BIGINT), o1, {_STATE} FROM ({step}))"
+
+
+if len(_SOS) == 2:
+    SQL["sosfiltfilt"] = f"""WITH RECURSIVE {COUNTED}, ends AS (SELECT c.signal_id, size, a.v AS first, b.v AS last FROM c JOIN l a ON a.signal_id = c.signal_id AND a.n = 0 JOIN l b ON b.signal_id = c.signal_id AND b.n = size - 1),
+     x AS (SELECT l.signal_id, CAST(l.n + 9 AS BIGINT) AS n, v FROM l UNION ALL SELECT l.signal_id, 9 - l.n, 2 * first - v FROM l JOIN ends USING (signal_id) WHERE l.n BETWEEN 1 AND 9
+      UNION ALL SELECT l.signal_id, 2 * size + 7 - l.n, 2 * last - v FROM l JOIN ends USING (signal_id) WHERE l.n BETWEEN size - 10 AND size - 2),
+     {_run("f", "x")}, y AS (SELECT f.signal_id, size + 17 - n AS n, v FROM f JOIN c USING (signal_id) WHERE n >= 0), {_run("g", "y")},
+     o AS (SELECT g.signal_id, size + 8 - n AS n, v FROM g JOIN c USING (signal_id) WHERE n BETWEEN 9 AND size + 8) {signal("o")}"""
+
+
+def _part(mask: str) -> str:
+    """The signal that a soft mask of its centred spectrum leaves."""
+    return f"""WITH {COUNTED}, fx AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / {N})) AS x FROM c JOIN range(10000) q(t) ON t <= size // {HOP}, range({N}) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t * {HOP} + i - {N // 2}),
+ z AS (SELECT signal_id, t, k, sum(x * cos(2 * pi() * k * i / {N})) AS re, -sum(x * sin(2 * pi() * k * i / {N})) AS im FROM fx, range({N // 2 + 1}) q(k) GROUP BY 1, 2, 3),
+ p AS (SELECT signal_id, t, k, re * re + im * im AS p FROM z), {{mirror}},
+ w AS (SELECT signal_id, t, k, CASE WHEN h = 0 AND q = 0 THEN 0.5 ELSE {mask} * {mask} / (h * h + q * q) END AS w FROM h JOIN q USING (signal_id, t, k)),
+ v AS (SELECT signal_id, t, i, 0.5 - 0.5 * cos(2 * pi() * i / {N}) AS g, sum(CASE WHEN k IN (0, {N // 2}) THEN 1 ELSE 2 END * w * (re * cos(2 * pi() * k * i / {N}) - im * sin(2 * pi() * k * i / {N}))) / {N} AS x FROM z JOIN w USING (signal_id, t, k), range({N}) u(i) GROUP BY signal_id, t, i),
+ y AS (SELECT signal_id, t * {HOP} + i - {N // 2} AS n, sum(g * x) / sum(g * g) AS v FROM v GROUP BY 1, 2),
+ o AS (SELECT l.signal_id, l.n, CASE WHEN l.n < size // {HOP} * {HOP} THEN y.v ELSE 0 END AS v FROM l JOIN c USING (signal_id) LEFT JOIN y ON y.signal_id = l.signal_id AND y.n = l.n) {signal("o")}"""
+
+
+SQL["harmonic"], SQL["percussive"] = _part("h"), _part("q")
