@@ -12,10 +12,11 @@ both; a range's cell is named by a hash of its shingles. (A set with few non-emp
 Size classes grow so that similar sets lie in the same class or in neighbouring ones; a set names cells for its own
 class and for the one below.
 
-1. Cells are gathered by hash; each member is paired with the cell's smallest member, its hub (a star, not all pairs).
-   Chunks of a task combine first, so that a cell shared by any number of texts brings one entry a chunk.
-2. Star pairs within the bound are verified, and links joined into components.
-3. Two sets that share a cell lie in the group of one hub. In groups whose members aren't all in one component, an R-tree
+1. Cells are gathered by hash; each member belongs to the cell's smallest member, its hub. Chunks of a task combine first,
+   so that a cell shared by any number of texts brings one entry a chunk.
+2. Each text is verified with the hub that shares most cells with it (a star, not all pairs), if the bound allows a link,
+   and links are joined into components.
+3. Two sets that share a cell lie in the group of one hub, and linked hubs are one. In groups whose members aren't all in one component, an R-tree
    join over the count vectors marks the members that may be linked with a member of another component. Only their sets
    are exchanged; the same join then verifies its pairs where they are found and returns a spanning forest of the links.
    Both joins run on blocks of members, so a group of any size is split; blocks of a group's main component don't meet
@@ -240,8 +241,9 @@ def _features(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _stars(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFrame:
-    """kind, a, b, docs. Kind 0: the members docs (packed) of cells whose smallest member in chunk b is a. Kind 1: a cell's
-    smallest member a, and b, the smallest one in a chunk."""
+    """kind, a, b, n, docs. Kind 0: the members docs (packed) of cells whose smallest member in chunk b is a. Kind 1: the
+    smallest member a of n cells, and b, the smallest one in a chunk. Kind 2: of the a of kind 0, the one that shares most
+    cells with b."""
 
     @released
     def name(batches):
@@ -261,7 +263,12 @@ def _stars(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFrame:
             head = np.concatenate([[True], key[1:] != key[:-1]])
             low = doc[np.flatnonzero(head)[np.cumsum(head) - 1]]
             tail = ~head & (doc != low)
-            out = [(0, (task << 32) + number, *_unique(low[tail], doc[tail]))] if tail.any() else []
+            out = []
+            if tail.any():
+                a, b, n = _unique(low[tail], doc[tail])
+                order = np.lexsort((a, -n, b))
+                most = order[np.concatenate([[True], b[order[1:]] != b[order[:-1]]])]
+                out = [(0, (task << 32) + number, a, b), (2, (task << 32) + number, a[most], b[most])]
             key, doc = key[head], doc[head]
             to = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -273,8 +280,9 @@ def _stars(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFrame:
                 ["kind", "bucket", "keys", "docs"],
             )
 
-    def rows_of(kind, a, b, docs):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(docs, pa.binary())], ["kind", "a", "b", "docs"])
+    def rows_of(kind, a, b, n=None, docs=None):
+        none = [None] * len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(none if n is None else n, pa.int64()), pa.array(docs or none, pa.binary())], ["kind", "a", "b", "n", "docs"])
 
     @released
     def gather(batches):
@@ -287,15 +295,17 @@ def _stars(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFrame:
             key, doc = key[order], doc[order]
             head = np.concatenate([[True], key[1:] != key[:-1]])
             low = doc[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            a, b = _unique(low[doc != low], doc[doc != low])
-            return rows_of(1, a, b, [None] * len(a))
+            return rows_of(1, *_unique(low[doc != low], doc[doc != low]))
 
         for b in batches:
             for kind, to, keys, docs in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == 0:  # to is the chunk
                     low, doc = np.frombuffer(keys, np.int64), np.frombuffer(docs, np.int64)
                     start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-                    yield rows_of(0, low[start], np.full(len(start), to), [d.tobytes() for d in np.split(doc, start[1:])])
+                    yield rows_of(0, low[start], np.full(len(start), to), docs=[d.tobytes() for d in np.split(doc, start[1:])])
+                    continue
+                if kind == 2:
+                    yield rows_of(2, np.frombuffer(keys, np.int64), np.frombuffer(docs, np.int64))
                     continue
                 if to != bucket and held:
                     yield done()
@@ -307,7 +317,7 @@ def _stars(rows: DataFrame, k: int, t: Threshold, buckets: int) -> DataFrame:
 
     packed = rows.mapInArrow(name, "kind long, bucket long, keys binary, docs binary")
     packed = packed.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket")
-    return packed.mapInArrow(gather, "kind long, a long, b long, docs binary")
+    return packed.mapInArrow(gather, "kind long, a long, b long, n long, docs binary")
 
 
 def _members(packed: DataFrame) -> DataFrame:
@@ -334,13 +344,13 @@ def _members(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(unpack, "hub long, doc_id long")
 
 
-def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs."""
+def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, and how often each is there."""
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+    return a[new], b[new], np.diff(np.append(np.flatnonzero(new), len(a)))
 
 
 def _within_bound(pairs: DataFrame, features: DataFrame, t: Threshold) -> DataFrame:
@@ -416,9 +426,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFr
 
 
 def _pairs(stars: DataFrame) -> DataFrame:
-    """The star pairs (a, b) of both kinds."""
-    own = _members(stars.where("kind = 0").select(F.col("a").alias("hub"), F.col("b").alias("chunk"), "docs"))
-    return stars.where("kind = 1").select("a", "b").unionByName(own.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
+    """Star pairs (a, b): each b with the hub that shares most cells with it, of its chunk and of all."""
+    shared = stars.where("kind = 1").groupBy("b", "a").agg(F.sum("n").alias("n"))
+    top = shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    return top.select("a", "b").unionByName(stars.where("kind = 2").select("a", "b"))
 
 
 _SPOT = ["hub", "i", "j", "only"]
@@ -427,14 +438,17 @@ _SPOT = ["hub", "i", "j", "only"]
 def _blocks(stars: DataFrame, found: DataFrame, single: DataFrame) -> DataFrame:
     """Members of the hubs' groups at the block pairs where they meet others: hub, i, j, only, side, doc_id, component, counts.
 
-    A group's most frequent component has blocks i, its other members have blocks j; a block i meets each j, and blocks j
+    Hubs of one component are one. A group's most frequent component has blocks i, its other members have blocks j; a block i meets each j, and blocks j
     meet one another (only: without a block i; else one block j is with itself, too, where i is 0)."""
-    top = stars.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("a"))
-    chunk = stars.where("kind = 0").select("a", F.col("b").alias("chunk"), "docs")
+    of = found.select(F.col("id").alias("low"), F.col("component").alias("own"))
+    named = lambda df: df.join(of, "low", "left").withColumn("hub", F.coalesce("own", "low")).drop("own")
+    top = named(stars.where("kind = 1").select(F.col("a").alias("low"), "b"))
+    chunk = named(stars.where("kind = 0").select(F.col("a").alias("low"), F.col("b").alias("chunk"), "docs"))
     # a chunk's member belongs to the hubs of its chunk's smallest member, too
-    through = _members(top.join(chunk, "a").select("hub", "chunk", "docs").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk"))
-    both = _pairs(stars).select(F.col("a").alias("hub"), F.col("b").alias("doc_id"))
-    member = both.unionByName(through).unionByName(both.select("hub", F.col("hub").alias("doc_id"))).distinct()
+    through = top.select("hub", F.col("b").alias("low")).distinct().join(chunk.drop("hub"), "low")
+    packed = through.select("hub", "chunk", "docs").unionByName(chunk.select("hub", "chunk", "docs"))
+    own = top.select("hub", F.col("b").alias("doc_id")).unionByName(top.unionByName(chunk, allowMissingColumns=True).select("hub", F.col("low").alias("doc_id")))
+    member = _members(packed.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk")).unionByName(own).distinct()
     member = member.join(single.select("doc_id", "n", "counts"), "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     member = materialize(member.withColumn("component", F.coalesce("component", "doc_id")))
     unit = member.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
@@ -546,7 +560,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     equal = named.join(first, ["set1", "set2"]).where("doc_id != a").select("a", F.col("doc_id").alias("b"))
     single = named.dropDuplicates(["doc_id"])
 
-    near = materialize(_within_bound(_pairs(stars).distinct(), single, t))
+    near = materialize(_within_bound(_pairs(stars), single, t))
     links = materialize(_verified(near, rows, k, t).unionByName(equal))
     found = materialize(components(links))
 
