@@ -120,7 +120,9 @@ class Crf:
         start, end = np.broadcast_to(first, (len(e), len(first))).copy(), np.ones((len(e), len(first)))
         size = np.diff(np.append(np.flatnonzero(number == 0), len(number)))
         if size.max(initial=0) > 1:
-            product = products(e, lengths, trans)
+            several = np.repeat(size, size) > 1
+            product = np.empty((len(e), *trans.shape))
+            product[several] = products(e[several], lengths[several], trans)
             last = number + 1 == np.repeat(size, size)
             for k in range(1, int(size.max())):
                 at = np.flatnonzero(number == k)
@@ -130,7 +132,7 @@ class Crf:
                 at = np.flatnonzero((number == k) & ~last)
                 b = np.einsum("nkj,nj->nk", product[at + 1], end[at + 1]) @ trans.T
                 end[at] = b / b.sum(axis=1, keepdims=True)
-        return forward_backward(e, lengths, trans, start, end)[0]
+        return forward_backward(e, lengths, trans, start, end, pairs=False)[0]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         words, counts = [], []
@@ -163,17 +165,19 @@ class Crf:
 def products(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """For each part the product over its words, up to a factor: what comes in front of its first word's scores, times
     this, is the forward vector at its last word."""
-    out = np.eye(e.shape[2]) * e[:, :1]
-    for i in range(1, e.shape[1]):
-        on = lengths > i
-        step = (out[on] @ trans) * e[on, i][:, None, :]
-        out[on] = step / step.max(axis=(1, 2), keepdims=True)
-    return out
+    n, t, k = e.shape
+    out = np.eye(k) * e[:, :1]
+    for i in range(1, t):
+        step = (out.reshape(-1, k) @ trans).reshape(n, k, k) * e[:, i, None, :]
+        out = step if lengths.min() > i else np.where((lengths > i)[:, None, None], step, out)
+        if i % 16 == 0:
+            out /= out.max(axis=(1, 2), keepdims=True)
+    return out / out.max(axis=(1, 2), keepdims=True)
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray | float = 1.0):
-    """Posteriors of labels (chains, words, labels), and expected transitions summed over chains. first, last: weights of
-    labels before the first and behind the last word, of each chain or of all."""
+def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray | float = 1.0, pairs: bool = True):
+    """Posteriors of labels (chains, words, labels), and expected transitions summed over chains (if pairs). first, last:
+    weights of labels before the first and behind the last word, of each chain or of all."""
     n, t, k = e.shape
     alpha, beta = np.zeros_like(e), np.ones_like(e)
     beta[:, -1] = last
@@ -182,16 +186,18 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, firs
     for i in range(1, t):
         a = (alpha[:, i - 1] @ trans) * e[:, i]
         alpha[:, i] = a / a.sum(axis=1, keepdims=True)
-    pairs = np.zeros((k, k))
+    expected = np.zeros((k, k))
     for i in range(t - 2, -1, -1):
         on = (lengths > i + 1)[:, None]
         b = (e[:, i + 1] * beta[:, i + 1]) @ trans.T
         beta[:, i] = np.where(on, b / b.sum(axis=1, keepdims=True), last)
+        if not pairs:
+            continue
         both = alpha[:, i, :, None] * trans * (e[:, i + 1] * beta[:, i + 1])[:, None, :]
         both /= both.sum(axis=(1, 2), keepdims=True)
-        pairs += (both * on[:, :, None]).sum(axis=0)
+        expected += (both * on[:, :, None]).sum(axis=0)
     gamma = alpha * beta
-    return gamma / gamma.sum(axis=2, keepdims=True), pairs
+    return gamma / gamma.sum(axis=2, keepdims=True), expected
 
 
 def fit_crf(segments: list[tuple[str, list[str]]], epochs: int = 6, chains: int = CHAINS, seed: int = 9) -> Crf:
