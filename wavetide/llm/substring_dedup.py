@@ -43,7 +43,7 @@ SEED_BYTES = 24
 #: Bytes of text whose phrases are grouped together, and that are parsed at once.
 CHUNK, PIECE = 2 << 20, 1 << 18
 #: Bytes of text that one bucket is made for, and parts of a bucket's triggers, of which a task holds one at a time.
-BUCKET, PARTS = 8 << 20, 8
+BUCKET, PARTS = 8 << 20, 4
 #: Windows of a phrase at most; a longer one (periodic text) is cut.
 LONGEST = 1024
 _ODD = np.uint64(0xD6E8FEB86659FD93)
