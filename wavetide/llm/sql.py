@@ -41,6 +41,58 @@ OP10 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coa
  parts AS (SELECT id, min(c) AS component_id FROM reach GROUP BY 1)
 SELECT n.doc_id, n_shingles, component_id FROM n JOIN parts ON id = n.doc_id"""
 
+_CRC32 = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+ lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END))"""
+
+OP11 = rf"""WITH o AS (SELECT doc_id, {_CRC32} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT *, len(w) AS n, h // 10 AS g FROM o), a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+ p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+ d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE w END AS w FROM p),
+ u AS (SELECT doc_id, n, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS w FROM d),
+ m AS (SELECT x.doc_id, x.i, x.i - y.i AS q FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i < x.i WHERE 4 * (x.i - y.i) <= x.n),
+ k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m),
+ s AS (SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length FROM k GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+ r AS (SELECT doc_id, start, length, min(q) AS q FROM s GROUP BY ALL),
+ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / q DESC, start, q) AS best FROM r),
+ n AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY 1),
+ x AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+ c AS (SELECT u.doc_id, string_agg(w, ' ' ORDER BY u.i) AS t FROM u ANTI JOIN x ON u.doc_id = x.doc_id AND u.i = x.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period,
+ CAST(1000 * b.length // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id AND best = 1 LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP12 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+ b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM benchmark),
+ t AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w] ELSE [w[i : i + 9] FOR i IN range(1, len(w) - 8)] END) AS t FROM b),
+ g AS (SELECT DISTINCT len(t) AS n FROM t),
+ u AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM d),
+ l AS (SELECT doc_id, i, list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM u),
+ p AS (SELECT doc_id, i, n, array_to_string(l[1:n], ' ') AS t FROM l, g WHERE len(l) >= n),
+ h AS (SELECT doc_id, i, n, item_id FROM p JOIN (SELECT item_id, array_to_string(t, ' ') AS t FROM t) t ON p.t = t.t),
+ c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM h) GROUP BY 1),
+ e AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id"""
+
+OP13 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+ w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+ u AS (SELECT lang, piece, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM w),
+ v AS (SELECT lang, w AS x, lead(w) OVER o AS y, lead(w, 2) OVER o AS z FROM u WINDOW o AS (PARTITION BY piece ORDER BY i)),
+ g AS (SELECT lang, 1 AS k, x AS phrase FROM v UNION ALL SELECT lang, 2, x || ' ' || y FROM v WHERE y IS NOT NULL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM v WHERE z IS NOT NULL),
+ f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+ s AS (SELECT c.*, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1 : c.k], ' ')),
+ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ inner_ AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3),
+ o AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+ z AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank FROM m LEFT JOIN o ON o.lang = m.lang AND o.phrase = m.phrase
+  WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2, "op3_chat_format": OP3, "op9_topk_search": OP9, "op10_ngram_jaccard": OP10}
+    return {"op2_embedding_dedup": OP2, "op3_chat_format": OP3, "op9_topk_search": OP9, "op10_ngram_jaccard": OP10, "op11_periodic_runs": OP11, "op12_decontamination": OP12, "op13_collocations": OP13}
