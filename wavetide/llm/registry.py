@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_codec
+from .collocations import op13_collocations
 from .contamination import op12_decontamination
 from .chat import op3_chat_format
 from .embedding_join import op2_embedding_dedup
@@ -20,5 +21,5 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def queries():
-    every = (op1_best_fit_packing, op2_embedding_dedup, op3_chat_format, op4_bpe_codec, op5_substring_dedup, op6_quality_rules, op7_language_crf, op8_sharding, op9_topk_search, op10_ngram_jaccard, op11_periodic_runs, op12_decontamination)
+    every = (op1_best_fit_packing, op2_embedding_dedup, op3_chat_format, op4_bpe_codec, op5_substring_dedup, op6_quality_rules, op7_language_crf, op8_sharding, op9_topk_search, op10_ngram_jaccard, op11_periodic_runs, op12_decontamination, op13_collocations)
     return {f.__name__: f for f in every}
