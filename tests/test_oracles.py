@@ -26,12 +26,14 @@ def canonical(df):
     return sorted(tuple(text(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.fixture(scope="module")
-def con(data):
-    c = duckdb.connect()
+@pytest.fixture
+def con(data, tmp_path):
+    """A database for one test, so that a fatal error stays with the query that meets it."""
+    c = duckdb.connect(config={"memory_limit": "2GB", "threads": 2, "temp_directory": str(tmp_path)})
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
-    return c
+    yield c
+    c.close()
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
