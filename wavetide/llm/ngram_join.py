@@ -8,7 +8,9 @@ survives is verified on the shingle sets.
 One tree over a corpus can't be split over machines, so there is a forest: each set lies in cells that any similar set
 must share. For sets of at most a given summed size, similarity t leaves at most d = (1-t)/(1+t) * (|A|+|B|) shingles
 outside the overlap. The hash space is cut into more than d ranges, so at least one range holds the same shingles of
-both; a range's cell is named by a hash of its shingles. (A set with few non-empty ranges names its empty ones, too.)
+both; a range's cell is named by a hash of its shingles. Empty ranges have no cells: of sets with at most d non-empty
+ranges the only range in common may be an empty one, so each of the first |A| - o + 1 shingles of such a set names a cell,
+too (o being the least overlap of a link): linked sets of this kind share one of these.
 Size classes grow so that similar sets lie in the same class or in neighbouring ones; a set names cells for its own
 class and for the one below.
 
@@ -98,7 +100,10 @@ class Threshold:
             full = ends[1:] > ends[:-1]
             salt = mix(np.arange(ranges, dtype=np.uint64) + np.uint64((level + 1) << 40))
             name = mix(name + salt)
-            out.append(name if np.count_nonzero(full) <= d else name[full])
+            out.append(name[full])
+            if np.count_nonzero(full) <= d:  # else a range with the same shingles of both is never an empty one
+                least = self.overlap_of(len(u) + -(-self.num * len(u) // self.den))
+                out.append(mix(mix(u[: len(u) - least + 1]) + mix(np.array([~np.uint64(level)]))))
         return np.concatenate(out)
 
 
@@ -435,7 +440,7 @@ def _pairs(stars: DataFrame) -> DataFrame:
 _SPOT = ["hub", "i", "j", "only"]
 
 
-def _blocks(stars: DataFrame, found: DataFrame, single: DataFrame) -> DataFrame:
+def _blocks(stars: DataFrame, found: DataFrame, features: DataFrame) -> DataFrame:
     """Members of the hubs' groups at the block pairs where they meet others: hub, i, j, only, side, doc_id, component, counts.
 
     Hubs of one component are one. A group's most frequent component has blocks i, its other members have blocks j; a block i meets each j, and blocks j
@@ -449,7 +454,7 @@ def _blocks(stars: DataFrame, found: DataFrame, single: DataFrame) -> DataFrame:
     packed = through.select("hub", "chunk", "docs").unionByName(chunk.select("hub", "chunk", "docs"))
     own = top.select("hub", F.col("b").alias("doc_id")).unionByName(top.unionByName(chunk, allowMissingColumns=True).select("hub", F.col("low").alias("doc_id")))
     member = _members(packed.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk")).unionByName(own).distinct()
-    member = member.join(single.select("doc_id", "n", "counts"), "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    member = member.join(features.select("doc_id", "n", "counts"), "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     member = materialize(member.withColumn("component", F.coalesce("component", "doc_id")))
     unit = member.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
     group = unit.groupBy("hub").agg(F.max(F.struct("size", "component", "weight")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
@@ -548,23 +553,40 @@ def _forest(near: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFrame
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, for every row; links are pairs with Jaccard similarity of at least num/den."""
-    spark, t = df.sparkSession, Threshold(num, den)
+    """doc_id, n_shingles, component_id, for every row; links are pairs with Jaccard similarity of at least num/den.
+
+    Rows of one id are one node that has the links of all of them."""
+    t = Threshold(num, den)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = materialize(_features(rows, k))
+    known = features.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _row_components(rows, features, k, t)
+    # rows are linked by a number of their own, ids by the links of their rows
+    rows = materialize(rows.where("doc_id is not null").select("doc_id", F.monotonically_increasing_id().alias("no"), "text"))
+    numbered, ids = rows.select(F.col("no").alias("doc_id"), "text"), rows.select("no", "doc_id")
+    linked = materialize(_row_components(numbered, materialize(_features(numbered, k)), k, t).withColumnRenamed("doc_id", "no"))
+    of_row = linked.where("no <> component_id").join(ids, "no").join(ids.select(F.col("no").alias("component_id"), F.col("doc_id").alias("other")), "component_id")
+    found = components(of_row, "doc_id", "other")
+    every = linked.join(ids, "no").select("doc_id", "n_shingles").unionByName(features.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles")))
+    return every.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _row_components(rows: DataFrame, features: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """jaccard_components of rows of which no two have one id."""
+    spark = rows.sparkSession
     shingles = features.agg(F.sum("n")).first()[0] or 0
     stars = materialize(_stars(rows, k, t, max(32, 2 * shuffle_partitions(spark), shingles // BUCKET)))
 
     named = features.where("n > 0 and doc_id is not null")
     first = named.groupBy("set1", "set2").agg(F.min("doc_id").alias("a"))
     equal = named.join(first, ["set1", "set2"]).where("doc_id != a").select("a", F.col("doc_id").alias("b"))
-    single = named.dropDuplicates(["doc_id"])
 
-    near = materialize(_within_bound(_pairs(stars), single, t))
+    near = materialize(_within_bound(_pairs(stars), named, t))
     links = materialize(_verified(near, rows, k, t).unionByName(equal))
     found = materialize(components(links))
 
-    others = materialize(_near_others(_blocks(stars, found, single), t))
+    others = materialize(_near_others(_blocks(stars, found, named), t))
     if not others.isEmpty():
         found = materialize(components(links.unionByName(materialize(_forest(others, rows, k, t)))))
     return features.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
