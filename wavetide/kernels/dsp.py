@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 
+from wavetide.kernels.recursion import section, state_filter
 from wavetide.plans.banks import SR, TINY, _centred, fft_frequencies, get_window, mr_frequencies
 
 # framing
@@ -307,13 +308,8 @@ def zero_crossings(y, threshold: float = 1e-10, ref_magnitude: float | None = No
 def sosfilt(sos, x, zi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The filtered signal and the state behind it, (sections, 2)."""
     y, state = np.array(x, float), np.zeros((len(sos), 2)) if zi is None else np.array(zi, float)
-    for s, (b0, b1, b2, a0, a1, a2) in enumerate(sos):
-        z0, z1 = state[s]
-        for k, v in enumerate(y):
-            out = (b0 * v) / a0 + z0
-            z0, z1 = (b1 * v - a1 * out) / a0 + z1, (b2 * v - a2 * out) / a0
-            y[k] = out
-        state[s] = z0, z1
+    for s, row in enumerate(sos):
+        y, state[s] = state_filter(*section(*row), y, state[s])
     return y, state
 
 
@@ -460,19 +456,17 @@ def iirt(y, sr: float = SR, win_length: int = 2048, hop_length: int | None = Non
     hop = hop_length or win_length // 4
     y = np.asarray(y, float)
     banks, rates = semitone_filterbank(tuning=tuning)
-    at_rate = {r: resample(y, sr, r) for r in np.unique(rates)}
     y = pad_signal(y, win_length // 2, win_length // 2, pad_mode) if center else y
-    n = 1 + (len(y) - win_length) // hop if len(y) >= win_length else 0
+    at_rate = {r: y if abs(r - sr) < 1e-6 else resample(y, sr, r) for r in np.unique(rates)}
+    n = max(1, 1 + (len(y) - win_length) // hop)
     out = np.zeros((n, len(banks)))
     for k, (sos, rate) in enumerate(zip(banks, rates)):
         x = sosfiltfilt(sos, at_rate[rate]) if len(at_rate[rate]) > 1 else at_rate[rate]
         scale = sr / rate
-        win, step = round(win_length / scale), hop / scale
-        x = pad_signal(x, win // 2, win // 2, pad_mode) if center else x
+        starts = np.floor(np.arange(n) * (hop / scale) + 0.5).astype(int)
         power = np.concatenate([[0.0], np.cumsum(x * x)])
-        for t in range(n):
-            lo = min(len(x), round(t * step))
-            out[t, k] = (power[min(len(x), lo + win)] - power[lo]) * scale
+        ends = np.minimum(starts + int(win_length / scale + 0.5), len(x))
+        out[:, k] = np.maximum(power[ends] - power[np.minimum(starts, len(x))], 0.0) * scale
     return out
 
 
@@ -513,10 +507,7 @@ def preemphasis(y, coef: float = 0.97) -> np.ndarray:
 
 
 def deemphasis(y, coef: float = 0.97) -> np.ndarray:
-    out = np.array(y, float)
-    for k in range(1, len(out)):
-        out[k] += coef * out[k - 1]
-    return out
+    return state_filter([[coef]], [coef], [1.0], 1.0, y, np.zeros(1))[0]
 
 
 def remix(y, intervals, align_zeros: bool = True) -> np.ndarray:
