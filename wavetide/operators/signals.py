@@ -386,9 +386,8 @@ def onset_strength(frames_db: DataFrame, lag: int = 1, shift: int = 0) -> DataFr
 # edges of matrices
 
 
-def knn(a: DataFrame, b: DataFrame, k: int, metric: str = "euclidean", width: int = 0) -> DataFrame:
-    """(signal_id, i, j, d): the k nearest frames of b (signal_id, j, w) for each frame of a (signal_id, i, v) of the
-    same signal, ties to the smaller j. width: frames with |i - j| below it don't count."""
+def distances(a: DataFrame, b: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(signal_id, i, j, d): every frame of a (signal_id, i, v) with every frame of b (signal_id, j, w) of the same signal."""
     if metric == "euclidean":
         d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     elif metric == "cosine":
@@ -396,10 +395,7 @@ def knn(a: DataFrame, b: DataFrame, k: int, metric: str = "euclidean", width: in
         d = F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1.0 - dot("v", "w") / F.sqrt(dot("v", "v") * dot("w", "w"))))
     else:
         raise ValueError(f"unknown metric {metric!r}")
-    pairs = a.join(b, KEY)
-    pairs = pairs.where(F.abs(F.col("i") - F.col("j")) >= width) if width else pairs
-    rank = F.row_number().over(Window.partitionBy(KEY, "i").orderBy("d", "j"))
-    return pairs.select(KEY, "i", "j", d.alias("d")).withColumn("rank", rank).where(F.col("rank") <= k).select(KEY, "i", "j", "d")
+    return a.join(b, KEY).select(KEY, "i", "j", d.alias("d"))
 
 
 def mutual(edges: DataFrame) -> DataFrame:

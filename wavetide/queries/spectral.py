@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wavetide.functions import convert as C
 from wavetide.operators import kernels as K
 from wavetide.operators import signals as S
+from wavetide.operators.neighbours import nearest
 from wavetide.plans import banks
 
 from .base import HOP, N, SPECTRUM, SR, query, r, table, values, wide
@@ -257,23 +258,23 @@ _RANKED = f"WITH {_EMB}, d AS (SELECT a.signal_id, a.i, b.i AS j, {{0}} AS d FRO
 
 @query("cross_similarity", _RANKED.format(_DIST) + " SELECT signal_id, i, j, round(d, 5) + 0.0 AS d FROM x WHERE rank <= 4")
 def cross_similarity(spark, folder):
-    return S.knn(*_sides(spark, folder), 4, width=1).select("signal_id", "i", "j", r("d", 5).alias("d"))
+    return nearest(*_sides(spark, folder), 4, width=1).select("signal_id", "i", "j", r("d", 5).alias("d"))
 
 
 @query("cross_similarity_cosine", _RANKED.format("1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))") + " SELECT signal_id, i, j, round(d, 5) + 0.0 AS d FROM x WHERE rank <= 4")
 def cross_similarity_cosine(spark, folder):
-    return S.knn(*_sides(spark, folder), 4, "cosine", width=1).select("signal_id", "i", "j", r("d", 5).alias("d"))
+    return nearest(*_sides(spark, folder), 4, "cosine", width=1).select("signal_id", "i", "j", r("d", 5).alias("d"))
 
 
 @query("recurrence_matrix", _RANKED.format(_DIST) + ", e AS (SELECT * FROM x WHERE rank <= 4) SELECT a.signal_id, a.i, a.j FROM e a JOIN e b ON a.signal_id = b.signal_id AND a.i = b.j AND a.j = b.i")
 def recurrence_matrix(spark, folder):
     """Mutual neighbours."""
-    return S.mutual(S.knn(*_sides(spark, folder), 4, width=1)).select("signal_id", "i", "j")
+    return S.mutual(nearest(*_sides(spark, folder), 4, width=1)).select("signal_id", "i", "j")
 
 
 @query("recurrence_affinity", _RANKED.format(_DIST) + ", e AS (SELECT * FROM x WHERE rank <= 4), b AS (SELECT signal_id, median(d) AS bw FROM e WHERE rank = 4 GROUP BY 1) SELECT signal_id, i, j, round(exp(-d / bw), 5) + 0.0 AS w FROM e JOIN b USING (signal_id)")
 def recurrence_affinity(spark, folder):
-    e = S.knn(*_sides(spark, folder), 4, width=1)
+    e = nearest(*_sides(spark, folder), 4, width=1)
     far = e.groupBy("signal_id", "i").agg(F.max("d").alias("far")).groupBy("signal_id").agg(F.percentile("far", F.lit(0.5)).alias("bw"))
     return e.join(far, "signal_id").select("signal_id", "i", "j", r(F.exp(-F.col("d") / F.col("bw")), 5).alias("w"))
 
@@ -289,7 +290,7 @@ def _lags(spark, folder):
     """(signal_id, i, frame, size, lag) of each link to a neighbour."""
     at = _numbered(spark, folder)
     to = at.select("signal_id", F.col("i").alias("j"), F.col("frame").alias("other"))
-    e = S.knn(*_sides(spark, folder), 4, width=1).join(at, ["signal_id", "i"]).join(to, ["signal_id", "j"])
+    e = nearest(*_sides(spark, folder), 4, width=1).join(at, ["signal_id", "i"]).join(to, ["signal_id", "j"])
     return e.select("signal_id", "i", "frame", "size", F.pmod(F.col("other") - F.col("frame"), 2 * F.col("size")).alias("lag"))
 
 
@@ -306,16 +307,16 @@ def lag_to_recurrence(spark, folder):
     return _lags(spark, folder).select("signal_id", "i", j).join(back, ["signal_id", "frame"]).select("signal_id", "i", "j")
 
 
-@query("nn_filter", _RANKED.format(_DIST) + ", e AS (SELECT * FROM x WHERE rank <= 4) SELECT e.signal_id, e.i, round(avg(b.v[1]), 5) + 0.0 AS first, round(avg(b.v[64]), 5) + 0.0 AS last FROM e JOIN v b ON b.signal_id = e.signal_id AND b.i = e.j GROUP BY 1, 2")
+@query("nn_filter", _RANKED.format(_DIST) + ", e AS (SELECT * FROM x WHERE rank <= 4), m AS (SELECT e.signal_id, e.i, generate_subscripts(b.v, 1) - 1 AS k, unnest(b.v) AS v FROM e JOIN v b ON b.signal_id = e.signal_id AND b.i = e.j) SELECT signal_id, i, k, round(avg(v), 5) + 0.0 AS v FROM m GROUP BY 1, 2, 3")
 def nn_filter(spark, folder):
     a, b = _sides(spark, folder)
-    e = S.knn(a, b, 4, width=1).join(b, ["signal_id", "j"])
-    return e.groupBy("signal_id", "i").agg(r(F.avg(F.col("w")[0]), 5).alias("first"), r(F.avg(F.col("w")[63]), 5).alias("last"))
+    e = nearest(a, b, 4, width=1).join(b, ["signal_id", "j"]).select("signal_id", "i", F.posexplode("w").alias("k", "v"))
+    return e.groupBy("signal_id", "i", F.col("k").cast("long").alias("k")).agg(r(F.avg("v"), 5).alias("v"))
 
 
 for _metric, _sql in (("euclidean", _DIST), ("cosine", "1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))")):
     query(f"cdist_{_metric}", f"WITH {_EMB} SELECT a.signal_id, a.i, b.i AS j, round({_sql}, 5) + 0.0 AS d FROM v a JOIN v b ON a.signal_id = b.signal_id AND a.i != b.i")(
-        lambda spark, folder, m=_metric: S.knn(*_sides(spark, folder), 1 << 30, m, width=1).select("signal_id", "i", "j", r("d", 5).alias("d"))
+        lambda spark, folder, m=_metric: S.distances(*_sides(spark, folder), m).where("i != j").select("signal_id", "i", "j", r("d", 5).alias("d"))
     )
 
 
