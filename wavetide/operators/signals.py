@@ -283,13 +283,41 @@ def match_events(source: DataFrame, target: DataFrame) -> DataFrame:
     return rows.select(KEY, "n", nearest.alias("nearest"))
 
 
+def overlapping(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Pairs of intervals (signal_id, interval_no, start, end) of a signal that touch: those columns, and other, s2, e2.
+
+    Intervals lie in a hierarchy of cells of 2^level. Each one has a level (-20 at least) at which it spans two cells, three at most; a pair
+    meets at the larger level of both, so each interval names the cells of its own level for smaller ones, and those of all
+    levels above for larger ones. That is an equi-join with a few rows for each interval and level; of the cells that a
+    pair shares the one with the larger start counts.
+    """
+    keep = lambda df, *names: df.select(KEY, *(F.col(x).alias(y) for x, y in zip(("interval_no", "start", "end"), names)))
+    level = lambda a, b: F.when(b > a, F.greatest(F.ceil(F.log2((b - a).cast("double"))), F.lit(-20))).otherwise(F.lit(-20)).cast("int")
+    a = keep(source, "interval_no", "start", "end").where("start <= end").withColumn("own", level(F.col("start"), F.col("end")))
+    b = keep(target, "other", "s2", "e2").where("s2 <= e2").withColumn("own", level(F.col("s2"), F.col("e2")))
+    sizes = a.select("own").unionByName(b.select("own")).agg(F.collect_set("own")).first()[0]  # exponents of doubles: 2,200 at most
+    steps = F.array(*map(F.lit, sorted(sizes))).cast("array<int>")
+
+    def cells(df: DataFrame, start: str, end: str, levels: Column) -> DataFrame:
+        df = df.withColumn("level", F.explode(levels))
+        cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+        return df.withColumn("cell", F.explode(F.sequence(cell(start), cell(end))))
+
+    own = F.array("own")
+    above = F.filter(steps, lambda x: x > F.col("own"))
+    not_below = F.filter(steps, lambda x: x >= F.col("own"))
+    meet = [KEY, "level", "cell"]
+    pairs = cells(a, "start", "end", own).drop("own").join(cells(b, "s2", "e2", not_below).drop("own"), meet)
+    pairs = pairs.unionByName(cells(a, "start", "end", above).drop("own").join(cells(b, "s2", "e2", own).drop("own"), meet))
+    at = F.floor(F.greatest("start", "s2") / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    return pairs.where((F.col("s2") <= F.col("end")) & (F.col("e2") >= F.col("start")) & (F.col("cell") == at)).drop("level", "cell")
+
+
 def match_intervals(source: DataFrame, target: DataFrame) -> DataFrame:
     """(signal_id, interval_no, match): the target with the largest shared part of the union, among those that touch."""
-    t = target.select(KEY, F.col("interval_no").alias("other"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    both = source.join(t, KEY).where((F.col("s2") <= F.col("end")) & (F.col("e2") >= F.col("start")))
     inside = F.least("end", "e2") - F.greatest("start", "s2")
     union = F.greatest("end", "e2") - F.least("start", "s2")
-    scored = both.withColumn("score", F.when(union > 0, inside / union).otherwise(0.0))
+    scored = overlapping(source, target).withColumn("score", F.when(union > 0, inside / union).otherwise(0.0))
     return scored.groupBy(KEY, "interval_no").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("match"))
 
 

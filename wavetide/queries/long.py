@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from wavetide.operators import long as L
 from wavetide.operators import signals as S
+from wavetide.operators.alignment import align
 
 from .base import HOP, N, SQL, SR, long, query, r
-from .kernels import SOS
+from .kernels import SOS, paired
 from .spectral import _long, mel_bank
 
 SIZE = 32
@@ -70,3 +71,20 @@ def long_pcen(spark, folder):
     frames = spectrum(spark, folder).select("signal_id", "t", size.alias("f"))
     rows = L.pcen(frames, size=4, sr=SR, hop_length=HOP, time_constant=90**0.5 * HOP / SR).select("signal_id", "t", F.posexplode("f").alias("k", "v"))
     return rows.select("signal_id", "t", F.col("k").cast("long").alias("k"), r("v").alias("v"))
+
+
+def _aligned(spark, folder):
+    """The frames of the dtw queries, in tiles of five frames."""
+    both = paired(spark, folder)
+    side = lambda name: both.select("signal_id", F.posexplode(name).alias("t", "f"))
+    return align(side("S"), side("R"), block=5)
+
+
+@query("long_dtw_cost", f"SELECT signal_id, arg_max(f, t)[-1] AS cost FROM ({SQL['dtw']}) q GROUP BY 1")
+def long_dtw_cost(spark, folder):
+    return _aligned(spark, folder)[0].select("signal_id", r("cost", 5).alias("cost"))
+
+
+@query("long_dtw_path", f"SELECT signal_id, i, j FROM ({SQL['dtw_backtrack']}) q")
+def long_dtw_path(spark, folder):
+    return _aligned(spark, folder)[1]
