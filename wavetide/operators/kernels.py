@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavetide.kernels import dsp, features, rhythm, sequence
+from wavetide.kernels import compositions, dsp, features, rhythm, sequence
 from wavetide.plans import banks
 
 _F, _L = pa.float64(), pa.int64()
@@ -264,6 +264,8 @@ median_filter_2d = _operator(sequence.median_filter_2d, "frames", "S")
 hpss = _operator(sequence.hpss, "two_frames", "S")
 hpss_complex = _operator(lambda re, im, **p: sequence.hpss(re + 1j * im, **p), "two_complex", "re", "im")
 decompose_nmf = _operator(lambda s, **p: (lambda w, h: (w.T, h))(*sequence.nmf(s, **p)), "two_frames", "S")
+nn_filter_median = _operator(compositions.nn_filter_median, "frames", "S")
+robust_beat_frames = _operator(lambda beats, last: compositions.robust_beat_frames(beats, int(last)), "events", "beats", "last")
 nn_filter = _operator(sequence.nn_filter, "frames", "S", "rec")
 nnls = _operator(features.nnls, "frames", "A", "B")
 # similarity and segmentation

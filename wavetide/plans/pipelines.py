@@ -1,7 +1,7 @@
 """Fixed compositions of operators over many signals: presets, onsets by spectral flux, separation, alignment, structure.
 
 Each takes wide signals (signal_id, y). A whole chain runs as one kernel on each signal, so intermediate matrices never
-leave the worker that made them.
+leave the worker that made them; other keyword parameters are the kernel's (wavetide/kernels/compositions.py).
 """
 
 from __future__ import annotations
@@ -9,27 +9,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from wavetide.kernels import dsp, features, rhythm, sequence
+from wavetide.kernels import compositions as C
+from wavetide.kernels import dsp, sequence
 from wavetide.operators.kernels import apply
 
 
-def _power(y, n_fft, hop):
-    return np.abs(dsp.stft(y, n_fft, hop)) ** 2
+def presets(signals: DataFrame, sr: float, settings: dict[str, tuple], n_mels: int = 80) -> dict[str, DataFrame]:
+    """Mel levels at several sizes of window and hop, and rates (a third value), by name."""
+    return {name: apply(signals, lambda y, at=at: C.preset(y, sr, *at, n_mels=n_mels), ("y",), "frames") for name, at in settings.items()}
 
 
-def presets(signals: DataFrame, sr: float, settings: dict[str, tuple[int, int]], n_mels: int = 16) -> dict[str, DataFrame]:
-    """Mel spectra at several sizes of window and hop, by name."""
-    return {name: apply(signals, lambda y, n=n, h=h: features.melspectrogram(_power(y, n, h), sr, n, n_mels=n_mels), ("y",), "frames") for name, (n, h) in settings.items()}
-
-
-def superflux(signals: DataFrame, sr: float, n_fft: int, hop_length: int, n_mels: int = 24, lag: int = 2, max_size: int = 3) -> DataFrame:
+def superflux(signals: DataFrame, sr: float, **params) -> DataFrame:
     """Onsets of the lagged flux against a maximum-filtered reference."""
-
-    def run(y):
-        db = dsp.power_to_db(features.melspectrogram(_power(y, n_fft, hop_length), sr, n_fft, n_mels=n_mels))
-        return rhythm.onset_detect(rhythm.onset_strength(db, lag=lag, max_size=max_size), sr, hop_length)
-
-    return apply(signals, run, ("y",), "events")
+    return apply(signals, lambda y: C.superflux(y, sr, **params), ("y",), "events")
 
 
 def energy_shares(signals: DataFrame, n_fft: int, hop_length: int, kernel_size: int = 9) -> DataFrame:
@@ -43,54 +35,22 @@ def energy_shares(signals: DataFrame, n_fft: int, hop_length: int, kernel_size:
     return apply(signals, run, ("y",), "series")
 
 
-def vocal_separation(signals: DataFrame, n_fft: int, hop_length: int, width: int = 2, margins: tuple[float, float] = (2.0, 10.0), power: float = 2.0) -> DataFrame:
-    """Foreground and background magnitudes: what similar frames share is background."""
-
-    def run(y):
-        s = np.abs(dsp.stft(y, n_fft, hop_length))
-        rec = sequence.recurrence_matrix(s, metric="cosine", width=width)
-        back = np.minimum(s, sequence.nn_filter(s, rec, "median"))
-        low, high = sequence.softmask(back, margins[0] * (s - back), power), sequence.softmask(s - back, margins[1] * back, power)
-        return s * high, s * low
-
-    return apply(signals, run, ("y",), "two_frames")
+def vocal_separation(signals: DataFrame, sr: float, **params) -> DataFrame:
+    """Foreground (a) and background (b) magnitudes: what similar frames share is background."""
+    return apply(signals, lambda y: C.separate_vocals(y, sr, **params), ("y",), "two_frames")
 
 
-def music_sync(signals: DataFrame, sr: float, n_fft: int, hop_length: int, rate: float = 1.25) -> DataFrame:
+def music_sync(signals: DataFrame, sr: float, **params) -> DataFrame:
     """The warping path between a signal's chroma and that of its stretched copy."""
+    return apply(signals, lambda y: C.sync_path(y, sr, **params), ("y",), "path")
 
-    def chroma(y):
-        return features.chroma_stft(_power(y, n_fft, hop_length), sr, n_fft, tuning=0.0)
 
-    return apply(signals, lambda y: sequence.dtw_backtrack(chroma(y), chroma(dsp.time_stretch(y, rate, n_fft, hop_length)), metric="cosine")[1], ("y",), "path")
+def enhanced_chroma(signals: DataFrame, sr: float, **params) -> DataFrame:
+    """Constant-Q chroma of the harmonic part, smoothed over similar frames and in time."""
+    return apply(signals, lambda y: C.enhanced_chroma(y, sr, **params), ("y",), "frames")
 
 
-def enhanced_chroma(signals: DataFrame, sr: float, n_fft: int, hop_length: int, kernel_size: int = 9) -> DataFrame:
-    """Chroma of the harmonic part, smoothed over similar frames and in time."""
-
-    def run(y):
-        harm = np.abs(sequence.hpss(dsp.stft(y, n_fft, hop_length), kernel_size, margin=4.0)[0])
-        c = features.chroma_stft(harm**2, sr, n_fft, tuning=0.0)
-        near = sequence.recurrence_matrix(c, metric="cosine", k=max(2, int(np.sqrt(len(c)))))
-        return sequence.median_filter_2d(np.minimum(c, sequence.nn_filter(c, near, "median")), (3, 1))
-
-    return apply(signals, run, ("y",), "frames")
-
-
-def segmentation(signals: DataFrame, sr: float, n_fft: int, hop_length: int, bpm: float, k: int = 4) -> DataFrame:
-    """First frames of k sections: beat-synchronous chroma, enhanced recurrence, contiguous clustering."""
-
-    def run(y):
-        power = _power(y, n_fft, hop_length)
-        env = rhythm.onset_strength(dsp.power_to_db(features.melspectrogram(power, sr, n_fft, n_mels=12)), aggregate="median")
-        beats = rhythm.beat_track(env, sr, hop_length, bpm=bpm, trim=False)[1]
-        c = features.chroma_stft(power, sr, n_fft, tuning=0.0)
-        beats = sequence.fix_frames(beats, 0, len(c) - 1) if len(beats) >= 4 else beats
-        if len(beats) < 5:  # too few for a recurrence plot: even steps
-            beats = np.arange(0, len(c), max(1, len(c) // 16))
-        synced = rhythm.sync(c, beats, "median")
-        rec = sequence.recurrence_matrix(synced, mode="affinity", sym=True)
-        paths = sequence.path_enhance(rec, 5, n_filters=3)
-        return beats[sequence.agglomerative(paths, min(k, len(paths)))]
-
-    return apply(signals, run, ("y",), "events")
+def segmentation(signals: DataFrame, sr: float, result: str = "borders", **params) -> DataFrame:
+    """Borders of sections; or the beat frames, chroma, recurrence plot or its paths, by result."""
+    shape = {"borders": "events", "beats": "events", "chroma": "frames", "recurrence": "frames", "paths": "frames"}[result]
+    return apply(signals, lambda y: C.structure(y, sr, **params).get(result, np.empty((0, 0))), ("y",), shape)

@@ -234,17 +234,18 @@ SQL["key_to_degrees"] = """SELECT tonic || ':' || mode AS key, [CAST((x + semito
  (VALUES ('maj', [0, 2, 4, 5, 7, 9, 11]), ('min', [0, 2, 3, 5, 7, 8, 10]), ('dor', [0, 2, 3, 5, 7, 9, 10])) b(mode, steps)"""
 SQL["plimit_intervals"] = "SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS k, round(f, 6) + 0.0 AS f FROM (VALUES (1.0::DOUBLE), (16 / 15.0), (9 / 8.0), (6 / 5.0), (5 / 4.0), (4 / 3.0), (45 / 32.0), (3 / 2.0), (8 / 5.0), (5 / 3.0), (9 / 5.0), (15 / 8.0)) q(f)"
 
-#: The orders' daily prices as one signal: n, v, and the number of days.
-DAILY = """dl AS (SELECT row_number() OVER (ORDER BY day) - 1 AS n, v / 1e6 AS v FROM (SELECT CAST(o_orderdate AS DATE) AS day, sum(CAST(o_totalprice AS DOUBLE)) AS v FROM orders GROUP BY 1)), dz AS (SELECT count(*) AS size FROM dl)"""
-SQL["yin"] = f"""WITH {DAILY}, fx AS (SELECT t, i, coalesce(dl.v, 0) AS x FROM dz JOIN range(10000) q(t) ON t <= size // 32, range(128) u(i) LEFT JOIN dl ON dl.n = t * 32 + i - 64),
- ac AS (SELECT a.t, b.i - a.i AS k, sum(a.x * b.x) AS r FROM fx a JOIN fx b ON a.t = b.t AND b.i - a.i BETWEEN 0 AND 32 GROUP BY 1, 2),
- en AS (SELECT t, i + 1 AS k, sum(x * x) OVER (PARTITION BY t ORDER BY i) AS e FROM fx WHERE i < 32),
- d AS (SELECT a.t, a.k, 2 * (z.r - a.r) - e AS d FROM ac a JOIN ac z ON z.t = a.t AND z.k = 0 JOIN en ON en.t = a.t AND en.k = a.k WHERE a.k > 0),
- c AS (SELECT t, k, d / (avg(d) OVER (PARTITION BY t ORDER BY k) + {_TINY}) AS x FROM d), w AS (SELECT * FROM c WHERE k >= 4),
- n AS (SELECT *, lag(x) OVER p AS a, lead(x) OVER p AS b FROM w WINDOW p AS (PARTITION BY t ORDER BY k)),
+#: The weekly prices of each nation's orders as signals: signal_id, n, v, and the number of weeks.
+WEEKLY = """dw AS (SELECT CAST(c_nationkey AS BIGINT) AS signal_id, date_trunc('week', o_orderdate) AS week, sum(CAST(o_totalprice AS DOUBLE)) AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+ dl AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY week) - 1 AS n, v / 1e6 AS v FROM dw), dz AS (SELECT signal_id, count(*) AS size FROM dl GROUP BY 1)"""
+SQL["yin"] = f"""WITH {WEEKLY}, fx AS (SELECT dz.signal_id, t, i, coalesce(dl.v, 0) AS x FROM (SELECT signal_id, unnest(range(size // 32 + 1)) AS t FROM dz) dz JOIN range(128) u(i) ON true LEFT JOIN dl ON dl.signal_id = dz.signal_id AND dl.n = t * 32 + i - 64),
+ ac AS (SELECT a.signal_id, a.t, b.i - a.i AS k, sum(a.x * b.x) AS r FROM fx a JOIN fx b ON a.signal_id = b.signal_id AND a.t = b.t AND b.i - a.i BETWEEN 0 AND 32 GROUP BY 1, 2, 3),
+ en AS (SELECT signal_id, t, i + 1 AS k, sum(x * x) OVER (PARTITION BY signal_id, t ORDER BY i) AS e FROM fx WHERE i < 32),
+ d AS (SELECT a.signal_id, a.t, a.k, 2 * (z.r - a.r) - e AS d FROM ac a JOIN ac z ON z.signal_id = a.signal_id AND z.t = a.t AND z.k = 0 JOIN en ON en.signal_id = a.signal_id AND en.t = a.t AND en.k = a.k WHERE a.k > 0),
+ c AS (SELECT signal_id, t, k, d / (avg(d) OVER (PARTITION BY signal_id, t ORDER BY k) + {_TINY}) AS x FROM d), w AS (SELECT * FROM c WHERE k >= 4),
+ n AS (SELECT *, lag(x) OVER p AS a, lead(x) OVER p AS b FROM w WINDOW p AS (PARTITION BY signal_id, t ORDER BY k)),
  s AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL OR abs((b - a) / 2) >= abs(b + a - 2 * x) THEN 0 ELSE -(b - a) / 2 / (b + a - 2 * x) END AS shift, b IS NOT NULL AND x < 0.1 AND (a IS NULL AND x < b OR x < a AND x <= b) AS low FROM n),
- o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY low DESC, CASE WHEN low THEN k ELSE 0 END, x, k) AS rank FROM s)
- SELECT 0::BIGINT AS signal_id, t, {ROUND.format("64 / (k + shift)")} AS v FROM o WHERE rank = 1"""
+ o AS (SELECT *, row_number() OVER (PARTITION BY signal_id, t ORDER BY low DESC, CASE WHEN low THEN k ELSE 0 END, x, k) AS rank FROM s)
+ SELECT signal_id, t, {ROUND.format("64 / (k + shift)")} AS v FROM o WHERE rank = 1"""
 
 SQL["plp"] = f"""WITH {COUNTED}, f AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS x FROM c JOIN range(10000) q(t) ON t <= size, range(16) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t + i - 8),
  z AS (SELECT signal_id, t, k, sum(x * cos(2 * pi() * k * i / 16)) AS re, -sum(x * sin(2 * pi() * k * i / 16)) AS im FROM f, range(1, 7) q(k) GROUP BY 1, 2, 3),
@@ -280,14 +281,14 @@ SQL["remix"] = f"""WITH {COUNTED}, y AS (SELECT signal_id, list(CASE WHEN abs(v)
 
 
 def onset(aggregate: str) -> str:
-    """l: the onset envelope of the daily signal as a signal of its own, with centred frames and six mel bands."""
+    """l: the onset envelopes of the weekly signals as signals of their own, with centred frames and six mel bands."""
     bank = banks.mel(SR, N, 6)
     weights = values("e0", "m, k, w", [(m, k, float(bank[m, k])) for m in range(6) for k in range(N // 2 + 1) if bank[m, k]])
-    return f"""{DAILY}, {weights}, e1 AS (SELECT t, i, coalesce(dl.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / {N})) AS x FROM dz JOIN range(100000) q(t) ON t <= size // {HOP}, range({N}) u(i) LEFT JOIN dl ON dl.n = t * {HOP} + i - {N // 2}),
- e2 AS (SELECT t, k, pow(sum(x * cos(2 * pi() * k * i / {N})), 2) + pow(sum(x * sin(2 * pi() * k * i / {N})), 2) AS p FROM e1, range({N // 2 + 1}) q(k) GROUP BY 1, 2),
- e3 AS (SELECT t, m, 10 * log10(greatest(1e-10, sum(p * w))) AS d FROM e2 JOIN e0 USING (k) GROUP BY 1, 2), e4 AS (SELECT t, m, greatest(d, max(d) OVER () - 80) AS d FROM e3),
- e5 AS (SELECT t + {N // (2 * HOP)} AS t, greatest(0, d - lag(d) OVER (PARTITION BY m ORDER BY t)) AS rise FROM e4), e6 AS (SELECT t, {aggregate}(rise) AS v FROM e5 WHERE rise IS NOT NULL GROUP BY 1),
- l AS (SELECT 0::BIGINT AS signal_id, CAST(g.t AS INTEGER) AS n, coalesce(e6.v, 0) AS v FROM (SELECT DISTINCT t FROM e4) g LEFT JOIN e6 USING (t))"""
+    return f"""{WEEKLY}, {weights}, e1 AS (SELECT dz.signal_id, t, i, coalesce(dl.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / {N})) AS x FROM (SELECT signal_id, unnest(range(size // {HOP} + 1)) AS t FROM dz) dz JOIN range({N}) u(i) ON true LEFT JOIN dl ON dl.signal_id = dz.signal_id AND dl.n = t * {HOP} + i - {N // 2}),
+ e2 AS (SELECT signal_id, t, k, pow(sum(x * cos(2 * pi() * k * i / {N})), 2) + pow(sum(x * sin(2 * pi() * k * i / {N})), 2) AS p FROM e1, range({N // 2 + 1}) q(k) GROUP BY 1, 2, 3),
+ e3 AS (SELECT signal_id, t, m, 10 * log10(greatest(1e-10, sum(p * w))) AS d FROM e2 JOIN e0 USING (k) GROUP BY 1, 2, 3), e4 AS (SELECT signal_id, t, m, greatest(d, max(d) OVER (PARTITION BY signal_id) - 80) AS d FROM e3),
+ e5 AS (SELECT signal_id, t + {N // (2 * HOP)} AS t, greatest(0, d - lag(d) OVER (PARTITION BY signal_id, m ORDER BY t)) AS rise FROM e4), e6 AS (SELECT signal_id, t, {aggregate}(rise) AS v FROM e5 WHERE rise IS NOT NULL GROUP BY 1, 2),
+ l AS (SELECT g.signal_id, CAST(g.t AS INTEGER) AS n, coalesce(e6.v, 0) AS v FROM (SELECT DISTINCT signal_id, t FROM e4) g LEFT JOIN e6 ON e6.signal_id = g.signal_id AND e6.t = g.t)"""
 
 
 _MEAN = f"{onset('avg')}, c AS (SELECT signal_id, count(*) AS size FROM l GROUP BY 1)"
@@ -297,10 +298,16 @@ SQL["plp_audio"] = SQL["plp"].replace(COUNTED, _MEAN)
 SQL["tempo_audio"] = f"WITH {tempogram(64)}, m AS (SELECT signal_id, 0 AS t, k, avg(v) AS v FROM tg GROUP BY 1, 3), {scores('m')} SELECT signal_id, {ROUND.format('bpm')} AS value FROM top".replace(COUNTED, _MEAN)
 SQL["beat_track_audio"] = SQL["beat_track"].replace(LONG, onset("median"))
 SQL["beat_track_times"] = f"SELECT signal_id, event_no, round(frame * {HOP / SR}, 6) + 0.0 AS time FROM ({SQL['beat_track_audio']})"
-SQL["onset_detect"] = f"""WITH {onset("avg")}, x AS (SELECT signal_id, n, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER () + {_TINY}) AS v FROM l),
- m AS (SELECT *, avg(v) OVER (ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mean FROM x) SELECT signal_id, row_number() OVER (ORDER BY n) - 1 AS event_no, CAST(n AS BIGINT) AS frame FROM m WHERE v >= mean + 0.07"""
+SQL["onset_detect"] = f"""WITH {onset("avg")}, x AS (SELECT signal_id, n, (v - min(v) OVER s) / (max(v) OVER s - min(v) OVER s + {_TINY}) AS v FROM l WINDOW s AS (PARTITION BY signal_id)),
+ m AS (SELECT *, avg(v) OVER (PARTITION BY signal_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mean FROM x) SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY n) - 1 AS event_no, CAST(n AS BIGINT) AS frame FROM m WHERE v >= mean + 0.07"""
 SQL["onset_detect_times"] = f"SELECT signal_id, event_no, round(frame * {HOP / SR}, 6) + 0.0 AS time FROM ({SQL['onset_detect']})"
 
+_COSINE = "dots AS (SELECT a.signal_id, a.t, b.t AS u, sum(a.v * b.v) AS d FROM mg a JOIN mg b ON a.signal_id = b.signal_id AND a.k = b.k GROUP BY 1, 2, 3)"
+SQL["nn_filter_median"] = f"""WITH {SPECTRUM}, mg AS (SELECT signal_id, t, k, sqrt(p) AS v FROM p), {_COSINE}, sz AS (SELECT signal_id, max(t) + 1 AS n FROM mg GROUP BY 1),
+ s AS (SELECT x.signal_id, x.t, x.u, row_number() OVER (PARTITION BY x.signal_id, x.t ORDER BY round(x.d / sqrt(y.d * z.d), 13) DESC, x.u) AS rank FROM dots x JOIN dots y ON y.signal_id = x.signal_id AND y.t = x.t AND y.u = x.t
+  JOIN dots z ON z.signal_id = x.signal_id AND z.t = x.u AND z.u = x.u JOIN sz ON sz.signal_id = x.signal_id WHERE abs(x.t - x.u) > 1 OR n <= 3)
+ SELECT s.signal_id, s.t, list(r ORDER BY k) AS f FROM (SELECT s.signal_id, s.t, k, round(median(v), 5) + 0.0 AS r FROM s JOIN mg ON mg.signal_id = s.signal_id AND mg.t = s.u WHERE rank <= 4 GROUP BY 1, 2, 3) s GROUP BY 1, 2"""
+
 SQL["chroma"] = """WITH b AS (SELECT k, 12 * log2(greatest(k, 1) * 22050 / 512.0 / 27.5) - CASE WHEN k = 0 THEN 18 ELSE 0 END AS b FROM range(512) q(k)),
  w AS (SELECT k, b, greatest(1, coalesce(lead(b) OVER (ORDER BY k) - b, 1)) AS width FROM b), g AS (SELECT m, k, b, exp(-0.5 * pow(2 * ((b - m + 126) % 12 - 6) / width, 2)) AS w FROM w, range(12) q(m)),
  n AS (SELECT m, k, w / sqrt(sum(w * w) OVER (PARTITION BY k)) * exp(-0.5 * pow((b / 12 - 5) / 2, 2)) AS w FROM g) SELECT (m + 9) % 12 AS m, k, round(w, 6) + 0.0 AS w FROM n WHERE k <= 256"""

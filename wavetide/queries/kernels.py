@@ -16,11 +16,13 @@ from .spectral import DB, MIRROR, magnitudes, mel_bank, power, spectrum
 TRANS = banks.transition_loop(3, 0.8)
 
 
-def daily(spark, folder):
-    """One long signal: the orders' daily prices."""
-    days = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("double")).alias("v"))
-    y = F.transform(F.sort_array(F.collect_list(F.struct("day", "v"))), lambda x: x["v"] / 1e6)
-    return days.groupBy(F.lit(0).cast("long").alias("signal_id")).agg(y.alias("y"))
+def weekly(spark, folder):
+    """Long signals: the prices of the orders of each week, one signal for each nation of the customers."""
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("signal_id"))
+    orders = table(spark, folder, "orders").select("o_custkey", F.date_trunc("week", "o_orderdate").alias("week"), F.col("o_totalprice").cast("double").alias("v"))
+    sums = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("signal_id", "week").agg(F.sum("v").alias("v"))
+    y = F.transform(F.sort_array(F.collect_list(F.struct("week", "v"))), lambda x: x["v"] / 1e6)
+    return sums.groupBy("signal_id").agg(y.alias("y"))
 
 
 def matrices(spark, folder, of=magnitudes, name="S"):
@@ -89,24 +91,24 @@ _add("istft", complex_matrices, K.istft, hop_length=HOP, center=False)
 _add("phase_vocoder", complex_matrices, K.phase_vocoder, rate=1.5, hop_length=HOP)
 _add("griffinlim", matrices, K.griffinlim, n_iter=4, hop_length=HOP, center=False, init_phase="zeros")
 _add("pcen_kernel", matrices, K.pcen, sr=SR, hop_length=HOP)
-_add("iirt", daily, K.iirt, win_length=256, hop_length=64)
+_add("iirt", weekly, K.iirt, win_length=256, hop_length=64)
 _add("reassigned_spectrogram", wide, K.reassigned_spectrogram, sr=SR, fill_nan=True, **STFT)
 _add("fmt", wide, K.fmt, n_fmt=32)
 CQT = dict(sr=SR, hop_length=8, fmin=4.0, n_bins=12, bins_per_octave=6)
-_add("cqt", daily, K.cqt, **CQT)
-_add("cqt_magnitude", daily, K.cqt_magnitude, **CQT)
-_add("vqt", daily, K.vqt, **CQT)
-_add("pseudo_cqt", daily, K.pseudo_cqt, **CQT)
-_add("hybrid_cqt", daily, K.hybrid_cqt, **CQT)
-_add("icqt", lambda s, d: complex_matrices(s, d, lambda a, b: K.cqt(daily(a, b), **CQT)), K.icqt, sr=SR, hop_length=8, fmin=4.0, bins_per_octave=6)
-_add("griffinlim_cqt", lambda s, d: K.to_matrix(K.cqt_magnitude(daily(s, d), **CQT)), K.griffinlim_cqt, n_iter=2, sr=SR, hop_length=8, fmin=4.0, bins_per_octave=6, init_phase="zeros")
+_add("cqt", weekly, K.cqt, **CQT)
+_add("cqt_magnitude", weekly, K.cqt_magnitude, **CQT)
+_add("vqt", weekly, K.vqt, **CQT)
+_add("pseudo_cqt", weekly, K.pseudo_cqt, **CQT)
+_add("hybrid_cqt", weekly, K.hybrid_cqt, **CQT)
+_add("icqt", lambda s, d: complex_matrices(s, d, lambda a, b: K.cqt(weekly(a, b), **CQT)), K.icqt, sr=SR, hop_length=8, fmin=4.0, bins_per_octave=6)
+_add("griffinlim_cqt", lambda s, d: K.to_matrix(K.cqt_magnitude(weekly(s, d), **CQT)), K.griffinlim_cqt, n_iter=2, sr=SR, hop_length=8, fmin=4.0, bins_per_octave=6, init_phase="zeros")
 _add("resample", wide, K.resample, orig_sr=64, target_sr=48)
 _add("resample_linear", wide, K.resample, f"WITH {COUNTED}, o AS (SELECT signal_id, size, unnest(range(CAST(ceil(size * 0.75) AS BIGINT))) AS i FROM c), p AS (SELECT signal_id, i, CAST(floor(i / 0.75) AS BIGINT) AS a, i / 0.75 - floor(i / 0.75) AS part, size FROM o), x AS (SELECT p.signal_id, p.i, a.v + part * (coalesce(b.v, a.v) - a.v) AS v FROM p JOIN l a ON a.signal_id = p.signal_id AND a.n = p.a LEFT JOIN l b ON b.signal_id = p.signal_id AND b.n = p.a + 1) SELECT signal_id, list(round(v, 5) + 0.0 ORDER BY i) AS y FROM x GROUP BY 1", orig_sr=64, target_sr=48, res_type="linear")
 _add("resample_fft", wide, K.resample, orig_sr=64, target_sr=48, res_type="fft")
 _add("autocorrelate_fft", wide, K.autocorrelate, f"WITH {LONG}, a AS (SELECT a.signal_id, k, round(sum(a.v * b.v), 5) + 0.0 AS r FROM l a, range(8) q(k), l b WHERE b.signal_id = a.signal_id AND b.n = a.n + k GROUP BY 1, 2) SELECT signal_id, list(r ORDER BY k) AS y FROM a GROUP BY 1", max_size=8)
 _add("lpc", wide, K.lpc, order=4)
 _add("clicks_frames", lambda s, d: marks(s, d).withColumnRenamed("source", "frames"), K.clicks_frames, sr=64.0, hop_length=4, click_freq=10.0)
-_add("semitone_filterbank", lambda s, d: daily(s, d).limit(1), lambda df: df.sparkSession.createDataFrame([(k, int(i), *map(float, row)) for k, sos in enumerate(dsp.semitone_filterbank()[0]) for i, row in enumerate(sos)], "note int, section int, b0 double, b1 double, b2 double, a0 double, a1 double, a2 double"))
+_add("semitone_filterbank", lambda s, d: weekly(s, d).limit(1), lambda df: df.sparkSession.createDataFrame([(k, int(i), *map(float, row)) for k, sos in enumerate(dsp.semitone_filterbank()[0]) for i, row in enumerate(sos)], "note int, section int, b0 double, b1 double, b2 double, a0 double, a1 double, a2 double"))
 SOS = dsp.elliptic_bandpass(0.2, 0.4, 1.0, 40.0, 2).tolist()
 _add("sosfilt", wide, K.sosfilt, sos=SOS)
 _add("sosfiltfilt", wide, K.sosfiltfilt, sos=SOS)
@@ -120,38 +122,38 @@ _add("mfcc_to_mel", lambda s, d: K.to_matrix(K.mfcc(mel_matrices(s, d), n_mfcc=4
 _add("mel_to_stft", lambda s, d: K.to_matrix(K.melspectrogram(matrices(s, d, power), sr=SR, n_fft=N, n_mels=6)), K.mel_to_stft, sr=SR, n_fft=N)
 _add("mel_to_audio", lambda s, d: K.to_matrix(K.melspectrogram(matrices(s, d, power), sr=SR, n_fft=N, n_mels=6)), K.mel_to_audio, sr=SR, n_fft=N, hop_length=HOP, n_iter=2, init_phase="zeros")
 _add("mfcc_to_audio", lambda s, d: K.to_matrix(K.mfcc(mel_matrices(s, d), n_mfcc=4)), K.mfcc_to_audio, n_mels=6, sr=SR, n_fft=N, hop_length=HOP, n_iter=2, init_phase="zeros")
-_add("chroma_cqt", lambda s, d: K.to_matrix(K.cqt_magnitude(daily(s, d), **CQT)), K.chroma_cqt, fmin=4.0, n_chroma=6, bins_per_octave=6)
-_add("chroma_cens", lambda s, d: K.to_matrix(K.chroma_cqt(K.to_matrix(K.cqt_magnitude(daily(s, d), **CQT)), fmin=4.0, n_chroma=6, bins_per_octave=6)), K.chroma_cens, win_len_smooth=9)
-_add("chroma_vqt", lambda s, d: K.to_matrix(K.vqt_magnitude(daily(s, d), **CQT)), K.chroma_vqt, fmin=4.0, bins_per_octave=6)
+_add("chroma_cqt", lambda s, d: K.to_matrix(K.cqt_magnitude(weekly(s, d), **CQT)), K.chroma_cqt, fmin=4.0, n_chroma=6, bins_per_octave=6)
+_add("chroma_cens", lambda s, d: K.to_matrix(K.chroma_cqt(K.to_matrix(K.cqt_magnitude(weekly(s, d), **CQT)), fmin=4.0, n_chroma=6, bins_per_octave=6)), K.chroma_cens, win_len_smooth=9)
+_add("chroma_vqt", lambda s, d: K.to_matrix(K.vqt_magnitude(weekly(s, d), **CQT)), K.chroma_vqt, fmin=4.0, bins_per_octave=6)
 _add("delta_interp", matrices, K.delta, width=5)
 FREQ = banks.fft_frequencies(SR, N)
 _add("interp_harmonics", matrices, K.interp_harmonics, freqs=FREQ, harmonics=[1, 2])
 _add("f0_harmonics", lambda s, d: matrices(s, d).withColumn("f0", F.transform("S", lambda x: F.lit(5.0))), K.f0_harmonics, freqs=FREQ, harmonics=[1, 2, 3])
 _add("salience", matrices, K.salience, freqs=FREQ, harmonics=[1, 2], filter_peaks=True)
-_add("yin", daily, K.yin, fmin=2.0, fmax=16.0, sr=SR, frame_length=128, hop_length=32)
-_add("pyin", daily, K.pyin, fmin=2.0, fmax=16.0, sr=SR, frame_length=128, hop_length=32, resolution=0.5)
+_add("yin", weekly, K.yin, fmin=2.0, fmax=16.0, sr=SR, frame_length=128, hop_length=32)
+_add("pyin", weekly, K.pyin, fmin=2.0, fmax=16.0, sr=SR, frame_length=128, hop_length=32, resolution=0.5)
 _add("estimate_tuning", matrices, K.estimate_tuning, sr=SR, n_fft=N, fmin=4.0, fmax=30.0)
 _add("onset_detect_envelope", wide, K.onset_detect_envelope, sr=SR, hop_length=1)
 AUDIO = dict(sr=SR, hop_length=HOP, n_fft=N, n_mels=6)
-_add("onset_detect", daily, K.onset_detect, **AUDIO)
-query("onset_detect_times")(lambda s, d: K.onset_detect(daily(s, d), **AUDIO).select("signal_id", "event_no", r(F.col("frame") * (HOP / SR)).alias("time")))
+_add("onset_detect", weekly, K.onset_detect, **AUDIO)
+query("onset_detect_times")(lambda s, d: K.onset_detect(weekly(s, d), **AUDIO).select("signal_id", "event_no", r(F.col("frame") * (HOP / SR)).alias("time")))
 _add("tempogram", wide, K.tempogram, win_length=32)
-_add("tempogram_audio", daily, K.tempogram_audio, win_length=32, **AUDIO)
+_add("tempogram_audio", weekly, K.tempogram_audio, win_length=32, **AUDIO)
 _add("fourier_tempogram", wide, K.fourier_tempogram, win_length=16)
-_add("fourier_tempogram_audio", daily, K.fourier_tempogram_audio, win_length=16, **AUDIO)
+_add("fourier_tempogram_audio", weekly, K.fourier_tempogram_audio, win_length=16, **AUDIO)
 _add("tempogram_ratio", lambda s, d: K.to_matrix(K.tempogram(wide(s, d), win_length=32)), K.tempogram_ratio, sr=SR, hop_length=HOP)
 _add("tempo", wide, K.tempo, sr=SR, hop_length=HOP, ac_size=2.0)
 _add("tempo_frames", wide, K.tempo_frames, sr=SR, hop_length=HOP, ac_size=2.0)
-_add("tempo_audio", daily, K.tempo_audio, ac_size=4.0, **AUDIO)
+_add("tempo_audio", weekly, K.tempo_audio, ac_size=4.0, **AUDIO)
 _add("beat_track", wide, K.beat_track, sr=SR, hop_length=HOP, bpm=120.0)
-_add("beat_track_audio", daily, K.beat_track_audio, bpm=120.0, **AUDIO)
-query("beat_track_times")(lambda s, d: K.beat_track_audio(daily(s, d), bpm=120.0, **AUDIO).select("signal_id", "event_no", r(F.col("frame") * (HOP / SR)).alias("time")))
+_add("beat_track_audio", weekly, K.beat_track_audio, bpm=120.0, **AUDIO)
+query("beat_track_times")(lambda s, d: K.beat_track_audio(weekly(s, d), bpm=120.0, **AUDIO).select("signal_id", "event_no", r(F.col("frame") * (HOP / SR)).alias("time")))
 _add("plp", wide, K.plp, sr=SR, hop_length=HOP, win_length=16, tempo_min=60.0, tempo_max=400.0)
-_add("plp_audio", daily, K.plp_audio, win_length=16, tempo_min=60.0, tempo_max=400.0, **AUDIO)
+_add("plp_audio", weekly, K.plp_audio, win_length=16, tempo_min=60.0, tempo_max=400.0, **AUDIO)
 _add("median_filter_2d", matrices, K.median_filter_2d, size=(3, 3))
 _add("hpss_complex", complex_matrices, K.hpss_complex, kernel_size=5)
 _add("decompose_nmf", lambda s, d: matrices(s, d).select("signal_id", F.transform(F.sequence(F.lit(0), F.lit(N // 2)), lambda k: F.transform("S", lambda f: f[k])).alias("S")), K.decompose_nmf, n_components=3, sort=True)
-_add("nn_filter_median", lambda s, d: matrices(s, d).join(squares(s, d).withColumnRenamed("S", "rec"), "signal_id"), K.nn_filter, aggregate="median")
+_add("nn_filter_median", matrices, K.nn_filter_median, neighbors=4, width=1)
 _add("nnls", lambda s, d: paired(s, d).select("signal_id", F.col("S").alias("A"), F.col("R").alias("B")), K.nnls)
 _add("cross_similarity_sparse", paired, K.cross_similarity_sparse, k=2, mode="distance")
 _add("recurrence_matrix_sparse", matrices, K.recurrence_matrix_sparse, k=3, sym=True, skip=True)
