@@ -199,3 +199,33 @@ def test_features_of_signals_equal_those_of_their_spectra():
     assert np.allclose(features.chroma_cens_audio(y, bins_per_octave=12, win_len_smooth=5), features.chroma_cens(features.chroma_cqt(c, norm=None, bins_per_octave=12), win_len_smooth=5))
     assert np.allclose(features.spectral_contrast_audio(y), features.spectral_contrast(np.abs(dsp.stft(y, 2048, 512)), banks.fft_frequencies(SR, 2048)))
     assert np.allclose(features.hybrid_cqt(y, tuning=None), features.hybrid_cqt(y, tuning=tuning))
+
+
+@pytest.mark.parametrize("a, b", [(2, 18), (1, 1), (5, 2), (1, 7)])
+def test_beta_distribution_of_whole_parameters_is_a_polynomial(a, b):
+    """For whole a and b the function is a binomial tail."""
+    from fractions import Fraction
+    from math import comb
+
+    for k in range(0, 101, 4):
+        x = Fraction(k, 100)
+        want = sum(comb(a + b - 1, j) * x**j * (1 - x) ** (a + b - 1 - j) for j in range(a, a + b))
+        assert abs(features.beta_cdf(np.array([k / 100]), a, b)[0] - float(want)) < 1e-14
+
+
+def test_beta_distribution_of_halves():
+    x = np.linspace(0, 1, 101)
+    assert np.abs(features.beta_cdf(x, 0.5, 0.5) - 2 / np.pi * np.arcsin(np.sqrt(x))).max() < 1e-13
+    assert np.abs(features.beta_cdf(x, 2.5, 1.0) - x**2.5).max() < 1e-13
+
+
+def test_nnls_meets_the_conditions_of_optimality():
+    rng = np.random.default_rng(11)
+    for m, n in ((30, 8), (8, 12), (40, 25), (6, 1)):
+        a, b = rng.normal(size=(m, n)), rng.normal(size=(m, 20))
+        if n > 2:
+            a[:, 1] = a[:, 0]  # dependent columns
+        x = features.nnls(a, b)
+        slope = a.T @ (b - a @ x)
+        assert (x >= 0).all() and slope.max() < 1e-8 and np.abs(slope * x).max() < 1e-8
+    assert not features.nnls(np.eye(3), -np.ones((3, 2))).any() and features.nnls(np.zeros((4, 2)), np.ones((4, 1))).tolist() == [[0.0], [0.0]]

@@ -344,27 +344,52 @@ def stack_memory(data: np.ndarray, n_steps: int = 2, delay: int = 1, mode: str =
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least squares without negative weights for each column of b, by an active set."""
-    out = np.zeros((a.shape[1], b.shape[1]))
+    """Least squares without negative weights for each column of b.
+
+    Active sets on the normal equations: only a'a and a'b are used, and the inverse Cholesky factor of a set of columns is
+    kept for all columns of b that come to the same set. A set without a factor (dependent columns) is solved by least
+    squares.
+    """
+    gram, goals = a.T @ a, a.T @ b
+    n, out = a.shape[1], np.zeros((a.shape[1], b.shape[1]))
+    factors: dict[bytes, np.ndarray | None] = {}
+
+    def solve(on: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        key = np.packbits(on).tobytes()
+        if key not in factors:
+            if len(factors) >= 4096:
+                factors.clear()
+            own = gram[np.ix_(on, on)]
+            try:
+                factors[key] = np.linalg.inv(np.linalg.cholesky(own)) if np.linalg.cond(own) < 1e12 else None
+            except np.linalg.LinAlgError:
+                factors[key] = None
+        f = factors[key]
+        return f.T @ (f @ goal[on]) if f is not None else np.linalg.lstsq(gram[np.ix_(on, on)], goal[on], rcond=None)[0]
+
     for col in range(b.shape[1]):
-        x, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-        for _ in range(3 * a.shape[1]):
-            w = a.T @ (b[:, col] - a @ x)
+        x, on, goal = np.zeros(n), np.zeros(n, bool), goals[:, col]
+        small = 1e-12 * max(1.0, float(np.abs(goal).max(initial=0.0)))
+        for _ in range(3 * n):
+            w = goal - gram @ x
             w[on] = -np.inf
-            if on.all() or w.max() <= 1e-10:
+            if on.all() or w.max() <= small:
                 break
             on[int(np.argmax(w))] = True
-            while True:
-                s = np.zeros_like(x)
-                s[on] = np.linalg.lstsq(a[:, on], b[:, col], rcond=None)[0]
+            while on.any():
+                s = np.zeros(n)
+                s[on] = solve(on, goal)
                 bad = on & (s <= 0)
                 if not bad.any():
-                    x = s
                     break
                 step = np.min(x[bad] / np.maximum(x[bad] - s[bad], TINY))
                 x = x + step * (s - x)
-                on &= x > 1e-12
+                gone = on & (x <= 1e-12 * max(1.0, float(x.max())))
+                if not gone.any():  # rounding left the first to reach zero just above it
+                    gone[np.flatnonzero(bad)[np.argmin(x[bad])]] = True
+                on &= ~gone
                 x[~on] = 0
+            x = np.where(on, s, 0.0) if on.any() else np.zeros(n)
         out[:, col] = x
     return out
 
@@ -447,11 +472,31 @@ def yin(y, fmin: float, fmax: float, sr: float = SR, frame_length: int = 2048, h
 
 
 def beta_cdf(x: np.ndarray, a: float, b: float) -> np.ndarray:
-    """The beta distribution's cumulative function, by fine quadrature."""
-    t = np.linspace(0, 1, 20001)
-    p = t ** (a - 1) * (1 - t) ** (b - 1)
-    c = np.concatenate([[0.0], np.cumsum((p[1:] + p[:-1]) / 2)])
-    return np.interp(x, t, c / c[-1])
+    """The beta distribution's cumulative function, by the continued fraction of the incomplete beta function.
+
+    The fraction converges fast below the mean, (a + 1) / (a + b + 2); above it the complement with a and b exchanged does.
+    """
+    x = np.clip(np.asarray(x, float), 0.0, 1.0)
+
+    def lower(x: np.ndarray, a: float, b: float) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+        floor = 1e-300
+        c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+        d = 1 / np.where(np.abs(d) < floor, floor, d)
+        h = d.copy()
+        for m in range(1, 500):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 + num * d, 1 + num / c
+                d, c = 1 / np.where(np.abs(d) < floor, floor, d), np.where(np.abs(c) < floor, floor, c)
+                h *= d * c
+            if np.all(np.abs(d * c - 1) < 1e-16):
+                break
+        return front * h
+
+    low = x < (a + 1) / (a + b + 2)
+    out = np.where(low, lower(np.where(low, x, 0.0), a, b), 1 - lower(np.where(low, 0.0, 1 - x), b, a))
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 
 def pyin(y, fmin: float, fmax: float, sr: float = SR, frame_length: int = 2048, hop_length: int | None = None, n_thresholds: int = 100, beta: tuple[float, float] = (2.0, 18.0), boltzmann_parameter: float = 2.0, resolution: float = 0.1, max_transition_rate: float = 35.92, switch_prob: float = 0.01, no_trough_prob: float = 0.01, fill_na: float | None = np.nan, center: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

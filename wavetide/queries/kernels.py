@@ -203,13 +203,16 @@ def load(spark, folder):
 
 @query("get_audio_info")
 def get_audio_info(spark, folder):
-    from wavetide.sources.wav import read_wav, write_wav
+    """From the files' headers alone."""
     from wavetide.sources.wav import scratch as scratch_folder
+    from wavetide.sources.wav import write_wav
+    from wavetide.sources.wav_source import audio_info
 
     path = scratch_folder(spark)
     write_wav(wide(spark, folder).select("signal_id", F.transform("y", lambda v: v / 128.0).alias("y")), path, sr=64)
-    return read_wav(spark, path, samples=False).select("name", "sr", "channels", "n", "duration")
+    return audio_info(spark, path).select("name", "sr", "channels", "n", "duration")
 
 
+query("get_duration_of_files", f"WITH {COUNTED} SELECT signal_id || '.wav' AS name, size / 64.0 AS duration FROM c")(lambda s, d: get_audio_info(s, d).select("name", "duration"))
 query("get_samplerate")(lambda s, d: get_audio_info(s, d).select("name", "sr"))
 SQL.update({name: sql.replace("{mirror}", MIRROR).replace("{db}", DB) for name, sql in KERNEL_SQL.items()})
