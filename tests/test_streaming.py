@@ -95,3 +95,27 @@ def test_wav_round_trip(spark, tmp_path):
     write_wav(df, f"file://{tmp_path}/w", sr=100)
     got = {r["name"]: r for r in read_wav(spark, f"file://{tmp_path}/w").collect()}
     assert got["1.wav"]["y"] == [0.0, 0.5, -0.5, 0.25] and got["2.wav"]["n"] == 10 and got["2.wav"]["sr"] == 100.0
+
+
+def test_grouped_kernels_take_samples_as_they_are(spark, data):
+    from wavetide.operators import kernels as K
+
+    samples = long(spark, data)
+    got = K.apply_grouped(samples, lambda v: dsp.stft(v, 16, 4, center=False).real ** 2, ("v",), "frames").toPandas().sort_values(["signal_id", "t"])
+    want = K.apply(wide(spark, data), lambda v: dsp.stft(v, 16, 4, center=False).real ** 2, ("y",), "frames").toPandas().sort_values(["signal_id", "t"])
+    assert got["f"].map(list).tolist() == want["f"].map(list).tolist() and len(got)
+    odd = spark.createDataFrame([(None, 1, 2.0), (None, 0, None), (5, 0, 1.0)], "signal_id long, n long, v double")
+    rows = {r.signal_id: r.y for r in K.apply_grouped(odd, lambda v: v, ("v",), "signal").collect()}
+    assert rows[5] == [1.0] and np.isnan(rows[None][0]) and rows[None][1] == 2.0
+
+
+def test_frames_as_a_table_function_of_sql(spark, data):
+    from wavetide.functions import sql
+
+    sql.register(spark)
+    wide(spark, data).createOrReplaceTempView("signals_of_users")
+    got = spark.sql("SELECT signal_id, t, f FROM wt_frame_table(TABLE(SELECT CAST(signal_id AS BIGINT) AS signal_id, y FROM signals_of_users), 16, 4)").toPandas().sort_values(["signal_id", "t"])
+    want = S.frame(wide(spark, data), 16, 4).toPandas().sort_values(["signal_id", "t"])
+    assert got["f"].map(list).tolist() == want["f"].map(list).tolist()
+    none = "SELECT CAST(1 AS BIGINT) AS signal_id, CAST(NULL AS array<double>) AS y"
+    assert spark.sql(f"SELECT * FROM wt_frame_table(TABLE({none}), 4, 2)").count() == 0

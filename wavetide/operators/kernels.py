@@ -126,6 +126,24 @@ def apply(df: DataFrame, kernel: Callable, inputs: tuple[str, ...], shape: str,
     return df.select(key, *inputs).mapInArrow(run, schema)
 
 
+def apply_grouped(rows: DataFrame, kernel: Callable, values: tuple[str, ...], shape: str, order: str = "n", key: str = "signal_id") -> DataFrame:
+    """key and the columns of shape, for the kernel's result on the columns values of each key's rows, in their order.
+
+    For samples that aren't arrays yet: each key's rows come to one task as an Arrow table, so they must fit a worker. Nulls
+    become NaN; a null key is a signal of its own.
+    """
+    columns = SHAPES[shape]
+
+    def run(of: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        made = _rows(shape, kernel(*(table[v].combine_chunks().cast(_F).to_numpy(zero_copy_only=False) for v in values)))
+        keys = pa.repeat(of[0], len(made[0])) if of[0].is_valid else pa.nulls(len(made[0]), table[key].type)
+        return pa.Table.from_arrays([keys, *(m if m.type == t else m.cast(t) for m, (_, t, _) in zip(made, columns))], names=[key, *(n for n, _, _ in columns)])
+
+    schema = T.StructType([rows.schema[key], *(T.StructField(name, kind) for name, _, kind in columns)])
+    return rows.select(key, order, *values).groupBy(key).applyInArrow(run, schema)
+
+
 def to_matrix(frames: DataFrame, value: str = "f", name: str = "S", key: str = "signal_id") -> DataFrame:
     """Frames as one row per signal, sorted by t."""
     rows = F.sort_array(F.collect_list(F.struct("t", value)))
