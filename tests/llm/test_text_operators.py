@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from wavetide.llm import bpe, chat, ngram_join, packing, shingles, substring_dedup
+from wavetide.llm import bpe, chat, ngram_join, packing, prefix_free, shingles, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, row int, k int, n long, part string"
 
@@ -245,9 +245,26 @@ def test_repeated_and_null_ids_keep_their_bytes(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_suffix_order_sorts_suffixes():
-    data = np.frombuffer(b"banana" * 5, np.uint8)
-    at = np.arange(len(data) - 9)
-    order, differs = substring_dedup.suffix_order(data, at, 10)
-    rows = [bytes(data[p : p + 10]) for p in order]
-    assert rows == sorted(rows) and differs.sum() == len(set(rows))
+@pytest.mark.parametrize("length", [3, 10, 50])
+def test_dictionary_and_parse_give_the_order_of_all_suffixes(length):
+    rng = np.random.default_rng(length)
+    for _ in range(60):
+        parts = [rng.integers(0, 256 if rng.random() < 0.3 else 3, rng.integers(1, 90), dtype=np.uint8) for _ in range(4)]
+        texts = [np.concatenate([parts[k] for k in rng.integers(0, 4, rng.integers(1, 12))]) for _ in range(rng.integers(1, 8))]
+        texts = [t for t in texts if len(t) >= length]
+        if not texts:
+            continue
+        ends = np.cumsum([len(t) for t in texts])
+        starts = ends - [len(t) for t in texts]
+        data = np.concatenate(texts)
+        at = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(starts, ends)])
+        order, differs = prefix_free.corpus_order(data, starts, ends, at, length)
+        rows = [bytes(data[p : p + length]) for p in at[order]]
+        assert rows == sorted(rows) and differs.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(len(rows))]
+        begin, end, of = prefix_free.phrases(data, starts, ends)
+        for k, t in enumerate(texts):  # phrases without what they share with the next one are the text
+            a, b = begin[of == k], end[of == k]
+            assert a[0] == starts[k] and b[-1] == ends[k] and (b[:-1] - prefix_free.WINDOW == a[1:]).all()
+        kinds = {bytes(data[x:y]) for x, y, last in zip(begin, end, np.append(of[1:] != of[:-1], True)) if not last}
+        rests = {x[i:] for x in kinds for i in range(len(x) - prefix_free.WINDOW)}
+        assert not any(x != y and y.startswith(x) for x in list(rests)[:80] for y in rests)

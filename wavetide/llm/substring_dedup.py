@@ -9,9 +9,10 @@ lie in phrases with the same trigger.
    equal content are one entry of the dictionary, owned by the smallest id; all windows of later occurrences are
    repeats. Chunks of a task do so first among themselves, so a passage in any number of documents brings one entry a
    chunk and never gathers in one task.
-2. Where phrases with one trigger differ (borders of repeats, edited copies), the owners send their bytes. The suffix
-   array of this dictionary, cut at ``length`` bytes, puts equal windows side by side; the parse tells which documents
-   own the phrases, and so the smallest id that has a window.
+2. Where phrases with one trigger differ (borders of repeats, edited copies), the owners send their bytes. A bucket of
+   these, which are much alike, is parsed again by a small rolling hash; the suffix arrays of that dictionary and of that
+   parse combine into the order of all suffixes (prefix_free.py), so that equal windows stand side by side, and the
+   smallest id that has a window is known.
 3. Removed ranges return to their documents, where overlapping ones are merged.
 
 For text without any repeats nothing but triggers and names is exchanged. Places and removed ranges travel as packed
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, per_task, released, shuffle_partitions, table
+from .prefix_free import corpus_order
 from .shingles import mix
 
 LENGTH = 50
@@ -151,23 +153,6 @@ def _parse(texts: list[bytes], length: int, seed: int) -> tuple[np.ndarray, ...]
     return text, start - (ends - sizes)[text], count, mix(low[start] ^ np.uint64(5)), name
 
 
-def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of data (bytes) over the suffixes at the given places, cut at length; and a flag where a
-    suffix's first length bytes differ from the one before."""
-    words = []
-    for k in range(0, length, 8):
-        w = np.zeros(len(at), dtype=np.uint64)
-        for j in range(k, min(k + 8, length)):
-            w = (w << np.uint64(8)) | data[at + j].astype(np.uint64)
-        words.append(w)
-    order = np.lexsort(words[::-1])
-    differs = np.zeros(len(at), dtype=bool)
-    differs[:1] = True
-    for w in words:
-        differs[1:] |= w[order[1:]] != w[order[:-1]]
-    return order, differs
-
-
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """All integers of the ranges, one range after another."""
     total = int(count.sum())
@@ -415,7 +400,7 @@ def _window_repeats(owned: DataFrame, length: int, buckets: int, homes: int) ->
             at = np.cumsum(size) - size
             windows = _ranges(at, count)
             of = np.repeat(np.arange(len(doc)), count)
-            order, differs = suffix_order(data, windows, length)
+            order, differs = corpus_order(data, at, at + size, windows, length)
             start = np.flatnonzero(differs)
             first = np.minimum.reduceat(doc[of[order]], start)[np.cumsum(differs) - 1]
             late = np.zeros(len(windows), dtype=bool)
