@@ -45,9 +45,26 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/wavetide-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that materialize has written and release hasn't removed.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, before: int) -> None:
+    """Removes the first `before` tables that materialize has written and that still lie there; nothing may need them."""
+    for path in _WRITTEN[:before]:
+        _remove(spark, path)
+    del _WRITTEN[:before]
+
+
+def written() -> int:
+    """How many tables of materialize there are."""
+    return len(_WRITTEN)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -31,6 +31,8 @@ from .shingles import mix
 
 #: Documents of a language in the fit at most; segments of a document and their words.
 SAMPLE, SEGMENTS, SEGMENT = 800, 6, 12
+#: Documents of all languages together, and languages, at most.
+TOTAL, LANGUAGES = 25_600, 256
 #: Parts of a language that are cut to SAMPLE on their own first.
 SALTS = 16
 #: Rows of the weight table, words of a chain's part at inference, words of a chain in the fit, and chains of the fit.
@@ -250,16 +252,20 @@ def fit_crf(segments: list[tuple[str, list[str]]], epochs: int = 6, chains: int
     return model
 
 
-def fit_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
-    """train: a condition on doc_id for the rows whose languages may be used."""
+def fit_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = LANGUAGES) -> Crf:
+    """train: a condition on doc_id for the rows whose languages may be used; the `most` languages with most of these rows
+    are learned, from TOTAL documents in all and SAMPLE of each at most."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where("doc_id is not null and lang is not null and text is not null").where(train)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()  # most rows
+    sample = max(1, min(SAMPLE, TOTAL // max(1, len(counts))))
+    known = known.where(F.col("lang").isin([r["lang"] for r in counts]))
     # first within salted parts of a language, so that no task gathers a frequent one; the order is the same in both steps
     order = [F.col("by"), F.col("doc_id")]
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(6)).alias("by"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).alias("salt"))
-    first = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("nth") <= SAMPLE)
-    chosen = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= SAMPLE).select("doc_id", "lang")
-    sampled = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")  # SAMPLE ids a language
+    first = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("nth") <= sample)
+    chosen = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= sample).select("doc_id", "lang")
+    sampled = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")  # sample ids a language, TOTAL in all
 
     @released
     def segments(batches):

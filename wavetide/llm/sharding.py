@@ -66,7 +66,8 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     n = df.select(F.lit(1)).count()
     parts = min(MAX_PARTITIONS, max(1, -(-n // rows_per_partition)))
     pieces = max(1, -(-n // (shards * rows_per_partition)))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    # by text, too: rows of one id, or without any, aren't one part
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("string"))
     part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(parts))
     counts = {r["part"]: r["count"] for r in df.groupBy(part.alias("part")).count().collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shards, seed)

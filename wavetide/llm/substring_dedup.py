@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -288,9 +289,12 @@ def _with_homes(rows: DataFrame, packed: DataFrame, homes: int, raw: bool = True
     @released
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=1)
+        seen = TaskContext.get().partitionId() << 40
         for b in batches:
             ids = b.column(0)
-            known = np.asarray(ids.fill_null(0))
+            # rows without an id have no places anywhere, so any home will do: by where they stand
+            known = np.where(np.asarray(ids.is_null()), seen + np.arange(b.num_rows), np.asarray(ids.fill_null(0)))
+            seen += b.num_rows
             raw = pa.array([z.compress(x.encode()) for x in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(_home(known, homes), pa.int64()), ids, raw, *b.columns[2:]], ["home", "doc_id", "text", *rest])
 
