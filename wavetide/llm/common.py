@@ -53,11 +53,11 @@ def materialize(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession, before: int) -> None:
-    """Removes the first `before` tables that materialize has written and that still lie there; nothing may need them."""
-    for path in _WRITTEN[:before]:
+def release(spark: SparkSession, since: int) -> None:
+    """Removes the tables that materialize has written since there were `since`, but for the last one; nothing may need them."""
+    for path in _WRITTEN[since:-1]:
         _remove(spark, path)
-    del _WRITTEN[:before]
+    del _WRITTEN[since:-1]
 
 
 def written() -> int:
