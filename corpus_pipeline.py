@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetide.llm.common import materialize, small_batches, table
+from wavetide.llm.common import materialize, release, small_batches, table, written
 from wavetide.llm.langid import fit_language, keep_language
 from wavetide.llm.ngram_join import jaccard_components
 from wavetide.llm.packing import best_fit_pack
@@ -70,7 +70,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; once a stage's rows are written, its other tables and those of the stages before it go."""
+    docs, before = table(spark, sf_dir, "documents"), written()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        release(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
