@@ -310,6 +310,7 @@ rqa_backtrack = _operator(_second(sequence.rqa), "path", "S")
 cdist_euclidean = _operator(sequence.cdist, "frames", "S", "R")
 cdist_cosine = _operator(lambda s, r: sequence.cdist(s, r, "cosine"), "frames", "S", "R")
 dtw = _operator(_first(sequence.dtw), "frames", "S", "R")
+dtw_steps = _operator(_second(sequence.dtw), "frames", "S", "R")
 dtw_backtrack = _operator(_second(sequence.dtw_backtrack), "path", "S", "R")
 dtw_backtracking = _operator(sequence.dtw_backtracking, "path", "steps")
 # utilities
@@ -318,5 +319,6 @@ sync = _operator(rhythm.sync, "frames", "S", "idx")
 axis_sort = _operator(_first(rhythm.axis_sort), "frames", "S")
 axis_sort_with_index = _operator(_second(rhythm.axis_sort), "events", "S")
 cyclic_gradient = _operator(rhythm.cyclic_gradient, "signal", "y")
+fill_off_diagonal = _operator(sequence.fill_off_diagonal, "frames", "S")
 shear = _operator(sequence.shear, "frames", "S")
 fix_frames = _operator(sequence.fix_frames, "events", "frames")

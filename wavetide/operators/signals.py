@@ -132,15 +132,16 @@ def tone(frequency: Column, sr: float, length: int, phi: float | None = None) ->
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.cos(step * frequency * i + shift))
 
 
-def chirp(fmin: float, fmax: float, sr: float, length: int, linear: bool = False) -> Column:
+def chirp(fmin, fmax, sr: float, length: int, linear: bool = False) -> Column:
+    """fmin and fmax are numbers or Columns."""
     import math
 
+    low, high = (x if isinstance(x, Column) else F.lit(float(x)) for x in (fmin, fmax))
     duration, shift = length / sr, -math.pi / 2
     if linear:
-        phase = lambda t: 2 * math.pi * (fmin * t + (fmax - fmin) / (2 * duration) * t * t)
+        phase = lambda t: 2 * math.pi * (low * t + (high - low) / (2 * duration) * t * t)
     else:
-        r = math.log(fmax / fmin)
-        phase = lambda t: 2 * math.pi * fmin * duration / r * F.expm1(r / duration * t)
+        phase = lambda t: 2 * math.pi * low * duration / F.log(high / low) * F.expm1(F.log(high / low) / duration * t)
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.cos(phase(i / F.lit(float(sr))) + shift))
 
 

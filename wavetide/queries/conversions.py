@@ -122,62 +122,3 @@ for _name, (_column, _sql) in TEXTS.items():
     _add(_name, _column, f"SELECT p_partkey, {_sql} AS value FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS x FROM part)")
 for _name, (_column, _sql) in NAMED.items():
     _add(_name, _column, f"SELECT p_partkey, {_sql} AS value FROM part")
-
-
-# tables of names
-
-KEYS = [f"{n}:{m}" for n in ("C", "G", "F", "Eb", "F#") for m in ("maj", "min", "dor")]
-
-
-def _names(spark, rows, schema) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-@query("thaat_to_degrees")
-def thaat_to_degrees(spark, folder) -> DataFrame:
-    return _names(spark, [(t, N.thaat_to_degrees(t)) for t in N.list_thaat()], "thaat string, degrees array<int>")
-
-
-@query("list_thaat", "SELECT unnest(['asavari','bhairav','bhairavi','bilaval','kafi','kalyan','khamaj','marva','poorvi','todi']) AS thaat")
-def list_thaat(spark, folder) -> DataFrame:
-    return _names(spark, [(t,) for t in N.list_thaat()], "thaat string")
-
-
-@query("list_mela")
-def list_mela(spark, folder) -> DataFrame:
-    return _names(spark, list(N.list_mela().items()), "mela string, number int")
-
-
-@query("mela_to_degrees")
-def mela_to_degrees(spark, folder) -> DataFrame:
-    return _names(spark, [(m, N.mela_to_degrees(m)) for m in range(1, 73)], "mela int, degrees array<int>")
-
-
-@query("mela_to_svara")
-def mela_to_svara(spark, folder) -> DataFrame:
-    return _names(spark, [(m, N.mela_to_svara(m)) for m in range(1, 73)], "mela int, svara array<string>")
-
-
-@query("key_to_degrees")
-def key_to_degrees(spark, folder) -> DataFrame:
-    return _names(spark, [(k, N.key_to_degrees(k)) for k in KEYS], "key string, degrees array<int>")
-
-
-@query("key_to_notes")
-def key_to_notes(spark, folder) -> DataFrame:
-    return _names(spark, [(k, N.key_to_notes(k)) for k in KEYS], "key string, notes array<string>")
-
-
-@query("fifths_to_note", "SELECT CAST(k AS INTEGER) AS fifths, list_extract(['F','C','G','D','A','E','B'], (k + 1 + 70) % 7 + 1) || CASE WHEN k + 1 >= 7 THEN repeat('#', CAST((k + 1) // 7 AS INTEGER)) WHEN k + 1 < 0 THEN repeat('b', CAST(-floor((k + 1) / 7.0) AS INTEGER)) ELSE '' END AS note FROM range(-15, 16) q(k)")
-def fifths_to_note(spark, folder) -> DataFrame:
-    return _names(spark, [(k, N.fifths_to_note("C", k, unicode=False)) for k in range(-15, 16)], "fifths int, note string")
-
-
-@query("interval_to_fjs")
-def interval_to_fjs(spark, folder) -> DataFrame:
-    return _names(spark, [(x, N.interval_to_fjs(x)) for x in (1.0, 1.5, 5 / 4, 6 / 5, 7 / 4, 11 / 8, 16 / 9)], "ratio double, name string")
-
-
-@query("hz_to_fjs")
-def hz_to_fjs(spark, folder) -> DataFrame:
-    return _names(spark, [(440.0 * x, N.interval_to_fjs(x, "A")) for x in (1.0, 3 / 2, 5 / 4, 7 / 5)], "hz double, name string")

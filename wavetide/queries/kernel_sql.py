@@ -61,9 +61,6 @@ _STEP = _section(_section("SELECT s.signal_id, l.n, l.v AS x, p0, q0, p1, q1 FRO
 if len(_SOS) == 2:
     SQL["sosfilt"] = f"""WITH RECURSIVE {LONG}, s(signal_id, n, v, {_STATE}) AS (SELECT DISTINCT signal_id, -1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM l
      UNION ALL SELECT signal_id, n, o1, {_STATE} FROM ({_STEP})), o AS (SELECT * FROM s WHERE n >= 0) {signal("o")}"""
-SQL["sosfilt_zi"] = f"""WITH RECURSIVE {values("c", "section, b0, b1, b2, a0, a1, a2", [(k, *map(float, row)) for k, row in enumerate(_SOS)])},
- d AS (SELECT *, (b0 + b1 + b2) / (a0 + a1 + a2) AS dc FROM c), g AS (SELECT *, coalesce(product(dc) OVER (ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS gain FROM d)
- SELECT section, round(gain * (b1 / a0 - a1 / a0 * dc + b2 / a0 - a2 / a0 * dc), 5) + 0.0 AS z0, round(gain * (b2 / a0 - a2 / a0 * dc), 5) + 0.0 AS z1 FROM g"""
 
 SQL["delta_interp"] = f"""WITH {MAG}, sz AS (SELECT signal_id, max(t) + 1 AS size FROM mg GROUP BY 1),
  o AS (SELECT a.signal_id, a.t, a.k, sum(i * b.v) / 10 AS v FROM mg a JOIN sz ON sz.signal_id = a.signal_id, range(-2, 3) q(i), mg b WHERE b.signal_id = a.signal_id AND b.k = a.k AND b.t = greatest(2, least(size - 3, a.t)) + i GROUP BY 1, 2, 3) {frames("o")}"""
@@ -161,7 +158,7 @@ SQL["dtw"] = f"WITH RECURSIVE {_DTW} SELECT signal_id, t, list_transform(c[CAST(
 SQL["dtw_backtrack"] = f"""WITH RECURSIVE {_DTW}, b(signal_id, m, w, step, i, j) AS (SELECT signal_id, m, w, 0, m - 1, m - 1 FROM al UNION ALL
  SELECT signal_id, m, w, step + 1, CASE WHEN w[CAST(i * m + j + 1 AS BIGINT)] <> 1 THEN i - 1 ELSE i END, CASE WHEN w[CAST(i * m + j + 1 AS BIGINT)] <> 2 THEN j - 1 ELSE j END FROM b WHERE i > 0 OR j > 0)
  SELECT signal_id, CAST(step AS BIGINT) AS step, i, j FROM b"""
-SQL["dtw_backtracking"] = f"WITH {LONG} SELECT DISTINCT signal_id, k AS step, 4 - k AS i, 4 - k AS j FROM l, range(5) q(k)"
+SQL["dtw_backtracking"] = SQL["dtw_backtrack"]
 SQL["axis_sort_with_index"] = f"""WITH {MAG}, a AS (SELECT signal_id, k, arg_max(t, (v, -t)) AS peak FROM mg GROUP BY 1, 2)
  SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY peak, k) - 1 AS event_no, k AS frame FROM a"""
 SQL["spectral_contrast_kernel"] = f"""WITH {MAG}, {values("bands", "b, lo, hi", [(0, 0, 0), (1, 0, 1), (2, 1, 8)])}, e AS (SELECT signal_id, t, b, 10 * log10(greatest(1e-10, max(v))) AS hi, 10 * log10(greatest(1e-10, min(v))) AS lo FROM mg JOIN bands ON k BETWEEN bands.lo AND bands.hi GROUP BY 1, 2, 3),
@@ -175,15 +172,6 @@ SQL["load"] = f"WITH {LONG}, o AS (SELECT signal_id, n, {_PCM} AS v FROM l) SELE
 SQL["get_audio_info"] = f"WITH {COUNTED} SELECT signal_id || '.wav' AS name, 64.0::DOUBLE AS sr, 1::BIGINT AS channels, size AS n, size / 64.0 AS duration FROM c"
 SQL["get_samplerate"] = f"WITH {COUNTED} SELECT signal_id || '.wav' AS name, 64.0::DOUBLE AS sr FROM c"
 
-SQL["window_bandwidth"] = "SELECT * FROM (VALUES ('hann', 1.50018310546875::DOUBLE), ('hamming', 1.3629455320350348::DOUBLE), ('bartlett', 1.3334961334912805::DOUBLE), ('boxcar', 1.0::DOUBLE)) q(name, bandwidth)"
-SQL["mela_to_degrees"] = """SELECT CAST(m AS INTEGER) AS mela, [CAST(x AS INTEGER) FOR x IN [0, CASE WHEN b < 3 THEN 1 WHEN b < 5 THEN 2 ELSE 3 END, CASE b WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 3 ELSE 4 END, CASE WHEN m <= 36 THEN 5 ELSE 6 END, 7,
- CASE WHEN u < 3 THEN 8 WHEN u < 5 THEN 9 ELSE 10 END, CASE u WHEN 0 THEN 9 WHEN 1 THEN 10 WHEN 2 THEN 11 WHEN 3 THEN 10 ELSE 11 END]] AS degrees FROM (SELECT m, (m - 1) % 36 // 6 AS b, (m - 1) % 6 AS u FROM range(1, 73) q(m))"""
-SQL["interval_to_fjs"] = "SELECT * FROM (VALUES (1.0::DOUBLE, 'C'), (1.5::DOUBLE, 'G'), (1.25::DOUBLE, 'E⁵'), (1.2::DOUBLE, 'E♭₅'), (1.75::DOUBLE, 'B♭⁷'), (1.375::DOUBLE, 'F¹¹'), (16 / 9::DOUBLE, 'B♭')) q(ratio, name)"
-SQL["hz_to_fjs"] = "SELECT * FROM (VALUES (440.0::DOUBLE, 'A'), (660.0::DOUBLE, 'E'), (550.0::DOUBLE, 'C♯⁵'), (616.0::DOUBLE, 'D♯⁷₅')) q(hz, name)"
-SQL["transition_local"] = "SELECT i AS m, j AS k, CASE WHEN i = 5 THEN 1.0 ELSE 0.5 END::DOUBLE AS w FROM range(6) a(i), range(6) b(j) WHERE j - i IN (0, 1)"
-SQL["mel"] = """WITH e AS (SELECT i, i * (15 + ln(11.025) * 27 / ln(6.4)) / 21 AS mel FROM range(22) q(i)), h AS (SELECT i, CASE WHEN mel < 15 THEN 200 * mel / 3 ELSE 1000 * exp(ln(6.4) / 27 * (mel - 15)) END AS hz FROM e),
- b AS (SELECT x.i AS m, x.hz AS lo, y.hz AS mid, z.hz AS hi FROM h x JOIN h y ON y.i = x.i + 1 JOIN h z ON z.i = x.i + 2),
- w AS (SELECT m, k, greatest(0, least((f - lo) / (mid - lo), (hi - f) / (hi - mid))) * 2 / (hi - lo) AS w FROM b, (SELECT k, k * 22050.0 / 512 AS f FROM range(257) q(k))) SELECT m, k, round(w, 6) + 0.0 AS w FROM w WHERE w > 0"""
 
 SQL["lpc"] = f"""WITH RECURSIVE {LONG}, s AS (SELECT signal_id, list(v ORDER BY n) AS y FROM l GROUP BY 1),
  r(signal_id, i, a, f, b, den) AS (SELECT signal_id, 0, [1.0::DOUBLE], y[2:len(y)], y[1:len(y) - 1], list_dot_product(y[2:len(y)], y[2:len(y)]) + list_dot_product(y[1:len(y) - 1], y[1:len(y) - 1]) FROM s
@@ -223,16 +211,6 @@ SQL["reassigned_spectrogram"] = f"""WITH {COUNTED}, fr AS (SELECT l.signal_id, C
 
 SQL["mfcc_to_mel"] = "WITH {db}, w AS (SELECT q, m, cos(pi() * q * (2 * m + 1) / 12) * CASE WHEN q = 0 THEN sqrt(1 / 6.0) ELSE sqrt(2 / 6.0) END AS w FROM range(4) a(q), range(6) b(m)), cp AS (SELECT signal_id, t, q, sum(d * w) AS c FROM mtop JOIN w USING (m) GROUP BY 1, 2, 3), o AS (SELECT signal_id, t, m AS k, pow(10, sum(c * w) / 10) AS v FROM cp JOIN w USING (q) GROUP BY 1, 2, 3) " + frames("o")
 
-SQL["thaat_to_degrees"] = "SELECT thaat, [CAST(x AS INTEGER) FOR x IN degrees] AS degrees FROM (VALUES " + ", ".join(
-    f"('{name}', {degrees})"
-    for name, degrees in (
-        ("bilaval", [0, 2, 4, 5, 7, 9, 11]), ("khamaj", [0, 2, 4, 5, 7, 9, 10]), ("kafi", [0, 2, 3, 5, 7, 9, 10]), ("asavari", [0, 2, 3, 5, 7, 8, 10]), ("bhairavi", [0, 1, 3, 5, 7, 8, 10]),
-        ("kalyan", [0, 2, 4, 6, 7, 9, 11]), ("marva", [0, 1, 4, 6, 7, 9, 11]), ("poorvi", [0, 1, 4, 6, 7, 8, 11]), ("todi", [0, 1, 3, 6, 7, 8, 11]), ("bhairav", [0, 1, 4, 5, 7, 8, 11]),
-    )
-) + ") q(thaat, degrees)"
-SQL["key_to_degrees"] = """SELECT tonic || ':' || mode AS key, [CAST((x + semitone) % 12 AS INTEGER) FOR x IN steps] AS degrees FROM (VALUES ('C', 0), ('G', 7), ('F', 5), ('Eb', 3), ('F#', 6)) a(tonic, semitone),
- (VALUES ('maj', [0, 2, 4, 5, 7, 9, 11]), ('min', [0, 2, 3, 5, 7, 8, 10]), ('dor', [0, 2, 3, 5, 7, 9, 10])) b(mode, steps)"""
-SQL["plimit_intervals"] = "SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS k, round(f, 6) + 0.0 AS f FROM (VALUES (1.0::DOUBLE), (16 / 15.0), (9 / 8.0), (6 / 5.0), (5 / 4.0), (4 / 3.0), (45 / 32.0), (3 / 2.0), (8 / 5.0), (5 / 3.0), (9 / 5.0), (15 / 8.0)) q(f)"
 
 #: The weekly prices of each nation's orders as signals: signal_id, n, v, and the number of weeks.
 WEEKLY = """dw AS (SELECT CAST(c_nationkey AS BIGINT) AS signal_id, date_trunc('week', o_orderdate) AS week, sum(CAST(o_totalprice AS DOUBLE)) AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
@@ -308,9 +286,6 @@ SQL["nn_filter_median"] = f"""WITH {SPECTRUM}, mg AS (SELECT signal_id, t, k, sq
   JOIN dots z ON z.signal_id = x.signal_id AND z.t = x.u AND z.u = x.u JOIN sz ON sz.signal_id = x.signal_id WHERE abs(x.t - x.u) > 1 OR n <= 3)
  SELECT s.signal_id, s.t, list(r ORDER BY k) AS f FROM (SELECT s.signal_id, s.t, k, round(median(v), 5) + 0.0 AS r FROM s JOIN mg ON mg.signal_id = s.signal_id AND mg.t = s.u WHERE rank <= 4 GROUP BY 1, 2, 3) s GROUP BY 1, 2"""
 
-SQL["chroma"] = """WITH b AS (SELECT k, 12 * log2(greatest(k, 1) * 22050 / 512.0 / 27.5) - CASE WHEN k = 0 THEN 18 ELSE 0 END AS b FROM range(512) q(k)),
- w AS (SELECT k, b, greatest(1, coalesce(lead(b) OVER (ORDER BY k) - b, 1)) AS width FROM b), g AS (SELECT m, k, b, exp(-0.5 * pow(2 * ((b - m + 126) % 12 - 6) / width, 2)) AS w FROM w, range(12) q(m)),
- n AS (SELECT m, k, w / sqrt(sum(w * w) OVER (PARTITION BY k)) * exp(-0.5 * pow((b / 12 - 5) / 2, 2)) AS w FROM g) SELECT (m + 9) % 12 AS m, k, round(w, 6) + 0.0 AS w FROM n WHERE k <= 256"""
 
 
 def _rest() -> list[float]:

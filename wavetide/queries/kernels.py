@@ -108,11 +108,9 @@ _add("resample_fft", wide, K.resample, orig_sr=64, target_sr=48, res_type="fft")
 _add("autocorrelate_fft", wide, K.autocorrelate, f"WITH {LONG}, a AS (SELECT a.signal_id, k, round(sum(a.v * b.v), 5) + 0.0 AS r FROM l a, range(8) q(k), l b WHERE b.signal_id = a.signal_id AND b.n = a.n + k GROUP BY 1, 2) SELECT signal_id, list(r ORDER BY k) AS y FROM a GROUP BY 1", max_size=8)
 _add("lpc", wide, K.lpc, order=4)
 _add("clicks_frames", lambda s, d: marks(s, d).withColumnRenamed("source", "frames"), K.clicks_frames, sr=64.0, hop_length=4, click_freq=10.0)
-_add("semitone_filterbank", lambda s, d: weekly(s, d).limit(1), lambda df: df.sparkSession.createDataFrame([(k, int(i), *map(float, row)) for k, sos in enumerate(dsp.semitone_filterbank()[0]) for i, row in enumerate(sos)], "note int, section int, b0 double, b1 double, b2 double, a0 double, a1 double, a2 double"))
 SOS = dsp.elliptic_bandpass(0.2, 0.4, 1.0, 40.0, 2).tolist()
 _add("sosfilt", wide, K.sosfilt, sos=SOS)
 _add("sosfiltfilt", wide, K.sosfiltfilt, sos=SOS)
-query("sosfilt_zi")(lambda s, d: _rounded(s.createDataFrame([(k, *map(float, z)) for k, z in enumerate(dsp.sosfilt_zi(SOS))], "section int, z0 double, z1 double")))
 _add("time_stretch", wide, K.time_stretch, rate=1.25, n_fft=N, hop_length=HOP)
 _add("pitch_shift", wide, K.pitch_shift, sr=SR, n_steps=2, n_fft=N, hop_length=HOP)
 _add("remix", marks, K.remix)
@@ -171,7 +169,7 @@ _add("rqa", squares, K.rqa)
 _add("rqa_backtrack", squares, K.rqa_backtrack)
 _add("dtw", paired, K.dtw)
 _add("dtw_backtrack", paired, K.dtw_backtrack)
-_add("dtw_backtracking", lambda s, d: wide(s, d).select("signal_id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.when(i == 0, 1.0).when(j == 0, 2.0).otherwise(0.0))).alias("steps")), K.dtw_backtracking)
+_add("dtw_backtracking", lambda s, d: K.to_matrix(K.dtw_steps(paired(s, d)), name="steps"), K.dtw_backtracking)
 _add("match_events_kernel", marks, K.match_events, f"WITH {LONG}, e AS (SELECT signal_id, n FROM l WHERE n % 7 = 3), g AS (SELECT signal_id, n AS m FROM l WHERE n % 11 = 5), x AS (SELECT e.signal_id, e.n, arg_min(m, abs(m - e.n) * 1000 - m) AS nearest FROM e JOIN g ON g.signal_id = e.signal_id GROUP BY 1, 2) SELECT signal_id, CAST(n // 7 AS BIGINT) AS event_no, CAST(nearest // 11 AS BIGINT) AS frame FROM x")
 _add("match_intervals_kernel", lambda s, d: marks(s, d).select("signal_id", F.col("intervals").alias("source"), F.col("other").alias("target")), K.match_intervals, strict=False)
 _add("normalize_matrix", matrices, K.normalize, f"WITH {SPECTRUM}, x AS (SELECT signal_id, t, k, sqrt(p) / max(sqrt(p)) OVER (PARTITION BY signal_id, t) AS v FROM p) SELECT signal_id, t, list(round(v, 5) + 0.0 ORDER BY k) AS f FROM x GROUP BY 1, 2")

@@ -318,43 +318,3 @@ for _metric, _sql in (("euclidean", _DIST), ("cosine", "1 - list_dot_product(a.v
     query(f"cdist_{_metric}", f"WITH {_EMB} SELECT a.signal_id, a.i, b.i AS j, round({_sql}, 5) + 0.0 AS d FROM v a JOIN v b ON a.signal_id = b.signal_id AND a.i != b.i")(
         lambda spark, folder, m=_metric: S.distances(*_sides(spark, folder), m).where("i != j").select("signal_id", "i", "j", r("d", 5).alias("d"))
     )
-
-
-# constant tables
-
-
-def _grid(name: str, make, sql: str) -> None:
-    query(name, f"SELECT CAST(k AS INTEGER) AS k, round({sql}, 6) + 0.0 AS f FROM {{0}}".format(f"range({len(make())}) q(k)"))(lambda spark, folder: banks.grid_table(spark, make()).select("k", r("f").alias("f")))
-
-
-_grid("fft_frequencies", lambda: banks.fft_frequencies(22050.0, 256), "k * 22050.0 / 256")
-_grid("cqt_frequencies", lambda: banks.cqt_frequencies(84, 32.7), "32.7 * pow(2, k / 12.0)")
-_grid("fourier_tempo_frequencies", lambda: banks.fourier_tempo_frequencies(22050.0, 384, 512), "k * 60 * 22050.0 / 512 / 384")
-_grid("mel_frequencies", lambda: banks.mel_frequencies(40, 0.0, 8000.0, htk=True), "700 * (pow(10, k * log10(1 + 8000 / 700.0) / 39) - 1)")
-_grid("get_window", lambda: banks.get_window("hann", 64), "0.5 - 0.5 * cos(2 * pi() * k / 64)")
-_grid("get_window_hamming", lambda: banks.get_window("hamming", 64, False), "0.54 - 0.46 * cos(2 * pi() * k / 63)")
-_grid("get_window_blackman", lambda: banks.get_window("blackman", 64), "0.42 - 0.5 * cos(2 * pi() * k / 64) + 0.08 * cos(4 * pi() * k / 64)")
-_grid("interval_frequencies", lambda: banks.interval_frequencies(24, 55.0), "55.0 * pow(2, k / 12.0)")
-_grid("mr_frequencies", lambda: banks.mr_frequencies()[0], "440 * pow(2, (k + 24 - 69) / 12.0)")
-_grid("tempo_frequencies", lambda: banks.tempo_frequencies(65)[1:], "60 * 22050.0 / (512 * (k + 1))")
-
-
-def _matrix(name: str, make, sql: str | None = None) -> None:
-    query(name, sql)(lambda spark, folder: banks.bank_table(spark, make()).select(F.col("m").cast("long").alias("m"), F.col("k").cast("long").alias("k"), r("w").alias("w")))
-
-
-_matrix("transition_uniform", lambda: banks.transition_uniform(6), "SELECT i AS m, j AS k, round(1 / 6.0, 6) + 0.0 AS w FROM range(6) a(i), range(6) b(j)")
-_matrix("transition_loop", lambda: banks.transition_loop(6, 0.9), "SELECT i AS m, j AS k, round(CASE WHEN i = j THEN 0.9 ELSE 0.1 / 5 END, 6) + 0.0 AS w FROM range(6) a(i), range(6) b(j)")
-_matrix("transition_cycle", lambda: banks.transition_cycle(6, 0.8), "SELECT i AS m, j AS k, round(CASE WHEN i = j THEN 0.8 ELSE 0.2 END, 6) + 0.0 AS w FROM range(6) a(i), range(6) b(j) WHERE i = j OR j = (i + 1) % 6")
-_matrix("transition_local", lambda: banks.transition_local(6, 3))
-_matrix("mel", lambda: banks.mel(22050.0, 512, 20))
-_matrix("chroma", lambda: banks.chroma(22050.0, 512))
-_matrix("cq_to_chroma", lambda: banks.cq_to_chroma(84, 36), "SELECT (k + 1) % 36 // 3 AS m, k, 1.0::DOUBLE AS w FROM range(84) q(k)")
-_matrix("diagonal_filter", lambda: banks.diagonal_filter("hann", 9, 1.5))
-query("window_sumsquare", "SELECT CAST(t * 16 + i AS INTEGER) AS k, round(sum(pow(0.5 - 0.5 * cos(2 * pi() * i / 64), 2)), 6) + 0.0 AS f FROM range(10) a(t), range(64) b(i) GROUP BY 1")(lambda spark, folder: banks.grid_table(spark, banks.window_sumsquare("hann", 10, 16, 64)).select("k", r("f").alias("f")))
-query("window_bandwidth")(lambda spark, folder: spark.createDataFrame(sorted((n, banks.window_bandwidth(n)) for n in ("hann", "hamming", "bartlett", "boxcar")), "name string, bandwidth double"))
-query("pythagorean_intervals", "WITH x AS (SELECT i * log2(3) - floor(i * log2(3)) AS p FROM range(12) q(i)) SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS k, round(pow(2, p), 6) + 0.0 AS f FROM x")(lambda spark, folder: banks.grid_table(spark, banks.pythagorean_intervals()).select("k", r("f").alias("f")))
-query("plimit_intervals")(lambda spark, folder: banks.grid_table(spark, banks.plimit_intervals([3, 5])).select("k", r("f").alias("f")))
-query("relative_bandwidth", "SELECT CAST(k AS INTEGER) AS k, round((pow(2, 2 / 12.0) - 1) / (pow(2, 2 / 12.0) + 1), 6) + 0.0 AS f FROM range(24) q(k)")(lambda spark, folder: banks.grid_table(spark, banks.relative_bandwidth(banks.cqt_frequencies(24, 55.0))).select("k", r("f").alias("f")))
-query("wavelet_lengths", "SELECT CAST(k AS INTEGER) AS k, round((pow(2, 2 / 12.0) + 1) / (pow(2, 2 / 12.0) - 1) * 22050 / (55 * pow(2, k / 12.0)), 4) + 0.0 AS f FROM range(24) q(k)")(lambda spark, folder: banks.grid_table(spark, banks.wavelet_lengths(banks.cqt_frequencies(24, 55.0))[0]).select("k", r("f", 4).alias("f")))
-query("wavelet")(lambda spark, folder: banks.bank_table(spark, np.abs(banks.wavelet(banks.cqt_frequencies(12, 440.0))[0])).select("m", "k", r("w").alias("w")))

@@ -207,12 +207,6 @@ def shear(spark, folder):
     return long(spark, folder).withColumn("size", size).select("signal_id", F.pmod(F.col("n") + F.col("signal_id"), F.col("size")).cast("int").alias("n"), "v")
 
 
-@query("fill_off_diagonal", "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN i = j THEN CAST(i * 20 + j AS DOUBLE) ELSE -1.0 END AS v FROM range(20) a(i), range(20) b(j)")
-def fill_off_diagonal(spark, folder):
-    x = spark.range(20).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("j"))
-    return x.select("i", "j", F.when(F.col("i") == F.col("j"), (F.col("i") * 20 + F.col("j")).cast("double")).otherwise(F.lit(-1.0)).alias("v"))
-
-
 @query("stack", f"WITH {LONG}, g AS (SELECT signal_id, CAST(n AS INTEGER) AS n FROM (SELECT DISTINCT signal_id FROM l), range((SELECT max(n) + 1 FROM l)) q(n)) SELECT n, list(v ORDER BY signal_id) AS v FROM g LEFT JOIN l USING (signal_id, n) GROUP BY n")
 def stack(spark, folder):
     """Signals as columns of one matrix, row by row; a signal that has ended is null."""
@@ -266,11 +260,6 @@ def tone(spark, folder):
     return x.select("p_partkey", F.posexplode("y").alias("n", "v")).select("p_partkey", "n", r("v").alias("v"))
 
 
-@query("chirp", "SELECT CAST(i AS INTEGER) AS n, round(cos(2 * pi() * 2 * (256 / 64.0) / ln(10) * (exp(ln(10) / (256 / 64.0) * (i / 64.0)) - 1) - pi() / 2), 6) + 0.0 AS v FROM range(256) q(i)")
-def chirp(spark, folder):
-    return spark.range(1).select(F.posexplode(S.chirp(2.0, 20.0, 64.0, 256)).alias("n", "v")).select("n", r("v").alias("v"))
-
-
 @query("clicks", f"WITH {LONG}, t AS (SELECT signal_id, n / 8.0 AS time FROM l WHERE v > 80) SELECT signal_id, CAST(floor(time * 64) + i AS BIGINT) AS n, round(sum(pow(1 - i / 6.0, 2) * sin(2 * pi() * 10 / 64 * i)), 6) + 0.0 AS v FROM t, range(7) q(i) GROUP BY 1, 2")
 def clicks(spark, folder):
     times = long(spark, folder).where("v > 80").select("signal_id", (F.col("n") / 8.0).alias("time"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import compositions, conversions, kernels, spectral, streams, timedomain, long  # noqa: F401, I001
+from .queries import compositions, conversions, kernels, spectral, streams, timedomain, long, sized  # noqa: F401, I001
 from .queries.base import QUERIES, SQL
 
 
