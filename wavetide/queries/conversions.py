@@ -81,10 +81,19 @@ NUMBERS: dict[str, tuple[Callable[[], Column], str]] = {
     "valid_int": (lambda: F.floor(x() / 3), "floor(x / 3.0)"),
 }
 
+_HINDUSTANI = "list_extract(['S','r','R','g','G','m','M','P','d','D','n','N'], (x + 4) % 12 + 1)"
+_CARNATIC = "list_extract(['S','R₁','R₂','G₂','G₃','M₁','M₂','P','D₁','D₂','N₂','N₃'], (x + 4) % 12 + 1)"
+#: A dot above (U+0307) the first letter in the octave above, below (U+0323) in the one below.
+_MARKED = "substr({name}, 1, 1) || CASE WHEN x BETWEEN 32 AND 43 THEN chr(775) WHEN x BETWEEN 8 AND 19 THEN chr(803) ELSE '' END || substr({name}, 2)"
+
 #: The same for texts.
 TEXTS: dict[str, tuple[Callable[[], Column], str]] = {
     "midi_to_note": (lambda: N.midi_to_note(x()), f"{NOTE.format('x')} || CAST(x // 12 - 1 AS VARCHAR)"),
     "hz_to_note": (lambda: N.hz_to_note(x() * 40), f"{NOTE.format(MIDI)} || CAST(CAST(round({MIDI}) AS BIGINT) // 12 - 1 AS VARCHAR)"),
+    "midi_to_note_cents": (lambda: N.midi_to_note(x() / 4 + 12, cents=True), f"{NOTE.format('round(x / 4.0 + 12)')} || CAST(CAST(round(x / 4.0 + 12) AS BIGINT) // 12 - 1 AS VARCHAR) || CASE WHEN x / 4.0 + 12 >= round(x / 4.0 + 12) THEN '+' ELSE '' END || CAST(CAST(round(100 * (x / 4.0 + 12 - round(x / 4.0 + 12))) AS BIGINT) AS VARCHAR)"),
+    "midi_to_svara_h_octaves": (lambda: N.midi_to_svara_h(x(), 20), f"{_MARKED.format(name=_HINDUSTANI)}"),
+    "midi_to_svara_h_plain_octaves": (lambda: N.midi_to_svara_h(x(), 20, unicode=False), f"{_HINDUSTANI} || CASE WHEN x BETWEEN 32 AND 43 THEN chr(39) WHEN x BETWEEN 8 AND 19 THEN ',' ELSE '' END"),
+    "midi_to_svara_c_octaves": (lambda: N.midi_to_svara_c(x(), 20, 22), f"{_MARKED.format(name=_CARNATIC)}"),
     "midi_to_svara_h": (lambda: N.midi_to_svara_h(x(), 1, octave=False), "list_extract(['S','r','R','g','G','m','M','P','d','D','n','N'], (x - 1) % 12 + 1)"),
     "midi_to_svara_c": (lambda: N.midi_to_svara_c(x(), 1, 22, octave=False, unicode=False), "list_extract(['S','R1','R2','G2','G3','M1','M2','P','D1','D2','N2','N3'], (x - 1) % 12 + 1)"),
     "hz_to_svara_h": (lambda: N.hz_to_svara_h(x() * 40, 40.0, octave=False), "list_extract(['S','r','R','g','G','m','M','P','d','D','n','N'], CAST(round(12 * log2(x)) AS BIGINT) % 12 + 1)"),
