@@ -158,3 +158,19 @@ def test_alignment_scores_and_their_path(knight):
         if sim[cells[-1]] <= 0:  # the path ends where nothing is similar
             cells.pop()
         assert path == cells[::-1]
+
+
+def test_splines_solve_the_full_system():
+    rng = np.random.default_rng(8)
+    for n in (4, 5, 6, 40):
+        x, v = np.sort(rng.random(n)), rng.normal(size=n)
+        h, slope = np.diff(x), np.diff(v) / np.diff(x)
+        a, r = np.zeros((n, n)), np.zeros(n)
+        a[0, :3], a[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
+        for i in range(1, n - 1):
+            a[i, i - 1 : i + 2], r[i] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i]), 6 * (slope[i] - slope[i - 1])
+        m, at = np.linalg.solve(a, r), np.linspace(x[0], x[-1], 50)
+        k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+        u, w = x[k + 1] - at, at - x[k]
+        want = (m[k] * u**3 + m[k + 1] * w**3) / (6 * h[k]) + (v[k] / h[k] - m[k] * h[k] / 6) * u + (v[k + 1] / h[k] - m[k + 1] * h[k] / 6) * w
+        assert np.allclose(dsp.cubic_spline(x, v, at), want, atol=1e-9)

@@ -168,13 +168,20 @@ def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     if n < 4:
         return np.polyval(np.polyfit(x, y, n - 1), at)
     h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    a, r = np.zeros((n, n)), np.zeros(n)
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 6 * (slope[i] - slope[i - 1])
-    m = np.linalg.solve(a, r)
+    # second derivatives: three diagonals, once the end conditions have taken the first and the last one out
+    low, mid, up, r = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    mid[0], up[0] = mid[0] + h[0] * (h[0] + h[1]) / h[1], h[1] - h[0] ** 2 / h[1]
+    mid[-1], low[-1] = mid[-1] + h[-1] * (h[-1] + h[-2]) / h[-2], h[-2] - h[-1] ** 2 / h[-2]
+    m = np.empty(n)
+    for i in range(1, n - 2):
+        part = low[i] / mid[i - 1]
+        mid[i] -= part * up[i - 1]
+        r[i] -= part * r[i - 1]
+    m[n - 2] = r[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        m[i + 1] = (r[i] - up[i] * m[i + 2]) / mid[i]
+    m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     u, v = x[k + 1] - at, at - x[k]
     return (m[k] * u**3 + m[k + 1] * v**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * v
