@@ -26,4 +26,4 @@ query("vocal_separation")(lambda s, d: _rounded(P.vocal_separation(wide(s, d), 8
 query("music_sync")(lambda s, d: P.music_sync(wide(s, d), SR, stretch_fft=N, stretch_hop=HOP, **AT))
 query("enhanced_chroma")(lambda s, d: _rounded(P.enhanced_chroma(weekly(s, d), SR, n_fft=64, hop_length=8, n_octaves=2, bins_per_octave=12, fmin=4.0)))
 query("segmentation")(lambda s, d: P.segmentation(wide(s, d), SR, start_bpm=240.0, **AT))
-query("segmentation_paths")(lambda s, d: _rounded(P.segmentation(wide(s, d), SR, "paths", start_bpm=240.0, **AT)))
+query("segmentation_paths")(lambda s, d: _rounded(P.segmentation(wide(s, d), SR, "paths", start_bpm=240.0, n_fft=N, hop_length=2)))
