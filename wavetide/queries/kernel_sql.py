@@ -31,7 +31,7 @@ SQL["istft"] = f"""WITH {SPECTRUM}, x AS (SELECT signal_id, t, i, 0.5 - 0.5 * co
 
 SQL["phase_vocoder"] = f"""WITH {SPECTRUM}, a AS (SELECT signal_id, t, k, sqrt(p) AS m, atan2(im, re) AS phi FROM z JOIN p USING (signal_id, t, k)),
  ends AS (SELECT signal_id, max(t) AS last FROM a GROUP BY 1),
- s AS (SELECT signal_id, u, least(CAST(floor(u * 1.5) AS BIGINT), last) AS lo, least(CAST(floor(u * 1.5) AS BIGINT) + 1, last) AS hi, u * 1.5 - floor(u * 1.5) AS part FROM ends, range(1000) q(u) WHERE u < ceil((last + 1) / 1.5)),
+ s AS (SELECT signal_id, u, least(CAST(floor(u * 1.5) AS BIGINT), last) AS lo, least(CAST(floor(u * 1.5) AS BIGINT) + 1, last) AS hi, u * 1.5 - floor(u * 1.5) AS part FROM ends, range((SELECT max(last) + 1 FROM ends)) q(u) WHERE u < ceil((last + 1) / 1.5)),
  g AS (SELECT s.signal_id, u, x.k, (1 - part) * x.m + part * y.m AS m, pi() * {HOP} * x.k / {N // 2} AS step, (y.phi - x.phi - pi() * {HOP} * x.k / {N // 2} + pi()) % (2 * pi()) - pi() AS turn
   FROM s JOIN a x ON x.signal_id = s.signal_id AND x.t = lo JOIN a y ON y.signal_id = s.signal_id AND y.t = hi AND y.k = x.k),
  f AS (SELECT g.signal_id, u AS t, g.k, g.m, a.phi + coalesce(sum(step + turn) OVER (PARTITION BY g.signal_id, g.k ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS phase FROM g JOIN a ON a.signal_id = g.signal_id AND a.k = g.k AND a.t = 0)
@@ -44,7 +44,7 @@ SQL["pcen_kernel"] = f"""WITH RECURSIVE {MAG}, e AS (SELECT signal_id, k, t, {_B
 
 SQL["clicks_frames"] = f"""WITH {LONG}, p AS (SELECT signal_id, n * 4 AS p FROM l WHERE n % 7 = 3), c AS (SELECT signal_id, max(p) + 7 AS size FROM p GROUP BY 1),
  k AS (SELECT signal_id, p + i AS n, pow(1 - i / 6.0, 2) * sin(2 * pi() * 10 * i / 64) AS v FROM p, range(7) q(i)),
- o AS (SELECT c.signal_id, m AS n, coalesce(sum(k.v), 0) AS v FROM c JOIN range(4000) q(m) ON m < size LEFT JOIN k ON k.signal_id = c.signal_id AND k.n = m GROUP BY 1, 2) {signal("o")}"""
+ o AS (SELECT c.signal_id, m AS n, coalesce(sum(k.v), 0) AS v FROM c JOIN range((SELECT max(size) FROM c)) q(m) ON m < size LEFT JOIN k ON k.signal_id = c.signal_id AND k.n = m GROUP BY 1, 2) {signal("o")}"""
 
 _SOS = dsp.elliptic_bandpass(0.2, 0.4, 1.0, 40.0, 2).tolist()
 
@@ -79,7 +79,7 @@ def tempogram(win: int, norm: bool = True) -> str:
     top = "CASE WHEN max(abs(r)) OVER w < 1e-300 THEN 1 ELSE max(abs(r)) OVER w END"
     return f"""{COUNTED}, e AS (SELECT signal_id, n + {half} AS n, v FROM l UNION ALL SELECT signal_id, i, v * i / {half} FROM l, range({half}) q(i) WHERE n = 0
   UNION ALL SELECT l.signal_id, size + {half} + i, v * ({half} - i) / {half} FROM l JOIN c ON c.signal_id = l.signal_id AND n = size - 1, range({half}) q(i)),
- fx AS (SELECT c.signal_id, t, i, e.v * (0.5 - 0.5 * cos(2 * pi() * i / {win})) AS x FROM c, range(10000) q(t), range({win}) u(i), e WHERE t < size AND e.signal_id = c.signal_id AND e.n = t + i),
+ fx AS (SELECT c.signal_id, t, i, e.v * (0.5 - 0.5 * cos(2 * pi() * i / {win})) AS x FROM c, range((SELECT max(size) FROM c)) q(t), range({win}) u(i), e WHERE t < size AND e.signal_id = c.signal_id AND e.n = t + i),
  ac AS (SELECT a.signal_id, a.t, b.i - a.i AS k, sum(a.x * b.x) AS r FROM fx a JOIN fx b ON a.signal_id = b.signal_id AND a.t = b.t AND b.i >= a.i GROUP BY 1, 2, 3),
  tg AS (SELECT signal_id, t, k, r / {top} AS v FROM ac WINDOW w AS (PARTITION BY signal_id, t))"""
 
@@ -93,7 +93,7 @@ def scores(of: str) -> str:
 SQL["tempogram"] = f"WITH {tempogram(32)} {frames('tg')}"
 SQL["tempo_frames"] = f"WITH {tempogram(32)}, {scores('tg')} SELECT signal_id, t, {ROUND.format('bpm')} AS v FROM top"
 SQL["tempo"] = f"WITH {tempogram(32)}, m AS (SELECT signal_id, 0 AS t, k, avg(v) AS v FROM tg GROUP BY 1, 3), {scores('m')} SELECT signal_id, {ROUND.format('bpm')} AS value FROM top"
-SQL["fourier_tempogram"] = f"""WITH {COUNTED}, f AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS x FROM c JOIN range(10000) q(t) ON t <= size, range(16) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t + i - 8),
+SQL["fourier_tempogram"] = f"""WITH {COUNTED}, f AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS x FROM c JOIN range((SELECT max(size) + 1 FROM c)) q(t) ON t <= size, range(16) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t + i - 8),
  z AS (SELECT signal_id, t, k, sum(x * cos(2 * pi() * k * i / 16)) AS re, -sum(x * sin(2 * pi() * k * i / 16)) AS im FROM f, range(9) q(k) GROUP BY 1, 2, 3)
  SELECT signal_id, t, list(round(re, 5) + 0.0 ORDER BY k) AS re, list(round(im, 5) + 0.0 ORDER BY k) AS im FROM z GROUP BY 1, 2"""
 
@@ -154,7 +154,7 @@ _DTW = f"""{MAG}, sz AS (SELECT signal_id, max(t) + 1 AS size FROM mg GROUP BY 1
    list_append(w, CASE WHEN up IS NULL THEN 1 WHEN before IS NULL THEN 2 WHEN diag = best THEN 0 WHEN before = best THEN 1 ELSE 2 END)
   FROM (SELECT *, least(coalesce(diag, 1e300), coalesce(before, 1e300), coalesce(up, 1e300)) AS best FROM (SELECT *, CASE WHEN pos % m > 0 AND pos > m THEN c[pos - m] END AS diag, CASE WHEN pos % m > 0 THEN c[pos] END AS before, CASE WHEN pos >= m THEN c[pos + 1 - m] END AS up FROM a WHERE pos < len(d)))),
  al AS (SELECT signal_id, m, c, w FROM a WHERE pos = len(d))"""
-SQL["dtw"] = f"WITH RECURSIVE {_DTW} SELECT signal_id, t, list_transform(c[CAST(t * m + 1 AS BIGINT) : CAST(t * m + m AS BIGINT)], lambda x: round(x, 5) + 0.0) AS f FROM al JOIN range(1000) q(t) ON t < m"
+SQL["dtw"] = f"WITH RECURSIVE {_DTW} SELECT signal_id, t, list_transform(c[CAST(t * m + 1 AS BIGINT) : CAST(t * m + m AS BIGINT)], lambda x: round(x, 5) + 0.0) AS f FROM al JOIN range((SELECT max(size) FROM sz)) q(t) ON t < m"
 SQL["dtw_backtrack"] = f"""WITH RECURSIVE {_DTW}, b(signal_id, m, w, step, i, j) AS (SELECT signal_id, m, w, 0, m - 1, m - 1 FROM al UNION ALL
  SELECT signal_id, m, w, step + 1, CASE WHEN w[CAST(i * m + j + 1 AS BIGINT)] <> 1 THEN i - 1 ELSE i END, CASE WHEN w[CAST(i * m + j + 1 AS BIGINT)] <> 2 THEN j - 1 ELSE j END FROM b WHERE i > 0 OR j > 0)
  SELECT signal_id, CAST(step AS BIGINT) AS step, i, j FROM b"""
@@ -193,13 +193,13 @@ SQL["tempogram_ratio"] = f"""WITH {tempogram(32)}, {scores('tg')}, {values("q",
  o AS (SELECT x.signal_id, x.t, x.k, CASE WHEN lag < 1 - 1e-9 OR lag > 31 + 1e-9 THEN 0 WHEN a.k = b.k THEN a.v ELSE a.v + (hz - {_BEAT} / a.k) / ({_BEAT} / b.k - {_BEAT} / a.k) * (b.v - a.v) END AS v
   FROM x JOIN tg a ON a.signal_id = x.signal_id AND a.t = x.t AND a.k = greatest(1, least(31, ceil(lag - 1e-9))) JOIN tg b ON b.signal_id = x.signal_id AND b.t = x.t AND b.k = greatest(1, least(31, floor(lag + 1e-9)))) {frames("o")}"""
 
-SQL["match_intervals_kernel"] = f"""WITH {COUNTED}, s AS (SELECT signal_id, k, 12 * k AS a, 12 * k + 10 AS b FROM c, range(1000) q(k) WHERE 12 * k <= size - 12), g AS (SELECT signal_id, k, 12 * k + 2 AS a, 12 * k + 11 AS b FROM c, range(1000) q(k) WHERE 12 * k + 2 <= size - 12),
+SQL["match_intervals_kernel"] = f"""WITH {COUNTED}, s AS (SELECT signal_id, k, 12 * k AS a, 12 * k + 10 AS b FROM c, range((SELECT max(size) FROM c)) q(k) WHERE 12 * k <= size - 12), g AS (SELECT signal_id, k, 12 * k + 2 AS a, 12 * k + 11 AS b FROM c, range((SELECT max(size) FROM c)) q(k) WHERE 12 * k + 2 <= size - 12),
  x AS (SELECT s.signal_id, s.k AS event_no, g.k AS frame, least(s.b, g.b) - greatest(s.a, g.a) AS both_, greatest(s.b, g.b) - least(s.a, g.a) AS span, g.a > s.b AS behind FROM s JOIN g USING (signal_id)),
  r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, event_no ORDER BY both_ >= 0 DESC, CASE WHEN both_ >= 0 THEN both_ / CAST(span AS DOUBLE) END DESC, both_ DESC, behind, frame) AS rank FROM x)
  SELECT signal_id, event_no, frame FROM r WHERE rank = 1"""
 
-SQL["resample_fft"] = f"""WITH {COUNTED}, z AS (SELECT l.signal_id, k, CAST(ceil(size * 0.75) AS BIGINT) AS m, size, sum(v * cos(2 * pi() * k * n / size)) AS re, -sum(v * sin(2 * pi() * k * n / size)) AS im FROM l JOIN c USING (signal_id), range(1000) q(k) WHERE k <= ceil(size * 0.75) // 2 GROUP BY ALL),
- o AS (SELECT signal_id, i AS n, sum(CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * i / m) - im * sin(2 * pi() * k * i / m))) / any_value(size) AS v FROM z, range(1000) q(i) WHERE i < m GROUP BY 1, 2) {signal("o")}"""
+SQL["resample_fft"] = f"""WITH {COUNTED}, z AS (SELECT l.signal_id, k, CAST(ceil(size * 0.75) AS BIGINT) AS m, size, sum(v * cos(2 * pi() * k * n / size)) AS re, -sum(v * sin(2 * pi() * k * n / size)) AS im FROM l JOIN c USING (signal_id), range((SELECT max(size) FROM c)) q(k) WHERE k <= ceil(size * 0.75) // 2 GROUP BY ALL),
+ o AS (SELECT signal_id, i AS n, sum(CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * i / m) - im * sin(2 * pi() * k * i / m))) / any_value(size) AS v FROM z, range((SELECT max(size) FROM c)) q(i) WHERE i < m GROUP BY 1, 2) {signal("o")}"""
 
 SQL["reassigned_spectrogram"] = f"""WITH {COUNTED}, fr AS (SELECT l.signal_id, CAST((n - i) / {HOP} AS BIGINT) AS t, i, v FROM l JOIN c USING (signal_id), range({N}) q(i) WHERE n >= i AND (n - i) % {HOP} = 0 AND n - i + {N} <= size),
  w AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / {N}) AS w, (0.5 - 0.5 * cos(2 * pi() * (i + 1) / {N}) - 0.5 + 0.5 * cos(2 * pi() * (i - 1) / {N})) / 2 AS s FROM range({N}) q(i)),
@@ -225,7 +225,7 @@ SQL["yin"] = f"""WITH {WEEKLY}, fx AS (SELECT dz.signal_id, t, i, coalesce(dl.v,
  o AS (SELECT *, row_number() OVER (PARTITION BY signal_id, t ORDER BY low DESC, CASE WHEN low THEN k ELSE 0 END, x, k) AS rank FROM s)
  SELECT signal_id, t, {ROUND.format("64 / (k + shift)")} AS v FROM o WHERE rank = 1"""
 
-SQL["plp"] = f"""WITH {COUNTED}, f AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS x FROM c JOIN range(10000) q(t) ON t <= size, range(16) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t + i - 8),
+SQL["plp"] = f"""WITH {COUNTED}, f AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS x FROM c JOIN range((SELECT max(size) + 1 FROM c)) q(t) ON t <= size, range(16) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t + i - 8),
  z AS (SELECT signal_id, t, k, sum(x * cos(2 * pi() * k * i / 16)) AS re, -sum(x * sin(2 * pi() * k * i / 16)) AS im FROM f, range(1, 7) q(k) GROUP BY 1, 2, 3),
  p AS (SELECT *, sqrt(re * re + im * im) AS m, row_number() OVER (PARTITION BY signal_id, t ORDER BY ln(1 + 1e6 * sqrt(re * re + im * im)) DESC, k) AS rank FROM z),
  x AS (SELECT signal_id, t + i - 8 AS n, 0.5 - 0.5 * cos(2 * pi() * i / 16) AS w, 2 / 16.0 * (re * cos(2 * pi() * k * i / 16) - im * sin(2 * pi() * k * i / 16)) / (sqrt({_TINY}) + m) AS v FROM p, range(16) q(i) WHERE rank = 1),
@@ -249,11 +249,11 @@ SQL["beat_track"] = f"""WITH RECURSIVE {LONG}, x AS (SELECT signal_id, n, v / (s
  m AS (SELECT *, list_concat(list_transform(range(1, len(beats) + 1), lambda j: local[beats[j] + 1] + 0.5 * coalesce(CASE WHEN j > 1 THEN local[beats[j - 1] + 1] END, 0) + 0.5 * coalesce(CASE WHEN j < len(beats) THEN local[beats[j + 1] + 1] END, 0)), [0.5 * local[beats[len(beats)] + 1], 0]) AS smooth FROM b),
  g AS (SELECT *, list_filter(range(0, len(local)), lambda j: local[j + 1] > 0.5 * sqrt(list_avg(list_transform(smooth, lambda q: q * q)))) AS loud FROM m),
  r AS (SELECT signal_id, list_filter(beats, lambda j: j BETWEEN loud[1] AND loud[len(loud)]) AS beats FROM g)
- SELECT signal_id, 120.0::DOUBLE AS bpm, u.k AS event_no, CAST(beats[u.k + 1] AS BIGINT) AS frame FROM r JOIN range(1000) u(k) ON u.k < len(beats)"""
+ SELECT signal_id, 120.0::DOUBLE AS bpm, u.k AS event_no, CAST(beats[u.k + 1] AS BIGINT) AS frame FROM r JOIN range((SELECT max(len(beats)) FROM r)) u(k) ON u.k < len(beats)"""
 
 SQL["remix"] = f"""WITH {COUNTED}, y AS (SELECT signal_id, list(CASE WHEN abs(v) <= 1e-10 THEN 0 ELSE v END ORDER BY n) AS z, list(v ORDER BY n) AS y FROM l GROUP BY 1),
  s AS (SELECT *, list_append(list_filter(range(0, len(y)), lambda j: j = 0 OR (z[j + 1] < 0) <> (z[j] < 0)), len(y)) AS zeros FROM y),
- i AS (SELECT s.signal_id, k, y, list_transform([12 * k, 12 * k + 10], lambda p: zeros[list_position(list_transform(zeros, lambda z: abs(z - p)), list_min(list_transform(zeros, lambda z: abs(z - p))))]) AS cut FROM s JOIN range(1000) q(k) ON 12 * k <= len(y) - 12),
+ i AS (SELECT s.signal_id, k, y, list_transform([12 * k, 12 * k + 10], lambda p: zeros[list_position(list_transform(zeros, lambda z: abs(z - p)), list_min(list_transform(zeros, lambda z: abs(z - p))))]) AS cut FROM s JOIN range((SELECT max(len(y)) FROM s)) q(k) ON 12 * k <= len(y) - 12),
  p AS (SELECT signal_id, k, CASE WHEN cut[2] > cut[1] THEN y[cut[1] + 1 : cut[2]] ELSE CAST([] AS DOUBLE[]) END AS part FROM i)
  SELECT signal_id, list_transform(flatten(list(part ORDER BY k)), lambda x: round(x, 5) + 0.0) AS y FROM p GROUP BY 1"""
 
@@ -316,7 +316,7 @@ if len(_SOS) == 2:
 
 def _part(mask: str) -> str:
     """The signal that a soft mask of its centred spectrum leaves."""
-    return f"""WITH {COUNTED}, fx AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / {N})) AS x FROM c JOIN range(10000) q(t) ON t <= size // {HOP}, range({N}) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t * {HOP} + i - {N // 2}),
+    return f"""WITH {COUNTED}, fx AS (SELECT c.signal_id, t, i, coalesce(l.v, 0) * (0.5 - 0.5 * cos(2 * pi() * i / {N})) AS x FROM c JOIN range((SELECT max(size) + 1 FROM c)) q(t) ON t <= size // {HOP}, range({N}) u(i) LEFT JOIN l ON l.signal_id = c.signal_id AND l.n = t * {HOP} + i - {N // 2}),
  z AS (SELECT signal_id, t, k, sum(x * cos(2 * pi() * k * i / {N})) AS re, -sum(x * sin(2 * pi() * k * i / {N})) AS im FROM fx, range({N // 2 + 1}) q(k) GROUP BY 1, 2, 3),
  p AS (SELECT signal_id, t, k, re * re + im * im AS p FROM z), {{mirror}},
  w AS (SELECT signal_id, t, k, CASE WHEN h = 0 AND q = 0 THEN 0.5 ELSE {mask} * {mask} / (h * h + q * q) END AS w FROM h JOIN q USING (signal_id, t, k)),
