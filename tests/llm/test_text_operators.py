@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavetide.llm import bpe, chat, ngram_join, packing, prefix_free, shingles, substring_dedup
 
@@ -245,6 +246,34 @@ def test_repeated_and_null_ids_keep_their_bytes(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_a_bucket_sends_a_home_one_row_of_a_kind(spark, monkeypatch):
+    rng, n, seen = random.Random(8), 24, []
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(300)]
+    texts += [t[:1000] + "#" + t[1000:] for t in texts]  # copies in other partitions, with borders
+    kept = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df: seen.append(kept(df)) or seen[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = substring_dedup.remove_repeats(docs(spark, texts).repartitionByRange(n, "doc_id"))
+        got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == dict(enumerate(removed(texts, 50)))
+    buckets = max(32, n, sum(map(len, texts)) // substring_dedup.BUCKET)
+    rows = {r["kind"]: r["count"] for r in seen[0].groupBy("kind").count().collect()}
+    assert 0 < rows[substring_dedup.OPEN] <= buckets**2 and 0 < rows[substring_dedup.REMOVED] <= buckets**2 + buckets
+
+
+def test_a_task_with_many_buckets_gathers_phrases_before_it_sends(spark):
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(97, 123, 500_000, dtype=np.uint8).tobytes().decode() for _ in range(12)]
+    rows = docs(spark, texts).select("doc_id", "text").coalesce(1)
+    assert sum(map(len, texts)) > 2 * substring_dedup.CHUNK
+    got = substring_dedup._entries(rows, 50, 24, 4000, 1).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    assert got["rows"] <= 4000 and got["n"] == sum(len(substring_dedup.parse([t.encode()])[0]) for t in texts)
+
+
 @pytest.mark.parametrize("length", [3, 10, 50])
 def test_dictionary_and_parse_give_the_order_of_all_suffixes(length):
     rng = np.random.default_rng(length)

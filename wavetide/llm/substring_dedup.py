@@ -16,7 +16,8 @@ lie in phrases with the same trigger.
 3. Removed ranges return to their documents, where overlapping ones are merged.
 
 For text without any repeats nothing but triggers and names is exchanged. Places and removed ranges travel as packed
-arrays, a few rows for each task.
+arrays: one row from a task to a bucket, and one from a bucket to the task of a home. A task of step 1 with many buckets
+sends only once it holds FULL phrases for each, so rows grow with the text, not with the number of tasks times buckets.
 
 Defined results: null text is empty; a null id keeps its whole text; rows of one id don't remove each other's bytes,
 whether their texts are equal or not; texts shorter than ``length`` are kept; empty tables give no rows; other columns
@@ -45,8 +46,10 @@ LENGTH = 50
 SEED_BYTES = 24
 #: Bytes of text whose phrases are grouped together, and that are parsed at once.
 CHUNK, PIECE = 2 << 20, 1 << 18
-#: Bytes of text that one bucket is made for, and parts of a bucket's triggers, of which a task holds one at a time.
+#: Bytes of text that one bucket is made for, and parts of a bucket's triggers, of which a task works on one at a time.
 BUCKET, PARTS = 8 << 20, 4
+#: Phrases that a task gathers for each bucket before it sends them, and that it gathers in all at most.
+FULL, HELD = 256, 1 << 19
 #: Windows of a phrase at most; a longer one (periodic text) is cut.
 LONGEST = 1024
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -204,21 +207,25 @@ def _home_rows(kind: int, trigger: int, doc, place, count, keys: np.ndarray | No
     return out
 
 
+def _part(trigger: np.ndarray) -> np.ndarray:
+    """The part of its bucket that a trigger belongs to, from low bits: high ones choose the bucket."""
+    return (trigger % np.uint64(PARTS)).astype(np.int64)
+
+
 def _home(doc: np.ndarray, homes: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(homes)).astype(np.int64)
 
 
 def _entries(rows: DataFrame, length: int, seed: int, buckets: int, homes: int) -> DataFrame:
-    """Phrases by trigger (kind 1, places and keys packed), and removed ranges found within a chunk (kind 0)."""
+    """Phrases by bucket of triggers (kind 1, places and keys packed), and removed ranges found within a task (kind 0)."""
 
     @released
     def run(batches):
-        for ids, texts in _chunks(batches, 0, 1):
-            text, start, count, trigger, name = parse(texts, length, seed)
-            if not len(text):
-                continue
-            doc = np.array(ids, dtype=np.int64)[text]
-            place = _place(texts)[text] + start
+        held, n = [], 0
+
+        def done():
+            doc, place, count, trigger, name = (np.concatenate([x[c] for x in held]) for c in range(5))
+            held.clear()
             order = np.lexsort((doc, name, trigger))
             doc, place, count, trigger, name = (x[order] for x in (doc, place, count, trigger, name))
             head = np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (name[1:] != name[:-1])])
@@ -232,55 +239,91 @@ def _entries(rows: DataFrame, length: int, seed: int, buckets: int, homes: int)
                 out.append((OPEN, -1, int(to[part[0]]), len(part), _pack(doc[part], place[part], count[part]), _low_bytes(trigger[part], 6) + _low_bytes(name[part], 5)))
             yield _batch(out)
 
+        for ids, texts in _chunks(batches, 0, 1):
+            text, start, count, trigger, name = parse(texts, length, seed)
+            if not len(text):
+                continue
+            held.append((np.array(ids, dtype=np.int64)[text], _place(texts)[text] + start, count, trigger, name))
+            n += len(text)
+            if n >= min(FULL * buckets, HELD):
+                yield from done()
+                n = 0
+        if held:
+            yield from done()
+
     return rows.mapInArrow(run, _PACKED_TYPES)
 
 
 def _dictionary(entries: DataFrame, buckets: int, homes: int) -> DataFrame:
-    """Removed ranges (kind 0) and, for phrases whose trigger has other phrases, owners' places (kind 1), by home."""
+    """Removed ranges (kind 0) and, for phrases whose trigger has other phrases, owners' places (kind 1), by home: at most
+    one row of a kind from a bucket to a home."""
 
     @released
     def run(batches):
-        held, bucket = [], None
+        at, held = None, []
+
+        def removed():
+            """What senders have told of one home, in one row."""
+            if len(held) == 1:
+                return _batch(held)
+            cols = [_unpack(x[4], x[3]) for x in held]
+            return _batch(_home_rows(REMOVED, -1, *(np.concatenate([c[k] for c in cols]) for k in range(3)), None, homes))
+
+        def entries():
+            """doc, place, windows, trigger, name of the bucket's phrases, by part."""
+            by = [[] for _ in range(PARTS)]
+            for *_, n, places, keys in held:
+                cols = (*_unpack(places, n), _from_low_bytes(keys[: 6 * n], 6), _from_low_bytes(keys[6 * n :], 5))
+                part = _part(cols[3])
+                for k in range(PARTS):
+                    by[k].append([c[part == k] for c in cols])
+            held.clear()
+            for cols in by:
+                yield (np.concatenate(c) for c in zip(*cols))
+                cols.clear()
 
         def done():
-            cols = [_unpack(x[1], x[0]) for x in held]
-            doc, place, count = (np.concatenate([c[k] for c in cols]) for k in range(3))
-            trigger = np.concatenate([_from_low_bytes(x[2][: 6 * x[0]], 6) for x in held])
-            name = np.concatenate([_from_low_bytes(x[2][6 * x[0] :], 5) for x in held])
-            order = np.lexsort((doc, name, trigger))
-            doc, place, count, trigger, name = (x[order] for x in (doc, place, count, trigger, name))
-            head = np.concatenate([[True], trigger[1:] != trigger[:-1]])
-            first = head.copy()
-            first[1:] |= name[1:] != name[:-1]
-            owner = doc[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            late = doc > owner
-            start = np.flatnonzero(head)
-            kinds = np.add.reduceat(first.astype(np.int64), start)
-            varied = (kinds > 1) & (np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start))
-            open_ = varied[np.cumsum(head) - 1] & ~late
-            out = []
-            if late.any():
-                out += _home_rows(REMOVED, -1, doc[late], place[late], count[late], None, homes)
-            if open_.any():
-                out += _home_rows(OPEN, bucket, doc[open_], place[open_], count[open_], trigger[open_], homes)
-            if out:
-                yield _batch(out)
+            found = {REMOVED: [], OPEN: []}
+            for doc, place, count, trigger, name in entries():
+                if not len(doc):
+                    continue
+                order = np.lexsort((doc, name, trigger))
+                doc, place, count, trigger, name = (x[order] for x in (doc, place, count, trigger, name))
+                head = np.concatenate([[True], trigger[1:] != trigger[:-1]])
+                first = head.copy()
+                first[1:] |= name[1:] != name[:-1]
+                owner = doc[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                late = doc > owner
+                start = np.flatnonzero(head)
+                kinds = np.add.reduceat(first.astype(np.int64), start)
+                varied = (kinds > 1) & (np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start))
+                open_ = varied[np.cumsum(head) - 1] & ~late
+                for kind, which in ((REMOVED, late), (OPEN, open_)):
+                    found[kind].append([x[which] for x in (doc, place, count, trigger)])
+            for kind, cols in found.items():
+                doc, place, count, trigger = (np.concatenate(c) for c in zip(*cols))
+                cols.clear()
+                if len(doc):
+                    yield _batch(_home_rows(kind, at[1] if kind == OPEN else -1, doc, place, count, trigger if kind == OPEN else None, homes))
+
+        def closed():
+            if held and at[0] == REMOVED:
+                yield removed()
+            elif held:
+                yield from done()
+            held.clear()
 
         for b in batches:
-            for kind, home, to, n, places, keys in zip(*(c.to_pylist() for c in b.columns)):
-                if kind == REMOVED:
-                    yield _batch([(kind, home, to, n, places, keys)])
-                    continue
-                if to != bucket and held:
-                    yield from done()
-                    held = []
-                bucket = to
-                held.append((n, places, keys))
-        if held:
-            yield from done()
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                kind, home, bucket = row[:3]
+                if at != (kind, home if kind == REMOVED else bucket):
+                    yield from closed()
+                    at = kind, home if kind == REMOVED else bucket
+                held.append(row)
+        yield from closed()
 
     to = F.when(F.col("kind") == OPEN, F.col("trigger")).otherwise(F.col("home"))
-    return entries.repartition(buckets, to).sortWithinPartitions("kind", "trigger").mapInArrow(run, _PACKED_TYPES)
+    return entries.repartition(buckets, to).sortWithinPartitions("kind", "trigger", "home").mapInArrow(run, _PACKED_TYPES)
 
 
 def _with_homes(rows: DataFrame, packed: DataFrame, homes: int, raw: bool = True) -> DataFrame:
@@ -361,10 +404,12 @@ def _homes(batches, keyed: bool):
 
 
 def _owned_bytes(texts: DataFrame, length: int) -> DataFrame:
-    """Phrases' bytes by trigger: bucket, n, places (doc, place, windows), keys, bytes (compressed)."""
+    """Phrases' bytes by bucket: bucket, n, places (doc, place, windows), bytes, both by part of the bucket; parts and sizes
+    are the phrases and the compressed bytes of each."""
 
     @released
     def run(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for places, ids, raws, _ in _homes(batches, keyed=True):
             found, starts, base, at = [], [], 0, []
             high = _place(raws)
@@ -379,14 +424,18 @@ def _owned_bytes(texts: DataFrame, length: int) -> DataFrame:
                 continue
             data, at = np.frombuffer(b"".join(raws), np.uint8), np.concatenate(at)
             bucket, out = places.bucket[index], []
-            for part in _split(bucket):
-                own = index[part]
-                count = places.count[own]
-                blob = data[_ranges(at[part], count + length - 1)].tobytes()
-                out.append((int(bucket[part[0]]), len(part), _pack(places.doc[own], places.place[own], count), _low_bytes(places.key[own], 6), zstandard.compress(blob, 1)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64()] * 2 + [pa.binary()] * 3)], ["bucket", "n", "places", "keys", "bytes"])
+            for own in _split(bucket):
+                part = _part(places.key[index[own]])
+                own = own[np.argsort(part, kind="stable")]
+                parts = np.bincount(part, minlength=PARTS)
+                mine, count = index[own], places.count[index[own]]
+                edges = [0, *np.cumsum(parts).tolist()]
+                blobs = [z.compress(data[_ranges(at[own[lo:hi]], count[lo:hi] + length - 1)].tobytes()) for lo, hi in zip(edges, edges[1:])]
+                out.append((int(bucket[own[0]]), len(own), _pack(places.doc[mine], places.place[mine], count), parts.tolist(), [len(x) for x in blobs], b"".join(blobs)))
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["bucket", "n", "places", "parts", "sizes", "bytes"])
 
-    return texts.mapInArrow(run, "bucket long, n long, places binary, keys binary, bytes binary")
+    return texts.mapInArrow(run, "bucket long, n long, places binary, parts array<long>, sizes array<long>, bytes binary")
 
 
 def _window_repeats(owned: DataFrame, length: int, buckets: int, homes: int) -> DataFrame:
@@ -396,10 +445,17 @@ def _window_repeats(owned: DataFrame, length: int, buckets: int, homes: int) ->
     def run(batches):
         held, bucket = [], None
 
-        def done():
-            cols = [_unpack(x[1], x[0]) for x in held]
-            doc, place, count = (np.concatenate([c[k] for c in cols]) for k in range(3))
-            data = np.frombuffer(b"".join(zstandard.decompress(x[3]) for x in held), np.uint8)
+        def repeats(k):
+            """doc, place, length of the ranges of late windows in the bucket's part k."""
+            cols, blobs = [], []
+            for n, places, parts, sizes, raw in held:
+                if parts[k]:
+                    lo, at = sum(parts[:k]), sum(sizes[:k])
+                    cols.append([c[lo : lo + parts[k]] for c in _unpack(places, n)])
+                    blobs.append(zstandard.decompress(raw[at : at + sizes[k]]))
+            doc, place, count = (np.concatenate(c) for c in zip(*cols))
+            data = np.frombuffer(b"".join(blobs), np.uint8)
+            del cols, blobs
             size = count + length - 1
             at = np.cumsum(size) - size
             windows = _ranges(at, count)
@@ -412,20 +468,23 @@ def _window_repeats(owned: DataFrame, length: int, buckets: int, homes: int) ->
             # runs of removed windows within a phrase
             edge = late & ~np.concatenate([[False], late[:-1] & (of[1:] == of[:-1])])
             runs = np.flatnonzero(edge)
-            if not len(runs):
-                return
             number = np.cumsum(edge)[late]
-            lengths = np.bincount(number - 1)
             phrase = of[runs]
-            yield _batch(_home_rows(REMOVED, -1, doc[phrase], place[phrase] + windows[runs] - at[phrase], lengths, None, homes))
+            return doc[phrase], place[phrase] + windows[runs] - at[phrase], np.bincount(number - 1)
+
+        def done():
+            found = [repeats(k) for k in range(PARTS) if any(parts[k] for _, _, parts, _, _ in held)]
+            doc, place, count = (np.concatenate(c) for c in zip(*found))
+            if len(doc):
+                yield _batch(_home_rows(REMOVED, -1, doc, place, count, None, homes))
 
         for b in batches:
-            for to, n, places, keys, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for to, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if to != bucket and held:
                     yield from done()
                     held = []
                 bucket = to
-                held.append((n, places, keys, raw))
+                held.append(row)
         if held:
             yield from done()
 
@@ -470,7 +529,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     buckets = max(32, shuffle_partitions(df.sparkSession), size // BUCKET)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")] if carry else []))
-    entries = _entries(rows.where("doc_id is not null").select("doc_id", "text"), length, seed, PARTS * buckets, buckets)
+    entries = _entries(rows.where("doc_id is not null").select("doc_id", "text"), length, seed, buckets, buckets)
     known = materialize(_dictionary(entries, buckets, buckets))
     owned = _owned_bytes(_with_homes(rows.select("doc_id", "text"), known.where(F.col("kind") == OPEN), buckets), length)
     more = _window_repeats(owned, length, buckets, buckets)
