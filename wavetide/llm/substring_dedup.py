@@ -16,8 +16,9 @@ lie in phrases with the same trigger.
 3. Removed ranges return to their documents, where overlapping ones are merged.
 
 For text without any repeats nothing but triggers and names is exchanged. Places and removed ranges travel as packed
-arrays: one row from a task to a bucket, and one from a bucket to the task of a home. A task of step 1 with many buckets
-sends only once it holds FULL phrases for each, so rows grow with the text, not with the number of tasks times buckets.
+arrays: one row from a task to a bucket, and one from a bucket to a home; each bucket and each home is a task of its own.
+Where there are many buckets, a task of step 1 gathers up to FULL phrases for each (HELD in all) before it sends them, so
+that its rows don't become shorter the more buckets there are.
 
 Defined results: null text is empty; a null id keeps its whole text; rows of one id don't remove each other's bytes,
 whether their texts are equal or not; texts shorter than ``length`` are kept; empty tables give no rows; other columns
@@ -323,7 +324,7 @@ def _dictionary(entries: DataFrame, buckets: int, homes: int) -> DataFrame:
         yield from closed()
 
     to = F.when(F.col("kind") == OPEN, F.col("trigger")).otherwise(F.col("home"))
-    return entries.repartition(buckets, to).sortWithinPartitions("kind", "trigger", "home").mapInArrow(run, _PACKED_TYPES)
+    return entries.repartitionById(buckets, to.cast("int")).sortWithinPartitions("kind", "trigger", "home").mapInArrow(run, _PACKED_TYPES)
 
 
 def _with_homes(rows: DataFrame, packed: DataFrame, homes: int, raw: bool = True) -> DataFrame:
@@ -347,7 +348,7 @@ def _with_homes(rows: DataFrame, packed: DataFrame, homes: int, raw: bool = True
     none = lambda kind: F.lit(None).cast(kind)
     texts = texts.select("home", F.lit(1).alias("is_text"), none("long").alias("n"), none("long").alias("trigger"), none("binary").alias("places"), none("binary").alias("keys"), "doc_id", "text", *rest)
     packed = packed.select("home", F.lit(0).alias("is_text"), "n", "trigger", "places", "keys", none("long").alias("doc_id"), none("binary").alias("text"), *(none(rows.schema[c].dataType).alias(c) for c in rest))
-    return texts.unionByName(packed).repartition(homes, "home").sortWithinPartitions("home", "is_text")
+    return texts.unionByName(packed).repartitionById(homes, F.col("home").cast("int")).sortWithinPartitions("home", "is_text")
 
 
 class _Places:
@@ -488,7 +489,7 @@ def _window_repeats(owned: DataFrame, length: int, buckets: int, homes: int) ->
         if held:
             yield from done()
 
-    return owned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PACKED_TYPES)
+    return owned.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(run, _PACKED_TYPES)
 
 
 def _cut(texts: DataFrame, length: int, as_text: bool) -> DataFrame:
