@@ -14,7 +14,7 @@ ODD = {
     "euclidean": [None, [], [1.0], [1.0, None, 3.0, 4.0], [None, None, None, None], [float("inf"), 0.0, 0.0, 1.0], [3e-5, 0.0, 0.0, 0.0]],
     "cosine": [None, [0.0, 0.0, 0.0, 0.0], [1e-30, 0.0, 0.0, 0.0], [-1.0, -2.0, -3.0, -4.0], [1.0, 2.0, 3.0, 4.0]],
 }
-METRICS = pytest.mark.parametrize("metric", ["euclidean"])
+METRICS = pytest.mark.parametrize("metric", ["euclidean", "cosine"])
 
 
 @pytest.fixture
