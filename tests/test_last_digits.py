@@ -33,3 +33,15 @@ def test_levels_from_cepstra_are_the_sums_of_the_definition():
     w = np.cos(np.pi * q * (2 * k + 1) / 12) * np.where(q == 0, np.sqrt(1 / 6), np.sqrt(2 / 6))
     for have, want in ((m, db.astype(np.longdouble) @ w.T), (10 * np.log10(features.mfcc_to_mel(m, 6)), m.astype(np.longdouble) @ w)):
         assert np.sqrt(((have - want) ** 2).mean()) < 1.2e-14
+
+
+def test_reassigned_times_half_way_between_two_roundings(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    alone = [np.eye(1, 24, n)[0] * round(v, 2) for n, v in zip(list(range(24)) * 2, rng.uniform(1.0, 100.0, 48))]  # k / 64 s has a 5 as its last digit
+    got, want = both(spark, tmp_path, "reassigned_spectrogram", [*alone, *rng.random((8, 40)).round(2) * 100])
+    assert got == want and len(got) == 48 * 3 + 8 * 7
+
+
+def test_reassigned_leaves_out_signals_shorter_than_a_frame(spark, tmp_path):
+    got, want = both(spark, tmp_path, "reassigned_spectrogram", [np.arange(15.0), np.arange(16.0)])
+    assert got == want and len(got) == 1
