@@ -45,3 +45,10 @@ def test_reassigned_times_half_way_between_two_roundings(spark, tmp_path):
 def test_reassigned_leaves_out_signals_shorter_than_a_frame(spark, tmp_path):
     got, want = both(spark, tmp_path, "reassigned_spectrogram", [np.arange(15.0), np.arange(16.0)])
     assert got == want and len(got) == 1
+
+
+@pytest.mark.parametrize("name", ["normalize_min", "normalize_inf", "normalize_l1", "normalize_l2"])
+def test_division_by_a_norm_of_zero(spark, tmp_path, name):
+    signals = [[0.0, 2.5, -1.25, 0.0], [0.0, 0.0], [-0.5, 4.0, 1e-310], [1.0]]
+    got, want = both(spark, tmp_path, name, signals)
+    assert got == want and len(got) == 10
